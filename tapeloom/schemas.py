@@ -31,18 +31,12 @@ POINT = T.StructType(_strings("t", "p"))
 # Points are first read as raw text, so that one element of another shape spoils only itself.
 RAW_POINTS = T.ArrayType(T.StringType())
 HISTORY = T.StructType([T.StructField("history", RAW_POINTS)])
+BATCH_KEYS = ("token_id", "market", "asset_id")
+BATCH_ITEM = T.StructType(_strings(*BATCH_KEYS) + [T.StructField("history", RAW_POINTS)])
 BATCH_HISTORY = T.StructType(
     [
         T.StructField("history", T.MapType(T.StringType(), RAW_POINTS)),
-        T.StructField(
-            "data",
-            T.ArrayType(
-                T.StructType(
-                    _strings("token_id", "market", "asset_id")
-                    + [T.StructField("history", RAW_POINTS)]
-                )
-            ),
-        ),
+        T.StructField("data", RAW_POINTS),
     ]
 )
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.functions.lenient import to_double
-from tapeloom.schemas import BATCH_HISTORY, HISTORY, POINT
+from tapeloom.schemas import BATCH_HISTORY, BATCH_ITEM, BATCH_KEYS, HISTORY, POINT
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
@@ -33,10 +33,11 @@ def history_points(payloads: DataFrame, column: str, keep: list[str]) -> DataFra
     return _readable(exploded.select(*keep, "position", *_point(F.col("point"))))
 
 
-def _first_truthy(*names: Column) -> Column:
-    """First key that is neither missing, empty nor zero."""
-    usable = [F.when((n != "") & (n != "0"), n) for n in names]
-    return F.coalesce(*usable)
+def _item_token(item: Column, text: Column) -> Column:
+    """First key that is neither missing, empty text nor the number zero (the text "0" counts)."""
+    numbers = F.from_json(text, ", ".join(f"{k} double" for k in BATCH_KEYS))
+    usable = [(item[k] != "") & ~F.coalesce(numbers[k] == 0, F.lit(False)) for k in BATCH_KEYS]
+    return F.coalesce(*[F.when(ok, item[k]) for ok, k in zip(usable, BATCH_KEYS)])
 
 
 def batch_points(payloads: DataFrame, column: str, keep: list[str]) -> DataFrame:
@@ -49,14 +50,12 @@ def batch_points(payloads: DataFrame, column: str, keep: list[str]) -> DataFrame
         F.filter(F.map_entries(F.col("b.history")), lambda e: e["value"].isNotNull()),
         lambda e: F.struct(e["key"].alias("token_id"), e["value"].alias("history")),
     )
+    def entry(text: Column) -> Column:
+        item = F.from_json(text, BATCH_ITEM)
+        return F.struct(_item_token(item, text).alias("token_id"), item["history"].alias("history"))
+
     by_array = F.filter(
-        F.transform(
-            F.col("b.data"),
-            lambda d: F.struct(
-                _first_truthy(d["token_id"], d["market"], d["asset_id"]).alias("token_id"),
-                d["history"].alias("history"),
-            ),
-        ),
+        F.transform(F.col("b.data"), entry),
         lambda d: d["token_id"].isNotNull() & d["history"].isNotNull(),
     )
     # The last entry of a token in one payload replaces earlier ones.

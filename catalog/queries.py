@@ -31,7 +31,7 @@ from tapeloom.operators.distances import pairwise_distances
 from tapeloom.operators.ranking import hash_sample
 from tapeloom.plans import active, closed, components, embeddings
 from tapeloom.schemas import ACTIVE_FEATURES, CLOSED_FEATURES, RAW_GRID
-from tapeloom.session import shared_dir
+from tapeloom.session import shared_dir, staged
 from tapeloom.sinks import publish as W
 from tapeloom.sources import books as B
 from tapeloom.sources import histories as SH
@@ -118,7 +118,8 @@ def scan_event_markets(spark, sf):
 def scan_price_history(spark, sf):
     payload = """CASE WHEN extract_ord % 50 = 0 THEN 'oops' ELSE concat(
         '{"history":[{"t":', t, ',"p":', coalesce(CAST(price AS STRING), 'null'),
-        '},{"t":null,"p":0.5},{"t":', t + 1, ',"p":"bad"},7,{"t":"', t + 2, '","p":"0.25"}]}') END"""
+        '},{"t":null,"p":0.5},{"t":', t + 1, ',"p":"bad"}',
+        CASE WHEN extract_ord % 9 = 4 THEN ',7' ELSE '' END, ',{"t":"', t + 2, '","p":"0.25"}]}') END"""
     rows = X.points(spark, sf).selectExpr("token_id", "extract_ord", f"{payload} AS payload")
     return SH.history_points(rows, "payload", ["token_id", "extract_ord"]).select(
         "token_id", "extract_ord", "t", r6("price").alias("price")
@@ -464,6 +465,11 @@ def steps(spark, sf) -> DataFrame:
     return Q.dedupe_steps(raw_rows(spark, sf), "lookback_step", ["unix_ts", "category_ord"])
 
 
+def staged_steps(spark, sf) -> DataFrame:
+    """The filled paths read the steps three times, so they are written once."""
+    return staged(steps(spark, sf), "steps")
+
+
 @query
 def sequence_dedup(spark, sf):
     return steps(spark, sf).select("market_id", "step", "classifier_label", *r6s(["price_yes"]))
@@ -471,17 +477,18 @@ def sequence_dedup(spark, sf):
 
 @query
 def fill_sequence(spark, sf):
-    return Q.filled_paths(steps(spark, sf)).select("market_id", "step", *r6s(["level"]))
+    return Q.filled_paths(staged_steps(spark, sf)).select("market_id", "step", *r6s(["level"]))
 
 
 @query
 def rich_features(spark, sf):
-    return Q.filled_paths(steps(spark, sf)).select("market_id", "step", *r6s(["level", "diff"]))
+    return Q.filled_paths(staged_steps(spark, sf)).select("market_id", "step", *r6s(["level", "diff"]))
 
 
 @query
 def sequence_matrix(spark, sf):
-    vectors = Q.scale_vectors(Q.path_vectors(Q.filled_paths(steps(spark, sf))))
+    paths = staged(Q.path_vectors(Q.filled_paths(staged_steps(spark, sf))), "paths")
+    vectors = Q.scale_vectors(paths)
     return vectors.select("market_id", F.posexplode("x").alias("slot", "value")).select(
         "market_id", F.col("slot").cast("bigint").alias("slot"), *r6s(["value"])
     )

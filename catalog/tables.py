@@ -11,6 +11,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeloom.operators.once import with_evaluated
 from tapeloom.session import prepare
 
 AS_OF = datetime(2024, 1, 31)
@@ -86,7 +87,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     def text(column: str, odd: int) -> str:
         return f"CASE WHEN k % 2 = {odd} THEN {twice.format(c=column)} ELSE to_json({column}) END"
 
-    return named.selectExpr(
+    rows = named.selectExpr(
         "k", "nk", "seg", "name", "rival", "start_s", "end_s",
         "CASE WHEN k % 211 = 0 THEN ' ' ELSE CAST(k AS STRING) END AS id",
         "question",
@@ -111,6 +112,9 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "k % 7 <> 0 AS active",
         "k % 5 IN (0, 1, 2) AS closed",
     )
+    # A listing payload holds these as stored text; here they are made once per row.
+    made = ("clobTokenIds", "outcomes", "outcomePrices", "startDate", "endDate")
+    return with_evaluated(rows, {c: F.col(c) for c in made})
 
 
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,23 +13,32 @@ BOOK_COLUMNS = (
 )
 
 
-def _side(levels: Column, top_n: int) -> tuple[Column, Column]:
-    """(best price, depth) over the first ``top_n`` levels in payload order.
+def book_side(levels: Column, top_n: int) -> Column:
+    """Struct (price, depth) over the first ``top_n`` levels in payload order.
 
-    Levels with an unreadable price or size are skipped; no levels at all means no depth.
+    The price is that of the first readable level. Levels with an unreadable price or size are
+    skipped; no levels at all means no depth.
     """
     read = F.transform(
         F.slice(levels, 1, top_n),
         lambda lvl: F.struct(to_double(lvl["price"]).alias("p"), to_double(lvl["size"]).alias("s")),
     )
     good = F.filter(read, lambda lvl: lvl["p"].isNotNull() & lvl["s"].isNotNull())
-    depth = F.aggregate(good, F.lit(0.0), lambda acc, lvl: acc + lvl["s"])
-    return F.get(good, 0)["p"], F.when(F.size(levels) > 0, depth)
+    nothing = F.struct(F.lit(None).cast("double").alias("price"), F.lit(0.0).alias("depth"))
+    total = F.aggregate(
+        good,
+        nothing,
+        lambda acc, lvl: F.struct(
+            F.coalesce(acc["price"], lvl["p"]).alias("price"), (acc["depth"] + lvl["s"]).alias("depth")
+        ),
+    )
+    return F.when(F.size(levels) > 0, total)
 
 
-def book_summary(bids: Column, asks: Column, top_n: int) -> dict[str, Column]:
-    bid, bid_depth = _side(bids, top_n)
-    ask, ask_depth = _side(asks, top_n)
+def book_summary(bid_side: Column, ask_side: Column) -> dict[str, Column]:
+    """The summary columns from two sides made by :func:`book_side`."""
+    bid, bid_depth = bid_side["price"], bid_side["depth"]
+    ask, ask_depth = ask_side["price"], ask_side["depth"]
     total = bid_depth + ask_depth
     return {
         "ob_best_bid": bid,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions import listing as L
 from tapeloom.functions.jsontext import first_item, text_array
 from tapeloom.functions.lenient import blank_to_null, strip, to_double, to_timestamp
+from tapeloom.operators.once import with_evaluated
 from tapeloom.operators.ranking import top_n_per_group
 
 # Category dimension (label, tag id, slug), in scan order.
@@ -60,10 +61,9 @@ def sport_table(spark, rows=SPORTS) -> DataFrame:
 
 def with_yes_token(listing: DataFrame) -> DataFrame:
     """Rows with an id and a first token; adds trimmed ``market_id`` and ``token_id``."""
-    return (
-        listing.withColumn("market_id", blank_to_null(F.col("id")))
-        .withColumn("token_id", first_item(F.col("clobTokenIds")))
-        .where(F.col("market_id").isNotNull() & F.col("token_id").isNotNull())
+    parsed = {"market_id": blank_to_null(F.col("id")), "token_id": first_item(F.col("clobTokenIds"))}
+    return with_evaluated(listing, parsed).where(
+        F.col("market_id").isNotNull() & F.col("token_id").isNotNull()
     )
 
 
@@ -114,16 +114,23 @@ def shortfall(selected: DataFrame, dimension: DataFrame, key: str, wanted: int)
 
 def with_outcomes(listing: DataFrame) -> DataFrame:
     """Adds the parsed arrays, the primary outcome and the resolved label."""
-    arrays = (
-        listing.withColumn("outcome_names", text_array(F.col("outcomes")))
-        .withColumn("outcome_values", text_array(F.col("outcomePrices")))
-        .withColumn("tokens", text_array(F.col("clobTokenIds")))
+    arrays = with_evaluated(
+        listing,
+        {
+            "outcome_names": text_array(F.col("outcomes")),
+            "outcome_values": text_array(F.col("outcomePrices")),
+            "tokens": text_array(F.col("clobTokenIds")),
+        },
     )
     names, values = F.col("outcome_names"), F.col("outcome_values")
-    return (
-        arrays.withColumn("primary_index", L.primary_index(names))
-        .withColumn("primary_outcome", L.primary_label(names))
-        .withColumn("resolved_yes", L.resolved_primary(names, values))
+    return with_evaluated(
+        arrays,
+        {
+            "primary_index": L.primary_index(names),
+            "primary_outcome": L.primary_label(names),
+            "resolved_yes": L.resolved_primary(names, values),
+            "is_moneyline": L.is_moneyline(names),
+        },
     )
 
 
@@ -203,25 +210,27 @@ def select_closed_markets(
     before: Column | None = None,
 ) -> DataFrame:
     """First ``per_sport`` distinct resolved match-ups of each sport, in scan order."""
-    named = candidates.withColumn("market_id", blank_to_null(F.col("id"))).withColumn(
-        "title_used",
-        F.coalesce(blank_to_null(F.col("question")), strip(F.coalesce(F.col("title"), F.lit("")))),
+    title = F.coalesce(blank_to_null(F.col("question")), strip(F.coalesce(F.col("title"), F.lit(""))))
+    named = with_evaluated(
+        candidates,
+        {
+            "market_id": blank_to_null(F.col("id")),
+            "title_used": title,
+            "start_ts": to_timestamp(F.col("startDate")),
+            "end_ts": to_timestamp(F.col("endDate")),
+        },
     )
     parsed = with_outcomes(
         named.where(
             F.col("market_id").isNotNull()
             & L.is_plain_market_type(F.col("sportsMarketType"))
             & L.is_head_to_head(F.col("title_used"))
+            & in_end_window(F.col("start_ts"), F.col("end_ts"), as_of, within_days, after, before)
         )
     )
     fit = (
-        parsed.withColumn("start_ts", to_timestamp(F.col("startDate")))
-        .withColumn("end_ts", to_timestamp(F.col("endDate")))
-        .where(
-            L.is_moneyline(F.col("outcome_names"))
-            & F.col("resolved_yes").isNotNull()
-            & (F.size("tokens") >= 2)
-            & in_end_window(F.col("start_ts"), F.col("end_ts"), as_of, within_days, after, before)
+        parsed.where(
+            F.col("is_moneyline") & F.col("resolved_yes").isNotNull() & (F.size("tokens") >= 2)
         )
         .withColumn("token_id", F.get("tokens", F.col("primary_index")))
         .withColumn("volume_num", to_double(F.col("volumeNum")))

@@ -37,9 +37,8 @@ def fill_both_ways(value: Column, window: WindowSpec, default: float | None = No
 
 
 def rolling_deviation(value: Column, window: WindowSpec, rows: int = 24) -> Column:
-    """Sample deviation over the last ``rows`` rows, from two observations on."""
-    frame = window.rowsBetween(-(rows - 1), Window.currentRow)
-    return F.when(F.count(value).over(frame) >= 2, F.stddev_samp(value).over(frame))
+    """Sample deviation over the last ``rows`` rows; NULL for a single observation."""
+    return F.stddev_samp(value).over(window.rowsBetween(-(rows - 1), Window.currentRow))
 
 
 def hold_forward(prints: DataFrame, keys: list[str], step: int) -> DataFrame:

@@ -69,11 +69,13 @@ def build(
 ) -> Report:
     """Keep categories, drop listed ids, fit, score.
 
-    Scores feed several tables, so they are written once.
+    The kept rows and their scores feed several jobs, so each is written once.
     """
     prepare(features.sparkSession)
     kept, dropped = split_by_category(features, cfg.categories)
     used = kept if excluded is None else exclude_ids(kept, excluded)
+    # The fit reads the rows several times: count, mean, covariance, scores.
+    used = staged(used, "report-rows")
     fitted = fit_components(used, numeric_columns(used), cfg.component_cap)
     if metadata is not None:
         used = with_question(used, metadata, metadata_order or ["tag_id"])

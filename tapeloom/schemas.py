@@ -31,6 +31,7 @@ POINT = T.StructType(_strings("t", "p"))
 # Points are first read as raw text, so that one element of another shape spoils only itself.
 RAW_POINTS = T.ArrayType(T.StringType())
 HISTORY = T.StructType([T.StructField("history", RAW_POINTS)])
+CLEAN_HISTORY = T.StructType([T.StructField("history", T.ArrayType(POINT))])
 BATCH_KEYS = ("token_id", "market", "asset_id")
 BATCH_ITEM = T.StructType(_strings(*BATCH_KEYS) + [T.StructField("history", RAW_POINTS)])
 BATCH_HISTORY = T.StructType(

@@ -15,8 +15,14 @@ DEFAULT_SALTS = 16
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the clock to UTC and let top-N filters reach below the shuffle for the scan caps we use."""
+    """Session settings the operators count on.
+
+    The clock is UTC. Top-N filters reach below the shuffle for the scan caps in use. Series are
+    unfolded after their shuffle, so the bytes of a shuffle partition understate its work and
+    small partitions are not merged down to one.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "5000")
     return spark
 

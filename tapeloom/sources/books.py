@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.functions.books import book_summary
+from tapeloom.functions.books import book_side, book_summary
+from tapeloom.operators.once import with_evaluated
 from tapeloom.operators.ranking import top_n_per_group
 from tapeloom.schemas import BOOK
 
@@ -24,8 +25,11 @@ def parse_books(payloads: DataFrame, column: str, keep: list[str]) -> DataFrame:
 def summarize_books(books: DataFrame, top_n: int = TOP_LEVELS) -> DataFrame:
     """Best prices, spread, mid, depth and imbalance; a narrow step, no shuffle."""
     keep = [c for c in books.columns if c not in ("bids", "asks", "timestamp")]
-    summary = book_summary(F.col("bids"), F.col("asks"), top_n)
-    return books.select(
+    sides = with_evaluated(
+        books, {"_bid": book_side(F.col("bids"), top_n), "_ask": book_side(F.col("asks"), top_n)}
+    )
+    summary = book_summary(F.col("_bid"), F.col("_ask"))
+    return sides.select(
         *keep,
         *[c.alias(name) for name, c in summary.items()],
         F.coalesce(F.col("timestamp"), F.lit("")).alias("ob_timestamp_ms"),

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.functions.lenient import to_double
-from tapeloom.schemas import BATCH_HISTORY, BATCH_ITEM, BATCH_KEYS, HISTORY, POINT
+from tapeloom.operators.once import with_evaluated
+from tapeloom.schemas import BATCH_HISTORY, BATCH_ITEM, BATCH_KEYS, CLEAN_HISTORY, HISTORY, POINT
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
@@ -14,23 +15,29 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(HISTORY).json(path)
 
 
-def _point(text: Column) -> list[Column]:
-    point = F.from_json(text, POINT)
-    return [
-        to_double(point["t"]).try_cast("bigint").alias("t"),
-        to_double(point["p"]).alias("price"),
-    ]
+def _parsed(texts: Column) -> Column:
+    return F.transform(texts, lambda text: F.from_json(text, POINT))
 
 
-def _readable(points: DataFrame) -> DataFrame:
-    return points.where(F.col("t").isNotNull() & F.col("price").isNotNull())
+def _points(parsed: Column) -> Column:
+    """(position, t, price) of every element that is a readable point."""
+    typed = F.transform(
+        parsed,
+        lambda point, i: F.struct(
+            i.alias("position"),
+            to_double(point["t"]).try_cast("bigint").alias("t"),
+            to_double(point["p"]).alias("price"),
+        ),
+    )
+    return F.filter(typed, lambda point: point["t"].isNotNull() & point["price"].isNotNull())
 
 
 def history_points(payloads: DataFrame, column: str, keep: list[str]) -> DataFrame:
     """Points of ``{"history": [{t, p}]}`` text; malformed payloads and points yield no rows."""
-    parsed = payloads.select(*keep, F.from_json(F.col(column), HISTORY)["history"].alias("history"))
-    exploded = parsed.select(*keep, F.posexplode("history").alias("position", "point"))
-    return _readable(exploded.select(*keep, "position", *_point(F.col("point"))))
+    whole = F.from_json(F.col(column), CLEAN_HISTORY)["history"]
+    # An element of another shape voids the whole array: only then is it read element by element.
+    by_element = _parsed(F.from_json(F.col(column), HISTORY)["history"])
+    return payloads.select(*keep, F.inline(_points(F.coalesce(whole, by_element))))
 
 
 def _item_token(item: Column, text: Column) -> Column:
@@ -45,19 +52,27 @@ def batch_points(payloads: DataFrame, column: str, keep: list[str]) -> DataFrame
 
     Both shapes become one array of (token, history), so a payload is read and exploded once.
     """
-    body = payloads.select(*keep, F.from_json(F.col(column), BATCH_HISTORY).alias("b"))
+    parsed = F.from_json(F.col(column), BATCH_HISTORY)
+    body = with_evaluated(payloads.select(*keep, column), {"b": parsed})
     by_map = F.transform(
         F.filter(F.map_entries(F.col("b.history")), lambda e: e["value"].isNotNull()),
         lambda e: F.struct(e["key"].alias("token_id"), e["value"].alias("history")),
     )
+
     def entry(text: Column) -> Column:
         item = F.from_json(text, BATCH_ITEM)
         return F.struct(_item_token(item, text).alias("token_id"), item["history"].alias("history"))
 
-    by_array = F.filter(
-        F.transform(F.col("b.data"), entry),
-        lambda d: d["token_id"].isNotNull() & d["history"].isNotNull(),
+    body = with_evaluated(
+        body,
+        {
+            "items": F.filter(
+                F.transform(F.col("b.data"), entry),
+                lambda d: d["token_id"].isNotNull() & d["history"].isNotNull(),
+            )
+        },
     )
+    by_array = F.col("items")
     # The last entry of a token in one payload replaces earlier ones.
     last_of_token = F.filter(
         by_array,
@@ -66,8 +81,6 @@ def batch_points(payloads: DataFrame, column: str, keep: list[str]) -> DataFrame
         ),
     )
     merged = F.when(F.size(by_map) > 0, by_map).otherwise(last_of_token)
-    return _readable(
-        body.select(*keep, F.inline(merged))
-        .select(*keep, "token_id", F.posexplode("history").alias("position", "point"))
-        .select(*keep, "token_id", "position", *_point(F.col("point")))
+    return body.select(*keep, F.inline(merged)).select(
+        *keep, "token_id", F.inline(_points(_parsed(F.col("history"))))
     )

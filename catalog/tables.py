@@ -193,11 +193,10 @@ def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr(
         "CAST(l_suppkey AS STRING) AS token_id",
         "CASE WHEN l_linestatus = 'O' THEN 'bid' ELSE 'ask' END AS side",
-        """CASE WHEN l_partkey % 37 = 0 THEN 'n/a'
-             WHEN l_linestatus = 'O' THEN CAST(0.5D - l_discount AS STRING)
-             ELSE CAST(0.5D + l_tax AS STRING) END AS price""",
-        "CAST(l_quantity AS STRING) AS size",
-        "CAST(unix_seconds(CAST(l_shipdate AS TIMESTAMP)) AS STRING) AS timestamp",
+        """CASE WHEN l_partkey % 37 = 0 THEN NULL WHEN l_linestatus = 'O' THEN 0.5D - l_discount
+             ELSE 0.5D + l_tax END AS price""",
+        "l_quantity AS size",
+        "unix_seconds(CAST(l_shipdate AS TIMESTAMP)) AS timestamp",
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
     )
 

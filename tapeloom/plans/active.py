@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -208,25 +208,24 @@ def build(listing: DataFrame, points: DataFrame, books: DataFrame | None, cfg: A
     """All outputs as lazy tables over one staged selection.
 
     ``listing`` is one row per (market, tag) with the category columns, ``points`` the price
-    history, ``books`` one snapshot per token. The selection is small and feeds every branch, so
-    it is written once. Per-market work runs once even if a market has several categories.
+    history, ``books`` one snapshot per token. Three tables feed several branches and are written
+    once: the selection and the features (one row per selected market) and the buckets (at most
+    one row per selected market and step). Per-market work runs once even if a market has several
+    categories.
     """
     prepare(listing.sparkSession)
     selected = staged(select_markets(listing, cfg), "selected")
     markets = selected.select("market_id", "token_id", "start_ts", "end_ts").dropDuplicates(["market_id"])
-    buckets = market_buckets(points, markets, cfg)
+    buckets = staged(market_buckets(points, markets, cfg), "buckets")
     grid = market_grid(markets, buckets, cfg)
-    return ActiveTables(selected, grid, market_features(markets, buckets, grid, books, cfg), cfg)
+    features = staged(market_features(markets, buckets, grid, books, cfg), "features")
+    return ActiveTables(selected, grid, features, cfg)
 
 
 def run(listing: DataFrame, points: DataFrame, books: DataFrame | None, cfg: ActiveSettings, out: str) -> None:
     """Publish raw grid, metadata and scaled features under ``out``; empty tables keep their schema."""
     spark = listing.sparkSession
     tables = build(listing, points, books, cfg)
-    # Grid and features feed three outputs: write both once and read the outputs off them.
-    tables = replace(
-        tables, grid=staged(tables.grid, "grid"), features=staged(tables.features, "features")
-    )
     scaled, metadata = tables.scaled_features(), tables.metadata()
     require_aligned(scaled, metadata, ["market_id", "tag_id"])
     publish(tables.raw_grid(), f"{out}/raw_grid")

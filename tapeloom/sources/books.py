@@ -60,5 +60,5 @@ def books_from_levels(levels: DataFrame, order: list[str], top_n: int = TOP_LEVE
     return first.groupBy("token_id").agg(
         side("bid").alias("bids"),
         side("ask").alias("asks"),
-        F.max("timestamp").alias("timestamp"),
+        F.max(F.col("timestamp").cast("string")).alias("timestamp"),
     )

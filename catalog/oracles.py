@@ -607,5 +607,27 @@ ORACLES: dict[str, str] = {
       FROM closedpick p JOIN streaks s USING (market_id)
       LEFT JOIN m1 m ON m.token_id = s.token_id AND s.status = 'ok' AND m.t BETWEEN s.segment_start AND s.segment_end""",
 }
+ORACLES["excluded_count"] = (
+    ctes(CUST, RAW_TEXT, LISTING) + "SELECT count(*) AS n_excluded FROM listing WHERE closed"
+)
+ORACLES["label_one_hot"] = ctes(EMB) + """SELECT market_id, slot, CASE WHEN slot = own THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hot
+  FROM (SELECT market_id, dense_rank() OVER (ORDER BY classifier_label) - 1 AS own FROM emb),
+    range((SELECT count(DISTINCT classifier_label) FROM emb)) r(slot)"""
+ORACLES["top_correlations"] = ctes(EMB) + f""", s AS (SELECT list_sum(e[1:32]) / 32 AS p1, list_sum(e[33:64]) / 32 AS p2, e FROM emb),
+  l AS (SELECT i, e[i] AS x, p1, p2 FROM s, range(1, 65) r(i)),
+  c AS (SELECT 'f' || i AS feature, 'PC1' AS target, corr(x, p1) AS v FROM l GROUP BY i
+    UNION ALL SELECT 'f' || i, 'PC2', corr(x, p2) FROM l GROUP BY i)
+  SELECT target, place, feature, {r6('v', 'correlation')} FROM (
+    SELECT *, row_number() OVER (PARTITION BY target ORDER BY abs(v) DESC, feature) AS place FROM c) WHERE place <= 8"""
+ORACLES["scan_order_books"] = f"""WITH b AS (
+  SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS token_id, CAST(l_orderkey AS VARCHAR) AS ob_timestamp_ms,
+    0.5::DOUBLE - l_discount AS ob_best_bid, l_quantity * 3 AS bd,
+    CASE WHEN l_linenumber = 7 THEN NULL WHEN l_partkey % 5 = 0 THEN 0.6::DOUBLE + l_tax ELSE 0.5::DOUBLE + l_tax END AS ob_best_ask,
+    CASE WHEN l_linenumber = 7 THEN NULL WHEN l_partkey % 5 = 0 THEN l_quantity * 4 ELSE l_quantity * 5 END AS ad
+  FROM lineitem)
+  SELECT token_id, ob_timestamp_ms, {rs(['ob_best_bid', 'ob_best_ask'])}, {r6('(ob_best_bid + ob_best_ask) / 2', 'ob_mid')},
+    {r6('ob_best_ask - ob_best_bid', 'ob_spread')}, {r6('CASE WHEN bd + ad > 0 THEN bd END', 'ob_bid_depth_topn')},
+    {r6('CASE WHEN bd + ad > 0 THEN ad END', 'ob_ask_depth_topn')},
+    {r6('CASE WHEN bd + ad > 0 THEN (bd - ad) / (bd + ad) END', 'ob_imbalance_topn')} FROM b"""
 # A list of CTEs ends with a newline; some queries add further ones after a comma.
 ORACLES = {k: v.replace("\n,", ",").replace("\n      ,", ",") for k, v in ORACLES.items()}

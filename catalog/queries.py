@@ -31,7 +31,7 @@ from tapeloom.operators.distances import pairwise_distances
 from tapeloom.operators.ranking import hash_sample
 from tapeloom.plans import active, closed, components, embeddings
 from tapeloom.schemas import ACTIVE_FEATURES, CLOSED_FEATURES, RAW_GRID
-from tapeloom.session import shared_dir, staged
+from tapeloom.session import join_small, shared_dir, staged
 from tapeloom.sinks import publish as W
 from tapeloom.sources import books as B
 from tapeloom.sources import histories as SH
@@ -413,6 +413,30 @@ def order_book_summary(spark, sf):
     return rows.select("token_id", *r6s(BOOK_COLUMNS), "ob_timestamp_ms")
 
 
+@query
+def scan_order_books(spark, sf):
+    """Book payloads as JSON text, one per line item: two levels a side, some unreadable."""
+    def level(price: str, size: str) -> str:
+        return f"""concat('{{"price":"', {price}, '","size":', {size}, '}}')"""
+
+    broken = """'{"price":"x","size":1}'"""
+    sides = {
+        "bids": (level("0.5D - l_discount", "l_quantity"), level("0.4D - l_discount", "l_quantity * 2D")),
+        "asks": (
+            f"CASE WHEN l_partkey % 5 = 0 THEN {broken} ELSE {level('0.5D + l_tax', 'l_quantity')} END",
+            level("0.6D + l_tax", "l_quantity * 4D"),
+        ),
+    }
+    arrays = {k: f"concat('[', {a}, ',', {b}, ']')" for k, (a, b) in sides.items()}
+    asks = f"CASE WHEN l_linenumber = 7 THEN '[]' ELSE {arrays['asks']} END"
+    payload = f"""concat('{{"timestamp":"', l_orderkey, '","bids":', {arrays['bids']}, ',"asks":', {asks}, '}}')"""
+    rows = X.table(spark, sf, "lineitem").selectExpr(
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS token_id", f"{payload} AS payload"
+    )
+    found = B.summarize_books(B.parse_books(rows, "payload", ["token_id"]))
+    return found.select("token_id", *r6s(BOOK_COLUMNS), "ob_timestamp_ms")
+
+
 @query
 def book_features_query(spark, sf):
     rows = B.summarize_books(books(spark, sf))
@@ -501,6 +525,17 @@ def label_index(spark, sf):
     )
 
 
+@query
+def label_one_hot(spark, sf):
+    rows = X.embedding_features(spark, sf).select("market_id", F.col("classifier_label").alias("label_class"))
+    index = staged(Q.label_index(rows, "label_class"), "labels")
+    n = index.count()
+    marked = join_small(rows, index, ["label_class"], max_rows=n)
+    return marked.select(
+        "market_id", F.posexplode(Q.one_hot(F.col("label_class_index"), n)).alias("slot", "hot")
+    ).withColumn("slot", F.col("slot").cast("bigint"))
+
+
 # ---- selection and sets --------------------------------------------------------------------
 
 
@@ -555,6 +590,12 @@ def exclude_ids(spark, sf):
     return K.exclude_ids(rows.select("market_id", "tag_id"), ids)
 
 
+@query
+def excluded_count(spark, sf):
+    rows = X.listing(spark, sf).withColumn("market_id", F.col("k").cast("string"))
+    return K.excluded_count(rows, listings.closed_markets(rows).select("market_id"))
+
+
 @query
 def hash_sample_query(spark, sf):
     return hash_sample(X.customers(spark, sf).select("k", "seg"), "k", 80)
@@ -649,8 +690,7 @@ def pca_loadings(spark, sf):
     return fitted(spark, sf)[1].loading_table()
 
 
-@query
-def feature_correlations(spark, sf):
+def half_correlations(spark, sf) -> DataFrame:
     """The operator on two projections that SQL can state: the two halves' mean."""
     table = X.embedding_features(spark, sf)
     names = PC.numeric_columns(table)
@@ -659,9 +699,18 @@ def feature_correlations(spark, sf):
         return F.aggregate(F.array(*part), F.lit(0.0), lambda a, b: a + b) / len(part)
 
     scored = table.withColumn("PC1", mean_of(names[:32])).withColumn("PC2", mean_of(names[32:]))
-    return PC.correlations(scored, names, ["PC1", "PC2"]).select(
-        "feature", "target", *r6s(["correlation"])
-    )
+    return PC.correlations(scored, names, ["PC1", "PC2"])
+
+
+@query
+def feature_correlations(spark, sf):
+    return half_correlations(spark, sf).select("feature", "target", *r6s(["correlation"]))
+
+
+@query
+def top_correlations(spark, sf):
+    rows = PC.top_correlations(half_correlations(spark, sf))
+    return rows.select("target", F.col("place").cast("bigint").alias("place"), "feature", *r6s(["correlation"]))
 
 
 @query

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tapeloom.functions.lenient import finite_or_zero
 from tapeloom.schemas import IDENTITY
+from tapeloom.session import staged
 
 # Most components, and how many the reports show.
 COMPONENT_CAP, SHOWN_SCORES, SHOWN_FEATURES = 20, 8, 8
@@ -108,8 +109,8 @@ def fit_components(df: DataFrame, columns: list[str], cap: int = COMPONENT_CAP)
     The covariance is a tree-aggregated columns x columns matrix; only it and the rotation reach
     the driver. Each component's largest loading is made positive, as the sign is arbitrary.
     """
-    n_rows = df.limit(cap).count()
-    if df.limit(2).count() < 2:
+    n_rows = df.limit(max(cap, 2)).count()
+    if n_rows < 2:
         raise ValueError("principal components need at least 2 rows")
     k = component_count(n_rows, len(columns), cap)
     stages = Pipeline(
@@ -138,6 +139,7 @@ def scores_by_order(scores: DataFrame, order_column: str, shown: int = SHOWN_SCO
 
     The rank over all rows is built without one global window: rows are range-partitioned by the
     sort key, counted per partition, and numbered from the running count of earlier partitions.
+    Ids complete the sort key, so rows with equal or missing times spread over partitions too.
     """
     kept = [c for c in scores.columns if c.startswith("PC") and c[2:].isdigit()][:shown]
     key = [F.col(order_column).asc_nulls_last(), F.col("market_id").asc(), F.col("tag_id").asc()]
@@ -147,9 +149,12 @@ def scores_by_order(scores: DataFrame, order_column: str, shown: int = SHOWN_SCO
 def global_rank(df: DataFrame, order: list[Column], rank: str) -> DataFrame:
     """Position of each row in a total order, from 0.
 
-    ``order`` must be total, so that a recomputed partition holds the same rows.
+    The range partitioning is written once with its partition numbers, because its bounds come
+    from a sample and a second run of the same plan could draw other bounds.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ranged = staged(
+        df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged"
+    )
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     # One row per partition: small whatever the table size.
     earlier = Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

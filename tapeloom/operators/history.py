@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapeloom.functions.timegrid import ceil_second, floor_second
 from tapeloom.session import join_small
 
 # Resolutions from finest to coarsest, as they are tried.
@@ -43,18 +44,17 @@ def in_history_window(
     """Points of known markets inside [window start, as_of], both ends included.
 
     ``markets`` has one row per market with ``token_id`` and ``start_ts``. The constant bounds are
-    also applied before the join, where they can reach the file scan.
+    also applied before the join as plain comparisons with ``t``, which reach the file scan.
     """
-    reach = F.unix_micros(as_of) - F.lit(int(lookback_hours * 3_600_000_000))
-    recent = points.where(
-        (F.col("t") * 1_000_000 >= reach) & (F.col("t") * 1_000_000 <= F.unix_micros(as_of))
-    )
+    no_start = F.lit(None).cast("timestamp")
+    reach = ceil_second(window_start(no_start, as_of, lookback_hours))
+    recent = points.where((F.col("t") >= reach) & (F.col("t") <= floor_second(as_of)))
     windows = markets.select(
         "market_id", "token_id",
-        F.unix_micros(window_start(F.col("start_ts"), as_of, lookback_hours)).alias("_from"),
+        ceil_second(window_start(F.col("start_ts"), as_of, lookback_hours)).alias("_from"),
     )
     joined = join_small(recent, windows, ["token_id"], "inner", max_markets, ["t"])
-    return joined.where(F.col("t") * 1_000_000 >= F.col("_from")).drop("_from")
+    return joined.where(F.col("t") >= F.col("_from")).drop("_from")
 
 
 def _finest(counts: dict[str, Column]) -> Column:

@@ -108,7 +108,7 @@ def scan_closed_markets(spark, sf):
 
 @query
 def scan_event_markets(spark, sf):
-    events = listings.parse_events(X.event_payloads(spark, sf), "payload")
+    events = listings.parse_events(X.event_payloads(spark, sf).select("payload"), "payload")
     return listings.event_markets(events).select(
         "title", "series_id", F.col("position").cast("bigint").alias("position"), "id", "question"
     )

@@ -11,8 +11,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeloom.functions.lenient import to_double, to_timestamp
 from tapeloom.operators.once import with_evaluated
 from tapeloom.session import prepare
+from tapeloom.sources.listings import parse_events
 
 AS_OF = datetime(2024, 1, 31)
 AS_OF_S = 1706659200
@@ -165,20 +167,14 @@ def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed events with nested markets, for the closed-market job."""
-    from tapeloom.schemas import EVENT
-
-    rows = event_payloads(spark, sf_dir).where("closed")
-    return rows.select(
-        F.col("k").alias("event_id"),
-        F.timestamp_seconds("end_s").alias("end_ts"),
-        F.from_json("payload", EVENT).alias("e"),
-    ).select("event_id", "end_ts", "e.title", "e.series_id", "e.markets")
+    rows = event_payloads(spark, sf_dir).where("closed").select(
+        F.col("k").alias("event_id"), F.timestamp_seconds("end_s").alias("end_ts"), "payload"
+    )
+    return parse_events(rows, "payload")
 
 
 def market_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(market_id, token_id, start_ts, end_ts, volume_num), one row per customer."""
-    from tapeloom.functions.lenient import to_double, to_timestamp
-
     return customers(spark, sf_dir).select(
         F.col("k").cast("string").alias("market_id"),
         F.col("k").cast("string").alias("token_id"),

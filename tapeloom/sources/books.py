@@ -19,7 +19,8 @@ def read_books(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_books(payloads: DataFrame, column: str, keep: list[str]) -> DataFrame:
-    return payloads.select(*keep, F.from_json(F.col(column), BOOK).alias("b")).select(*keep, "b.*")
+    parsed = with_evaluated(payloads.select(*keep, column), {"b": F.from_json(F.col(column), BOOK)})
+    return parsed.select(*keep, "b.*")
 
 
 def summarize_books(books: DataFrame, top_n: int = TOP_LEVELS) -> DataFrame:

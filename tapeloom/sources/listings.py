@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.functions.lenient import blank_to_null, strip
+from tapeloom.operators.once import with_evaluated
 from tapeloom.schemas import EVENT, MARKET
 
 
@@ -18,8 +19,9 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_events(payloads: DataFrame, column: str) -> DataFrame:
-    """Event rows from JSON text."""
-    return payloads.select(F.from_json(F.col(column), EVENT).alias("e")).select("e.*")
+    """Event rows from JSON text, beside the other columns."""
+    parsed = with_evaluated(payloads, {"e": F.from_json(F.col(column), EVENT)})
+    return parsed.select(*[c for c in payloads.columns if c != column], "e.*")
 
 
 def active_markets(listing: DataFrame, tag_id: str | None = None) -> DataFrame:
@@ -36,11 +38,10 @@ def closed_markets(listing: DataFrame, tag_id: str | None = None) -> DataFrame:
 def event_markets(events: DataFrame) -> DataFrame:
     """One row per nested market; the event title stands in for a blank question."""
     keep = [c for c in events.columns if c != "markets"]
+    own = [n for n in MARKET.names if n != "question"]
+    question = F.coalesce(blank_to_null(F.col("market.question")), strip(F.col("title")))
     return (
         events.select(*keep, F.posexplode("markets").alias("position", "market"))
         .where(F.col("market").isNotNull())
-        .select(*keep, "position", "market.*")
-        .withColumn(
-            "question", F.coalesce(blank_to_null(F.col("question")), strip(F.col("title")))
-        )
+        .select(*keep, "position", question.alias("question"), *[f"market.{n}" for n in own])
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.lenient import to_double, to_timestamp
 from tapeloom.operators.once import with_evaluated
-from tapeloom.session import prepare
+from tapeloom.session import dealt_out, prepare
 from tapeloom.sources.listings import parse_events
 
 AS_OF = datetime(2024, 1, 31)
@@ -25,7 +25,7 @@ SPORTS = tuple((s.lower(), str(10 + i), (f"s{i}", f"s{i + 5}")) for i, s in enum
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt_out(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def as_of():

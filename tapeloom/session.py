@@ -43,6 +43,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def dealt_out(scan: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores is dealt out over the cores; any other is left alone.
+
+    A small file with one row group is one split however many cores there are, and what follows a
+    scan here (parsing, ranking, partial aggregation) is worth more than moving a small file.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the files.
 

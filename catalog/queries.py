@@ -762,7 +762,7 @@ def ae_metrics(spark, sf):
 
 ACTIVE = active.ActiveSettings(
     as_of=X.AS_OF, per_category=200, lookback_days=10.0, interval_hours=6.0, min_volume=1000.0,
-    min_liquidity=600.0, use_books=True, n_categories=len(X.CATEGORIES),
+    min_liquidity=600.0, use_books=True,
 )
 
 
@@ -794,7 +794,7 @@ def active_raw_grid(spark, sf):
     return rows.withColumns({n: r6(n) for n in doubles}).select(*RAW_GRID.names)
 
 
-CLOSED = closed.ClosedSettings(as_of=X.AS_OF, n_sports=len(X.SPORTS), segment_hours=48.0)
+CLOSED = closed.ClosedSettings(as_of=X.AS_OF, segment_hours=48.0)
 
 
 def closed_tables(spark, sf) -> closed.ClosedTables:

@@ -36,7 +36,6 @@ class ActiveSettings:
     min_volume: float = 10_000.0
     min_liquidity: float = 1_000.0
     use_books: bool = False
-    n_categories: int = 8
 
     @property
     def step(self) -> int:
@@ -46,11 +45,6 @@ class ActiveSettings:
     def lookback_hours(self) -> float:
         return float(self.lookback_days) * 24.0
 
-    @property
-    def max_selected(self) -> int:
-        """Upper bound on selected markets, known before the job runs."""
-        return self.per_category * self.n_categories
-
     def moment(self) -> Column:
         return F.to_timestamp(F.lit(self.as_of.strftime("%Y-%m-%d %H:%M:%S.%f")))
 
@@ -79,16 +73,16 @@ def select_markets(listing: DataFrame, cfg: ActiveSettings) -> DataFrame:
     )
 
 
-def market_buckets(points: DataFrame, markets: DataFrame, cfg: ActiveSettings) -> DataFrame:
+def market_buckets(points: DataFrame, markets: DataFrame, n_markets: int, cfg: ActiveSettings) -> DataFrame:
     """Bucket rows of each market in the one resolution it should use.
 
     The choice is made on print counts of the buckets, so prints are shuffled once.
     """
-    inside = in_history_window(points, markets, cfg.moment(), cfg.lookback_hours, cfg.max_selected)
+    inside = in_history_window(points, markets, cfg.moment(), cfg.lookback_hours, n_markets)
     clean = dedupe_history(inside, ["market_id", "resolution"])
     buckets = G.bucket_stats(clean, ["market_id", "resolution"], cfg.step)
     use = choose_resolution(buckets, "market_id", "raw_prints_in_bucket")
-    return join_small(buckets, use, ["market_id", "resolution"], "left_semi", cfg.max_selected)
+    return join_small(buckets, use, ["market_id", "resolution"], "left_semi", n_markets)
 
 
 def market_grid(markets: DataFrame, buckets: DataFrame, cfg: ActiveSettings) -> DataFrame:
@@ -103,7 +97,8 @@ def market_grid(markets: DataFrame, buckets: DataFrame, cfg: ActiveSettings) ->
 
 
 def market_features(
-    markets: DataFrame, buckets: DataFrame, grid: DataFrame, books: DataFrame | None, cfg: ActiveSettings
+    markets: DataFrame, n_markets: int, buckets: DataFrame, grid: DataFrame, books: DataFrame | None,
+    cfg: ActiveSettings,
 ) -> DataFrame:
     """One row per market with the 19 unscaled features and the book summary.
 
@@ -124,7 +119,7 @@ def market_features(
     )
     if books is not None and cfg.use_books:
         wanted = out.select("token_id").distinct()
-        held = join_small(books, wanted, ["token_id"], "left_semi", cfg.max_selected)
+        held = join_small(books, wanted, ["token_id"], "left_semi", n_markets)
         out = out.join(summarize_books(held), "token_id", "left")
     else:
         out = out.withColumns({c: F.lit(None).cast("double") for c in BOOK_COLUMNS}).withColumn(
@@ -154,12 +149,13 @@ class ActiveTables:
     selected: DataFrame
     grid: DataFrame
     features: DataFrame
+    n_selected: int
     cfg: ActiveSettings
 
     def _with_market_columns(self, columns: list[str]) -> DataFrame:
         return join_small(
             self.selected, self.features.select("market_id", *columns), ["market_id"], "left",
-            self.cfg.max_selected,
+            self.n_selected,
         )
 
     def scaled_features(self) -> DataFrame:
@@ -210,16 +206,18 @@ def build(listing: DataFrame, points: DataFrame, books: DataFrame | None, cfg: A
     ``listing`` is one row per (market, tag) with the category columns, ``points`` the price
     history, ``books`` one snapshot per token. Three tables feed several branches and are written
     once: the selection and the features (one row per selected market) and the buckets (at most
-    one row per selected market and step). Per-market work runs once even if a market has several
+    one row per selected market and step). The counted selection is the size bound that later
+    joins check before they broadcast it. Per-market work runs once even if a market has several
     categories.
     """
     prepare(listing.sparkSession)
     selected = staged(select_markets(listing, cfg), "selected")
     markets = selected.select("market_id", "token_id", "start_ts", "end_ts").dropDuplicates(["market_id"])
-    buckets = staged(market_buckets(points, markets, cfg), "buckets")
+    n = selected.count()
+    buckets = staged(market_buckets(points, markets, n, cfg), "buckets")
     grid = market_grid(markets, buckets, cfg)
-    features = staged(market_features(markets, buckets, grid, books, cfg), "features")
-    return ActiveTables(selected, grid, features, cfg)
+    features = staged(market_features(markets, n, buckets, grid, books, cfg), "features")
+    return ActiveTables(selected, grid, features, n, cfg)
 
 
 def run(listing: DataFrame, points: DataFrame, books: DataFrame | None, cfg: ActiveSettings, out: str) -> None:

@@ -40,11 +40,6 @@ class ClosedSettings:
     skew_high: float = SKEW_HIGH
     skew_low: float = SKEW_LOW
     segment_hours: float = SEGMENT_HOURS
-    n_sports: int = 5
-
-    @property
-    def max_selected(self) -> int:
-        return self.per_sport * self.n_sports
 
     @property
     def merge_hours(self) -> float:
@@ -154,7 +149,8 @@ def build(events: DataFrame, listing: DataFrame, points: DataFrame, sports: Data
         ),
         "closed-selected",
     )
-    n = cfg.max_selected
+    # The counted selection is the size bound that later joins check before they broadcast it.
+    n = selected.count()
     markets = selected.select("market_id", "token_id", "start_ts", "end_ts", "volume_num").dropDuplicates(["market_id"])
     merged = merge_resolutions(points, markets, cfg.merge_hours, n)
     features = closed_features(merged, markets, max_markets=n)

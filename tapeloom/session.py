@@ -75,8 +75,8 @@ def join_small(
 ) -> DataFrame:
     """Join many rows per key (``big``) to at most a few rows per key (``small``).
 
-    ``max_rows`` is an upper bound on ``small`` known before the job runs (top-N times the number
-    of categories, a fixed dimension). At or under ``BROADCAST_ROW_LIMIT`` the small side is
+    ``max_rows`` is an upper bound on ``small`` known before the job runs (the counted selection,
+    a fixed dimension). At or under ``BROADCAST_ROW_LIMIT`` the small side is
     broadcast. Otherwise both sides are shuffled with a salt, so the rows of one hot key go to
     ``salts`` tasks: ``spread_by`` names the columns of ``big`` that vary within a key.
     """

@@ -1,20 +1,48 @@
-"""The pipeline over documents: each stage reads all that its predecessor kept."""
+"""The pipeline over documents: each stage reads all that its predecessor kept.
+
+Missing texts count as empty. A stage's decisions take effect in the rows it returns: rejected
+documents and all but one of each near-duplicate class go, documents with benchmark passages go,
+secrets are masked, and what is left is packed. All stages but the last return the columns of
+``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import packing, tokens
-from tapeloom.llm.queries import WORD_VOCABULARY
+from tapeloom.llm import dartminhash, decontaminate, packing, quality, secrets, tokens
+from tapeloom.llm.queries import OWNER, REPOSITORY, WORD_VOCABULARY
 from tapeloom.llm.rows import staged, table
 
 
+def judge(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return dartminhash.keep_one(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.without_matches(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.mask(docs, OWNER, REPOSITORY)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences: pieces of the kept documents with their ids and places."""
+    """Pieces of the kept documents with their ids and their places in sequences."""
     return packing.pack(docs, packing.Packing(tokens.public_file(WORD_VOCABULARY), with_ids=True))
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("quality classifier", judge),
+    ("MinHash near-dedup", deduplicate),
+    ("benchmark decontamination", decontaminated),
+    ("secret scans", mask),
+    ("packing", pack),
+]
 
 # Models and tokenizers are beyond SQL; tests hold the rows against a brute-force version.
 ORACLE_SQL = None

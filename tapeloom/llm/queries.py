@@ -4,11 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeloom.llm import idfiles, packing, tokens
+from tapeloom.llm import (
+    dartminhash,
+    decontaminate,
+    idfiles,
+    licenses,
+    packing,
+    quality,
+    rules,
+    secrets,
+    tokencounts,
+    tokens,
+    urls,
+)
 from tapeloom.llm.rows import table
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
+PIECE_VOCABULARY = "piece_bpe_32k.model"
+# The rules of the url filter.
+URL_RULES = [
+    urls.Rule("allow", "com", "/"),
+    urls.Rule("block", "example.com", "/en/"),
+    urls.Rule("allow", "www.example.com", "/en/"),
+    urls.Rule("block", "net", "/es/"),
+    urls.Rule("block", "net", "/fr/"),
+]
+# Documents have no repository of their own: a source owns them, each document is one repository.
+OWNER, REPOSITORY = "source", "doc_id"
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, OWNER, REPOSITORY)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,12 +44,51 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), cfg)
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op5_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokens.public_file(PIECE_VOCABULARY)
+    return tokencounts.count_tokens(table(spark, sf_dir, "documents"), path)
+
+
+def op6_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dartminhash.classes(table(spark, sf_dir, "documents"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.matches(docs, items)
+
+
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.score(docs, labels)
+
+
 def op10_idfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     cfg = idfiles.IdFiles(tokens.public_file(BYTE_VOCABULARY))
     return idfiles.round_trip(table(spark, sf_dir, "documents"), cfg)
 
 
 QUERIES = {
+    "op1_secrets": op1_secrets,
     "op2_packing": op2_packing,
+    "op3_licenses": op3_licenses,
+    "op4_urls": op4_urls,
+    "op5_tokencounts": op5_tokencounts,
+    "op6_dartminhash": op6_dartminhash,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_rules": op8_rules,
+    "op9_quality": op9_quality,
     "op10_idfiles": op10_idfiles,
 }

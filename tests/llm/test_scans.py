@@ -1,0 +1,202 @@
+"""Secrets, licenses and benchmark matches against plain statements of the same rules."""
+
+import hashlib
+import random
+import re
+
+import pytest
+from cases import documents, empty, prose
+
+from tapeloom.llm import decontaminate, licenses, secrets
+from tapeloom.llm.queries import QUERIES
+
+OWN = ("source", "doc_id")
+
+
+def plain_base(text):
+    """The contract, word for word."""
+    found = []
+    pattern = r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|" \
+        r"[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+    for k, (kind, p) in enumerate(
+        [("assign", pattern), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+")]
+    ):
+        for m in re.finditer(p, text or ""):
+            size, least = (len(m[2]), 12) if k == 0 else (len(m[0]), 18 if k == 1 else 16)
+            if size >= least:
+                found.append((m.start(), k, kind, m.end()))
+    return [f"{kind}:{a}:{b}" for a, _, kind, b in sorted(found)]
+
+
+def random_secret_text(rng):
+    parts = ["password", "PassWd ", "token:", "secret=", "api_key", "APIKEY", " = ", ":", '"', "'",
+             "AKIA", "AKIAABCDEFGHIJKLMN", "deadbeef", "0123456789abcdef", "Abcdef123456", " ", "\n",
+             "ſecret", "é", "=", "..", "token=secret="]
+    return "".join(rng.choice(parts) for _ in range(rng.randrange(1, 25)))
+
+
+def test_base_spans_equal_the_contract(spark):
+    rng = random.Random(7)
+    texts = [random_secret_text(rng) for _ in range(500)]
+    docs = documents(spark, texts=texts, clashing=True)
+    given = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    rows = secrets.scan(docs, *OWN).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        want = plain_base(given[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        spans = r.spans.split(",") if r.spans else []
+        assert [s for s in spans if not s.startswith("owned")] == want
+        for kind in ("assign", "access", "hex"):
+            assert r[f"n_{kind}"] == sum(s.startswith(kind) for s in want)
+        assert r.n_live + r.n_example == len(spans)
+
+
+def test_owners_tell_examples_from_live_values(spark):
+    shared, own = "Zx81QpLm47RtYu90WvBn", "Kk29LwPq83NmXc51RtGh"
+    texts = [f"see {shared} and more" for _ in range(12)] + [f"my {own} here"]
+    rows = {r.doc_id: r for r in secrets.scan(documents(spark, texts=texts), *OWN).collect()}
+    assert all(rows[i].spans == "" for i in range(12))
+    assert rows[12].spans == "owned:3:23" and rows[12].n_owned == rows[12].n_live == 1
+    texts = ["token=abcdefghijkl0" for _ in range(12)] + ["token=zzzzzzzzzzzz9"]
+    rows = {r.doc_id: r for r in secrets.scan(documents(spark, texts=texts), *OWN).collect()}
+    assert rows[0].spans == "assign:0:19" and rows[0].n_example == 1
+    assert rows[12].n_live == 1
+
+
+def test_masked_texts(spark):
+    docs = documents(spark, clashing=True)
+    masked = secrets.mask(docs, *OWN)
+    assert masked.columns == docs.columns and masked.count() == docs.count()
+    before = {r.doc_id: r for r in docs.collect()}
+    for r in masked.collect():
+        was = before[r.doc_id].text
+        if plain_base(was):
+            assert "<secret>" in r.text and not plain_base(r.text) and r.n_chars == len(r.text)
+        else:
+            assert r.text == was
+    assert secrets.hide("ab0123cd", [{"start": 2, "end": 4, "live": False},
+                                     {"start": 3, "end": 6, "live": True}]) == "ab<secret>cd"
+    assert secrets.mask(empty(spark), *OWN).count() == 0
+    assert secrets.scan(empty(spark), *OWN).count() == 0
+
+
+def brute_distance(item, text):
+    row = [0] * (len(text) + 1)
+    for i, a in enumerate(item, 1):
+        new = [i]
+        for j, b in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b)))
+        row = new
+    return min(row)
+
+
+def test_bit_parallel_distance():
+    rng = random.Random(9)
+    for _ in range(800):
+        item = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 80)))
+        text = "".join(rng.choice("abc") for _ in range(rng.randrange(0, 40)))
+        got = decontaminate.distance(decontaminate.pattern_bits(item), len(item), text)[0]
+        assert got == brute_distance(item, text)
+
+
+def test_matches_equal_brute_force(spark):
+    rng = random.Random(10)
+    items = [prose(rng, rng.randrange(3, 14)) for _ in range(12)] + ["", None, "  ", "x"]
+    texts = []
+    for _ in range(40):
+        item = list(decontaminate.normal(rng.choice(items[:12])))
+        for _ in range(rng.randrange(0, 8)):
+            at = rng.randrange(len(item))
+            item[at : at + rng.randrange(0, 2)] = rng.choice(["", "q", " ", "ab"])
+        texts.append(prose(rng, 30) + "\n " + "".join(item).upper() + "  " + prose(rng, 10))
+    docs = documents(spark, texts=[*texts, None, ""], clashing=True)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    cfg = decontaminate.Edits(rate=0.1, block_chars=200)  # several blocks
+    got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.matches(docs, bench, cfg).collect()}
+    want = {}
+    for row in docs.select("doc_id", "text").collect():
+        for number, item in enumerate(items):
+            item, text = decontaminate.normal(item), decontaminate.normal(row.text)
+            if item and text:
+                d = brute_distance(item, text)
+                if d <= int(0.1 * len(item)):
+                    want[row.doc_id, number] = d
+    assert got == want
+    clean = decontaminate.without_matches(docs, bench, cfg)
+    assert clean.columns == docs.columns
+    hit = {d for d, _ in want}
+    assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in docs.collect()} - hit
+    assert decontaminate.matches(empty(spark), bench).count() == 0
+    assert decontaminate.matches(docs, bench.limit(0)).count() == 0
+    assert decontaminate.without_matches(docs, bench.limit(0)).count() == docs.count()
+
+
+def plain_containment(template, text, width=5):
+    def of(t):
+        words = re.findall(r"(?:[a-z]|[^\x00-\x7f])+|[0-9]+|$^", t.lower())
+        words = re.findall(r"[a-z0-9\u0080-\U0010ffff]+", t.lower())
+        w = min(width, len(words))
+        return {tuple(words[i : i + w]) for i in range(len(words) - w + 1)} if words else set()
+
+    want = of(template)
+    return len(want & of(text)) / len(want) if want else 0.0
+
+
+def test_licenses_are_found_whole_and_edited(spark):
+    rng = random.Random(11)
+    cfg = licenses.Licenses()
+    names = sorted(cfg.templates)
+    texts, planted = [], []
+    for name in names:
+        words = cfg.templates[name].split()
+        if len(words) > 30:
+            words[rng.randrange(len(words))] = "changed"
+        texts.append(f"{prose(rng, 200)}\n{' '.join(words).upper()}\n{prose(rng, 90)}")
+        planted.append(name)
+    texts += [None, "", "two words", prose(rng, 300)]
+    docs = documents(spark, texts=texts, clashing=True)
+    rows = licenses.scan(docs, cfg).collect()
+    found = {(r.doc_id, r.license): r.containment for r in rows}
+    for i, text in enumerate(texts):
+        for name in names:
+            share = plain_containment(cfg.templates[name], text or "")
+            # All at or above the threshold are found, and nothing below it.
+            assert ((i, name) in found) == (share >= cfg.containment), (i, name, share)
+    assert all((i, name) in found for i, name in enumerate(planted))
+    assert licenses.scan(empty(spark)).count() == 0
+
+
+def test_bands_collide_as_promised():
+    cfg = licenses.Licenses()
+    assert (1 - cfg.similarity**cfg.rows) ** cfg.bands <= 1 - cfg.sure
+
+
+@pytest.mark.parametrize("name", ["op1_secrets", "op3_licenses", "op7_decontaminate"])
+def test_queries_against_plain_scans(spark, sf, name):
+    rows = QUERIES[name](spark, sf).collect()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    if name == "op1_secrets":
+        want = {d.doc_id: hashlib.sha256(",".join(plain_base(d.text)).encode()).hexdigest() for d in docs}
+        assert {r.doc_id: r.base_sha256 for r in rows} == want
+    elif name == "op3_licenses":
+        cfg = licenses.Licenses()
+        want = {
+            (d.doc_id, n) for d in docs for n, t in cfg.templates.items()
+            if plain_containment(t, d.text) >= cfg.containment
+        }
+        assert {(r.doc_id, r.license) for r in rows} == want
+    else:
+        items = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
+        found = {(r.doc_id, r.item_id) for r in rows}
+        exact = {
+            (d.doc_id, i.item_id) for d in docs for i in items
+            if decontaminate.normal(i.text) in decontaminate.normal(d.text)
+        }
+        assert exact <= found
+        by_id = {d.doc_id: d.text for d in docs}, {i.item_id: i.text for i in items}
+        for r in rows:
+            item = decontaminate.normal(by_id[1][r.item_id])
+            text = decontaminate.normal(by_id[0][r.doc_id])
+            near = text[max(0, r.match_start - 40) : r.match_end + 40]
+            assert brute_distance(item, near) == r.distance <= int(0.05 * len(item))

@@ -1,5 +1,38 @@
-"""SQL statements of the queries that SQL can express."""
+"""SQL statements of the queries that SQL can express.
+
+The rules are whole in SQL. The others hold tokenizers, hashing of code-point spans, fitted models,
+link propagation or similarity classes, which tests compare with brute force instead.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+WORD = r"[^\x20\x09-\x0D]"
+
+RULES = rf"""WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{WORD}+') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines FROM d),
+tri AS (SELECT r, i, [w[i], w[i + 1], w[i + 2]] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+twice AS (SELECT r, g FROM tri GROUP BY 1, 2 HAVING count(*) > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM tri JOIN twice USING (r, g), range(3) s(k) GROUP BY 1),
+m AS (
+  SELECT doc_id, t, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+    length(regexp_replace(t, '\P{{L}}', '', 'g')) AS letters,
+    length(regexp_replace(t, '\P{{Lu}}', '', 'g')) AS capitals,
+    len(string_split(t, chr(10))) AS n_lines
+  FROM w LEFT JOIN covered USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words
+    OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+    OR 10 * n_symbols > n_words
+    OR 3 * n_dup_lines > n_lines
+    OR 10 * letters < 6 * word_chars
+    OR 2 * capitals > letters) AS kept
+FROM m"""
+
+ORACLES: dict[str, str] = {"op8_rules": RULES}

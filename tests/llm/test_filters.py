@@ -228,3 +228,17 @@ def test_pipeline_stages_on_odd_rows(spark, sf):
         docs = make()
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, docs, sf).count() >= 0
+
+
+@pytest.mark.parametrize("name", ["op8_rules"])
+def test_queries_equal_their_sql(spark, sf, name):
+    import duckdb
+
+    from tapeloom.llm.oracles import ORACLES
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.execute(ORACLES[name]).df()
+    got = QUERIES[name](spark, sf).toPandas()[list(want.columns)]
+    want, got = (f.sort_values("doc_id").reset_index(drop=True) for f in (want, got))
+    assert (got.values == want.values).all()

@@ -2,7 +2,7 @@
 
     BENCH_SF_DIR  tables folder (default /root/testdata/sf0.1)
     BENCH_CPUS    local cores (default 8)
-    BENCH_RUNS    timed runs per query after one warm-up; the median counts (default 1)
+    BENCH_RUNS    timed runs per query after one warm-up; the median counts (default 3)
     BENCH_ALL     1 for every registered query
 """
 
@@ -20,6 +20,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import SparkSession  # noqa: E402
 
 from catalog.queries import QUERIES  # noqa: E402
+from tapeloom.session import SETTINGS, drop_staged  # noqa: E402
 
 HEADLINE = (
     "dedupe_history", "finest_resolution", "merge_resolutions", "history_window", "bucket_stats",
@@ -27,20 +28,23 @@ HEADLINE = (
     "rolling_volatility", "jump_features", "detect_streak", "segment_before_streak",
     "closed_features", "order_book_summary", "top_markets_per_category", "select_closed_markets",
     "scan_price_history", "zscore", "sequence_matrix", "feature_correlations", "pca_scores",
-    "pairwise_distance", "active_features", "active_raw_grid", "closed_pipeline", "ae_embed",
+    "pairwise_distance", "scan_order_books", "active_features", "active_raw_grid", "closed_pipeline",
+    "pca_report",
 )
 
 
 def timed(spark: SparkSession, name: str, sf_dir: str) -> float:
     start = time.perf_counter()
     QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-    return time.perf_counter() - start
+    took = time.perf_counter() - start
+    drop_staged(spark)
+    return took
 
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "1"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = list(QUERIES) if os.environ.get("BENCH_ALL") == "1" else list(HEADLINE)
     names = sys.argv[1:] or names
     spark = (
@@ -50,6 +54,7 @@ def main() -> None:
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config(map=SETTINGS)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

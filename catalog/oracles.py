@@ -35,7 +35,7 @@ cust AS (
   SELECT *,
     CAST(k AS VARCHAR) AS ks,
     CASE WHEN k % 211 = 0 THEN ' ' ELSE CAST(k AS VARCHAR) END AS id,
-    CASE k % 6 WHEN 0 THEN name || ' vs. ' || rival WHEN 1 THEN name || ' vs ' || rival
+    CASE k % 6 WHEN 0 THEN name || CASE WHEN k % 5 = 1 THEN chr(160) || 'vs.' || chr(160) ELSE ' vs. ' END || rival WHEN 1 THEN name || ' vs ' || rival
       WHEN 2 THEN 'Will ' || name || ' win?' WHEN 3 THEN 'Spread: ' || name || ' vs. ' || rival
       WHEN 4 THEN name || ' vs. ' || rival || ': O/U 5' END AS question,
     CASE WHEN k % 20 IN (7, 8) THEN NULL ELSE start_s END AS start_ok,
@@ -69,8 +69,17 @@ RAW_TEXT = """rawtext AS (
 
 SEGS = "['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY']"
 
+OTHER = "label <> seg AND k % 3 = 0"
+OTHER_TOKENS = "[CAST(k + 7 AS VARCHAR), k || 'a']"
+CLOSED_LIST = f"""closedlist AS (SELECT * REPLACE (CASE WHEN k % 4 = 1 THEN {OTHER_TOKENS} ELSE toks END AS toks)
+  FROM rawtext WHERE closed)"""
+
 LISTING = f"""listing AS (
-  SELECT *, CAST(list_position({SEGS}, label) - 1 AS INTEGER) AS category_ord,
+  SELECT * REPLACE (
+      CASE WHEN {OTHER} THEN {OTHER_TOKENS} ELSE toks END AS toks,
+      CASE WHEN {OTHER} THEN end_s + 43200 ELSE end_ok END AS end_ok,
+      CASE WHEN {OTHER} THEN strftime(make_timestamp((end_s + 43200) * 1000000), '%Y-%m-%dT%H:%M:%SZ') ELSE end_text END AS end_text),
+    CAST(list_position({SEGS}, label) - 1 AS INTEGER) AS category_ord,
     CAST(list_position({SEGS}, label) + 9 AS VARCHAR) AS tag_id, lower(label) AS tag_slug
   FROM (SELECT c.*, unnest(CASE WHEN seg = {SEGS}[nk % 5 + 1] THEN [seg] ELSE [seg, {SEGS}[nk % 5 + 1]] END) AS label
         FROM rawtext c))"""
@@ -163,9 +172,9 @@ ALL_FEATURES = [*JUMP_NAMES, "feat_time_to_close_hours", "feat_raw_prints_per_ho
 BOOKS = """levels AS (
   SELECT CAST(l_suppkey AS VARCHAR) AS token_id, l_linestatus = 'O' AS is_bid,
     CASE WHEN l_partkey % 37 = 0 THEN NULL WHEN l_linestatus = 'O' THEN 0.5::DOUBLE - l_discount ELSE 0.5::DOUBLE + l_tax END AS price,
-    l_quantity AS size, CAST(epoch_us(l_shipdate) // 1000000 AS VARCHAR) AS stamp,
+    l_quantity AS size, CAST(s AS VARCHAR) AS stamp,
     row_number() OVER (PARTITION BY l_suppkey, l_linestatus = 'O' ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rn
-  FROM lineitem),
+  FROM (SELECT *, 700 + 500 * (l_orderkey % 3) AS s FROM lineitem QUALIFY s = max(s) OVER (PARTITION BY l_suppkey))),
 firstlevels AS (SELECT * FROM levels WHERE rn <= 5),
 sides AS (
   SELECT token_id, max(stamp) AS ob_timestamp_ms,
@@ -251,7 +260,7 @@ cagg AS (SELECT market_id, max(l) FILTER (back = 0) AS l0, max(l) FILTER (back =
     max(l) FILTER (back = 24) AS l24, max(price) FILTER (back <= 48) - min(price) FILTER (back <= 48) AS span
   FROM clog GROUP BY 1),
 cfeat AS (SELECT market_id, l0 - l1 AS momentum_1h, l0 - l6 AS momentum_6h, l0 - l24 AS momentum_24h, vol AS volatility_24h,
-    volume / greatest(span, 1e-6) AS efficiency_ratio, greatest(abs(end_s - start_s) / 3600.0::DOUBLE, 1e-6) AS ripeness_hours
+    volume / greatest(span, 1e-6) AS efficiency_ratio, greatest(abs(end_s - coalesce(start_s, end_s - 86400)) / 3600.0::DOUBLE, 1e-6) AS ripeness_hours
   FROM cagg JOIN croll USING (market_id) JOIN cm USING (market_id))"""
 
 
@@ -275,24 +284,27 @@ merged AS (
 # ---- selection ---------------------------------------------------------------------------
 
 
-def top_markets(source: str, n: int) -> str:
+def top_markets(source: str, n: int, cap: int | None = None) -> str:
+    paged = "" if cap is None else f"pos <= {cap} AND "
     return f"""scan AS (SELECT *, row_number() OVER (PARTITION BY tag_id ORDER BY vol DESC NULLS LAST, id) AS pos FROM ({source})),
 picked AS (SELECT *, row_number() OVER (PARTITION BY tag_id ORDER BY pos) AS pick FROM scan
-  WHERE pos <= 2000 AND trim(id) <> '' AND len(toks) > 0 AND coalesce(vol, 0) >= 1000 AND coalesce(liq, 0) >= 600),
+  WHERE {paged}trim(id) <> '' AND len(toks) > 0 AND coalesce(vol, 0) >= 1000 AND coalesce(liq, 0) >= 600),
 top AS (SELECT *, trim(id) AS market_id, toks[1] AS token_id FROM picked WHERE pick <= {n})"""
 
 
 def h2h(col: str) -> str:
     q = f"trim(coalesce({col}, ''))"
     return f"""(NOT starts_with(lower({q}), 'will ') AND NOT starts_with(lower({q}), 'spread:') AND NOT contains(lower({q}), ': o/u')
-      AND NOT (contains(lower({q}), 'o/u') AND contains(lower({q}), ' vs')) AND regexp_matches({q}, '(?i)\\s+vs\\.?\\s+')
-      AND length(trim(regexp_split_to_array({q}, '(?i)\\s+vs\\.?\\s+')[1])) >= 2
-      AND length(trim(regexp_replace({q}, '(?is)^.*?\\s+vs\\.?\\s+', ''))) >= 2)"""
+      AND NOT (contains(lower({q}), 'o/u') AND contains(lower({q}), ' vs')) AND regexp_matches({q}, '(?i)[\\s\\x{{00a0}}]+vs\\.?[\\s\\x{{00a0}}]+')
+      AND length(trim(regexp_split_to_array({q}, '(?i)[\\s\\x{{00a0}}]+vs\\.?[\\s\\x{{00a0}}]+')[1])) >= 2
+      AND length(trim(regexp_replace({q}, '(?is)^.*?[\\s\\x{{00a0}}]+vs\\.?[\\s\\x{{00a0}}]+', ''))) >= 2)"""
 
 
-CLOSED_PICK = f"""ev AS (SELECT *, 's' || nk % 10 AS series_id, CASE WHEN k % 16 = 3 THEN ' ' ELSE name || ' vs. ' || rival END AS title,
+def closed_pick(events: str = "", listings: str = "") -> str:
+    """Candidates in scan order; a paging limit is a condition on the position."""
+    return f"""ev AS (SELECT *, 's' || nk % 10 AS series_id, CASE WHEN k % 16 = 3 THEN ' ' ELSE name || ' vs. ' || rival END AS title,
     row_number() OVER (PARTITION BY nk % 10 ORDER BY end_s DESC, k) AS pos FROM rawtext WHERE closed),
-nested AS (SELECT (nk % 10) % 5 AS sport_ord, 0 AS source_ord, (nk % 10) // 5 AS series_ord, pos, unnest([0, 1]) AS nested_ord, * EXCLUDE (pos) FROM ev WHERE pos <= 2560),
+nested AS (SELECT (nk % 10) % 5 AS sport_ord, 0 AS source_ord, (nk % 10) // 5 AS series_ord, pos, unnest([0, 1]) AS nested_ord, * EXCLUDE (pos) FROM ev {events}),
 cand AS (
   SELECT sport_ord, source_ord, series_ord, pos, nested_ord, k, trim(CASE nested_ord WHEN 0 THEN id ELSE k || 'x' END) AS market_id,
     CASE WHEN nested_ord = 0 AND trim(coalesce(question, '')) <> '' THEN trim(question) ELSE trim(title) END AS title_used,
@@ -300,22 +312,27 @@ cand AS (
   UNION ALL
   SELECT sport_ord, 1, 0, pos, 0, k, trim(id), trim(coalesce(question, '')), question FROM (
     SELECT *, list_position({SEGS}, seg) - 1 AS sport_ord,
-      row_number() OVER (PARTITION BY seg ORDER BY end_ok DESC NULLS LAST, id) AS pos FROM rawtext WHERE closed) WHERE pos <= 2600),
+      row_number() OVER (PARTITION BY seg ORDER BY end_ok DESC NULLS LAST, id) AS pos FROM rawtext WHERE closed) {listings}),
 fit AS (
-  SELECT c.*, r.* EXCLUDE (k, question), CASE WHEN CAST(finals[1] AS VARCHAR) = '1' THEN 1 ELSE 0 END AS resolved
+  SELECT c.*, r.* EXCLUDE (k, question) REPLACE (CASE WHEN source_ord = 1 AND r.k % 4 = 1 THEN
+      [CAST(r.k + 7 AS VARCHAR), r.k || 'a'] ELSE toks END AS toks), CASE WHEN CAST(finals[1] AS VARCHAR) = '1' THEN 1 ELSE 0 END AS resolved
   FROM cand c JOIN rawtext r USING (k)
   WHERE market_id <> '' AND coalesce(mtype, '') NOT IN ('spreads', ' Totals ') AND {h2h('title_used')}
-    AND NOT yes_no AND trim(names[1]) <> '' AND len(finals) = 2 AND finals[1] IN ('0', '1') AND len(toks) >= 2
+    AND NOT yes_no AND trim(names[1]) <> '' AND len(finals) = 2 AND finals[1] IN ('0', '1') AND (len(toks) >= 2 OR (source_ord = 1 AND r.k % 4 = 1))
     AND start_ok IS NOT NULL AND end_ok IS NOT NULL AND end_ok < {AS_OF} AND end_ok >= {AS_OF - MONTH}),
 firstseen AS (SELECT *, row_number() OVER (PARTITION BY sport_ord, market_id ORDER BY source_ord, series_ord, pos, nested_ord) AS seen FROM fit),
-closedpick AS (SELECT *, lower({SEGS}[sport_ord + 1]) AS sport FROM (
+closedpick AS (SELECT *, market_id || '|' || sport AS line FROM (SELECT *, lower({SEGS}[sport_ord + 1]) AS sport FROM (
     SELECT *, row_number() OVER (PARTITION BY sport_ord ORDER BY source_ord, series_ord, pos, nested_ord, market_id) AS pick
-    FROM firstseen WHERE seen = 1) WHERE pick <= 20)"""
+    FROM firstseen WHERE seen = 1) WHERE pick <= 20))"""
+
+
+CLOSED_PICK = closed_pick()
 
 # ---- active job ---------------------------------------------------------------------------
 
 LOOK = 10 * 86400
-ACTIVE = f"""am AS (SELECT DISTINCT market_id, token_id, coalesce(start_ok, {AS_OF - LOOK}) AS start_s, end_ok FROM top),
+ACTIVE = f"""tl AS (SELECT *, token_id || '|' || coalesce(start_ok, {AS_OF - LOOK}) AS line FROM top),
+am AS (SELECT DISTINCT line AS market_id, token_id, coalesce(start_ok, {AS_OF - LOOK}) AS start_s FROM tl),
 ap AS (SELECT m.market_id, p.resolution, p.t, arg_max(p.price, p.extract_ord) AS price
   FROM points p JOIN am m USING (token_id)
   WHERE p.price IS NOT NULL AND p.t >= greatest(m.start_s, {AS_OF - LOOK}) AND p.t <= {AS_OF} GROUP BY 1, 2, 3),
@@ -336,7 +353,7 @@ def active_parts() -> list[str]:
         ACTIVE, active_grid(), JUMPS, BOOKS,
         f"""acount AS (SELECT market_id, count(*) AS clob_points_raw FROM mprints GROUP BY 1),
 arows AS (SELECT market_id, count(*) AS grid_rows, max(anchor) AS price_norm_anchor FROM anchored GROUP BY 1),
-afeat AS (SELECT t.market_id, t.label AS classifier_label, t.tag_id, t.tag_slug, t.question, t.start_text, t.end_text, t.vol, t.liq,
+afeat AS (SELECT t.line, t.market_id, t.label AS classifier_label, t.tag_id, t.tag_slug, t.question, t.start_text, t.end_text, t.vol, t.liq,
     t.bal * 2 AS gamma_volume, t.liq_clob, t.start_ok, coalesce(t.start_ok, {AS_OF - LOOK}) AS start_s,
     {', '.join('j.' + n for n in JUMP_NAMES)},
     CASE WHEN j.n_valid >= 2 THEN (t.end_ok - {AS_OF}) / 3600.0::DOUBLE END AS feat_time_to_close_hours,
@@ -344,7 +361,7 @@ afeat AS (SELECT t.market_id, t.label AS classifier_label, t.tag_id, t.tag_slug,
     {', '.join('f.' + n for n in BOOK_FEATURES)}, {', '.join('b.' + n for n in BOOK_COLS)},
     coalesce(b.ob_timestamp_ms, '') AS ob_timestamp_ms,
     coalesce(c.clob_points_raw, 0) AS clob_points_raw, coalesce(r.grid_rows, 0) AS grid_rows, r.price_norm_anchor
-  FROM top t LEFT JOIN jumps j USING (market_id) LEFT JOIN acount c USING (market_id) LEFT JOIN arows r USING (market_id)
+  FROM tl t LEFT JOIN jumps j ON j.market_id = t.line LEFT JOIN acount c ON c.market_id = t.line LEFT JOIN arows r ON r.market_id = t.line
   LEFT JOIN book b ON b.token_id = t.token_id LEFT JOIN bookfeat f ON f.token_id = t.token_id)""",
     ]
 
@@ -355,7 +372,7 @@ IDS = "market_id, classifier_label, tag_id, tag_slug"
 def closed_parts() -> list[str]:
     return [
         POINTS, CUST, RAW_TEXT, CLOSED_PICK,
-        "mm AS (SELECT DISTINCT market_id, toks[1] AS token_id, start_ok AS start_s, end_ok AS end_s, vol AS volume FROM closedpick)",
+        "mm AS (SELECT line AS market_id, toks[1] AS token_id, start_ok AS start_s, end_ok AS end_s, vol AS volume FROM closedpick)",
         MERGED,
         closed_features("SELECT * FROM merged", "SELECT * FROM mm"),
         """h1 AS (SELECT token_id, t, arg_max(price, extract_ord) AS price FROM points WHERE price IS NOT NULL AND resolution = '1h' GROUP BY 1, 2),
@@ -410,6 +427,9 @@ ORACLES: dict[str, str] = {
     "dropped_ids": ctes(CUST, RAW_TEXT, LISTING)
     + "SELECT ks AS market_id FROM listing WHERE label NOT IN ('BUILDING', 'MACHINERY')",
     "prefilter_markets": ctes(CUST) + "SELECT k, id FROM cust WHERE coalesce(vol, 0) >= 1000 AND coalesce(liq, 0) >= 600",
+    "prefilter_markets_at_zero": ctes(CUST)
+    + """SELECT k, id FROM cust WHERE coalesce(vol, 0) >= 0 AND coalesce(liq, 0) >= 0
+      AND NOT (k % 17 <> 4 AND k % 23 <> 9 AND k % 31 = 7)""",
     "yes_token": ctes(CUST)
     + "SELECT k, trim(id) AS market_id, toks[1] AS token_id FROM cust WHERE trim(id) <> '' AND len(toks) > 0",
     "market_type_filter": ctes(CUST)
@@ -436,11 +456,11 @@ ORACLES: dict[str, str] = {
     + f"""SELECT k, {r6('vol', 'gamma_volume_num')}, {r6('liq', 'gamma_liquidity_num')}, {r6('bal * 2', 'gamma_volume')},
       {r6('liq_clob', 'gamma_liquidity_clob')} FROM cust""",
     "trade_context": ctes(CUST) + f"SELECT k, {TRADE} FROM cust",
-    "closed_metadata": ctes(CUST, RAW_TEXT)
+    "closed_metadata": ctes(CUST, RAW_TEXT, CLOSED_LIST)
     + f"""SELECT k, id, coalesce(question, 'untitled') AS question,
       CASE WHEN trim(coalesce(category, '')) = '' THEN lower(seg) ELSE category END AS category,
       {r6('vol', '"volumeNum"')}, {r6('liq', '"liquidityNum"')}, start_text AS "startDate", end_text AS "endDate",
-      {TOKS_JSON} AS "clobTokenIds", lower(seg) AS sport_bucket FROM rawtext WHERE closed""",
+      {TOKS_JSON} AS "clobTokenIds", lower(seg) AS sport_bucket FROM closedlist""",
     "primary_outcome": ctes(CUST, RAW_TEXT)
     + "SELECT k, CAST(pidx AS INTEGER) AS primary_index, trim(names[pidx + 1]) AS primary_outcome FROM rawtext",
     "grid_axes": ctes(*GRID_BASE, month_grid())
@@ -486,7 +506,7 @@ ORACLES: dict[str, str] = {
     "book_features": ctes(BOOKS) + f"SELECT token_id, {rs(BOOK_FEATURES)} FROM bookfeat",
     "closed_features": ctes(
         PRINTS, MPRINTS, CUST, MARKETS,
-        closed_features("SELECT * FROM mprints", "SELECT market_id, start_s, end_s, vol AS volume FROM markets WHERE start_s IS NOT NULL"),
+        closed_features("SELECT * FROM mprints", "SELECT market_id, start_s, end_s, vol AS volume FROM markets"),
     )
     + f"SELECT market_id, {rs(CLOSED_NAMES)} FROM cfeat",
     "zscore": ctes(CUST)
@@ -529,6 +549,10 @@ ORACLES: dict[str, str] = {
       LEFT JOIN top t USING (tag_id) GROUP BY 1, 2""",
     "select_closed_markets": ctes(CUST, RAW_TEXT, CLOSED_PICK)
     + "SELECT sport, market_id, title_used AS question, toks[1] AS token_id, resolved AS resolved_yes, pick FROM closedpick",
+    "select_closed_markets_paged": ctes(CUST, RAW_TEXT, closed_pick("WHERE pos <= 80", "WHERE pos <= 200"))
+    + "SELECT sport, market_id, title_used AS question, toks[1] AS token_id, resolved AS resolved_yes, pick FROM closedpick",
+    "top_markets_paged": ctes(CUST, RAW_TEXT, LISTING, top_markets("SELECT * FROM listing", 120, 200))
+    + "SELECT tag_id, market_id, token_id, pick FROM top",
     "list_categories": ctes(CUST, RAW_TEXT, LISTING) + "SELECT DISTINCT label AS classifier_label FROM listing ORDER BY 1",
     "history_coverage": ctes(POINTS, CUST, RAW_TEXT, LISTING)
     + """, w AS (SELECT DISTINCT toks[1] AS token_id FROM listing WHERE active AND NOT closed AND trim(id) <> '' AND len(toks) > 0)
@@ -585,17 +609,17 @@ ORACLES: dict[str, str] = {
       '6h' AS grid_interval, 6.0::DOUBLE AS interval_hours, 10.0::DOUBLE AS lookback_days, n AS raw_prints_in_bucket,
       {r6('rng', 'intrabucket_price_range')}, {r6('sd', 'intrabucket_price_stdev')}, {r6('vol', 'gamma_volume_num')},
       {r6('liq', 'gamma_liquidity_num')}, {r6('gamma_volume')}, {r6('liq_clob', 'gamma_liquidity_clob')}, {rs(BOOK_COLS)},
-      ob_timestamp_ms, '' AS note FROM anchored g JOIN afeat a USING (market_id)""",
+      ob_timestamp_ms, '' AS note FROM (SELECT * RENAME (market_id AS line) FROM anchored) g JOIN afeat a USING (line)""",
     "closed_pipeline": ctes(*closed_parts())
     + f"""SELECT market_id, sport, resolved AS resolved_yes, {z_columns(CLOSED_NAMES, 'x')}
-      FROM closedpick LEFT JOIN cfeat USING (market_id)""",
+      FROM closedpick LEFT JOIN (SELECT * RENAME (market_id AS line) FROM cfeat) USING (line)""",
     "closed_pipeline_metadata": ctes(*closed_parts())
     + f"""SELECT p.market_id AS id, CASE WHEN trim(coalesce(question, '')) = '' THEN title_used ELSE question END AS question,
       CASE WHEN trim(coalesce(category, '')) = '' THEN sport ELSE category END AS category,
       {r6('vol', '"volumeNum"')}, {r6('liq', '"liquidityNum"')}, start_text AS "startDate", end_text AS "endDate",
       {TOKS_JSON} AS "clobTokenIds", sport AS sport_bucket, s.status AS skew_segment_status,
       coalesce({iso('s.segment_start')}, '') AS inferred_game_start_iso, coalesce({iso('s.segment_end')}, '') AS inferred_game_end_iso
-      FROM closedpick p JOIN streaks s USING (market_id)""",
+      FROM closedpick p JOIN (SELECT * RENAME (market_id AS line) FROM streaks) s USING (line)""",
     "closed_pipeline_segments": ctes(*closed_parts())
     + f"""SELECT p.market_id, sport, title_used AS question, trim(names[1]) AS primary_outcome,
       {iso('start_ok')} AS gamma_listing_start_iso, {iso('end_ok')} AS gamma_listing_end_iso,
@@ -604,7 +628,7 @@ ORACLES: dict[str, str] = {
       false AS minute_grid_ffill, {TRADE}, {iso('m.t')} AS timestamp_iso, m.t AS unix_ts, {r6('m.price', 'price_primary_token')},
       CAST(m.t - s.segment_start AS DOUBLE) AS seconds_since_window_start, CAST(s.segment_end - m.t AS DOUBLE) AS seconds_until_window_end,
       CASE WHEN s.status <> 'ok' THEN s.status WHEN m.t IS NULL THEN 'no_1m_points_in_segment' ELSE '' END AS note
-      FROM closedpick p JOIN streaks s USING (market_id)
+      FROM closedpick p JOIN (SELECT * RENAME (market_id AS line) FROM streaks) s USING (line)
       LEFT JOIN m1 m ON m.token_id = s.token_id AND s.status = 'ok' AND m.t BETWEEN s.segment_start AND s.segment_end""",
 }
 ORACLES["excluded_count"] = (
@@ -629,5 +653,16 @@ ORACLES["scan_order_books"] = f"""WITH b AS (
     {r6('ob_best_ask - ob_best_bid', 'ob_spread')}, {r6('CASE WHEN bd + ad > 0 THEN bd END', 'ob_bid_depth_topn')},
     {r6('CASE WHEN bd + ad > 0 THEN ad END', 'ob_ask_depth_topn')},
     {r6('CASE WHEN bd + ad > 0 THEN (bd - ad) / (bd + ad) END', 'ob_imbalance_topn')} FROM b"""
+ORACLES["landed_active_features"] = ORACLES["active_features"]
+ORACLES["landed_closed_pipeline"] = ORACLES["closed_pipeline"]
+ORACLES["landed_grid_paths"] = (
+    ctes(
+        *active_parts(),
+        """rawrows AS (SELECT a.market_id, g.unix_ts, g.lookback_step AS step, g.price_yes, a.classifier_label AS label,
+          a.classifier_label AS category_ord FROM (SELECT * RENAME (market_id AS line) FROM anchored) g JOIN afeat a USING (line))""",
+        *RAW_ROWS[8:],
+    )
+    + f"SELECT market_id, step, {rs(['level', 'diff'])} FROM rich"
+)
 # A list of CTEs ends with a newline; some queries add further ones after a comma.
 ORACLES = {k: v.replace("\n,", ",").replace("\n      ,", ",") for k, v in ORACLES.items()}

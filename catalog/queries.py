@@ -30,7 +30,7 @@ from tapeloom.operators.closedfeatures import closed_features as closed_feature_
 from tapeloom.operators.distances import pairwise_distances
 from tapeloom.operators.ranking import hash_sample
 from tapeloom.plans import active, closed, components, embeddings
-from tapeloom.schemas import ACTIVE_FEATURES, CLOSED_FEATURES, RAW_GRID
+from tapeloom.schemas import ACTIVE_FEATURES, CLOSED_FEATURES, MARKET, RAW_GRID
 from tapeloom.session import join_small, shared_dir, staged
 from tapeloom.sinks import publish as W
 from tapeloom.sources import books as B
@@ -167,7 +167,7 @@ def atomic_write_roundtrip(spark, sf):
     path = scratch(spark, "atomic")
     W.publish(rows.limit(0), path)
     W.publish(rows, path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return spark.read.schema(rows.schema).parquet(W.current(spark, path))
 
 
 @query
@@ -193,6 +193,13 @@ def prefilter_markets(spark, sf):
     return X.customers(spark, sf).where(fit).select("k", "id")
 
 
+@query
+def prefilter_markets_at_zero(spark, sf):
+    """Missing counts as 0 and passes, text that reads as NaN does not."""
+    fit = L.passes_prefilter(F.col("volumeNum"), F.col("liquidityNum"), 0.0, 0.0)
+    return X.customers(spark, sf).where(fit).select("k", "id")
+
+
 @query
 def yes_token(spark, sf):
     return S.with_yes_token(X.customers(spark, sf)).select("k", "market_id", "token_id")
@@ -358,22 +365,37 @@ def asof_hourly(spark, sf):
     return rows.select("token_id", "unix_ts", *r6s(["price_yes"]))
 
 
+def prints_near_end(spark, sf, hours: float = T.SKEW_LOOKBACK_HOURS) -> DataFrame:
+    """Points are bounded before they are deduplicated."""
+    near = H.near_ends(X.points(spark, sf), X.market_times(spark, sf), int(hours * TG.HOUR), 0)
+    return H.dedupe_history(near, ["token_id"])
+
+
 def segments(spark, sf, hours: float) -> DataFrame:
     markets = X.market_times(spark, sf)
-    found = T.detect_streaks(prints(spark, sf), markets, segment_hours=hours)
-    return found.join(markets.select("market_id", "token_id"), "market_id")
+    found = T.detect_streaks(prints_near_end(spark, sf), markets, segment_hours=hours)
+    return staged(found.join(markets.select("market_id", "token_id"), "market_id"), "segments")
+
+
+def segment_prints(spark, sf, hours: float) -> DataFrame:
+    found = segments(spark, sf, hours)
+    ends = found.where("segment_end IS NOT NULL").select(
+        "token_id", F.timestamp_seconds("segment_end").alias("end_ts")
+    )
+    near = H.near_ends(X.points(spark, sf), ends, int(hours * TG.HOUR), 0)
+    return T.prints_in_segment(H.dedupe_history(near, ["token_id"]), found)
 
 
 @query
 def asof_minute(spark, sf):
-    inside = T.prints_in_segment(prints(spark, sf), segments(spark, sf, 48.0))
+    inside = segment_prints(spark, sf, 48.0)
     rows = R.as_of_labels(inside, ["market_id"], TG.MINUTE, "ceil").where("price_yes IS NOT NULL")
     return rows.select("market_id", "unix_ts", *r6s(["price_yes"]))
 
 
 @query
 def segment_before_streak(spark, sf):
-    rows = T.prints_in_segment(prints(spark, sf), segments(spark, sf, 48.0))
+    rows = segment_prints(spark, sf, 48.0)
     return rows.select(
         "market_id", "t", *r6s(["price", "seconds_since_window_start", "seconds_until_window_end"])
     )
@@ -450,7 +472,7 @@ QUERIES["book_features"] = QUERIES.pop("book_features_query")
 
 @query
 def closed_features(spark, sf):
-    rows = closed_feature_rows(market_prints(spark, sf), X.market_times(spark, sf).where("start_ts IS NOT NULL"))
+    rows = closed_feature_rows(market_prints(spark, sf), X.market_times(spark, sf))
     return rows.select("market_id", *r6s(CLOSED_FEATURES))
 
 
@@ -482,7 +504,7 @@ def rolling_volatility(spark, sf):
 
 @query
 def detect_streak(spark, sf):
-    return T.detect_streaks(prints(spark, sf), X.market_times(spark, sf))
+    return T.detect_streaks(prints_near_end(spark, sf), X.market_times(spark, sf))
 
 
 def steps(spark, sf) -> DataFrame:
@@ -541,13 +563,13 @@ def label_one_hot(spark, sf):
 
 @query
 def top_markets_per_category(spark, sf):
-    rows = S.top_markets_per_category(X.listing(spark, sf), 30, 2000, 1000.0, 600.0)
+    rows = S.top_markets_per_category(X.listing(spark, sf), 30, 1000.0, 600.0)
     return rows.select("tag_id", "market_id", "token_id", F.col("pick").cast("bigint").alias("pick"))
 
 
 @query
 def selection_shortfall(spark, sf):
-    rows = S.top_markets_per_category(X.listing(spark, sf), 150, 2000, 1000.0, 600.0)
+    rows = S.top_markets_per_category(X.listing(spark, sf), 150, 1000.0, 600.0)
     dims = S.category_table(spark, X.CATEGORIES)
     return S.shortfall(rows, dims, "tag_id", 150).select("tag_id", "tag_slug", "found", "wanted", "short")
 
@@ -555,8 +577,12 @@ def selection_shortfall(spark, sf):
 @query
 def select_closed_markets(spark, sf):
     candidates = S.closed_candidates(
-        X.events(spark, sf), X.closed_listing(spark, sf), S.sport_table(spark, X.SPORTS), 2500
+        X.events(spark, sf), X.closed_listing(spark, sf), S.sport_table(spark, X.SPORTS)
     )
+    return _closed_picks(candidates)
+
+
+def _closed_picks(candidates: DataFrame) -> DataFrame:
     rows = S.select_closed_markets(candidates, 20, X.as_of())
     return rows.select(
         "sport", "market_id", F.col("title_used").alias("question"), "token_id",
@@ -564,6 +590,22 @@ def select_closed_markets(spark, sf):
     )
 
 
+@query
+def select_closed_markets_paged(spark, sf):
+    """With an explicit paging limit: 50 is one whole page of 80 events, and one of 200 listings."""
+    candidates = S.closed_candidates(
+        X.events(spark, sf), X.closed_listing(spark, sf), S.sport_table(spark, X.SPORTS), 50
+    )
+    return _closed_picks(candidates)
+
+
+@query
+def top_markets_paged(spark, sf):
+    """With an explicit paging limit: 150 listings of a tag are two whole pages of 100."""
+    rows = S.top_markets_per_category(X.listing(spark, sf), 120, 1000.0, 600.0, 150)
+    return rows.select("tag_id", "market_id", "token_id", F.col("pick").cast("bigint").alias("pick"))
+
+
 @query
 def list_categories(spark, sf):
     return K.category_labels(X.listing(spark, sf))
@@ -733,9 +775,7 @@ def pairwise_distance(spark, sf):
 
 # ---- embeddings ----------------------------------------------------------------------------
 
-TRAINING = embeddings.EmbeddingSettings(
-    mode="all", training=N.Training(h1=32, h2=16, epochs=8, learning_rate=0.01)
-)
+TRAINING = embeddings.EmbeddingSettings(mode="all")
 
 
 def _embedding(kind: str):
@@ -823,6 +863,71 @@ def closed_pipeline_segments(spark, sf):
     return rows.withColumns({n: r6(n) for n in doubles})
 
 
+# ---- jobs from landed files ---------------------------------------------------------------
+
+
+def _landed_points(spark, sf) -> DataFrame:
+    """Points written as payloads per extract and read back by the library."""
+    path = scratch(spark, "landed-points")
+    point = F.struct("t", F.col("price").alias("p"))
+    rows = X.points(spark, sf).where("price IS NOT NULL").select(
+        "token_id", "resolution", "extract_ord", F.array(point).alias("history")
+    )
+    rows.write.partitionBy("resolution").json(path)
+    return SH.landed_points(spark, path)
+
+
+def _landed_listing(spark, sf, rows: DataFrame, dimension: DataFrame) -> DataFrame:
+    path = scratch(spark, "landed-listing")
+    rows.select(*MARKET.names, "tag_id").write.partitionBy("tag_id").json(path)
+    return listings.landed_markets(spark, path, dimension)
+
+
+def _landed_active(spark, sf) -> active.ActiveTables:
+    listing = _landed_listing(spark, sf, X.listing(spark, sf), S.category_table(spark, X.CATEGORIES))
+    path = scratch(spark, "landed-books")
+    books(spark, sf).write.json(path)
+    landed = B.read_token_books(spark, path)
+    return active.build(
+        listings.active_markets(listing), _landed_points(spark, sf), landed, ACTIVE
+    )
+
+
+@query
+def landed_active_features(spark, sf):
+    rows = _landed_active(spark, sf).scaled_features()
+    return rows.select("market_id", "classifier_label", "tag_id", "tag_slug", *r6s(ACTIVE_FEATURES))
+
+
+@query
+def landed_grid_paths(spark, sf):
+    """The published raw grid read back and turned into paths, as the embedding job does."""
+    path = scratch(spark, "published-grid")
+    W.publish(_landed_active(spark, sf).raw_grid(), path)
+    cfg = embeddings.EmbeddingSettings(categories=X.CATEGORIES)
+    raw = embeddings.with_category_order(spark.read.parquet(W.current(spark, path)), cfg)
+    steps = staged(Q.dedupe_steps(raw, "lookback_step", list(cfg.order)), "steps")
+    return Q.filled_paths(steps).select("market_id", "step", *r6s(["level", "diff"]))
+
+
+@query
+def landed_closed_pipeline(spark, sf):
+    """Events and closed listings as payloads; ids of landed events are text."""
+    path = scratch(spark, "landed-events")
+    rows = X.events(spark, sf)
+    rows.select(
+        F.lpad(F.col("event_id").cast("string"), 12, "0").alias("id"),
+        F.date_format("end_ts", X.ISO).alias("endDate"), "title", "series_id", "markets",
+    ).write.json(path)
+    tags = S.sport_table(spark, X.SPORTS).select("tag_id").distinct()
+    listing = _landed_listing(spark, sf, X.closed_listing(spark, sf), tags)
+    tables = closed.build(
+        listings.landed_events(spark, path), listings.closed_markets(listing),
+        _landed_points(spark, sf), S.sport_table(spark, X.SPORTS), CLOSED,
+    )
+    return tables.scaled_features().select("market_id", "sport", "resolved_yes", *r6s(CLOSED_FEATURES))
+
+
 @query
 def pca_report(spark, sf):
     """Scores of the active features, best correlated features beside them in a long table."""

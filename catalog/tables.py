@@ -13,19 +13,20 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.lenient import to_double, to_timestamp
 from tapeloom.operators.once import with_evaluated
-from tapeloom.session import dealt_out, prepare
+from tapeloom.session import prepare
 from tapeloom.sources.listings import parse_events
 
 AS_OF = datetime(2024, 1, 31)
 AS_OF_S = 1706659200
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 CATEGORIES = tuple((s, str(10 + i), s.lower()) for i, s in enumerate(SEGMENTS))
 SPORTS = tuple((s.lower(), str(10 + i), (f"s{i}", f"s{i + 5}")) for i, s in enumerate(SEGMENTS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
-    return dealt_out(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def as_of():
@@ -45,6 +46,11 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _other_tokens():
+    """Tokens of another market as JSON text."""
+    return F.to_json(F.array((F.col("k") + 7).cast("string"), F.concat(F.col("k"), F.lit("a"))))
+
+
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One market per customer, with the raw text fields of a listing payload."""
     first = (
@@ -67,12 +73,12 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
             "concat('Nation ', nk) AS rival",
         )
     )
-    iso = "yyyy-MM-dd''T''HH:mm:ss''Z''".replace("''", "'")
-    start = F.date_format(F.timestamp_seconds("start_s"), iso)
-    end = F.date_format(F.timestamp_seconds("end_s"), iso)
+    start = F.date_format(F.timestamp_seconds("start_s"), ISO)
+    end = F.date_format(F.timestamp_seconds("end_s"), ISO)
     named = base.withColumn("iso_start", start).withColumn("iso_end", end).selectExpr(
         "*",
-        """CASE k % 6 WHEN 0 THEN concat(name, ' vs. ', rival) WHEN 1 THEN concat(name, ' vs ', rival)
+        """CASE k % 6 WHEN 0 THEN (CASE WHEN k % 5 = 1 THEN concat(name, '\u00a0vs.\u00a0', rival)
+             ELSE concat(name, ' vs. ', rival) END) WHEN 1 THEN concat(name, ' vs ', rival)
              WHEN 2 THEN concat('Will ', name, ' win?')
              WHEN 3 THEN concat('Spread: ', name, ' vs. ', rival)
              WHEN 4 THEN concat(name, ' vs. ', rival, ': O/U 5') END AS question""",
@@ -123,9 +129,17 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (market, category): the customer's segment and one picked by nation."""
     names = F.array(*[F.lit(s) for s in SEGMENTS])
     labels = F.array_distinct(F.array("seg", F.get(names, F.pmod("nk", F.lit(5)))))
+    rows = customers(spark, sf_dir).withColumn("classifier_label", F.explode(labels))
+    # Under its second category a third of the markets is listed with other tokens and another end.
+    other = (F.col("classifier_label") != F.col("seg")) & (F.col("k") % 3 == 0)
     return (
-        customers(spark, sf_dir)
-        .withColumn("classifier_label", F.explode(labels))
+        rows.withColumn("clobTokenIds", F.when(other, _other_tokens()).otherwise(F.col("clobTokenIds")))
+        .withColumn(
+            "endDate",
+            F.when(other, F.date_format(F.timestamp_seconds(F.col("end_s") + 43200), ISO)).otherwise(
+                F.col("endDate")
+            ),
+        )
         .withColumn("category_ord", F.array_position(names, F.col("classifier_label")).cast("int") - 1)
         .withColumn("tag_id", (F.col("category_ord") + 10).cast("string"))
         .withColumn("tag_slug", F.lower("classifier_label"))
@@ -133,10 +147,12 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def closed_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed markets under the tag of the customer's segment."""
+    """Closed markets under the tag of the customer's segment; a quarter with other tokens there."""
     names = F.array(*[F.lit(s) for s in SEGMENTS])
     tag = (F.array_position(names, F.col("seg")) + 9).cast("string")
-    return customers(spark, sf_dir).where("closed").withColumn("tag_id", tag)
+    tokens = F.when(F.col("k") % 4 == 1, _other_tokens()).otherwise(F.col("clobTokenIds"))
+    rows = customers(spark, sf_dir).where("closed").withColumn("tag_id", tag)
+    return rows.withColumn("clobTokenIds", tokens)
 
 
 def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,14 +201,14 @@ def market_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-book levels: a supplier is a token, a line item is a level."""
+    """Order-book levels: a supplier is a token, a line item is a level of one of three snapshots."""
     return table(spark, sf_dir, "lineitem").selectExpr(
         "CAST(l_suppkey AS STRING) AS token_id",
         "CASE WHEN l_linestatus = 'O' THEN 'bid' ELSE 'ask' END AS side",
         """CASE WHEN l_partkey % 37 = 0 THEN NULL WHEN l_linestatus = 'O' THEN 0.5D - l_discount
              ELSE 0.5D + l_tax END AS price""",
         "l_quantity AS size",
-        "unix_seconds(CAST(l_shipdate AS TIMESTAMP)) AS timestamp",
+        "700 + 500 * (l_orderkey % 3) AS timestamp",
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
     )
 

@@ -12,6 +12,16 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(_BLANKS))
 
 
+def strip_unicode(text: Column) -> Column:
+    """Without blanks of any alphabet at both ends, the non-breaking one included."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
+def is_nan_text(text: Column) -> Column:
+    """Whether the text reads as the number NaN, with or without a sign."""
+    return F.regexp_replace(F.lower(strip(text.cast("string"))), "^[+-]", "") == "nan"
+
+
 def blank_to_null(text: Column) -> Column:
     trimmed = strip(text)
     return F.when(trimmed != "", trimmed)

@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tapeloom.functions.lenient import strip, to_double
+from tapeloom.functions.lenient import is_nan_text, strip, strip_unicode, to_double
 
 # Market types that are no plain match-up.
 LINE_MARKET_TYPES = ("spreads", "spread", "totals", "total")
 # The word between two sides, and the marks of props, spreads and totals.
-VERSUS = r"(?i)\s+vs\.?\s+"
+VERSUS = r"(?iU)\s+vs\.?\s+"
 PROP_PREFIX, SPREAD_PREFIX, TOTAL_TAIL, TOTAL_MARK = "will ", "spread:", ": o/u", "o/u"
 
 
 def passes_prefilter(volume: Column, liquidity: Column, min_volume: float, min_liquidity: float) -> Column:
+    """Both at least as large as wanted; missing and unreadable count as 0, "nan" never passes."""
+
     def enough(raw: Column, least: float) -> Column:
-        return F.coalesce(to_double(raw), F.lit(0.0)) >= F.lit(float(least))
+        number = F.coalesce(to_double(raw), F.lit(0.0)) >= F.lit(float(least))
+        return number & ~F.coalesce(is_nan_text(raw), F.lit(False))
 
     return enough(volume, min_volume) & enough(liquidity, min_liquidity)
 
@@ -27,9 +30,9 @@ def is_plain_market_type(market_type: Column) -> Column:
 
 def is_head_to_head(question: Column) -> Column:
     """True for "A vs. B" titles that are not props, spreads or totals; NULL text is False."""
-    title = strip(F.coalesce(question, F.lit("")))
+    title = strip_unicode(F.coalesce(question, F.lit("")))
     low = F.lower(title)
-    sides = F.transform(F.split(title, VERSUS, 2), strip)
+    sides = F.transform(F.split(title, VERSUS, 2), strip_unicode)
     wagers = (
         low.startswith(PROP_PREFIX)
         | low.startswith(SPREAD_PREFIX)

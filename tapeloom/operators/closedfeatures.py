@@ -12,6 +12,8 @@ from tapeloom.session import join_small
 
 # Analysed hours before the end, extra hours read before them, rolling rows.
 CORE_HOURS, LEAD_HOURS, ROLLING_ROWS = 48, 24, 24
+# Fixed value: hours a market of unknown start is taken to have been open.
+UNKNOWN_LIFETIME = 24.0
 # Smallest price span and lifetime used as divisors or results.
 MIN_SPAN, MIN_LIFETIME = 1e-6, 1e-6
 
@@ -36,7 +38,10 @@ def closed_features(
     facts = markets.select(
         "market_id",
         "volume_num",
-        (F.abs(F.unix_micros("end_ts") - F.unix_micros("start_ts")) / F.lit(3.6e9)).alias("_life"),
+        F.coalesce(
+            F.abs(F.unix_micros("end_ts") - F.unix_micros("start_ts")) / F.lit(3.6e9),
+            F.lit(UNKNOWN_LIFETIME),
+        ).alias("_life"),
         top.alias("_top"),
         end.alias("_end"),
         F.pmod(F.unix_micros("end_ts"), F.lit(HOUR * 1_000_000)).alias("_off"),
@@ -50,7 +55,7 @@ def closed_features(
     joined = join_small(
         prints.where(F.col("price").isNotNull()),
         facts.select("market_id", "_top", "_end"),
-        ["market_id"], "inner", max_markets, ["t"],
+        ["market_id"], "inner", max_markets,
     ).where(F.col("t") <= F.col("_end"))
     slot = F.greatest(ceil_to(F.col("t"), HOUR), F.col("_top") - span)
     seen = (

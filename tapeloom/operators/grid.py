@@ -56,6 +56,13 @@ def spine(markets: DataFrame, win_start: Column, win_end: Column, step: int) ->
     )
 
 
+def spine_rows(win_start: Column, win_end: Column, step: int) -> Column:
+    """How many rows :func:`spine` has for a market."""
+    first = floor_to(floor_second(win_start), step)
+    last = ceil_to(ceil_second(win_end), step)
+    return F.when(last > first, ((last - first) / step).cast("bigint") + 1).otherwise(F.lit(0))
+
+
 def fill_grid(lines: DataFrame, buckets: DataFrame, keys: list[str]) -> DataFrame:
     """Spine with bucket values. Gaps stay NULL, nothing is carried forward."""
     grid = lines.join(buckets, [*keys, "unix_ts"], "left")

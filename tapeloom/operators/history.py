@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions.timegrid import ceil_second, floor_second
-from tapeloom.session import join_small
+from tapeloom.session import broadcast_bytes, join_small, row_bytes
 
 # Resolutions from finest to coarsest, as they are tried.
 RESOLUTIONS = ("1m", "max", "1h")
@@ -53,31 +53,92 @@ def in_history_window(
         "market_id", "token_id",
         ceil_second(window_start(F.col("start_ts"), as_of, lookback_hours)).alias("_from"),
     )
-    joined = join_small(recent, windows, ["token_id"], "inner", max_markets, ["t"])
+    joined = join_small(recent, windows, ["token_id"], "inner", max_markets)
     return joined.where(F.col("t") >= F.col("_from")).drop("_from")
 
 
-def _finest(counts: dict[str, Column]) -> Column:
-    """First resolution with two points, else the coarsest that has any."""
-    tried = [(name, 2) for name in RESOLUTIONS] + [(name, 1) for name in reversed(RESOLUTIONS)]
-    return F.coalesce(*[F.when(counts[name] >= least, F.lit(name)) for name, least in tried])
+def _finest(stats: dict[str, tuple[Column, Column]]) -> Column:
+    """First resolution with two seconds, else the coarsest that has any."""
+    tried = [F.when(stats[r][0], F.lit(r)) for r in RESOLUTIONS]
+    tried += [F.when(stats[r][1], F.lit(r)) for r in reversed(RESOLUTIONS)]
+    return F.coalesce(*tried)
 
 
-def choose_resolution(per_resolution: DataFrame, key: str, count: str) -> DataFrame:
-    """(key, resolution): the resolution to use, from rows (key, resolution, count...)."""
-    per_key = per_resolution.groupBy(key).agg(
-        *[F.sum(F.when(F.col("resolution") == r, F.col(count))).alias(f"n_{r}") for r in RESOLUTIONS]
+def resolution_to_use(points: DataFrame, key: str) -> DataFrame:
+    """(key, resolution): the one resolution each key should use.
+
+    Two different seconds are a first and a last one that differ, so raw points are reduced within
+    each task to one row per key; nothing needs to be deduplicated to choose.
+    """
+    priced = F.col("price").isNotNull() & F.col("t").isNotNull()
+    own = [
+        (F.min(F.when(priced & (F.col("resolution") == r), F.col("t"))).alias(f"first_{r}"),
+         F.max(F.when(priced & (F.col("resolution") == r), F.col("t"))).alias(f"last_{r}"))
+        for r in RESOLUTIONS
+    ]
+    per_key = points.groupBy(key).agg(*[c for pair in own for c in pair])
+    stats = {
+        r: (F.col(f"first_{r}") < F.col(f"last_{r}"), F.col(f"first_{r}").isNotNull())
+        for r in RESOLUTIONS
+    }
+    return per_key.select(key, _finest(stats).alias("resolution")).where("resolution IS NOT NULL")
+
+
+def finest_resolution(points: DataFrame, key: str = "token_id", max_keys: int | None = None) -> DataFrame:
+    """Deduplicated points of the one resolution each key should use; never a mix.
+
+    The resolution is chosen first, so only its points are shuffled by second.
+    """
+    use = resolution_to_use(points, key)
+    chosen = join_small(points, use, [key, "resolution"], "left_semi", max_keys)
+    return dedupe_history(chosen, [key, "resolution"])
+
+
+def near_ends(
+    points: DataFrame, markets: DataFrame, lookback: int, tail: int, max_markets: int | None = None
+) -> DataFrame:
+    """Points of the markets' tokens within [end - lookback, end + tail] seconds of an end time.
+
+    A filter on raw points, to be put before they are deduplicated. ``markets`` has one row per
+    market with ``token_id`` and ``end_ts``; a point is kept once, however many markets it serves.
+    """
+    ends = markets.select(
+        F.col("token_id").alias("_token"), F.unix_seconds("end_ts").alias("_end")
+    ).distinct()
+    reach = (
+        (F.col("token_id") == F.col("_token"))
+        & (F.col("t") >= F.col("_end") - lookback)
+        & (F.col("t") <= F.col("_end") + tail)
+    )
+    small = max_markets is not None and max_markets * row_bytes(ends.schema) <= broadcast_bytes(
+        points.sparkSession
     )
-    counts = {r: F.col(f"n_{r}") for r in RESOLUTIONS}
-    return per_key.select(key, _finest(counts).alias("resolution")).where("resolution IS NOT NULL")
+    return points.join(F.broadcast(ends) if small else ends, reach, "left_semi")
+
+
+def _merge_inputs(points: DataFrame, markets: DataFrame, lookback_hours: float, max_markets: int | None):
+    """Hourly and minute points of the markets with ``_near``: within reach of the end time."""
+    ends = markets.select("market_id", "token_id", F.unix_seconds("end_ts").alias("_end"))
+    usable = points.where(F.col("resolution").isin("1h", "1m") & F.col("price").isNotNull())
+    reach = int(lookback_hours * 3600)
+    near = (F.col("t") >= F.col("_end") - reach) & (F.col("t") <= F.col("_end") + MERGE_TAIL_SECONDS)
+    return join_small(usable, ends, ["token_id"], "inner", max_markets).withColumn("_near", near)
 
 
-def finest_resolution(points: DataFrame, key: str = "token_id") -> DataFrame:
-    """Deduplicated points of the one resolution each key should use; never a mix."""
-    clean = dedupe_history(points, [key, "resolution"])
-    tally = clean.groupBy(key, "resolution").agg(F.count(F.lit(1)).alias("n"))
-    use = choose_resolution(tally, key, "n")
-    return join_small(clean, use, [key, "resolution"], "left_semi", spread_by=["t"])
+def sparse_markets(
+    points: DataFrame,
+    markets: DataFrame,
+    lookback_hours: float = MERGE_LOOKBACK_HOURS,
+    max_markets: int | None = None,
+) -> DataFrame:
+    """(market_id) with prints in fewer than two seconds near the end time."""
+    span = (
+        _merge_inputs(points, markets, lookback_hours, max_markets)
+        .where("_near")
+        .groupBy("market_id")
+        .agg((F.min("t") < F.max("t")).alias("_dense"))
+    )
+    return markets.select("market_id").join(span.where("_dense"), "market_id", "left_anti")
 
 
 def merge_resolutions(
@@ -89,35 +150,28 @@ def merge_resolutions(
     """(market_id, t, price): hourly prints overwritten by minute prints before the end time.
 
     Where that leaves fewer than two seconds, the whole hourly history is laid over it.
-    ``markets`` has one row per market with ``token_id`` and ``end_ts``.
+    ``markets`` has one row per market with ``token_id`` and ``end_ts``. The sparse markets are
+    found first, by one row per market and task, so that only points that count are shuffled.
     """
-    ends = markets.select("market_id", "token_id", F.unix_seconds("end_ts").alias("_end"))
-    usable = points.where(F.col("resolution").isin("1h", "1m") & F.col("price").isNotNull())
-    joined = join_small(usable, ends, ["token_id"], "inner", max_markets, ["t"])
-    reach = F.lit(int(lookback_hours * 3600))
-    bounded = (F.col("t") >= F.col("_end") - reach) & (F.col("t") <= F.col("_end") + MERGE_TAIL_SECONDS)
+    sparse = sparse_markets(points, markets, lookback_hours, max_markets)
+    joined = _merge_inputs(points, markets, lookback_hours, max_markets)
+    marked = join_small(
+        joined, sparse.withColumn("_sparse", F.lit(True)), ["market_id"], "left", max_markets
+    )
+    is_sparse = F.coalesce(F.col("_sparse"), F.lit(False))
     # A minute print outranks any hourly print of the same second.
     rank = F.when(F.col("resolution") == "1m", F.lit(1 << 62)).otherwise(F.lit(0)) + F.col("extract_ord")
-    hourly = F.col("resolution") == "1h"
-    seconds = (
-        joined.where(bounded | hourly)
+    near, wide = F.col("_near"), is_sparse & (F.col("resolution") == "1h")
+    return (
+        marked.where(near | wide)
         .groupBy("market_id", "t")
         .agg(
-            F.max_by(F.when(bounded, F.col("price")), F.when(bounded, rank)).alias("near"),
-            F.max_by(F.when(hourly, F.col("price")), F.when(hourly, F.col("extract_ord"))).alias("wide"),
+            F.coalesce(
+                F.max_by(F.when(wide, F.col("price")), F.when(wide, F.col("extract_ord"))),
+                F.max_by(F.when(near, F.col("price")), F.when(near, rank)),
+            ).alias("price")
         )
     )
-    sparse = (
-        seconds.groupBy("market_id")
-        .agg(F.count("near").alias("_n"))
-        .select("market_id", (F.col("_n") < 2).alias("_sparse"))
-    )
-    return (
-        join_small(seconds, sparse, ["market_id"], "inner", max_markets, ["t"])
-        .withColumn("price", F.when(F.col("_sparse"), F.coalesce("wide", "near")).otherwise(F.col("near")))
-        .where(F.col("price").isNotNull())
-        .select("market_id", "t", "price")
-    )
 
 
 def history_coverage(tokens: DataFrame, points: DataFrame) -> DataFrame:

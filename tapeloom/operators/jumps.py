@@ -27,7 +27,7 @@ def _at_least(sizes: Column, bound: Column) -> Column:
     return F.size(F.filter(sizes, lambda a: a >= bound)).cast("double")
 
 
-def jump_features(grid: DataFrame, keys: list[str], extra: list[Column] | None = None) -> DataFrame:
+def jump_features(grid: DataFrame, keys: list[str]) -> DataFrame:
     """One row per key with at least one valid price; all features NULL below two valid prices.
 
     The absolute changes of one key form an array of at most one entry per grid step, which the
@@ -45,7 +45,6 @@ def jump_features(grid: DataFrame, keys: list[str], extra: list[Column] | None =
             F.percentile(size, 0.95).alias("p95"),
             F.percentile(size, 0.99).alias("p99"),
             F.collect_list(size).alias("sizes"),
-            *(extra or []),
         )
     )
     sizes, n = F.col("sizes"), F.size("sizes").cast("double")

@@ -1,15 +1,17 @@
 """Sequence embeddings trained on rows that stay where they are.
 
-The rows are a table (market_id, x[, label_class_index]). Each epoch broadcasts the weights,
-every task adds up the gradient over its own rows, and the sums are added tree-wise before a
-bounded number of them reaches the driver for one weight update. The update is one full-batch
-step per epoch, so the result does not depend on how the rows are partitioned.
+The rows are a table (market_id, x[, label_class_index]), dealt by row key over tasks of a bounded
+number of rows. In a round every task starts from the broadcast weights and descends over its own
+rows in mini-batches, in an order that depends on (row key, seed, epoch) alone; the weights of all
+tasks are then averaged by their row counts. One task is the plain mini-batch loop. The averages are
+added tree-wise before a bounded number of vectors reaches the driver.
 
 Vector arithmetic inside a task is numpy on Arrow batches.
 """
 
 from __future__ import annotations
 
+import copy
 import math
 from dataclasses import dataclass, field, replace
 
@@ -25,7 +27,7 @@ from tapeloom.session import staged
 TANH_INPUT, LOGIT_INPUT, LOG_VARIANCE = 20.0, 30.0, 8.0
 GRADIENT_NORM, WEIGHT_BOUND = 5.0, 4.0
 AE_SCALE, CLASSIFIER_SCALE, CVAE_SCALE = 0.08, 0.02, 0.06
-# Gradient sums added by one task, and the most that reach the driver.
+# Weight vectors added by one task, and the most that reach the driver.
 FAN_IN = 16
 
 
@@ -42,6 +44,10 @@ class Training:
     semi_weight: float = 0.75
     beta_kl: float = 0.5
     seed: int = 42
+    batch: int = 64
+    # Rows of one task, and epochs it runs before weights are averaged.
+    task_rows: int = 16_384
+    round_epochs: int = 10
 
     def __post_init__(self):
         if self.latent < 1:
@@ -104,7 +110,9 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
 
 
 def _one_hot(labels: np.ndarray, n: int) -> np.ndarray:
-    return np.eye(n)[labels]
+    out = np.zeros((len(labels), n))
+    out[np.arange(len(labels)), labels] = 1.0
+    return out
 
 
 def _row_noise(keys: np.ndarray, width: int, seed: int, epoch: int) -> np.ndarray:
@@ -247,51 +255,74 @@ def _batch(batch: pa.RecordBatch):
     )
 
 
-def _add_up(parts: DataFrame, n_parts: int) -> list:
+def _add_up(parts: DataFrame, n_parts: int) -> np.ndarray:
     """Rows (slot, v) whose arrays are added until at most FAN_IN rows are left, then fetched."""
 
-    def add(batches):
-        total, slot = None, 0
-        for batch in batches:
-            if batch.num_rows:
-                block = batch.column("v").flatten().to_numpy(zero_copy_only=False)
-                block = block.reshape(batch.num_rows, -1).sum(axis=0)
-                total = block if total is None else total + block
-                slot = batch.column("slot")[0].as_py()
-        if total is not None:
-            yield pa.RecordBatch.from_pydict({"slot": pa.array([slot], pa.int32()), "v": pa.array([total])})
+    def add(group: pa.Table) -> pa.Table:
+        arrays = group.column("v").combine_chunks()
+        total = arrays.flatten().to_numpy(zero_copy_only=False).reshape(group.num_rows, -1).sum(axis=0)
+        return pa.table({"slot": group.column("slot")[:1], "v": _one_list(total)})
 
     while n_parts > FAN_IN:
         n_parts = math.ceil(n_parts / FAN_IN)
         grouped = parts.withColumn("slot", F.pmod("slot", F.lit(n_parts)))
-        parts = grouped.groupBy("slot").applyInArrow(
-            lambda t: pa.Table.from_batches(add(t.to_batches())), "slot int, v array<double>"
-        )
-    return [row["v"] for row in parts.select("v").toArrow().to_pylist()]
+        parts = grouped.groupBy("slot").applyInArrow(add, "slot int, v array<double>")
+    rows = parts.orderBy("slot").select("v").toArrow()
+    flat = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(rows.num_rows, -1).sum(axis=0)
 
 
-def _gradient_step(model, rows: DataFrame, n_parts: int, n_rows: int, epoch: int, cfg: Training):
-    spark = rows.sparkSession
-    sent = spark.sparkContext.broadcast(model)
+def _one_list(values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))
 
-    def task(batches):
-        total = None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            x, labels, keys = _batch(batch)
+
+def _flat(model) -> np.ndarray:
+    return np.concatenate([p.ravel() for layer in model.layers() for p in (layer.weight, layer.bias)])
+
+
+def _set_flat(model, values: np.ndarray) -> None:
+    at = 0
+    for layer in model.layers():
+        for name in ("weight", "bias"):
+            old = getattr(layer, name)
+            setattr(layer, name, values[at : at + old.size].reshape(old.shape).copy())
+            at += old.size
+
+
+def batch_order(keys: np.ndarray, seed: int, epoch: int) -> np.ndarray:
+    """The order of an epoch's rows, a shuffle that each row's key decides."""
+    draw = _row_noise(keys, 1, seed + 1, epoch)[:, 0]
+    return np.lexsort((keys, draw))
+
+
+def train_epochs(model, x, labels, keys, cfg: Training, first: int, last: int) -> None:
+    """Mini-batch descent over one set of rows, epochs ``first`` to ``last`` - 1."""
+    for epoch in range(first, last):
+        order = batch_order(keys, cfg.seed, epoch)
+        for at in range(0, len(order), cfg.batch):
+            rows = order[at : at + cfg.batch]
             with np.errstate(all="ignore"):
-                found = sent.value.gradients(x, labels, keys, float(n_rows), epoch)
+                found = model.gradients(x[rows], labels[rows], keys[rows], float(len(rows)), epoch)
             flat = np.concatenate([part.ravel() for pair in found for part in pair])
-            total = flat if total is None else total + flat
-        if total is not None:
+            _apply(model, np.nan_to_num(flat, nan=0.0, posinf=0.0, neginf=0.0), cfg)
+
+
+def _round(model, rows: DataFrame, n_parts: int, first: int, last: int, cfg: Training) -> None:
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def task(batches):
+        held = [_batch(batch) for batch in batches if batch.num_rows]
+        if held:
+            x, labels, keys = (np.concatenate(parts) for parts in zip(*held, strict=True))
+            own = copy.deepcopy(sent.value)
+            train_epochs(own, x, labels, keys, cfg, first, last)
+            total = np.append(_flat(own) * len(x), len(x))
             slot = pa.array([TaskContext.get().partitionId()], pa.int32())
-            yield pa.RecordBatch.from_pydict({"slot": slot, "v": pa.array([total])})
+            yield pa.RecordBatch.from_arrays([slot, _one_list(total)], names=["slot", "v"])
 
-    parts = rows.mapInArrow(task, "slot int, v array<double>")
-    total = np.sum(_add_up(parts, n_parts), axis=0)
-    sent.unpersist()
-    _apply(model, np.nan_to_num(total, nan=0.0, posinf=0.0, neginf=0.0), cfg)
+    total = _add_up(rows.mapInArrow(task, "slot int, v array<double>"), n_parts)
+    sent.destroy()
+    _set_flat(model, total[:-1] / total[-1])
 
 
 def _apply(model, flat: np.ndarray, cfg: Training) -> None:
@@ -338,11 +369,13 @@ def fit(kind: str, rows: DataFrame, cfg: Training, n_classes: int = 0):
         model = ConditionalVae.fresh(width, cfg, n_classes)
     else:
         raise ValueError(f"unknown model {kind!r}")
-    held = rows.persist()
-    n_rows, n_parts = held.count(), held.rdd.getNumPartitions()
-    for epoch in range(max(1, cfg.epochs)):
-        _gradient_step(model, held, n_parts, n_rows, epoch, cfg)
-    held.unpersist()
+    n_parts = math.ceil(rows.count() / cfg.task_rows)
+    dealt = rows.repartition(n_parts, "row_key").sortWithinPartitions("row_key").persist()
+    epochs = max(1, cfg.epochs)
+    step = epochs if n_parts == 1 else max(1, cfg.round_epochs)
+    for first in range(0, epochs, step):
+        _round(model, dealt, n_parts, first, min(epochs, first + step), cfg)
+    dealt.unpersist()
     return model
 
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.session import DEFAULT_SALTS
-
 
 def top_n_per_group(
     df: DataFrame,
@@ -15,14 +13,16 @@ def top_n_per_group(
     n: int,
     rank: str,
     spread_by: list[str],
-    salts: int = DEFAULT_SALTS,
+    slices_of: int | None = None,
 ) -> DataFrame:
     """The first ``n`` rows of each group, with their position from 1 in ``rank``.
 
-    Ranked twice: first inside ``salts`` slices of a group, then among the at most
-    ``salts * n`` survivors. The result is exact because a row in the top ``n`` of its group is
-    in the top ``n`` of its slice. ``order`` must be total for a repeatable result.
+    Ranked twice: first inside slices of a group (as many as the session has shuffle partitions),
+    then among the at most slices x ``n`` survivors. The result is exact because a row in the top
+    ``n`` of its group is in the top ``n`` of its slice. ``order`` must be total for a repeatable
+    result.
     """
+    salts = slices_of or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slices = df.withColumn("_slice", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     local = Window.partitionBy(*group, "_slice").orderBy(*order)
     whole = Window.partitionBy(*group).orderBy(*order)

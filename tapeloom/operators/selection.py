@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeloom.functions import listing as L
 from tapeloom.functions.jsontext import first_item, text_array
@@ -34,12 +35,28 @@ SPORTS = (
 )
 # Listing pages are whole, so a scan cap is rounded up to them.
 ACTIVE_PAGE, CLOSED_PAGE, EVENT_PAGE = 100, 200, 80
+# Columns that hold the scan order of candidates: newest end first, then the id.
+SCAN = ("_scan_0", "_scan_1", "_scan_2")
 
 
 def _whole_pages(cap: int, page: int) -> int:
     return math.ceil(cap / page) * page
 
 
+def _scanned(
+    rows: DataFrame, group: list[str], order: dict[str, Column], cap: int | None, page: int, key: str
+) -> DataFrame:
+    """``rows`` with their scan order as ``_scan_0..n``; only the first ``cap`` of a group if given.
+
+    Without a cap no position is counted: the order columns themselves rank the rows later.
+    """
+    ordered = rows.withColumns(order)
+    if cap is None:
+        return ordered
+    by = [F.col(c).asc_nulls_last() for c in order]
+    return top_n_per_group(ordered, group, by, _whole_pages(cap, page), "_position", [key]).drop("_position")
+
+
 def category_table(spark, rows=CATEGORIES) -> DataFrame:
     """(classifier_label, tag_id, tag_slug, category_ord); as many rows as constants given."""
     return spark.createDataFrame(
@@ -70,32 +87,25 @@ def with_yes_token(listing: DataFrame) -> DataFrame:
 def top_markets_per_category(
     listing: DataFrame,
     per_category: int,
-    max_scan: int,
     min_volume: float,
     min_liquidity: float,
+    max_scan: int | None = None,
 ) -> DataFrame:
     """First ``per_category`` acceptable markets of each tag by volume, each id once.
 
-    Only the first ``max_scan`` listings of a tag, rounded up to whole pages, are looked at, and
-    that cap counts listings that are later refused.
+    All listings are looked at. ``max_scan`` restates the paging limit of a remote listing: the
+    first so many listings of a tag, rounded up to whole pages and counted before any is refused.
     """
-    ranked = listing.withColumn("_volume", to_double(F.col("volumeNum")))
-    order = [F.col("_volume").desc_nulls_last(), F.col("id").asc()]
-    scanned = top_n_per_group(
-        ranked, ["tag_id"], order, _whole_pages(max_scan, ACTIVE_PAGE), "scan_position", ["id"]
-    )
+    order = {"_scan_0": -to_double(F.col("volumeNum")), "_scan_1": F.col("id")}
+    by = [F.col(c).asc_nulls_last() for c in order]
+    scanned = _scanned(listing, ["tag_id"], order, max_scan, ACTIVE_PAGE, "id")
     fit = with_yes_token(scanned).where(
         L.passes_prefilter(F.col("volumeNum"), F.col("liquidityNum"), min_volume, min_liquidity)
     )
-    once = Window.partitionBy("tag_id", "market_id").orderBy("scan_position")
-    place = Window.partitionBy("tag_id").orderBy("scan_position")
-    return (
-        fit.withColumn("_seen", F.row_number().over(once))
-        .where("_seen = 1")
-        .withColumn("pick", F.row_number().over(place))
-        .where(F.col("pick") <= per_category)
-        .drop("_seen", "_volume")
-    )
+    once = Window.partitionBy("tag_id", "market_id").orderBy(*by)
+    first_seen = fit.withColumn("_seen", F.row_number().over(once)).where("_seen = 1").drop("_seen")
+    picked = top_n_per_group(first_seen, ["tag_id"], by, per_category, "pick", ["market_id"])
+    return picked.drop(*order)
 
 
 def shortfall(selected: DataFrame, dimension: DataFrame, key: str, wanted: int) -> DataFrame:
@@ -155,31 +165,33 @@ def in_end_window(
 
 
 def closed_candidates(
-    events: DataFrame, listing: DataFrame, sports: DataFrame, max_scan: int
+    events: DataFrame, listing: DataFrame, sports: DataFrame, max_scan: int | None = None
 ) -> DataFrame:
     """Nested event markets of each sport's series, then its tag listing, in scan order.
 
     ``events`` has one row per event with ``title``, ``series_id``, ``end_ts`` and nested
-    ``markets``; ``listing`` one row per market and tag. Scan caps hold per series and per tag.
+    ``markets``; ``listing`` one row per market and tag. All of them are candidates; ``max_scan``
+    restates the paging limit of a remote listing, per series and per tag.
     """
-    sport_series = F.broadcast(sports.select("series_id", "sport", "series_ord"))
-    sport_tags = F.broadcast(sports.select("tag_id", "sport").distinct())
-    newest_events = top_n_per_group(
+    sport_series = sports.select("series_id", "sport", "series_ord")
+    # Text ids are ordered as text, numbers as numbers.
+    numbered = not isinstance(events.schema["event_id"].dataType, T.StringType)
+    event_id, none = F.col("event_id"), F.lit(None)
+    sport_tags = sports.select("tag_id", "sport").distinct()
+    newest_events = _scanned(
         events,
         ["series_id"],
-        [F.col("end_ts").desc_nulls_last(), F.col("event_id")],
-        _whole_pages(max_scan, EVENT_PAGE),
-        "scan_position",
-        ["event_id"],
+        {"_scan_0": -F.unix_micros(F.col("end_ts")),
+         "_scan_1": none.cast("string") if numbered else event_id,
+         "_scan_2": event_id.cast("bigint") if numbered else none.cast("bigint")},
+        max_scan, EVENT_PAGE, "event_id",
     )
-    newest_markets = top_n_per_group(
-        listing.withColumn("_end", to_timestamp(F.col("endDate"))),
+    newest_markets = _scanned(
+        listing,
         ["tag_id"],
-        [F.col("_end").desc_nulls_last(), F.col("id")],
-        _whole_pages(max_scan, CLOSED_PAGE),
-        "scan_position",
-        ["id"],
-    )
+        {"_scan_0": -F.unix_micros(to_timestamp(F.col("endDate"))), "_scan_1": F.col("id")},
+        max_scan, CLOSED_PAGE, "id",
+    ).withColumn("_scan_2", F.lit(None).cast("bigint"))
     fields = [
         "id", "question", "startDate", "endDate", "clobTokenIds", "outcomes", "outcomePrices",
         "sportsMarketType", "category", "volumeNum", "liquidityNum", "volume", "liquidity",
@@ -188,14 +200,14 @@ def closed_candidates(
     from_events = (
         newest_events.join(sport_series, "series_id")
         .select(
-            "sport", F.lit(0).alias("source_ord"), "series_ord", "scan_position", "title",
+            "sport", F.lit(0).alias("source_ord"), "series_ord", *SCAN, "title",
             F.posexplode("markets").alias("nested_ord", "m"),
         )
-        .select("sport", "source_ord", "series_ord", "scan_position", "nested_ord", "title",
+        .select("sport", "source_ord", "series_ord", *SCAN, "nested_ord", "title",
                 *[F.col(f"m.{f}") for f in fields])
     )
     from_listing = newest_markets.join(sport_tags, "tag_id").select(
-        "sport", F.lit(1).alias("source_ord"), F.lit(0).alias("series_ord"), "scan_position",
+        "sport", F.lit(1).alias("source_ord"), F.lit(0).alias("series_ord"), *SCAN,
         F.lit(0).alias("nested_ord"), F.lit(None).cast("string").alias("title"), *fields,
     )
     return from_events.unionByName(from_listing)
@@ -235,14 +247,16 @@ def select_closed_markets(
         .withColumn("token_id", F.get("tokens", F.col("primary_index")))
         .withColumn("volume_num", to_double(F.col("volumeNum")))
     )
-    scan = ["source_ord", "series_ord", "scan_position", "nested_ord"]
+    scan = [
+        F.col(c).asc_nulls_last() for c in ("source_ord", "series_ord", *SCAN, "nested_ord")
+    ]
     once = Window.partitionBy("sport", "market_id").orderBy(*scan)
     first_seen = fit.withColumn("_seen", F.row_number().over(once)).where("_seen = 1")
     return top_n_per_group(
         first_seen.drop("_seen"),
         ["sport"],
-        [F.col(c) for c in [*scan, "market_id"]],
+        [*scan, F.col("market_id")],
         per_sport,
         "pick",
         ["market_id"],
-    )
+    ).drop(*SCAN)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.lenient import to_double
 from tapeloom.functions.prices import clip
+from tapeloom.operators.components import global_rank
 from tapeloom.operators.scaling import scaled, spread
 from tapeloom.operators.series import along, difference_or_zero, fill_both_ways
 from tapeloom.sources.tables import require_columns
@@ -31,13 +32,10 @@ def dedupe_steps(raw: DataFrame, step: str, order: list[str]) -> DataFrame:
     category position, so the last category wins. Rows without a market or a readable step go.
     """
     require_columns(raw, {"market_id", "classifier_label", "tag_slug", "price_yes", step, *order})
-    question = F.col("question") if "question" in raw.columns else F.lit("")
     last = F.struct(
         *order,
         to_double(F.col("price_yes")).alias("price_yes"),
         F.coalesce(F.col("classifier_label").cast("string"), F.lit("Unknown")).alias("classifier_label"),
-        F.coalesce(F.col("tag_slug").cast("string"), F.lit("")).alias("tag_slug"),
-        F.coalesce(question.cast("string"), F.lit("")).alias("question"),
     )
     return (
         raw.withColumn("_step", to_double(F.col(step)).cast("bigint"))
@@ -48,11 +46,23 @@ def dedupe_steps(raw: DataFrame, step: str, order: list[str]) -> DataFrame:
     )
 
 
-def market_labels(steps: DataFrame) -> DataFrame:
-    """Label, slug and question of each market, from its last step."""
-    facts = F.struct("step", "classifier_label", "tag_slug", "question")
+def market_labels(raw: DataFrame, step: str, order: list[str]) -> DataFrame:
+    """Label, slug and question of each market, from its last row of the last step.
+
+    One row per market and task is shuffled; the texts never travel with every step.
+    """
+    question = F.col("question") if "question" in raw.columns else F.lit("")
+    facts = F.struct(
+        to_double(F.col(step)).cast("bigint").alias("_step"),
+        *order,
+        to_double(F.col("price_yes")).alias("price_yes"),
+        F.coalesce(F.col("classifier_label").cast("string"), F.lit("Unknown")).alias("classifier_label"),
+        F.coalesce(F.col("tag_slug").cast("string"), F.lit("")).alias("tag_slug"),
+        F.coalesce(question.cast("string"), F.lit("")).alias("question"),
+    )
     return (
-        steps.groupBy("market_id")
+        raw.where(F.col("market_id").isNotNull() & to_double(F.col(step)).cast("bigint").isNotNull())
+        .groupBy(F.col("market_id").cast("string").alias("market_id"))
         .agg(F.max(facts).alias("f"))
         .select("market_id", "f.classifier_label", "f.tag_slug", "f.question")
     )
@@ -116,12 +126,10 @@ def scale_vectors(vectors: DataFrame, bound: float = SCALED_BOUND) -> DataFrame:
 
 
 def label_index(labels: DataFrame, column: str = "classifier_label") -> DataFrame:
-    """(label, index): sorted distinct labels numbered from 0.
-
-    Labels are categories: the distinct list is small and is numbered as one sorted array.
-    """
-    names = labels.select(column).distinct().agg(F.sort_array(F.collect_set(column)).alias("names"))
-    return names.select(F.posexplode("names").alias("label_class_index", "label_class"))
+    """(label_class_index, label_class): sorted distinct labels numbered from 0, however many."""
+    names = labels.select(F.col(column).alias("label_class")).where("label_class IS NOT NULL").distinct()
+    ranked = global_rank(names, [F.col("label_class").asc()], "label_class_index")
+    return ranked.select(F.col("label_class_index").cast("int"), "label_class")
 
 
 def one_hot(index: Column, size: int) -> Column:

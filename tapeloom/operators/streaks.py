@@ -40,7 +40,7 @@ def detect_streaks(
     """
     ends = markets.select("market_id", "token_id", F.unix_seconds("end_ts").alias("_end"))
     joined = join_small(
-        prints.where(F.col("price").isNotNull()), ends, ["token_id"], "inner", max_markets, ["t"]
+        prints.where(F.col("price").isNotNull()), ends, ["token_id"], "inner", max_markets
     )
     if lookback_hours is not None:
         joined = joined.where(
@@ -94,7 +94,7 @@ def prints_in_segment(
     bounded = segments.where(F.col("segment_end").isNotNull()).select(
         "market_id", "token_id", "segment_start", "segment_end"
     )
-    inside = join_small(prints, bounded, ["token_id"], "inner", max_markets, ["t"]).where(
+    inside = join_small(prints, bounded, ["token_id"], "inner", max_markets).where(
         F.col("t").between(F.col("segment_start"), F.col("segment_end"))
     )
     return inside.withColumn(

@@ -14,12 +14,12 @@ from tapeloom.functions.timegrid import (
     hours_between, iso_of_seconds, iso_utc, step_label, step_seconds,
 )
 from tapeloom.operators import grid as G
-from tapeloom.operators.history import choose_resolution, dedupe_history, in_history_window, window_start
+from tapeloom.operators.history import finest_resolution, in_history_window, window_start
 from tapeloom.operators.jumps import jump_features, prints_per_hour
 from tapeloom.operators.scaling import zscore
-from tapeloom.operators.selection import top_markets_per_category
+from tapeloom.operators.selection import shortfall, top_markets_per_category
 from tapeloom.schemas import ACTIVE_FEATURES, FEATURES, IDENTITY, RAW_GRID
-from tapeloom.session import join_small, prepare, staged
+from tapeloom.session import drop_staged, join_small, prepare, staged, staged_mark
 from tapeloom.sinks.publish import publish, require_aligned
 from tapeloom.sources.books import summarize_books
 
@@ -32,7 +32,8 @@ class ActiveSettings:
     per_category: int = 5
     lookback_days: float = 1.0
     interval_hours: float = 0.5
-    max_scan: int = 2000
+    # Paging limit of a remote listing; none by default: all listings are looked at.
+    max_scan: int | None = None
     min_volume: float = 10_000.0
     min_liquidity: float = 1_000.0
     use_books: bool = False
@@ -61,7 +62,7 @@ def liquidity_snapshot(prefix: str = "gamma_") -> list[Column]:
 def select_markets(listing: DataFrame, cfg: ActiveSettings) -> DataFrame:
     """One row per selected (market, category), with everything later steps need."""
     picked = top_markets_per_category(
-        listing, cfg.per_category, cfg.max_scan, cfg.min_volume, cfg.min_liquidity
+        listing, cfg.per_category, cfg.min_volume, cfg.min_liquidity, cfg.max_scan
     )
     now = cfg.moment()
     start = to_timestamp(F.col("startDate"))
@@ -70,19 +71,25 @@ def select_markets(listing: DataFrame, cfg: ActiveSettings) -> DataFrame:
         "volumeNum", "liquidityNum", *liquidity_snapshot(),
         F.coalesce(start, window_start(F.lit(None).cast("timestamp"), now, cfg.lookback_hours)).alias("start_ts"),
         to_timestamp(F.col("endDate")).alias("end_ts"),
-    )
+    ).withColumn("line", F.concat_ws("|", "token_id", F.unix_micros("start_ts")))
 
 
-def market_buckets(points: DataFrame, markets: DataFrame, n_markets: int, cfg: ActiveSettings) -> DataFrame:
-    """Bucket rows of each market in the one resolution it should use.
+def price_lines(selected: DataFrame) -> DataFrame:
+    """What history work depends on, once each: the token and the start of the selected rows.
 
-    The choice is made on print counts of the buckets, so prints are shuffled once.
+    One market id may be listed under several categories with other tokens or times. Rows that
+    share both share one line, whose key stands as ``market_id`` in the operators on histories.
     """
+    return selected.select(
+        F.col("line").alias("market_id"), "token_id", "start_ts"
+    ).dropDuplicates(["market_id"])
+
+
+def market_buckets(points: DataFrame, markets: DataFrame, n_markets: int, cfg: ActiveSettings) -> DataFrame:
+    """Bucket rows of each market in the one resolution it should use, chosen on raw points."""
     inside = in_history_window(points, markets, cfg.moment(), cfg.lookback_hours, n_markets)
-    clean = dedupe_history(inside, ["market_id", "resolution"])
-    buckets = G.bucket_stats(clean, ["market_id", "resolution"], cfg.step)
-    use = choose_resolution(buckets, "market_id", "raw_prints_in_bucket")
-    return join_small(buckets, use, ["market_id", "resolution"], "left_semi", n_markets)
+    clean = finest_resolution(inside, "market_id", n_markets)
+    return G.bucket_stats(clean, ["market_id", "resolution"], cfg.step)
 
 
 def market_grid(markets: DataFrame, buckets: DataFrame, cfg: ActiveSettings) -> DataFrame:
@@ -97,25 +104,29 @@ def market_grid(markets: DataFrame, buckets: DataFrame, cfg: ActiveSettings) ->
 
 
 def market_features(
-    markets: DataFrame, n_markets: int, buckets: DataFrame, grid: DataFrame, books: DataFrame | None,
+    markets: DataFrame, n_markets: int, buckets: DataFrame, books: DataFrame | None,
     cfg: ActiveSettings,
 ) -> DataFrame:
-    """One row per market with the 19 unscaled features and the book summary.
+    """One row per price line with its unscaled features and book summary.
 
-    All joins here are between tables of one row per selected market.
+    All joins here are between tables of one row per line. The time to close is left to the
+    selected row, whose end date it needs.
     """
     raw = buckets.groupBy("market_id").agg(F.sum("raw_prints_in_bucket").alias("clob_points_raw"))
-    rows = grid.groupBy("market_id").agg(
-        F.count(F.lit(1)).alias("grid_rows"), F.max("price_norm_anchor").alias("price_norm_anchor")
-    )
-    jumps = jump_features(grid, ["market_id"])
+    # Only rows with a price count here, and every bucket lies on the grid: no spine is unfolded.
+    priced = G.anchor_prices(buckets, ["market_id"])
+    anchors = priced.groupBy("market_id").agg(F.max("price_norm_anchor").alias("price_norm_anchor"))
+    jumps = jump_features(priced, ["market_id"])
+    now = cfg.moment()
+    opens = window_start(F.col("start_ts"), now, cfg.lookback_hours)
     out = (
-        markets.select("market_id", "token_id", "end_ts")
+        markets.select(
+            "market_id", "token_id", G.spine_rows(opens, now, cfg.step).alias("grid_rows")
+        )
         .join(raw, "market_id", "left")
-        .join(rows, "market_id", "left")
+        .join(anchors, "market_id", "left")
         .join(jumps, "market_id", "left")
         .withColumn("clob_points_raw", F.coalesce(F.col("clob_points_raw"), F.lit(0)))
-        .withColumn("grid_rows", F.coalesce(F.col("grid_rows"), F.lit(0)))
     )
     if books is not None and cfg.use_books:
         wanted = out.select("token_id").distinct()
@@ -125,10 +136,7 @@ def market_features(
         out = out.withColumns({c: F.lit(None).cast("double") for c in BOOK_COLUMNS}).withColumn(
             "ob_timestamp_ms", F.lit("")
         )
-    to_close = hours_between(cfg.moment(), F.col("end_ts"))
-    # Below two valid prices the time to close is missing too.
     features = {
-        "feat_time_to_close_hours": F.when(F.col("n_valid") >= 2, to_close),
         "feat_raw_prints_per_hour": prints_per_hour(F.col("clob_points_raw"), cfg.lookback_hours),
         **book_features(
             F.col("ob_mid"), F.col("ob_spread"), F.col("ob_imbalance_topn"),
@@ -138,13 +146,14 @@ def market_features(
     return (
         out.withColumns(features)
         .withColumn("ob_timestamp_ms", F.coalesce(F.col("ob_timestamp_ms"), F.lit("")))
-        .drop("end_ts", "token_id", "n_valid")
+        .drop("token_id")
+        .withColumnRenamed("market_id", "line")
     )
 
 
 @dataclass(frozen=True)
 class ActiveTables:
-    """Lazy outputs; ``features`` are unscaled."""
+    """Outputs over staged tables; ``grid`` and ``features`` are per price line and unscaled."""
 
     selected: DataFrame
     grid: DataFrame
@@ -153,10 +162,27 @@ class ActiveTables:
     cfg: ActiveSettings
 
     def _with_market_columns(self, columns: list[str]) -> DataFrame:
-        return join_small(
-            self.selected, self.features.select("market_id", *columns), ["market_id"], "left",
+        """Selected rows with columns of their price line and their own time to close."""
+        own = [c for c in columns if c != "feat_time_to_close_hours"]
+        joined = join_small(
+            self.selected, self.features.select("line", "n_valid", *own), ["line"], "left",
             self.n_selected,
         )
+        to_close = hours_between(self.cfg.moment(), F.col("end_ts"))
+        # Below two valid prices the time to close is missing too.
+        return joined.withColumn("feat_time_to_close_hours", F.when(F.col("n_valid") >= 2, to_close))
+
+    def shortfall(self) -> DataFrame:
+        """Found and wanted markets of each category that has any listing selected."""
+        dimension = self.selected.select("tag_id", "classifier_label", "tag_slug").distinct()
+        return shortfall(self.selected, dimension, "tag_id", self.cfg.per_category)
+
+    def coverage(self) -> DataFrame:
+        """One row: how many price lines of the selection have any print in the window."""
+        return self.features.agg(
+            F.count_if(F.col("clob_points_raw") > 0).alias("lines_with_data"),
+            F.count(F.lit(1)).alias("lines_total"),
+        )
 
     def scaled_features(self) -> DataFrame:
         own = self._with_market_columns(list(ACTIVE_FEATURES)).select(*IDENTITY, *ACTIVE_FEATURES)
@@ -187,8 +213,8 @@ class ActiveTables:
         cfg = self.cfg
         books = [*BOOK_COLUMNS, "ob_timestamp_ms"]
         heads = self._with_market_columns(books)
-        body = self.grid.drop("start_ts", "price_norm_anchor")
-        rows = G.with_placeholders(heads, body, ["market_id"], "no_clob_in_window")
+        body = self.grid.drop("start_ts", "price_norm_anchor").withColumnRenamed("market_id", "line")
+        rows = G.with_placeholders(heads, body, ["line"], "no_clob_in_window")
         return rows.withColumns(
             {
                 "timestamp_iso": iso_of_seconds(F.col("unix_ts")),
@@ -201,33 +227,35 @@ class ActiveTables:
 
 
 def build(listing: DataFrame, points: DataFrame, books: DataFrame | None, cfg: ActiveSettings) -> ActiveTables:
-    """All outputs as lazy tables over one staged selection.
+    """All outputs as tables over one staged selection; the staging jobs run here.
 
     ``listing`` is one row per (market, tag) with the category columns, ``points`` the price
     history, ``books`` one snapshot per token. Three tables feed several branches and are written
     once: the selection and the features (one row per selected market) and the buckets (at most
     one row per selected market and step). The counted selection is the size bound that later
-    joins check before they broadcast it. Per-market work runs once even if a market has several
-    categories.
+    joins check before they broadcast it. History work runs once per distinct token and start.
     """
     prepare(listing.sparkSession)
     selected = staged(select_markets(listing, cfg), "selected")
-    markets = selected.select("market_id", "token_id", "start_ts", "end_ts").dropDuplicates(["market_id"])
+    markets = price_lines(selected)
     n = selected.count()
     buckets = staged(market_buckets(points, markets, n, cfg), "buckets")
     grid = market_grid(markets, buckets, cfg)
-    features = staged(market_features(markets, n, buckets, grid, books, cfg), "features")
+    features = staged(market_features(markets, n, buckets, books, cfg), "features")
     return ActiveTables(selected, grid, features, n, cfg)
 
 
 def run(listing: DataFrame, points: DataFrame, books: DataFrame | None, cfg: ActiveSettings, out: str) -> None:
     """Publish raw grid, metadata and scaled features under ``out``; empty tables keep their schema."""
-    spark = listing.sparkSession
+    spark, mark = listing.sparkSession, staged_mark()
     tables = build(listing, points, books, cfg)
     scaled, metadata = tables.scaled_features(), tables.metadata()
     require_aligned(scaled, metadata, ["market_id", "tag_id"])
+    publish(tables.shortfall(), f"{out}/shortfall")
+    publish(tables.coverage(), f"{out}/coverage")
     publish(tables.raw_grid(), f"{out}/raw_grid")
     publish(metadata, f"{out}/metadata")
     if scaled.isEmpty():
         scaled = spark.createDataFrame([], FEATURES)
     publish(scaled, f"{out}/features")
+    drop_staged(spark, mark)

@@ -9,18 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions.lenient import blank_to_null, to_double
-from tapeloom.functions.timegrid import MINUTE, iso_of_seconds, iso_utc
+from tapeloom.functions.timegrid import HOUR, MINUTE, iso_of_seconds, iso_utc
 from tapeloom.operators.closedfeatures import closed_features
-from tapeloom.operators.history import dedupe_history, merge_resolutions
+from tapeloom.operators.history import MERGE_TAIL_SECONDS, dedupe_history, merge_resolutions, sparse_markets
 from tapeloom.operators.scaling import zscore
-from tapeloom.operators.selection import closed_candidates, select_closed_markets
+from tapeloom.operators.selection import closed_candidates, select_closed_markets, shortfall
 from tapeloom.operators.series import as_of_labels
 from tapeloom.operators.streaks import (
     FOUND, SEGMENT_HOURS, SKEW_HIGH, SKEW_LOOKBACK_HOURS, SKEW_LOW,
     detect_streaks, prints_in_segment, segment_note,
 )
 from tapeloom.schemas import CLOSED_FEATURES
-from tapeloom.session import join_small, prepare, staged
+from tapeloom.session import drop_staged, join_small, prepare, staged, staged_mark
 from tapeloom.sinks.publish import publish, require_aligned
 
 
@@ -30,7 +30,8 @@ class ClosedSettings:
 
     as_of: datetime
     per_sport: int = 20
-    max_scan: int = 2500
+    # Paging limit of a remote listing; none by default: all listings are looked at.
+    max_scan: int | None = None
     lookback_hours: float = 72.0
     minute_grid: bool = False
     within_days: float = 30.0
@@ -81,7 +82,7 @@ def trade_context() -> list[Column]:
 
 @dataclass(frozen=True)
 class ClosedTables:
-    """Lazy outputs; ``features`` are unscaled."""
+    """Outputs over staged tables; ``features``, ``streaks`` and ``segment`` are per ``line``."""
 
     selected: DataFrame
     features: DataFrame
@@ -91,8 +92,10 @@ class ClosedTables:
 
     def feature_rows(self) -> DataFrame:
         """One row per selected market, features missing where the market cannot be described."""
-        heads = self.selected.select("market_id", "sport", F.col("resolved_yes").cast("int").alias("resolved_yes"))
-        return heads.join(self.features, "market_id", "left").select(
+        heads = self.selected.select(
+            "line", "market_id", "sport", F.col("resolved_yes").cast("int").alias("resolved_yes")
+        )
+        return heads.join(self.features, "line", "left").select(
             "market_id", "sport", "resolved_yes", *CLOSED_FEATURES
         )
 
@@ -100,7 +103,7 @@ class ClosedTables:
         return zscore(self.feature_rows(), list(CLOSED_FEATURES))
 
     def metadata(self) -> DataFrame:
-        heads = self.selected.join(self.streaks, "market_id", "left")
+        heads = self.selected.join(self.streaks, "line", "left")
         return heads.select(
             *metadata_columns(F.col("sport"), F.col("title_used")),
             F.col("status").alias("skew_segment_status"),
@@ -111,8 +114,8 @@ class ClosedTables:
     def raw_segments(self) -> DataFrame:
         """Segment prints; a market without any keeps one row that says why."""
         found = F.col("status") == FOUND
-        heads = self.selected.join(self.streaks, "market_id").select(
-            "market_id", "sport", F.col("title_used").alias("question"), "primary_outcome",
+        heads = self.selected.join(self.streaks, "line").select(
+            "line", "market_id", "sport", F.col("title_used").alias("question"), "primary_outcome",
             iso_utc(F.col("start_ts")).alias("gamma_listing_start_iso"),
             iso_utc(F.col("end_ts")).alias("gamma_listing_end_iso"),
             F.coalesce(iso_of_seconds(F.col("segment_start")), F.lit("")).alias("inferred_game_start_iso"),
@@ -123,7 +126,7 @@ class ClosedTables:
             *trade_context(),
         )
         rows = self.segment.select(
-            "market_id",
+            "line",
             iso_of_seconds(F.col("t")).alias("timestamp_iso"),
             F.col("t").alias("unix_ts"),
             F.col("price").alias("price_primary_token"),
@@ -131,14 +134,51 @@ class ClosedTables:
             "seconds_until_window_end",
         )
         note = segment_note(F.col("skew_segment_status"), F.col("unix_ts").isNotNull())
-        return heads.join(rows, "market_id", "left").withColumn("note", note)
+        return heads.join(rows, "line", "left").withColumn("note", note).drop("line")
+
+
+def _reach_back(cfg: ClosedSettings) -> int:
+    """Seconds before an end time from which any step reads points."""
+    hours = max(cfg.merge_hours, cfg.skew_lookback_hours + cfg.segment_hours)
+    return int(hours * HOUR) + MINUTE
+
+
+def selected_history(points: DataFrame, markets: DataFrame, n: int, cfg: ClosedSettings) -> DataFrame:
+    """Points of the selected tokens, written once.
+
+    The main read takes the hourly and minute points between two constant times, so the bound
+    reaches the scan. A second read fetches the older and later hourly points of the sparse
+    markets alone, which need their whole hourly history.
+    """
+    ends = markets.agg(F.min(F.unix_seconds("end_ts")), F.max(F.unix_seconds("end_ts"))).first()
+    low, high = (ends[0] or 0) - _reach_back(cfg), (ends[1] or 0) + MERGE_TAIL_SECONDS
+    inside = (F.col("t") >= low) & (F.col("t") <= high)
+    wanted = markets.select("token_id").distinct()
+    near = staged(
+        join_small(
+            points.where(inside & F.col("resolution").isin("1h", "1m") & F.col("price").isNotNull()),
+            wanted, ["token_id"], "left_semi", n,
+        ),
+        "closed-points",
+    )
+    sparse = sparse_markets(near, markets, cfg.merge_hours, n)
+    tokens = staged(
+        markets.join(sparse, "market_id", "left_semi").select("token_id").distinct(), "sparse-tokens"
+    )
+    if tokens.isEmpty():
+        return near
+    far = join_small(
+        points.where(~inside & (F.col("resolution") == "1h") & F.col("price").isNotNull()),
+        tokens, ["token_id"], "left_semi", n,
+    )
+    return near.unionByName(staged(far, "closed-far-points"))
 
 
 def build(events: DataFrame, listing: DataFrame, points: DataFrame, sports: DataFrame, cfg: ClosedSettings) -> ClosedTables:
-    """All outputs as lazy tables over one staged selection.
+    """All outputs as tables over one staged selection; the staging jobs run here.
 
-    A market picked for two sports would be two rows with the same id; markets are worked on once
-    and joined back, so such rows share their history results.
+    Work on histories is per selected row (market and sport), whose key ``line`` stands as
+    ``market_id`` in the operators: one id may be listed with other tokens and times elsewhere.
     """
     prepare(listing.sparkSession)
     candidates = closed_candidates(events, listing, sports, cfg.max_scan)
@@ -149,14 +189,15 @@ def build(events: DataFrame, listing: DataFrame, points: DataFrame, sports: Data
         ),
         "closed-selected",
     )
+    selected = selected.withColumn("line", F.concat_ws("|", "market_id", "sport"))
     # The counted selection is the size bound that later joins check before they broadcast it.
     n = selected.count()
-    markets = selected.select("market_id", "token_id", "start_ts", "end_ts", "volume_num").dropDuplicates(["market_id"])
-    merged = merge_resolutions(points, markets, cfg.merge_hours, n)
-    features = closed_features(merged, markets, max_markets=n)
-    wanted = markets.select("token_id").distinct()
-    hourly = join_small(points.where("resolution = '1h'"), wanted, ["token_id"], "left_semi", n)
-    minute = join_small(points.where("resolution = '1m'"), wanted, ["token_id"], "left_semi", n)
+    markets = selected.select(F.col("line").alias("market_id"), "token_id", "start_ts", "end_ts", "volume_num")
+    history = selected_history(points, markets, n, cfg)
+    merged = merge_resolutions(history, markets, cfg.merge_hours, n)
+    features = staged(closed_features(merged, markets, max_markets=n), "closed-features")
+    hourly = history.where("resolution = '1h'")
+    minute = history.where("resolution = '1m'")
     streaks = detect_streaks(
         dedupe_history(hourly, ["token_id"]), markets, cfg.segment_hours, cfg.skew_high,
         cfg.skew_low, cfg.skew_lookback_hours, n,
@@ -166,7 +207,8 @@ def build(events: DataFrame, listing: DataFrame, points: DataFrame, sports: Data
     segment = prints_in_segment(dedupe_history(minute, ["token_id"]), bounded, n)
     if cfg.minute_grid:
         segment = _minute_rows(segment, bounded, n)
-    return ClosedTables(selected, features, streaks, segment, cfg)
+    by_line = [t.withColumnRenamed("market_id", "line") for t in (features, streaks, segment)]
+    return ClosedTables(selected, *by_line, cfg)
 
 
 def _minute_rows(segment: DataFrame, bounded: DataFrame, max_markets: int) -> DataFrame:
@@ -186,6 +228,7 @@ def _minute_rows(segment: DataFrame, bounded: DataFrame, max_markets: int) -> Da
 
 def run(events: DataFrame, listing: DataFrame, points: DataFrame, sports: DataFrame, cfg: ClosedSettings, out: str) -> None:
     """Publish scaled features, metadata and segment rows under ``out``."""
+    mark = staged_mark()
     tables = build(events, listing, points, sports, cfg)
     if tables.selected.isEmpty():
         raise ValueError("no closed match-up passed the filters")
@@ -194,3 +237,6 @@ def run(events: DataFrame, listing: DataFrame, points: DataFrame, sports: DataFr
     publish(scaled, f"{out}/features")
     publish(metadata, f"{out}/metadata")
     publish(tables.raw_segments(), f"{out}/raw_segments")
+    wanted = sports.select("sport").distinct()
+    publish(shortfall(tables.selected, wanted, "sport", cfg.per_sport), f"{out}/shortfall")
+    drop_staged(events.sparkSession, mark)

@@ -7,84 +7,103 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Most rows a side may have, proven before the job runs, to be sent to every executor.
-BROADCAST_ROW_LIMIT = 200_000
-# How many ways the rows of one hot key are spread in a salted join or a two-stage ranking.
-DEFAULT_SALTS = 16
+# Settings a session should be created with. The clock is UTC. Series are unfolded after their
+# shuffle, so the bytes of a shuffle partition understate its work and small partitions are not
+# merged down to one.
+SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+}
+# Bytes a text or nested value is taken to have where a row's width is estimated.
+WIDE_VALUE = 64
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Session settings the operators count on.
-
-    The clock is UTC. Top-N filters reach below the shuffle for the scan caps in use. Series are
-    unfolded after their shuffle, so the bytes of a shuffle partition understate its work and
-    small partitions are not merged down to one.
-    """
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
-    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "5000")
+    """Times are read in UTC; a session with another clock is switched, nothing else is changed."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 
+_local_scratch: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
     A machine-local folder is used only where the setting is absent and Spark runs in one
-    local JVM, as in tests.
+    local JVM, as in tests; on a cluster the missing setting is an error.
     """
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if path is None:
-        if not sc.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        path = tempfile.mkdtemp(prefix="tapeloom-")
-        sc.setCheckpointDir(path)
+        if not _local_scratch:
+            _local_scratch.append(tempfile.mkdtemp(prefix="tapeloom-"))
+        path = _local_scratch[0]
     return path.rstrip("/")
 
 
-def dealt_out(scan: DataFrame) -> DataFrame:
-    """A scan with fewer splits than cores is dealt out over the cores; any other is left alone.
-
-    A small file with one row group is one split however many cores there are, and what follows a
-    scan here (parsing, ranking, partial aggregation) is worth more than moving a small file.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+_staged: list[str] = []
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the files.
 
     Used where one result feeds several branches or many iterations: the lineage is cut by a
-    table that outlives any executor.
+    table that outlives any executor. This runs a job; :func:`drop_staged` deletes the tables.
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _staged.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged_mark() -> int:
+    """A mark for :func:`drop_staged`: tables staged from now on."""
+    return len(_staged)
+
+
+def drop_staged(spark: SparkSession, mark: int = 0) -> None:
+    """Delete the tables staged by this process since ``mark``; their frames can no longer be read."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _staged[mark:]:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(hadoop).delete(where, True)
+    del _staged[mark:]
+
+
+def row_bytes(schema: T.StructType) -> int:
+    """Estimated width of a row: 8 bytes for a number, ``WIDE_VALUE`` for any other value."""
+    narrow = (T.NumericType, T.BooleanType, T.DatetimeType)
+    return sum(8 if isinstance(f.dataType, narrow) else WIDE_VALUE for f in schema)
+
+
+def broadcast_bytes(spark: SparkSession) -> int:
+    """The session's own bound on a table sent to every executor; -1 where it is off."""
+    return spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
 def join_small(
     big: DataFrame,
     small: DataFrame,
     on: list[str],
     how: str = "inner",
     max_rows: int | None = None,
-    spread_by: list[str] | None = None,
-    salts: int = DEFAULT_SALTS,
 ) -> DataFrame:
     """Join many rows per key (``big``) to at most a few rows per key (``small``).
 
     ``max_rows`` is an upper bound on ``small`` known before the job runs (the counted selection,
-    a fixed dimension). At or under ``BROADCAST_ROW_LIMIT`` the small side is
-    broadcast. Otherwise both sides are shuffled with a salt, so the rows of one hot key go to
-    ``salts`` tasks: ``spread_by`` names the columns of ``big`` that vary within a key.
+    a fixed dimension). Where that many rows of its width stay within the session's broadcast
+    bound, the small side is broadcast and ``big`` is not shuffled. Otherwise both sides are
+    shuffled by the key, and adaptive execution measures them: it still broadcasts a side that
+    proves small, and splits partitions of a hot key.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"join type {how!r} cannot replicate the small side")
-    if max_rows is not None and max_rows <= BROADCAST_ROW_LIMIT:
-        return big.join(F.broadcast(small), on, how)
-    spread = spread_by or [c for c in big.columns if c not in on]
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    if max_rows is not None:
+        if max_rows * row_bytes(small.schema) <= broadcast_bytes(big.sparkSession):
+            return big.join(F.broadcast(small), on, how)
+    return big.join(small, on, how)

@@ -13,30 +13,55 @@ def _paths(spark: SparkSession, path: str):
     return jvm_path, jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+POINTER = "_current"
+
+
 def publish(df: DataFrame, path: str, fmt: str = "parquet") -> str:
-    """Write next to ``path``, then switch the finished folder into place.
+    """Write a new version below ``path`` and switch the pointer to it; returns the version's folder.
 
-    Executors write the staging folder in parallel; a job that fails leaves the old table as it
-    was. The previous version is set aside before the switch and dropped after it, so for the
-    moment between the two renames there is no table, but never half of one.
+    Executors write the version in parallel under a name of its own. Then one small file,
+    ``_current``, is replaced by one that names it; readers resolve it with :func:`current`. A job
+    that fails before that leaves the old version in place. Older versions but the last one are
+    dropped afterwards, so a reader that has just resolved the pointer still finds its files.
     """
     spark = df.sparkSession
-    token = uuid.uuid4().hex
-    stage, old = f"{path}.staging-{token}", f"{path}.previous-{token}"
+    version = f"{path.rstrip('/')}/v-{uuid.uuid4().hex}"
     writer = df.write.option("header", True) if fmt == "csv" else df.write
-    writer.format(fmt).save(stage)
+    writer.format(fmt).save(version)
+    before = current(spark, path, missing_ok=True)
+    _write_text(spark, f"{path.rstrip('/')}/{POINTER}", version.rsplit("/", 1)[1])
+    root, files = _paths(spark, path)
+    keep = {version.rsplit("/", 1)[1], before.rsplit("/", 1)[1] if before else ""}
+    for entry in files.listStatus(root):
+        name = entry.getPath().getName()
+        if name.startswith("v-") and name not in keep:
+            files.delete(entry.getPath(), True)
+    return version
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replace one small file; file systems put the new content in place when it is closed."""
     target, files = _paths(spark, path)
-    staged_path, old_path = _paths(spark, stage)[0], _paths(spark, old)[0]
-    had_old = files.exists(target)
-    if had_old and not files.rename(target, old_path):
-        raise OSError(f"cannot set aside {path}")
-    if not files.rename(staged_path, target):
-        if had_old:
-            files.rename(old_path, target)
-        raise OSError(f"cannot publish {path}")
-    if had_old:
-        files.delete(old_path, True)
-    return path
+    out = files.create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def current(spark: SparkSession, path: str, missing_ok: bool = False) -> str | None:
+    """The folder of the published version of ``path``."""
+    pointer, files = _paths(spark, f"{path.rstrip('/')}/{POINTER}")
+    if not files.exists(pointer):
+        if missing_ok:
+            return None
+        raise FileNotFoundError(f"nothing is published at {path}")
+    stream = files.open(pointer)
+    try:
+        name = bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+    return f"{path.rstrip('/')}/{name}"
 
 
 def publish_ids(df: DataFrame, path: str, column: str = "market_id") -> str:

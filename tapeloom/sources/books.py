@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeloom.functions.books import book_side, book_summary
 from tapeloom.operators.once import with_evaluated
@@ -18,6 +19,11 @@ def read_books(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BOOK).json(path)
 
 
+def read_token_books(spark: SparkSession, path: str) -> DataFrame:
+    """Landed books that name their token, as the jobs read them."""
+    return spark.read.schema(T.StructType([T.StructField("token_id", T.StringType()), *BOOK.fields])).json(path)
+
+
 def parse_books(payloads: DataFrame, column: str, keep: list[str]) -> DataFrame:
     parsed = with_evaluated(payloads.select(*keep, column), {"b": F.from_json(F.col(column), BOOK)})
     return parsed.select(*keep, "b.*")
@@ -38,13 +44,18 @@ def summarize_books(books: DataFrame, top_n: int = TOP_LEVELS) -> DataFrame:
 
 
 def books_from_levels(levels: DataFrame, order: list[str], top_n: int = TOP_LEVELS) -> DataFrame:
-    """Snapshots with ``bids``/``asks`` arrays from one row per level.
+    """The latest snapshot of each token with ``bids``/``asks`` arrays from one row per level.
 
-    Only the first ``top_n`` levels of a side are ever collected, so an array is bounded however
-    many levels a token has.
+    A snapshot is a token's levels of one ``timestamp``, the latest by number. Only the first
+    ``top_n`` levels of a side are ever collected, so an array is bounded however many levels a
+    token has; summarise such books with the same ``top_n``, or with :func:`summarize_levels`.
     """
+    latest = levels.groupBy("token_id").agg(F.max(F.col("timestamp").cast("decimal(38,0)")).alias("_latest"))
+    current = levels.join(latest, "token_id").where(
+        F.col("timestamp").cast("decimal(38,0)").eqNullSafe(F.col("_latest"))
+    )
     first = top_n_per_group(
-        levels, ["token_id", "side"], [F.col(c) for c in order], top_n, "level", order
+        current.drop("_latest"), ["token_id", "side"], [F.col(c) for c in order], top_n, "level", order
     )
     level = F.struct(
         "level", F.col("price").cast("string").alias("price"), F.col("size").cast("string").alias("size")
@@ -61,5 +72,10 @@ def books_from_levels(levels: DataFrame, order: list[str], top_n: int = TOP_LEVE
     return first.groupBy("token_id").agg(
         side("bid").alias("bids"),
         side("ask").alias("asks"),
-        F.max(F.col("timestamp").cast("string")).alias("timestamp"),
+        F.max(F.col("timestamp").cast("decimal(38,0)")).cast("string").alias("timestamp"),
     )
+
+
+def summarize_levels(levels: DataFrame, order: list[str], top_n: int = TOP_LEVELS) -> DataFrame:
+    """Summary of each token's latest snapshot, with one depth for collecting and summing."""
+    return summarize_books(books_from_levels(levels, order, top_n), top_n)

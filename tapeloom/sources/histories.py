@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeloom.functions.lenient import to_double
 from tapeloom.operators.once import with_evaluated
@@ -15,6 +16,24 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(HISTORY).json(path)
 
 
+def landed_points(spark: SparkSession, path: str) -> DataFrame:
+    """The points the jobs read: token_id, resolution, extract_ord, t, price.
+
+    Payloads lie in folders ``resolution=...``, one JSON object per line with the token, the number
+    of its extract, and ``history`` as an array of points; unreadable points are left out.
+    """
+    fields = [
+        T.StructField("token_id", T.StringType()),
+        T.StructField("extract_ord", T.LongType()),
+        *HISTORY.fields,
+        T.StructField("resolution", T.StringType()),
+    ]
+    rows = spark.read.schema(T.StructType(fields)).json(path)
+    keep = ["token_id", "resolution", "extract_ord"]
+    points = rows.select(*keep, F.inline(_points(_parsed(F.col("history")))))
+    return points.select(*keep, "t", "price")
+
+
 def _parsed(texts: Column) -> Column:
     return F.transform(texts, lambda text: F.from_json(text, POINT))
 

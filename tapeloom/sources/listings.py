@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tapeloom.functions.lenient import blank_to_null, strip
+from tapeloom.functions.lenient import blank_to_null, strip, to_timestamp
 from tapeloom.operators.once import with_evaluated
 from tapeloom.schemas import EVENT, MARKET
 
@@ -18,6 +19,26 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVENT).json(path)
 
 
+def landed_markets(spark: SparkSession, path: str, categories: DataFrame) -> DataFrame:
+    """The listing the jobs read, from folders ``tag_id=...`` of market payloads.
+
+    ``categories`` is the dimension (tag_id, and the columns that name a category); listings of
+    tags outside it are left out.
+    """
+    rows = spark.read.schema(T.StructType([*MARKET.fields, T.StructField("tag_id", T.StringType())])).json(path)
+    return rows.join(categories, "tag_id")
+
+
+def landed_events(spark: SparkSession, path: str) -> DataFrame:
+    """Events with event_id, end_ts, title, series_id and nested markets, from landed payloads."""
+    schema = T.StructType([*EVENT.fields, T.StructField("id", T.StringType()), T.StructField("endDate", T.StringType())])
+    rows = spark.read.schema(schema).json(path)
+    return rows.select(
+        F.col("id").alias("event_id"), to_timestamp(F.col("endDate")).alias("end_ts"),
+        "title", "series_id", "markets",
+    )
+
+
 def parse_events(payloads: DataFrame, column: str) -> DataFrame:
     """Event rows from JSON text, beside the other columns."""
     parsed = with_evaluated(payloads, {"e": F.from_json(F.col(column), EVENT)})

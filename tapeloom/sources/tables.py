@@ -9,15 +9,18 @@ from pyspark.sql import types as T
 from tapeloom.functions.lenient import no_nan
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType, line_breaks: bool = False
+) -> DataFrame:
     """CSV with a header and a declared schema; NaN cells become NULL.
 
-    Text fields may hold line breaks inside quotes.
+    Files are split over tasks. ``line_breaks`` allows breaks inside quoted text, at the price of
+    one task per file.
     """
     rows = (
         spark.read.schema(schema)
         .option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", line_breaks)
         .option("escape", '"')
         .option("enforceSchema", False)
         .csv(path)

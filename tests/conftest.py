@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from tapeloom.session import prepare  # noqa: E402
+from tapeloom.session import SETTINGS, prepare  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -19,6 +19,7 @@ def spark():
         .config("spark.driver.memory", "4g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config(map=SETTINGS)
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from catalog import queries as CQ
 from catalog import tables as X
+from tapeloom.sinks.publish import current
 from tapeloom.operators import networks as N
 from tapeloom.operators import selection as S
 from tapeloom.plans import active, closed, components, embeddings
@@ -23,7 +24,7 @@ def published(spark, sf, tmp_path_factory):
 
 
 def read(spark, path):
-    return spark.read.parquet(path)
+    return spark.read.parquet(current(spark, path))
 
 
 def test_active_outputs(spark, published):
@@ -76,7 +77,7 @@ def test_component_report(spark, published, tmp_path):
     kept = features.where("lower(classifier_label) IN ('building', 'furniture')").join(excluded, "market_id", "left_anti")
     points = read(spark, f"{tmp_path}/points")
     assert points.count() == kept.count()
-    dropped = spark.read.text(f"{tmp_path}/dropped_ids").count()
+    dropped = spark.read.text(current(spark, f"{tmp_path}/dropped_ids")).count()
     assert dropped == features.where("lower(classifier_label) NOT IN ('building', 'furniture')").count()
     scree = read(spark, f"{tmp_path}/scree")
     assert scree.count() == 19 and abs(scree.agg(F.max("cumulative_ratio")).first()[0] - 1) < 1e-9
@@ -92,12 +93,41 @@ def test_component_report(spark, published, tmp_path):
 
 def test_embedding_job_reads_the_published_grid(spark, published, tmp_path):
     out, _ = published
-    order = {label: i for i, (label, _, _) in enumerate(X.CATEGORIES)}
-    position = F.create_map(*[F.lit(v) for pair in order.items() for v in pair])
-    raw = read(spark, f"{out}/raw_grid").withColumn("category_ord", position[F.col("classifier_label")])
-    cfg = embeddings.EmbeddingSettings(mode="all", training=N.Training(h1=6, h2=4, epochs=2))
+    raw = read(spark, f"{out}/raw_grid")
+    cfg = embeddings.EmbeddingSettings(
+        mode="all", training=N.Training(h1=6, h2=4, epochs=2), categories=X.CATEGORIES
+    )
     embeddings.run(raw, cfg, str(tmp_path))
     sizes = {kind: read(spark, f"{tmp_path}/{kind}_embeddings").count() for kind in ("ae", "semi", "cvae")}
     kept = raw.where("price_yes IS NOT NULL").groupBy("market_id").agg(F.countDistinct("lookback_step").alias("n"))
     assert set(sizes.values()) == {kept.where("n >= 8").count()}
     assert read(spark, f"{tmp_path}/cvae_metrics").first().mse > 0
+
+
+def test_one_id_under_two_categories_with_other_payloads(spark, sf):
+    """Each listed row is described by its own token, times and book."""
+    row = dict(id="m", question="q", startDate="2024-01-20T00:00:00Z", volumeNum="9", liquidityNum="9",
+               volume="1", liquidityClob="1")
+    one = {**row, "clobTokenIds": '["x"]', "endDate": "2024-02-01T00:00:00Z", "tag_id": "1", "classifier_label": "A", "tag_slug": "a", "category_ord": 0}
+    two = {**row, "clobTokenIds": '["y"]', "endDate": "2024-03-01T00:00:00Z", "tag_id": "2", "classifier_label": "B", "tag_slug": "b", "category_ord": 1}
+    listing = spark.createDataFrame([one, two])
+    base = 1706600000
+    points = spark.createDataFrame(
+        [(tok, "1m", i, base + i * 1800, p + i / 100) for tok, p in (("x", 0.1), ("y", 0.8)) for i in range(4)],
+        "token_id string, resolution string, extract_ord bigint, t bigint, price double",
+    )
+    cfg = active.ActiveSettings(as_of=X.AS_OF, min_volume=0.0, min_liquidity=0.0)
+    tables = active.build(listing, points, None, cfg)
+    rows = {r.tag_id: r for r in tables.metadata().collect()}
+    assert (rows["1"].price_norm_anchor, rows["2"].price_norm_anchor) == (0.1, 0.8)
+    assert (rows["1"].feat_time_to_close_hours, rows["2"].feat_time_to_close_hours) == (24.0, 720.0)
+    grid = tables.raw_grid().where("price_yes IS NOT NULL").groupBy("tag_id").agg(F.min("price_yes").alias("p")).collect()
+    assert {r.tag_id: r.p for r in grid} == {"1": 0.1, "2": 0.8}
+
+
+def test_jobs_report_shortfall_and_coverage(spark, published):
+    out, _ = published
+    short = read(spark, f"{out}/shortfall")
+    assert {"classifier_label", "found", "wanted", "short"} <= set(short.columns) and short.count() > 0
+    seen = read(spark, f"{out}/coverage").first()
+    assert 0 < seen.lines_with_data <= seen.lines_total

@@ -20,7 +20,7 @@ def test_top_markets_skip_refused_rows_and_keep_order(spark):
         ("1", "a", "900", ["ta"]), ("1", "b", "800", None), ("1", " c ", "700", ["tc"]), ("1", "d", "600", ["td"]),
         ("1", " ", "950", ["tx"]), ("1", "e", "n/a", ["te"]), ("2", "a", "900", ["ta"]), ("1", "f", "500", ["tf"]),
     ])
-    rows = S.top_markets_per_category(df, 3, 2000, 550, 0).orderBy("tag_id", "pick").collect()
+    rows = S.top_markets_per_category(df, 3, 550, 0).orderBy("tag_id", "pick").collect()
     assert [(r.tag_id, r.market_id, r.token_id, r.pick) for r in rows] == [
         ("1", "a", "ta", 1), ("1", "c", "tc", 2), ("1", "d", "td", 3), ("2", "a", "ta", 1)
     ]
@@ -28,14 +28,14 @@ def test_top_markets_skip_refused_rows_and_keep_order(spark):
 
 def test_repeated_listing_counts_once(spark):
     df = listing(spark, [("1", "a", "900", ["x"]), ("1", "a", "800", ["y"]), ("1", "b", "700", ["z"])])
-    rows = S.top_markets_per_category(df, 2, 2000, 0, 0).orderBy("pick").collect()
+    rows = S.top_markets_per_category(df, 2, 0, 0).orderBy("pick").collect()
     assert [(r.market_id, r.token_id) for r in rows] == [("a", "x"), ("b", "z")]
 
 
 def test_scan_cap_counts_refused_rows(spark):
     df = listing(spark, [("1", f"{i:04d}", str(10_000 - i), ["t"] if i >= 150 else None) for i in range(260)])
-    assert S.top_markets_per_category(df, 500, 150, 0, 0).count() == 50  # 150 rounds up to 200
-    assert S.top_markets_per_category(df, 500, 100, 0, 0).count() == 0
+    assert S.top_markets_per_category(df, 500, 0, 0, 150).count() == 50  # 150 rounds up to 200
+    assert S.top_markets_per_category(df, 500, 0, 0, 100).count() == 0
 
 
 def test_shortfall(spark):
@@ -79,7 +79,7 @@ def pick(spark, events, markets, per_sport=20, **window):
     ).withColumn("end_ts", F.to_timestamp("e"))
     ls = spark.createDataFrame(markets, MARKET).withColumn("tag_id", F.lit("745"))
     as_of = F.to_timestamp(F.lit("2024-01-31 00:00:00"))
-    rows = S.select_closed_markets(S.closed_candidates(ev, ls, sports, 2500), per_sport, as_of, **window)
+    rows = S.select_closed_markets(S.closed_candidates(ev, ls, sports), per_sport, as_of, **window)
     return [r.market_id for r in rows.orderBy("pick").collect()]
 
 

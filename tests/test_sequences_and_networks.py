@@ -22,7 +22,7 @@ def test_last_category_wins_even_without_a_price(spark):
     ])
     steps = Q.dedupe_steps(df, "lookback_step", ORDER)
     assert sorted((r.step, r.price_yes, r.classifier_label) for r in steps.collect()) == [(0, None, "B"), (1, 0.3, "A")]
-    assert Q.market_labels(steps).first().classifier_label == "A"
+    assert Q.market_labels(df, "lookback_step", ORDER).first().classifier_label == "A"
 
 
 def test_paths_cover_steps_of_dropped_markets(spark):
@@ -192,3 +192,54 @@ def test_embedding_tables(spark):
     cvae, _ = E.embed(seq, "cvae", cfg)
     assert cvae.columns[-1] == "latent_is_cvae_mu" and cvae.count() == 12
     assert cfg.training_for("cvae").epochs == 1 and cfg.training_for("ae").epochs == 2
+
+
+@pytest.mark.parametrize("kind", ["ae", "semi", "cvae"])
+def test_one_task_is_the_plain_mini_batch_loop(spark, kind):
+    """The rule restated: shuffled batches of 64, mean gradients, decay, clip, bound."""
+    cfg = N.Training(h1=8, h2=4, latent=2, epochs=5, learning_rate=0.05)
+    rows = vectors(spark, n=150)
+    fitted = N.fit(kind, rows, cfg, 3)
+    held = sorted(rows.collect(), key=lambda r: r.row_key)
+    x = np.array([r.x for r in held])
+    labels = np.array([r.label_class_index for r in held])
+    keys = np.array([r.row_key for r in held])
+    model = N.ConditionalVae.fresh(6, cfg, 3) if kind == "cvae" else N.Autoencoder.fresh(6, cfg, 3 if kind == "semi" else 0)
+    for epoch in range(5):
+        order = N.batch_order(keys, cfg.seed, epoch)
+        for at in range(0, 150, 64):
+            take = order[at : at + 64]
+            grads = model.gradients(x[take], labels[take], keys[take], len(take), epoch)
+            decayed = [w + cfg.l2 * layer.weight for layer, (w, _) in zip(model.layers(), grads)]
+            norm = np.sqrt(sum((w**2).sum() for w in decayed))
+            rate = cfg.learning_rate * min(1.0, 5.0 / norm)
+            for layer, w, (_, b) in zip(model.layers(), decayed, grads):
+                layer.weight = layer.weight - rate * w
+                layer.bias = layer.bias - rate * b
+                if not layer.free:
+                    layer.weight = np.clip(layer.weight, -4, 4)
+    for a, b in zip(fitted.layers(), model.layers()):
+        assert np.allclose(a.weight, b.weight) and np.allclose(a.bias, b.bias)
+
+
+def test_several_tasks_average_their_weights(spark):
+    cfg = N.Training(h1=8, h2=4, latent=2, epochs=30, learning_rate=0.05, task_rows=40, round_epochs=3)
+    rows = vectors(spark, n=150)
+    a, b = N.fit("ae", rows, cfg), N.fit("ae", rows.repartition(7), cfg)
+    assert all(np.allclose(p.weight, q.weight) for p, q in zip(a.layers(), b.layers()))
+    start = N.Autoencoder.fresh(6, cfg)
+    assert N.metrics(a, rows).first().mse < N.metrics(start, rows).first().mse
+
+
+def test_batch_order_is_a_shuffle_of_keys():
+    keys = np.arange(1000, dtype=np.int64)
+    one, two = N.batch_order(keys, 42, 0), N.batch_order(keys, 42, 1)
+    assert sorted(one) == list(range(1000)) and (one != two).any()
+    turned = N.batch_order(keys[::-1].copy(), 42, 0)
+    assert (keys[::-1][turned] == keys[one]).all()
+
+
+def test_published_grids_get_their_category_order(spark):
+    df = spark.createDataFrame([("Tech",), ("Sports",), ("Other",), ("Another",)], "classifier_label string")
+    rows = E.with_category_order(df, E.EmbeddingSettings()).orderBy("category_ord").collect()
+    assert [r.classifier_label for r in rows] == ["Sports", "Tech", "Another", "Other"]

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from tapeloom.functions.books import book_features
 from tapeloom.schemas import FEATURES
 from tapeloom.session import join_small, shared_dir, staged
-from tapeloom.sinks.publish import alignment, publish, publish_ids, require_aligned
+from tapeloom.sinks.publish import alignment, current, publish, publish_ids, require_aligned
 from tapeloom.sources import books as B
 from tapeloom.sources import histories as H
 from tapeloom.sources import idlists, listings
@@ -88,7 +88,7 @@ def test_id_lists(spark, tmp_path):
 def test_csv_reads_nan_and_line_breaks(spark, tmp_path):
     schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("q", T.StringType()), T.StructField("v", T.DoubleType())])
     (tmp_path / "a.csv").write_text('id,q,v\n1,"two\nlines, ""so""",1.5\n2,,NaN\n3,x,\n')
-    rows = read_csv(spark, str(tmp_path / "a.csv"), schema).orderBy("id").collect()
+    rows = read_csv(spark, str(tmp_path / "a.csv"), schema, line_breaks=True).orderBy("id").collect()
     assert [(r.q, r.v) for r in rows] == [('two\nlines, "so"', 1.5), (None, None), ("x", None)]
     with pytest.raises(ValueError):
         require_columns(spark.range(1), {"id", "other"})
@@ -98,15 +98,19 @@ def test_publish_replaces_whole_tables(spark, tmp_path):
     path = str(tmp_path / "t")
     publish(spark.range(5), path)
     publish(spark.range(3), path)
-    assert spark.read.parquet(path).count() == 3
+    assert spark.read.parquet(current(spark, path)).count() == 3
     bad = spark.range(3).select(F.raise_error(F.lit("no")).alias("x"))
     with pytest.raises(Exception):
         publish(bad, path)
-    assert spark.read.parquet(path).count() == 3
+    assert spark.read.parquet(current(spark, path)).count() == 3
+    versions = [p for p in (tmp_path / "t").iterdir() if p.name.startswith("v-")]
+    assert len(versions) <= 3  # the current one, the one before, and what the failed job left
     publish(spark.createDataFrame([], FEATURES), str(tmp_path / "empty"))
-    assert spark.read.parquet(str(tmp_path / "empty")).columns == FEATURES.names
-    publish_ids(spark.range(2), str(tmp_path / "ids"), "id")
-    assert sorted(r.value for r in spark.read.text(str(tmp_path / "ids")).collect()) == ["0", "1"]
+    assert spark.read.parquet(current(spark, str(tmp_path / "empty"))).columns == FEATURES.names
+    ids = publish_ids(spark.range(2), str(tmp_path / "ids"), "id")
+    with pytest.raises(FileNotFoundError):
+        current(spark, str(tmp_path / "nothing"))
+    assert sorted(r.value for r in spark.read.text(ids).collect()) == ["0", "1"]
 
 
 def test_alignment(spark):

@@ -6,6 +6,8 @@ against what the text was built from.
 
 from __future__ import annotations
 
+import re
+
 AS_OF = 1706659200  # 2024-01-31 00:00:00 UTC
 MONTH = 30 * 86400
 SIX = 6 * 3600
@@ -204,16 +206,60 @@ def rs(names) -> str:
     return ", ".join(r6(n) for n in names)
 
 
+def z_value(name: str) -> str:
+    """z-score with missing as 0 and constant columns as 0."""
+    v = f"coalesce({name}, 0)"
+    return (
+        f"CASE WHEN max({v}) OVER () > min({v}) OVER () THEN "
+        f"({v} - avg({v}) OVER ()) / stddev_pop({v}) OVER () ELSE 0.0::DOUBLE END"
+    )
+
+
 def z_columns(names: list[str], source: str) -> str:
-    """Rounded z-scores with missing as 0 and constant columns as 0."""
-    cells = []
-    for n in names:
-        v = f"coalesce({n}, 0)"
-        cells.append(
-            f"round(CASE WHEN max({v}) OVER () > min({v}) OVER () THEN "
-            f"({v} - avg({v}) OVER ()) / stddev_pop({v}) OVER () ELSE 0.0::DOUBLE END, 6) + 0.0 AS {n}"
-        )
-    return ", ".join(cells)
+    return ", ".join(f"round({z_value(n)}, 6) + 0.0 AS {n}" for n in names)
+
+
+# ---- principal components ------------------------------------------------------------------
+
+SQUARINGS = 18
+
+
+def eigen(dims: int, k: int) -> list[str]:
+    """Components of ``src(rid, e)`` with ``e`` of ``dims`` numbers, as ``pc(k, vec, lam, ratio)``.
+
+    The centred covariance is squared until only its first direction is left, which is read off and
+    taken out of the covariance; then the next one. The largest loading is positive.
+    """
+    at = f"range(1, {dims + 1})"
+    return [
+        f"cell AS (SELECT rid, i, e[i] - avg(e[i]) OVER (PARTITION BY i) AS x FROM src, {at} r(i))",
+        "centred AS (SELECT rid, list(x ORDER BY i) AS x FROM cell GROUP BY 1)",
+        "columns_of AS (SELECT i, list(x ORDER BY rid) AS v FROM cell GROUP BY 1)",
+        """cov AS (SELECT list(r ORDER BY i) AS c FROM (SELECT a.i, list(list_dot_product(a.v, b.v) / (len(a.v) - 1) ORDER BY b.i) AS r
+          FROM columns_of a, columns_of b GROUP BY 1))""",
+        f"""turns AS (
+          SELECT 0 AS k, 0 AS s, c AS m, c, CAST(NULL AS DOUBLE[]) AS vec, CAST(NULL AS DOUBLE) AS lam FROM cov
+          UNION ALL
+          SELECT CASE WHEN s < {SQUARINGS} THEN k ELSE k + 1 END, CASE WHEN s < {SQUARINGS} THEN s + 1 ELSE 0 END,
+            CASE WHEN s < {SQUARINGS} THEN [[x / big for x in r] for r in sq] ELSE next_c END,
+            CASE WHEN s < {SQUARINGS} THEN c ELSE next_c END, CASE WHEN s < {SQUARINGS} THEN vec ELSE v END,
+            CASE WHEN s < {SQUARINGS} THEN lam ELSE l END
+          FROM (SELECT *, CASE WHEN s = {SQUARINGS} THEN [[c[i][j] - l * v[i] * v[j] for j in {at}] for i in {at}] END AS next_c,
+              list_max([list_max(r) for r in sq]) AS big
+            FROM (SELECT *, CASE WHEN s = {SQUARINGS} THEN list_dot_product(v, [list_dot_product(r, v) for r in c]) END AS l
+              FROM (SELECT *, CASE WHEN s < {SQUARINGS} THEN [[list_dot_product(r, q) for q in m] for r in m] END AS sq,
+                  CASE WHEN s = {SQUARINGS} THEN [x / sqrt(list_dot_product(u, u)) for x in u] END AS v
+                FROM (SELECT *, m[list_position([m[i][i] for i in {at}], list_max([m[i][i] for i in {at}]))] AS u
+                  FROM turns WHERE k < {k})))))""",
+        f"""pc AS (SELECT k, lam, lam / (SELECT list_sum([c[i][i] for i in {at}]) FROM cov) AS ratio,
+          CASE WHEN vec[list_position([abs(x) for x in vec], list_max([abs(x) for x in vec]))] < 0 THEN [-x for x in vec] ELSE vec END AS vec
+          FROM turns WHERE s = 0 AND k > 0)""",
+        "scores AS (SELECT rid, k, list_dot_product(x, vec) AS score FROM centred, pc)",
+    ]
+
+
+def recursive(*parts: str) -> str:
+    return ctes(*parts).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 # ---- streaks, segments, closed features --------------------------------------------------
@@ -653,6 +699,155 @@ ORACLES["scan_order_books"] = f"""WITH b AS (
     {r6('ob_best_ask - ob_best_bid', 'ob_spread')}, {r6('CASE WHEN bd + ad > 0 THEN bd END', 'ob_bid_depth_topn')},
     {r6('CASE WHEN bd + ad > 0 THEN ad END', 'ob_ask_depth_topn')},
     {r6('CASE WHEN bd + ad > 0 THEN (bd - ad) / (bd + ad) END', 'ob_imbalance_topn')} FROM b"""
+# ---- networks with weights from a formula --------------------------------------------------
+
+AE_WIDTHS = [(64, 8), (8, 4), (4, 2), (2, 4), (4, 8), (8, 64), (2, 3)]
+CVAE_WIDTHS = [(67, 8), (8, 4), (4, 2), (4, 2), (5, 4), (4, 8), (8, 64)]
+NET_SRC = "src AS (SELECT CAST(vec_id AS VARCHAR) AS market_id, CAST(embedding AS DOUBLE[]) AS a0, label % 3 AS own FROM embeddings)"
+
+
+def weights(widths: list[tuple[int, int]]) -> list[str]:
+    shapes = ", ".join(f"({l}, {a}, {b})" for l, (a, b) in enumerate(widths))
+    return [
+        f"shapes AS (SELECT * FROM (VALUES {shapes}) s(l, n_in, n_out))",
+        "bias AS (SELECT l, j, ((j * 3 + l) % 7 - 3) / 20.0::DOUBLE AS v FROM shapes, range(64) r(j) WHERE j < n_out)",
+        """weight AS (SELECT l, i, j, ((i * 7 + j * 13 + l * 5) % 23 - 11) / 40.0::DOUBLE AS v
+          FROM shapes, range(67) q(i), range(64) r(j) WHERE i < n_in AND j < n_out)""",
+    ]
+
+
+def by_layer(tag: str = "") -> list[str]:
+    """Lists of each layer: columns (by output), rows (by input), biases."""
+    return [
+        f"cols{tag} AS (SELECT l, list(c ORDER BY j) AS c FROM (SELECT l, j, list(v ORDER BY i) AS c FROM weight{tag} GROUP BY 1, 2) GROUP BY 1)",
+        f"rows{tag} AS (SELECT l, list(c ORDER BY i) AS c FROM (SELECT l, i, list(v ORDER BY j) AS c FROM weight{tag} GROUP BY 1, 2) GROUP BY 1)",
+        f"biases{tag} AS (SELECT l, list(v ORDER BY j) AS b FROM bias{tag} GROUP BY 1)",
+    ]
+
+
+def layer(x: str, l: int, n_out: int, squash: bool = True, tag: str = "") -> str:
+    u = f"list_dot_product({x}, cols{tag}_{l}[j]) + biases{tag}_{l}[j]"
+    return f"[{'tanh(' + u + ')' if squash else u} for j in range(1, {n_out + 1})]"
+
+
+def chain(source: str, steps: list[tuple[str, str]], name: str) -> list[str]:
+    """CTEs that add one column each; ``cols_0`` and the like stand for the lists of a layer."""
+    out, last = [], source
+    for n, (column, sql) in enumerate(steps):
+        used = sorted(set(re.findall(r"\b((?:cols|rows|biases)2?)_(\d)\b", sql)))
+        from_lists = "".join(
+            f", (SELECT {'b' if t.startswith('b') else 'c'} AS {t}_{l} FROM {t} WHERE l = {l})" for t, l in used
+        )
+        out.append(f"{name}{n} AS (SELECT s.*, {sql} AS {column} FROM {last} s{from_lists}, (SELECT count(*) AS n_src FROM src))")
+        last = f"{name}{n}"
+    return out
+
+
+ENCODE = [("a1", layer("a0", 0, 8)), ("a2", layer("a1", 1, 4)), ("a3", layer("a2", 2, 2))]
+DECODE = [("a4", layer("a3", 3, 4)), ("a5", layer("a4", 4, 8)), ("a6", layer("a5", 5, 64, False))]
+Z12 = f"SELECT market_id, {r6('a3[1]', 'z1')}, {r6('a3[2]', 'z2')} FROM "
+ORACLES["ae_encode"] = ctes(NET_SRC, *weights(AE_WIDTHS), *by_layer(), *chain("src", ENCODE, "f")) + Z12 + "f2"
+ORACLES["ae_reconstruction"] = (
+    ctes(NET_SRC, *weights(AE_WIDTHS), *by_layer(), *chain("src", ENCODE + DECODE, "f"))
+    + f"""SELECT count(*) AS n_rows, {r6('sum(list_sum([(a6[j] - a0[j]) ** 2 for j in range(1, 65)])) / sum(64)', 'mse')},
+      0.0::DOUBLE AS mean_kl FROM f5"""
+)
+GIVEN = "[CASE WHEN own = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END for j in range(0, 3)]"
+CVAE_ENCODE = [
+    ("y", GIVEN), ("given", "a0 || y"), ("a1", layer("given", 0, 8)), ("a2", layer("a1", 1, 4)),
+    ("a3", layer("a2", 2, 2, False)), ("lv", f"[greatest(-8, least(8, q)) for q in {layer('a2', 3, 2, False)}]"),
+]
+CVAE_DECODE = [("zy", "a3 || y"), ("a4", layer("zy", 4, 4)), ("a5", layer("a4", 5, 8)), ("a6", layer("a5", 6, 64, False))]
+ORACLES["cvae_encode"] = ctes(NET_SRC, *weights(CVAE_WIDTHS), *by_layer(), *chain("src", CVAE_ENCODE, "f")) + Z12 + "f5"
+ORACLES["cvae_reconstruction"] = (
+    ctes(NET_SRC, *weights(CVAE_WIDTHS), *by_layer(), *chain("src", CVAE_ENCODE + CVAE_DECODE, "f"))
+    + f"""SELECT count(*) AS n_rows, {r6('sum(list_sum([(a6[j] - a0[j]) ** 2 for j in range(1, 65)])) / sum(64)', 'mse')},
+      {r6('avg(-0.5 * list_sum([1 + lv[j] - a3[j] ** 2 - exp(lv[j]) for j in range(1, 3)]))', 'mean_kl')} FROM f9"""
+)
+
+
+def one_step(head: bool) -> str:
+    """One full-batch descent by the chain rule, then the encoder with the new weights."""
+
+    def pull(upstream: str, l: int, n_in: int) -> str:
+        return f"[list_dot_product({upstream}, rows_{l}[i]) for i in range(1, {n_in + 1})]"
+
+    def through(upstream: str, a: str, n: int) -> str:
+        return f"[{upstream}[i] * (1 - {a}[i] ** 2) for i in range(1, {n + 1})]"
+
+    n = "n_src"
+    back = [
+        ("d6", f"[2 * (a6[j] - a0[j]) / {n} for j in range(1, 65)]"),
+        ("u5", pull("d6", 5, 8)), ("d5", through("u5", "a5", 8)),
+        ("u4", pull("d5", 4, 4)), ("d4", through("u4", "a4", 4)),
+        ("u3", pull("d4", 3, 2)),
+    ]
+    if head:
+        back += [
+            ("logit", layer("a3", 6, 3, False)),
+            ("dc", f"[(exp(logit[j + 1]) / list_sum([exp(q) for q in logit]) - CASE WHEN own = j THEN 1 ELSE 0 END) / {n} for j in range(0, 3)]"),
+            ("uc", pull("dc", 6, 2)), ("w3", "[u3[i] + 0.75 * uc[i] for i in range(1, 3)]"),
+        ]
+    back += [
+        ("d3", through("w3" if head else "u3", "a3", 2)),
+        ("u2", pull("d3", 2, 4)), ("d2", through("u2", "a2", 4)),
+        ("u1", pull("d2", 1, 8)), ("d1", through("u1", "a1", 8)),
+    ]
+    last = f"g{len(back) - 1}"
+    sides = [(0, "a0", "d1"), (1, "a1", "d2"), (2, "a2", "d3"), (3, "a3", "d4"), (4, "a4", "d5"), (5, "a5", "d6")]
+    if head:
+        sides.append((6, "a3", "dc"))
+    grads = " UNION ALL ".join(
+        f"SELECT {l} AS l, i - 1 AS i, j - 1 AS j, sum({a}[i] * {d}[j]) AS g FROM {last}, range(1, len({a}) + 1) q(i), range(1, len({d}) + 1) r(j) GROUP BY i, j"
+        for l, a, d in sides
+    )
+    biases = " UNION ALL ".join(
+        f"SELECT {l} AS l, j - 1 AS j, sum({d}[j]) AS g FROM {last}, range(1, len({d}) + 1) r(j) GROUP BY j" for l, _, d in sides
+    )
+    return ctes(
+        NET_SRC, *weights(AE_WIDTHS if head else AE_WIDTHS[:6]), *by_layer(),
+        *chain("src", ENCODE + DECODE, "f"), *chain("f5", back, "g"),
+        f"grads AS ({grads})", f"bias_grads AS ({biases})",
+        "decayed AS (SELECT l, i, j, v, g + 1e-4 * v AS g FROM weight JOIN grads USING (l, i, j))",
+        "rate AS (SELECT 0.05 * least(1.0::DOUBLE, 5.0 / sqrt(sum(g * g))) AS r FROM decayed)",
+        "weight2 AS (SELECT l, i, j, CASE WHEN l = 6 THEN v - r * g ELSE greatest(-4, least(4, v - r * g)) END AS v FROM decayed, rate)",
+        "bias2 AS (SELECT l, j, v - r * g AS v FROM bias JOIN bias_grads USING (l, j), rate)",
+        *by_layer("2"),
+        *chain("src", [("a1", layer("a0", 0, 8, tag="2")), ("a2", layer("a1", 1, 4, tag="2")), ("a3", layer("a2", 2, 2, tag="2"))], "h"),
+    ) + Z12 + "h2"
+
+
+ORACLES["ae_one_step"] = one_step(False)
+ORACLES["semi_one_step"] = one_step(True)
+PC_NAMES = [f"PC{i + 1}" for i in range(20)]
+EMB_SRC = "src AS (SELECT market_id AS rid, e FROM emb)"
+ORACLES["pca_scores"] = recursive(EMB, EMB_SRC, *eigen(64, 20)) + "SELECT market_id, classifier_label, " + ", ".join(
+    r6(f"max(CASE WHEN k = {i + 1} THEN score END)", n) for i, n in enumerate(PC_NAMES)
+) + " FROM scores JOIN emb ON rid = market_id GROUP BY 1, 2"
+ORACLES["pca_scree"] = recursive(EMB, EMB_SRC, *eigen(64, 20)) + f"""SELECT k AS component, 'PC' || k AS label, {r6('ratio', 'variance_ratio')},
+  {r6('sum(ratio) OVER (ORDER BY k)', 'cumulative_ratio')} FROM pc"""
+ORACLES["pca_loadings"] = recursive(EMB, EMB_SRC, *eigen(64, 20)) + f"""SELECT 'f' || i AS feature, k AS component, {r6('vec[i]', 'loading')}
+  FROM pc, range(1, 65) r(i)"""
+N_ACTIVE = len(ALL_FEATURES)
+ORACLES["pca_report"] = (
+    recursive(
+        *active_parts(),
+        "zs AS (SELECT line, market_id, classifier_label, tag_id, " + ", ".join(f"{z_value(n)} AS {n}" for n in ALL_FEATURES) + " FROM afeat)",
+        f"src AS (SELECT market_id || ':' || tag_id AS rid, [{', '.join(ALL_FEATURES)}] AS e FROM zs)",
+        *eigen(N_ACTIVE, N_ACTIVE),
+        f"names AS (SELECT i, [{', '.join(repr(n) for n in ALL_FEATURES)}][i] AS feature FROM range(1, {N_ACTIVE + 1}) r(i))",
+        """long AS (SELECT 'PC' || s.k AS target, n.feature, f.e[n.i] AS x, s.score FROM src f JOIN scores s USING (rid), names n WHERE s.k <= 2)""",
+        """corrs AS (SELECT target, feature, corr(x, score) AS v FROM long GROUP BY 1, 2 HAVING stddev_pop(x) > 1e-12 AND stddev_pop(score) > 1e-12)""",
+        """best AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY abs(v) DESC, feature) AS place FROM corrs)""",
+        """sample AS (SELECT market_id || ':' || tag_id AS rid, classifier_label || ': ' || market_id AS name FROM zs
+          ORDER BY md5(market_id), market_id, classifier_label LIMIT 80)""",
+        """spots AS (SELECT name, list(score ORDER BY k) AS p FROM sample JOIN scores USING (rid) WHERE k <= 10 GROUP BY rid, name)""",
+    )
+    + f"""SELECT 'score' AS part, rid AS key, 'PC' || k AS item, {r6('score', 'value')} FROM scores WHERE k <= 2
+  UNION ALL SELECT 'correlation', feature, target, round(v, 6) + 0.0 FROM best WHERE place <= 8
+  UNION ALL SELECT 'scree', 'PC' || k, 'ratio', round(ratio, 6) + 0.0 FROM pc
+  UNION ALL SELECT 'distance', a.name, b.name, round(list_distance(a.p, b.p), 6) + 0.0 FROM spots a, spots b"""
+)
 ORACLES["landed_active_features"] = ORACLES["active_features"]
 ORACLES["landed_closed_pipeline"] = ORACLES["closed_pipeline"]
 ORACLES["landed_grid_paths"] = (

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -724,12 +725,13 @@ def pca_scores(spark, sf):
 
 @query
 def pca_scree(spark, sf):
-    return fitted(spark, sf)[1].scree()
+    rows = fitted(spark, sf)[1].scree()
+    return rows.select("component", "label", *r6s(["variance_ratio", "cumulative_ratio"]))
 
 
 @query
 def pca_loadings(spark, sf):
-    return fitted(spark, sf)[1].loading_table()
+    return fitted(spark, sf)[1].loading_table().select("feature", "component", *r6s(["loading"]))
 
 
 def half_correlations(spark, sf) -> DataFrame:
@@ -798,6 +800,60 @@ def ae_metrics(spark, sf):
     return N.metrics(model, seq.rows)
 
 
+# The networks with weights from a formula, which SQL can state as well.
+FORMULA = N.Training(h1=8, h2=4, latent=2, epochs=1, learning_rate=0.05, batch=1 << 30)
+FORMULA_CLASSES = 3
+
+
+def _formula_model(kind: str):
+    if kind == "cvae":
+        model = N.ConditionalVae.fresh(64, FORMULA, FORMULA_CLASSES)
+    else:
+        model = N.Autoencoder.fresh(64, FORMULA, FORMULA_CLASSES if kind == "semi" else 0)
+    for place, layer in enumerate(model.layers()):
+        i, j = np.indices(layer.weight.shape)
+        layer.weight = ((i * 7 + j * 13 + place * 5) % 23 - 11) / 40
+        layer.bias = ((np.arange(layer.bias.size) * 3 + place) % 7 - 3) / 20
+    return model
+
+
+def _formula_rows(spark, sf) -> DataFrame:
+    vectors = X.table(spark, sf, "embeddings").select(
+        F.col("vec_id").cast("string").alias("market_id"),
+        F.col("embedding").cast("array<double>").alias("x"),
+        F.pmod("label", F.lit(FORMULA_CLASSES)).alias("label_class_index"),
+    )
+    return N.training_rows(vectors.select("market_id", "x"), vectors.drop("x"))
+
+
+def _encoded(kind: str, steps: int):
+    def run(spark, sf):
+        rows, model = _formula_rows(spark, sf), _formula_model(kind)
+        if steps:
+            model = N.train(model, rows, FORMULA)
+        return N.embed(model, rows).select("market_id", *r6s(["z1", "z2"]))
+
+    return run
+
+
+for _kind in ("ae", "cvae"):
+    QUERIES[f"{_kind}_encode"] = _encoded(_kind, 0)
+for _kind in ("ae", "semi"):
+    QUERIES[f"{_kind}_one_step"] = _encoded(_kind, 1)
+
+
+def _measured(kind: str):
+    def run(spark, sf):
+        found = N.metrics(_formula_model(kind), _formula_rows(spark, sf))
+        return found.select("n_rows", *r6s(["mse", "mean_kl"]))
+
+    return run
+
+
+for _kind in ("ae", "cvae"):
+    QUERIES[f"{_kind}_reconstruction"] = _measured(_kind)
+
+
 # ---- composed jobs -------------------------------------------------------------------------
 
 ACTIVE = active.ActiveSettings(
@@ -950,7 +1006,8 @@ def pca_report(spark, sf):
         F.lit("distance").alias("part"), F.col("label_a").alias("key"),
         F.col("label_b").alias("item"), F.col("distance").alias("value"),
     )
-    return points.unionByName(top).unionByName(scree).unionByName(distances)
+    rows = points.unionByName(top).unionByName(scree).unionByName(distances)
+    return rows.select("part", "key", "item", *r6s(["value"]))
 
 
 @query

@@ -9,6 +9,8 @@ from tapeloom.operators.ranking import hash_sample
 
 # Most rows in a distance matrix, and score dimensions used by default.
 SAMPLE_ROWS, SCORE_DIMENSIONS = 80, 10
+# The sample is one array in one row, and the result its square.
+MOST_ROWS = 2000
 
 
 def pairwise_distances(
@@ -17,11 +19,14 @@ def pairwise_distances(
     """Euclidean distance between all rows of a sample of at most ``max_rows`` markets.
 
     The sample is the operator's feature: the result has ``max_rows`` squared rows at most. The
-    sampled rows form one small array, which each sampled row is unfolded against.
+    sampled rows form one small array, which each sampled row is unfolded against, so ``max_rows``
+    is bounded by ``MOST_ROWS``.
     """
+    if max_rows > MOST_ROWS:
+        raise ValueError(f"a distance matrix of more than {MOST_ROWS} rows is no report")
     point = F.array(*[F.col(c).cast("double") for c in columns])
     name = F.concat_ws(": ", F.col(label).cast("string"), F.col("market_id").cast("string"))
-    sample = hash_sample(df.select("market_id", name.alias("name"), point.alias("at")), "market_id", max_rows)
+    sample = hash_sample(df.select("market_id", name.alias("name"), point.alias("at")), "market_id", max_rows, ["name"])
     rows = sample.agg(F.collect_list(F.struct("market_id", "name", "at")).alias("rows"))
     left = rows.select(F.explode("rows").alias("a"), "rows")
     both = left.select("a", F.explode("rows").alias("b"))

@@ -369,6 +369,11 @@ def fit(kind: str, rows: DataFrame, cfg: Training, n_classes: int = 0):
         model = ConditionalVae.fresh(width, cfg, n_classes)
     else:
         raise ValueError(f"unknown model {kind!r}")
+    return train(model, rows, cfg)
+
+
+def train(model, rows: DataFrame, cfg: Training):
+    """Train ``model`` in place on all rows; see the module text."""
     n_parts = math.ceil(rows.count() / cfg.task_rows)
     dealt = rows.repartition(n_parts, "row_key").sortWithinPartitions("row_key").persist()
     epochs = max(1, cfg.epochs)

@@ -34,10 +34,10 @@ def top_n_per_group(
     )
 
 
-def hash_sample(df: DataFrame, id_column: str, n: int) -> DataFrame:
-    """At most ``n`` rows, the same ones on every run: smallest md5 of the id first.
+def hash_sample(df: DataFrame, id_column: str, n: int, ties: list[str] | None = None) -> DataFrame:
+    """At most ``n`` rows, the same ones on every run: smallest md5 of the id first, then ``ties``.
 
     Plans as a top-N per task and one merge of at most ``n`` rows per task.
     """
     draw = F.md5(F.col(id_column).cast("string"))
-    return df.withColumn("_draw", draw).orderBy("_draw", id_column).limit(n).drop("_draw")
+    return df.withColumn("_draw", draw).orderBy("_draw", id_column, *(ties or [])).limit(n).drop("_draw")

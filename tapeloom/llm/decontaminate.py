@@ -31,7 +31,7 @@ from tapeloom.llm.rows import text_of
 @dataclass(frozen=True)
 class Edits:
     rate: float = 0.05
-    block_chars: int = 8_000_000
+    block_chars: int = 1_000_000
 
 
 def normal(text: str | None) -> str:

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from tapeloom.llm.hashing import Words, mix, seeds, shingles
 from tapeloom.llm.licensetexts import TEMPLATES
 from tapeloom.llm.quality import SIGNS
-from tapeloom.llm.rows import text_of
+from tapeloom.llm.rows import parts, text_of
 
 _U = np.uint64
 # Letters and digits are words; blanks and other signs part them.
@@ -122,8 +122,7 @@ def scan(
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(cfg)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in parts(batch):
                 words = Words(part.column("text"), LETTERS)
                 row, found = [], []
                 for i in range(part.num_rows):

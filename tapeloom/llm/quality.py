@@ -5,7 +5,7 @@ Every bucket has a sparse random index vector (one +1 and one -1 of ``width`` pl
 corpus, each token adds the index vectors of its neighbours within ``window`` to its own context
 vector; the sums are whole numbers, so their order does not matter. The table of buckets x width
 numbers has a fixed size and is sent to every task. A document is the mean and the spread of its
-tokens' unit vectors and the logarithm of its length.
+tokens' unit vectors and the logarithms of its tokens and of its distinct tokens.
 
 The network (tanh, logistic) is trained on the driver with numpy on the pooled vectors of at most
 ``sample`` labelled documents, those of least hash, never on held-out ones; four fifths of them fit
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeloom.llm.hashing import Words, mix
-from tapeloom.llm.rows import staged, text_of
+from tapeloom.llm.rows import parts, staged, text_of
 
 # Letters (and all bytes beyond ASCII) 1, digits 2, other signs 3, blanks 0.
 SIGNS = np.full(256, 3, np.uint8)
@@ -40,6 +40,8 @@ SIGNS[[32, 9, 10, 11, 12, 13]] = 0
 SIGNS[[*range(48, 58)]] = 2
 SIGNS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 SLOT = 64
+# Pooled numbers beside mean and spread.
+SCALARS = 2
 
 
 @dataclass(frozen=True)
@@ -91,8 +93,8 @@ def word_vectors(rows: DataFrame, cfg: Quality) -> np.ndarray:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((cfg.buckets, cfg.width), np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                total += context_sums(*_buckets(batch.slice(at, 1024).column("text"), cfg), cfg)
+            for part in parts(batch):
+                total += context_sums(*_buckets(part.column("text"), cfg), cfg)
         context = TaskContext.get()
         part = context.partitionId() if context else 0
         sums = total.reshape(slots, -1)
@@ -118,8 +120,8 @@ def word_vectors(rows: DataFrame, cfg: Quality) -> np.ndarray:
 
     schema = "slot long, part long, sums binary"
     sums = rows.select("text").mapInArrow(task, schema)
-    # Two rounds, so that no task adds up more than the square root of all tasks' tables.
-    fan = max(1, math.isqrt(rows.sparkSession.sparkContext.defaultParallelism * 4))
+    # Two rounds, so that no group holds a row of every task.
+    fan = max(1, math.isqrt(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     sums = sums.withColumn("part", F.pmod("part", F.lit(fan)))
     sums = sums.groupBy("slot", "part").applyInArrow(add, schema)
     sums = sums.groupBy("slot").applyInArrow(add, schema)
@@ -132,17 +134,19 @@ def word_vectors(rows: DataFrame, cfg: Quality) -> np.ndarray:
 
 
 def pooled(buckets: np.ndarray, first: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Mean, spread and log length per text."""
+    """Mean, spread and logarithms of all and of distinct tokens per text."""
     counts = np.diff(first)
     width = vectors.shape[1]
-    out = np.zeros((len(counts), 2 * width + 1), np.float32)
+    out = np.zeros((len(counts), 2 * width + SCALARS), np.float32)
     out[:, -1] = np.log1p(counts)
     for i in np.flatnonzero(counts):
-        rows = vectors[buckets[first[i] : first[i + 1]]]
+        own = buckets[first[i] : first[i + 1]]
+        out[i, -2] = math.log1p(len(np.unique(own)))
+        rows = vectors[own]
         mean = rows.sum(0) / len(rows)
         square = np.einsum("ij,ij->j", rows, rows) / len(rows)
         out[i, :width] = mean
-        out[i, width:-1] = np.sqrt(np.maximum(square - mean * mean, 0))
+        out[i, width:-SCALARS] = np.sqrt(np.maximum(square - mean * mean, 0))
     return out
 
 
@@ -152,8 +156,7 @@ def _features(rows: DataFrame, vectors: np.ndarray, cfg: Quality) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in parts(batch):
                 pools = pooled(*_buckets(part.column("text"), cfg), shared.value)
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(c) for c in keep],
@@ -246,23 +249,33 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fitted(features: DataFrame, labels: DataFrame, cfg: Quality) -> Network | Constant:
-    """The network of at most ``sample`` labelled rows of ``features(doc_id, features)``."""
+    """The network of at most ``sample`` labelled rows of ``features(doc_id, features)``.
+
+    The rows of least hash are taken. A bound on the hash, from their count, leaves one and a half
+    times as many before anything is sorted, so no task reads more than that.
+    """
     known = (
         labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL")
         .groupBy("doc_id")
         .agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     )
-    order = F.xxhash64("doc_id", "features")
-    rows = (
+    labelled = staged(
         features.filter(~held_out(F.col("doc_id")))
         .join(known, "doc_id")
-        .orderBy(order, "doc_id")
+        .select(F.xxhash64("doc_id", "features").alias("draw"), "doc_id", "features", "label"),
+        "labelled",
+    )
+    share = min(1.0, 1.5 * cfg.sample / max(1, labelled.count()))
+    bound = min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+    rows = (
+        labelled.filter(F.col("draw") <= bound)
+        .orderBy("draw", "doc_id")
         .limit(cfg.sample)
         .select("features", "label")
         .toArrow()
     )
     data = b"".join(rows.column("features").to_pylist())
-    x = np.frombuffer(data, np.float32).reshape(rows.num_rows, 2 * cfg.width + 1)
+    x = np.frombuffer(data, np.float32).reshape(rows.num_rows, 2 * cfg.width + SCALARS)
     return train(x, rows.column("label").to_numpy().astype(np.float64), cfg)
 
 
@@ -277,7 +290,7 @@ def _scored(rows: DataFrame, labels: DataFrame, cfg: Quality) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = b"".join(batch.column("features").to_pylist())
-            x = np.frombuffer(data, np.float32).reshape(batch.num_rows, 2 * cfg.width + 1)
+            x = np.frombuffer(data, np.float32).reshape(batch.num_rows, 2 * cfg.width + SCALARS)
             scores = shared.value.scores(x.astype(np.float64))
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in keep], pa.array(scores, pa.float64())],
@@ -325,12 +338,12 @@ def keep(
     shared = docs.sparkSession.sparkContext.broadcast((vectors, model))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, network = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                table, network = shared.value
-                x = pooled(*_buckets(part.column(text_col), cfg), table)
+            for part in parts(batch):
+                x = pooled(*_buckets(part.column("text"), cfg), table)
                 good = network.scores(x.astype(np.float64)) >= cfg.threshold
-                yield part.filter(pa.array(good, pa.bool_()))
+                yield part.filter(pa.array(good, pa.bool_())).select(["row"])
 
-    return docs.mapInArrow(task, docs.schema)
+    rows = rows.select("row", "text")
+    return rows.mapInArrow(task, rows.select("row").schema).select("row.*")

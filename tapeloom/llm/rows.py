@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tapeloom.session import staged
 
-__all__ = ["staged", "table", "text_of", "row_keys", "strings", "with_fields"]
+__all__ = ["staged", "table", "text_of", "row_keys", "parts", "with_fields"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,14 +42,20 @@ def row_keys() -> Iterator[np.ndarray]:
         done += count
 
 
-def strings(column: pa.Array | pa.ChunkedArray) -> list[str]:
-    return [t or "" for t in column.to_pylist()]
+def parts(batch: pa.RecordBatch, rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch with a ``text`` column in slices of at most so many rows and bytes of text.
+
+    A text beyond the size is a slice of its own: texts are never cut.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy())
+    at = 0
+    while at < batch.num_rows:
+        done = int(ends[at - 1]) if at else 0
+        stop = int(np.searchsorted(ends, done + size, "right"))
+        stop = max(at + 1, min(stop, at + rows))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def with_fields(schema: T.StructType, *fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([*schema.fields, *(T.StructField(n, t) for n, t in fields)])
-
-
-def chunked(items: Iterator, size: int) -> Iterator[list]:
-    while block := list(itertools.islice(items, size)):
-        yield block

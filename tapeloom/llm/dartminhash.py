@@ -12,13 +12,15 @@ Classes are the connected components of all links of at least ``threshold``:
 
 1. Texts with equal sets are one member. Members meet in buckets: ``bands`` keys of ``rows``
    coordinates (0.8 is missed with a chance of 6e-5 at 32 x 6).
-2. Each bucket links its members to one centre; the links are verified on the exact sets, and their
-   components found. A tight group of any size costs one link per member and centre.
+2. Each bucket links its members to one centre, the member with the most company in all of its
+   buckets; the links are verified on the exact sets, and their components found. A tight group of
+   any size costs a few links per member.
 3. Buckets that still hold several components are compared in blocks: each member outside a bucket's
    largest component meets every member of another component, cut into blocks of bounded size dealt
-   over tasks, by the agreement of their signatures (one byte per coordinate). Only pairs whose
-   agreement does not rule out the threshold (4 standard deviations) become rows; these are
-   verified exactly as well. Nothing is dropped, whatever the size of a bucket.
+   over tasks, by the agreement of longer signatures (``probe`` darts, half a byte each). Only pairs
+   whose agreement does not rule out the threshold (4 standard deviations) become rows, each in the
+   first band they share; they are verified exactly as well. Nothing is dropped, whatever the size
+   of a bucket.
 
 Defined results: a missing or empty text has no words; all texts without words are one class; a
 text of fewer than five words is one run of all its words; repeated rows are separate rows of one
@@ -41,12 +43,14 @@ from pyspark.sql import types as T
 
 from tapeloom.llm.components import components
 from tapeloom.llm.hashing import GOLDEN, mix, seeds, shingle_table, signed
-from tapeloom.llm.rows import row_keys, staged, text_of, with_fields
+from tapeloom.llm.rows import parts, row_keys, staged, text_of, with_fields
 
 _U = np.uint64
 _NONE = np.iinfo(np.uint64).max
 # The lowest stretch of ranks is [0, 2**LOW_RANK); each further one doubles the reach.
 LOW_RANK = -6
+# Most bands: their number takes the lowest bits of a bucket.
+BAND_LIMIT = 64
 
 
 @dataclass(frozen=True)
@@ -57,6 +61,11 @@ class Near:
     rows: int = 6
     weights: str = "set"
     block: int = 256
+    probe: int = 1024
+
+    def __post_init__(self):
+        if not 0 < self.bands <= BAND_LIMIT:
+            raise ValueError(f"bands must be at most {BAND_LIMIT}")
 
     @property
     def darts(self) -> int:
@@ -132,30 +141,26 @@ def _throw(hashes, weights, owner, reach, t, out) -> None:
                 np.minimum.at(out, place, value | (dart >> _U(32)))
 
 
-def keys_of(kept: np.ndarray, cfg: Near) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys and one byte per coordinate."""
+def keys_of(kept: np.ndarray, cfg: Near) -> np.ndarray:
+    """One key per text and band."""
     with np.errstate(over="ignore"):
-        small = (mix(kept) & _U(255)).astype(np.uint8)
-        grid = kept.reshape(len(kept), cfg.bands, cfg.rows)
-        bands = mix((mix(grid) * seeds(3, cfg.rows)).sum(2) + seeds(5, cfg.bands))
-    return bands, small
+        grid = mix(kept.reshape(len(kept), cfg.bands, cfg.rows)) * seeds(3, cfg.rows)
+        return mix(grid.sum(2) + seeds(5, cfg.bands))
 
 
 def _signed_rows(rows: DataFrame, cfg: Near) -> DataFrame:
-    """Each row with its key, set print, band keys and signature bytes."""
+    """Each row with its key, set print and band keys."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = row_keys()
         next(keys)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in parts(batch):
                 hashes, counts, bounds = shingle_table(part.column("text"), cfg.width)
-                weights = counts if cfg.weights == "count" else np.ones(len(counts))
-                kept = signatures(hashes, weights, bounds, cfg.darts)
-                bands, small = keys_of(kept, cfg)
+                weights = counts if cfg.weights == "count" else np.ones(len(counts), np.int64)
+                bands = keys_of(signatures(hashes, weights, bounds, cfg.darts), cfg)
                 with np.errstate(over="ignore"):
-                    whole = mix(hashes) * (weights.astype(_U) if cfg.weights == "count" else _U(1))
+                    whole = mix(hashes) * weights.astype(_U)
                     sums = np.r_[_U(0), np.cumsum(whole)]
                     again = np.r_[_U(0), np.cumsum(mix(whole ^ GOLDEN))]
                 prints = [signed(s[bounds[1:]] - s[bounds[:-1]]) for s in (sums, again)]
@@ -170,9 +175,8 @@ def _signed_rows(rows: DataFrame, cfg: Near) -> DataFrame:
                         pa.array(keys.send(n)),
                         *map(pa.array, prints),
                         lists,
-                        pa.array([s.tobytes() for s in small], pa.binary()),
                     ],
-                    names=[*part.schema.names, "key", "print1", "print2", "bands", "small"],
+                    names=[*part.schema.names, "key", "print1", "print2", "bands"],
                 )
 
     long = T.LongType()
@@ -184,34 +188,81 @@ def _signed_rows(rows: DataFrame, cfg: Near) -> DataFrame:
             ("print1", long),
             ("print2", long),
             ("bands", T.ArrayType(long)),
-            ("small", T.BinaryType()),
         ),
     )
 
 
-def _verified(pairs: DataFrame, signed_rows: DataFrame, cfg: Near) -> DataFrame:
-    """The pairs ``a, b`` of members whose exact similarity reaches the threshold."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = signed_rows.select("key", "text").join(asked, "key", "left_semi")
+def _sets(signed_rows: DataFrame, keys: DataFrame, cfg: Near) -> DataFrame:
+    """Exact sets of the asked rows, written once: key, hashes, counts.
+
+    A merge join, so that no size of ``keys`` sends them to every executor.
+    """
+    texts = signed_rows.select("key", "text").hint("merge").join(keys, "key", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in parts(batch):
                 hashes, counts, bounds = shingle_table(part.column("text"), cfg.width)
                 cut = list(zip(bounds[:-1], bounds[1:], strict=True))
+                counts = counts.astype("<u4") if cfg.weights == "count" else counts[:0]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("key"),
                         pa.array([hashes[i:j].tobytes() for i, j in cut], pa.binary()),
-                        pa.array([counts[i:j].astype("<u4").tobytes() for i, j in cut], pa.binary()),
+                        pa.array([counts[i:j].tobytes() for i, j in cut], pa.binary()),
                     ],
                     names=["key", "hashes", "counts"],
                 )
 
-    exact = staged(texts.mapInArrow(sets, "key long, hashes binary, counts binary"), "sets")
-    left = exact.select(F.col("key").alias("a"), F.struct("hashes", "counts").alias("x"))
-    right = exact.select(F.col("key").alias("b"), F.struct("hashes", "counts").alias("y"))
+    return staged(texts.mapInArrow(sets, "key long, hashes binary, counts binary"), "sets")
+
+
+def _probes(sets: DataFrame, cfg: Near) -> DataFrame:
+    """key, small: half a byte for each of ``probe`` coordinates of a longer signature."""
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                found = [_set_of(r) for r in part.select(["hashes", "counts"]).to_pylist()]
+                bounds = np.cumsum([0, *[len(h) for h, _ in found]])
+                hashes = np.concatenate([h for h, _ in found])
+                counts = np.concatenate([c for _, c in found])
+                weights = counts if cfg.weights == "count" else np.ones(len(hashes), np.int64)
+                kept = signatures(hashes, weights, bounds, cfg.probe)
+                nibbles = (mix(kept) & _U(15)).astype(np.uint8)
+                small = nibbles[:, ::2] << 4 | nibbles[:, 1::2]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("key"), pa.array([s.tobytes() for s in small], pa.binary())],
+                    names=["key", "small"],
+                )
+
+    return sets.mapInArrow(probe, "key long, small binary")
+
+
+def _with_bands(probes: DataFrame) -> DataFrame:
+    """``bands`` as 32 bits each, which tell whether two members share an earlier band."""
+    low = F.transform("bands", lambda b: F.shiftright(b, 32).cast("int"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("bands")
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<i4")
+            grid = flat.reshape(batch.num_rows, -1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), batch.column("small"),
+                 pa.array([g.tobytes() for g in grid], pa.binary())],
+                names=["key", "small", "bands"],
+            )
+
+    rows = probes.select("key", "small", low.alias("bands"))
+    return rows.mapInArrow(pack, "key long, small binary, bands binary")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, cfg: Near) -> DataFrame:
+    """The pairs ``a, b`` of members whose exact similarity reaches the threshold."""
+    left = sets.select(F.col("key").alias("a"), F.struct("hashes", "counts").alias("x"))
+    right = sets.select(F.col("key").alias("b"), F.struct("hashes", "counts").alias("y"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,17 +323,17 @@ def _blocks(members: DataFrame, cfg: Near) -> DataFrame:
     others = F.when(
         F.col("minor"), F.sequence(F.lit(0), F.col("minors") + F.col("majors") - 1)
     ).otherwise(F.sequence(F.lit(0), F.col("minors") - 1))
-    cells = placed.select("bucket", "own", "key", "label", "small", F.explode(others).alias("other"))
+    facts = ["key", "label", "bands", "small"]
+    cells = placed.select("bucket", "own", *facts, F.explode(others).alias("other"))
     cells = cells.select(
         "bucket",
         F.least("own", "other").alias("i"),
         F.greatest("own", "other").alias("j"),
         F.col("own").cast("int").alias("own"),
-        "key",
-        "label",
-        "small",
+        *facts,
     )
-    sure = cfg.threshold - 4.2 * math.sqrt(cfg.threshold * (1 - cfg.threshold) / cfg.darts)
+    agree = cfg.threshold + (1 - cfg.threshold) / 16
+    sure = cfg.threshold - 4.2 * math.sqrt(agree * (1 - agree) / cfg.probe) * 16 / 15
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in _runs(batches, ["bucket", "i", "j"]):
@@ -291,14 +342,20 @@ def _blocks(members: DataFrame, cfg: Near) -> DataFrame:
             own, low = cell.column("own").to_numpy(), cell.column("i").to_numpy()
             raw = b"".join(cell.column("small").to_pylist())
             small = np.frombuffer(raw, np.uint8).reshape(len(key), -1)
+            band = int(cell.column("bucket")[0].as_py()) & (BAND_LIMIT - 1)
+            raw = b"".join(cell.column("bands").to_pylist())
+            earlier = np.frombuffer(raw, "<u4").reshape(len(key), -1)[:, :band]
             a = np.flatnonzero(own == low)
             b = np.flatnonzero(own == cell.column("j").to_numpy())
             x, y = [], []
             for i in a:
                 j = b[(label[b] != label[i]) & ((key[b] > key[i]) | (own[i] != own[b]))]
+                # Pairs that share an earlier band meet there.
+                j = j[~(earlier[j] == earlier[i]).any(1)]
                 if len(j):
-                    alike = (small[j] == small[i]).mean(1)
-                    j = j[(alike - 1 / 256) / (1 - 1 / 256) >= sure]
+                    differ = small[j] ^ small[i]
+                    alike = ((differ < 16).mean(1) + (differ & 15 == 0).mean(1)) / 2
+                    j = j[(alike - 1 / 16) / (1 - 1 / 16) >= sure]
                     x.append(np.full(len(j), key[i]))
                     y.append(key[j])
             if x:
@@ -338,49 +395,61 @@ def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Ta
 def _labelled(rows: DataFrame, cfg: Near) -> tuple[DataFrame, DataFrame]:
     """The written rows with keys and prints, and ``print1, print2, label`` of every distinct set."""
     signed_rows = staged(_signed_rows(rows, cfg), "signed")
-    members = signed_rows.groupBy("print1", "print2").agg(
-        F.min(F.struct("key", "bands", "small")).alias("m")
-    )
+    members = signed_rows.groupBy("print1", "print2").agg(F.min(F.struct("key", "bands")).alias("m"))
     members = staged(members.select("print1", "print2", "m.*"), "members")
     # Texts without words are one member that no other text can resemble.
     filled = members.filter("print1 != 0 OR print2 != 0")
+    # A bucket is a band key with the number of its band in the lowest bits.
+    value = F.col("value").bitwiseAND(F.lit(-BAND_LIMIT)).bitwiseOR(F.col("band").cast("long"))
     entries = filled.select("key", F.posexplode("bands").alias("band", "value")).select(
-        "key", F.xxhash64("band", "value").alias("bucket")
+        "key", value.alias("bucket")
     )
-    # Written, so that a hot bucket's rows meet it in a join that splits skewed partitions.
-    shared = staged(
-        entries.groupBy("bucket")
-        .agg(F.count("*").alias("n"), F.min("key").alias("centre"))
-        .filter("n > 1")
-        .drop("n"),
-        "shared",
+    # Both sides of these joins grow with the corpus: merge joins at any size, and the smaller side
+    # is written first, so that a hot bucket meets it in a join that splits skewed partitions.
+    shared = staged(entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    met = staged(entries.hint("merge").join(shared, "bucket"), "met")
+    company = staged(met.groupBy("key").agg(F.sum("n").alias("company")), "company")
+    centres = staged(
+        met.select("bucket", "key")
+        .hint("merge")
+        .join(company, "key")
+        .groupBy("bucket")
+        .agg(F.max(F.struct("company", (-F.col("key")).alias("least"))).alias("m"))
+        .select("bucket", (-F.col("m.least")).alias("centre")),
+        "centres",
     )
-    met = staged(entries.join(shared, "bucket"), "met")
+    ends = [F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")]
     stars = staged(
-        met.filter("key != centre")
-        .select(F.col("centre").alias("a"), F.col("key").alias("b"))
+        met.select("bucket", "key")
+        .hint("merge")
+        .join(centres, "bucket")
+        .filter("key != centre")
+        .select(*ends)
         .distinct(),
         "stars",
     )
-    links = staged(_verified(stars, signed_rows, cfg), "links")
+    sets = _sets(signed_rows, company.select("key"), cfg)
+    links = staged(_verified(stars, sets, cfg), "links")
     labels = components(links)
-    named = met.select("bucket", "key").join(
+    named = met.select("bucket", "key").hint("merge").join(
         labels.withColumnRenamed("node", "key"), "key", "left"
     )
     named = named.select("bucket", "key", F.coalesce("label", "key").alias("label"))
     # Only buckets that hold several components are looked at again.
-    several = (
+    several = staged(
         named.groupBy("bucket")
         .agg(F.min("label").alias("low"), F.max("label").alias("high"))
         .filter("low != high")
-        .select("bucket")
+        .select("bucket"),
+        "several",
     )
-    several = staged(several, "several")
-    open_rows = staged(named.join(several, "bucket", "left_semi"), "open")
-    open_rows = open_rows.join(members.select("key", "small"), "key")
+    still = staged(named.hint("merge").join(several, "bucket", "left_semi"), "open")
+    probes = _probes(sets.join(still.select("key").distinct(), "key", "left_semi"), cfg)
+    facts = staged(_with_bands(probes.join(members.select("key", "bands"), "key")), "probes")
+    found = _blocks(still.join(facts, "key"), cfg)
     # Pairs that a centre has settled need no second look.
-    found = staged(_blocks(open_rows, cfg).join(stars, ["a", "b"], "left_anti"), "pairs")
-    more = _verified(found, signed_rows, cfg)
+    found = staged(found.join(stars, ["a", "b"], "left_anti"), "pairs")
+    more = _verified(found, sets, cfg)
     labels = components(staged(links.union(more), "links"))
     labels = labels.withColumnRenamed("node", "key")
     final = members.join(labels, "key", "left").select(
@@ -398,7 +467,7 @@ def classes(
     named = staged(
         signed_rows.select("doc_id", "print1", "print2").join(labels, ["print1", "print2"]), "named"
     )
-    least = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    least = staged(named.groupBy("label").agg(F.min("doc_id").alias("class_id")), "classes")
     return named.join(least, "label").select("doc_id", "class_id")
 
 

@@ -131,13 +131,17 @@ class Matcher:
         return best
 
 
-def item_blocks(items: DataFrame, cfg: Edits, id_col: str, text_col: str) -> list[list]:
-    """Items in blocks of bounded size; the first pass counts characters before anything is read."""
+def item_blocks(items: DataFrame, cfg: Edits, id_col: str, text_col: str) -> Iterator[list]:
+    """Items in blocks of about ``block_chars`` characters, dealt by hash after they are counted.
+
+    One block at a time is on the driver.
+    """
     rows = items.select(F.col(f"`{id_col}`").alias("item_id"), text_of(text_col).alias("text"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     count = -(-size // cfg.block_chars) if size else 0
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(count, 1)))
-    return [rows.filter(part == i).orderBy("item_id", "text").collect() for i in range(count)]
+    for i in range(count):
+        yield rows.filter(part == i).orderBy("item_id", "text").collect()
 
 
 def matches(

@@ -66,13 +66,16 @@ def staged_mark() -> int:
     return len(_staged)
 
 
-def drop_staged(spark: SparkSession, mark: int = 0) -> None:
-    """Delete the tables staged by this process since ``mark``; their frames can no longer be read."""
+def drop_staged(spark: SparkSession, mark: int = 0, until: int | None = None) -> None:
+    """Delete the tables staged by this process since ``mark`` (and before ``until``).
+
+    Their frames, and those that read them, can no longer be used.
+    """
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _staged[mark:]:
+    for path in _staged[mark:until]:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(hadoop).delete(where, True)
-    del _staged[mark:]
+    del _staged[mark:until]
 
 
 def row_bytes(schema: T.StructType) -> int:

@@ -37,13 +37,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeloom.llm.components import components
 from tapeloom.llm.hashing import GOLDEN, mix, seeds, shingle_table, signed
 from tapeloom.llm.rows import parts, row_keys, staged, text_of, with_fields
+from tapeloom.session import drop_staged, staged_mark
 
 _U = np.uint64
 _NONE = np.iinfo(np.uint64).max
@@ -148,8 +149,8 @@ def keys_of(kept: np.ndarray, cfg: Near) -> np.ndarray:
         return mix(grid.sum(2) + seeds(5, cfg.bands))
 
 
-def _signed_rows(rows: DataFrame, cfg: Near) -> DataFrame:
-    """Each row with its key, set print and band keys."""
+def _signed_rows(rows: DataFrame, cfg: Near, keep: list[str]) -> DataFrame:
+    """The kept columns of each row with its key, set print and band keys."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = row_keys()
@@ -171,19 +172,19 @@ def _signed_rows(rows: DataFrame, cfg: Near) -> DataFrame:
                 )
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *part.columns,
+                        *[part.column(c) for c in keep],
                         pa.array(keys.send(n)),
                         *map(pa.array, prints),
                         lists,
                     ],
-                    names=[*part.schema.names, "key", "print1", "print2", "bands"],
+                    names=[*keep, "key", "print1", "print2", "bands"],
                 )
 
     long = T.LongType()
     return rows.mapInArrow(
         sign,
         with_fields(
-            rows.schema,
+            rows.select(*keep).schema,
             ("key", long),
             ("print1", long),
             ("print2", long),
@@ -392,9 +393,16 @@ def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
-def _labelled(rows: DataFrame, cfg: Near) -> tuple[DataFrame, DataFrame]:
-    """The written rows with keys and prints, and ``print1, print2, label`` of every distinct set."""
-    signed_rows = staged(_signed_rows(rows, cfg), "signed")
+def _labelled(
+    rows: DataFrame, cfg: Near, keep: list[str], text: Column
+) -> tuple[DataFrame, DataFrame]:
+    """The written rows with keys and prints, and ``print1, print2, label`` of every distinct set.
+
+    ``text`` is the text in terms of the kept columns. Both results are written tables; those in
+    between are deleted.
+    """
+    spark, mark = rows.sparkSession, staged_mark()
+    signed_rows = staged(_signed_rows(rows, cfg, keep), "signed").withColumn("text", text)
     members = signed_rows.groupBy("print1", "print2").agg(F.min(F.struct("key", "bands")).alias("m"))
     members = staged(members.select("print1", "print2", "m.*"), "members")
     # Texts without words are one member that no other text can resemble.
@@ -452,9 +460,13 @@ def _labelled(rows: DataFrame, cfg: Near) -> tuple[DataFrame, DataFrame]:
     more = _verified(found, sets, cfg)
     labels = components(staged(links.union(more), "links"))
     labels = labels.withColumnRenamed("node", "key")
-    final = members.join(labels, "key", "left").select(
-        "print1", "print2", F.coalesce("label", "key").alias("label")
+    final = staged(
+        members.join(labels, "key", "left").select(
+            "print1", "print2", F.coalesce("label", "key").alias("label")
+        ),
+        "set-labels",
     )
+    drop_staged(spark, mark + 1, staged_mark() - 1)
     return signed_rows, final
 
 
@@ -463,7 +475,7 @@ def classes(
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id and class_id, the least doc_id of its class."""
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).alias("text"))
-    signed_rows, labels = _labelled(rows, cfg)
+    signed_rows, labels = _labelled(rows, cfg, ["doc_id", "text"], F.col("text"))
     named = staged(
         signed_rows.select("doc_id", "print1", "print2").join(labels, ["print1", "print2"]), "named"
     )
@@ -480,7 +492,8 @@ def keep_one(
         F.col(f"`{id_col}`").alias("doc_id"),
         text_of(text_col).alias("text"),
     )
-    signed_rows, labels = _labelled(rows, cfg)
+    text = F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))
+    signed_rows, labels = _labelled(rows, cfg, ["row", "doc_id"], text)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
     per_set = signed_rows.groupBy("print1", "print2").agg(first)
     kept = (

@@ -233,13 +233,15 @@ def mask(
 ) -> DataFrame:
     """``docs`` with every found span replaced by a mark of its verdict, and the length renewed.
 
-    Rows without spans pass as they are; only the others are shuffled.
+    Rows without spans pass as they are, by a scan of their own; only the others are written,
+    counted and shuffled.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = _source(docs, owner, repository, text_col, row)
-    scanned = staged(_scanned(rows, cfg, ["row", "owner", "repository"]), "scanned")
-    judged = _judged(scanned.select("key", "owner", "repository", "found"), cfg)
-    struck = scanned.filter(F.size("found") > 0).select("key", "row").join(judged, "key", "left")
+    scanned = _scanned(rows, cfg, ["row", "owner", "repository"])
+    holding = staged(scanned.filter(F.size("found") > 0), "holding")
+    judged = _judged(holding.select("key", "owner", "repository", "found"), cfg)
+    struck = holding.select("key", "row").join(judged, "key", "left")
     struck = struck.select(F.col(f"row.`{text_col}`").alias("text"), "spans", "row")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

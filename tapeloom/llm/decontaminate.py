@@ -165,11 +165,12 @@ def matches(
         ]
     )
     out = docs.sparkSession.createDataFrame([], schema)
+    item_type = out.select("item_id").toArrow().schema.field(0).type
     for block in item_blocks(items, cfg, item_id_col, item_text_col):
         shared = docs.sparkSession.sparkContext.broadcast(
             [(r["item_id"], normal(r["text"])) for r in block]
         )
-        out = out.unionByName(rows.mapInArrow(_matching(shared, cfg.rate), schema))
+        out = out.unionByName(rows.mapInArrow(_matching(shared, cfg.rate, item_type), schema))
     return out
 
 
@@ -184,7 +185,7 @@ def _matcher(shared, rate: float) -> tuple[list, Matcher]:
     return [i for i, _ in items], _held[0][2]
 
 
-def _matching(shared, rate: float):
+def _matching(shared, rate: float, item_type: pa.DataType):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matcher = _matcher(shared, rate)
         for batch in batches:
@@ -194,7 +195,7 @@ def _matching(shared, rate: float):
                     rows.append(row)
                     found.append(match)
             columns = [batch.column("doc_id").take(pa.array(rows, pa.int64()))]
-            columns.append(pa.array([ids[f[0]] for f in found], pa.int64()))
+            columns.append(pa.array([ids[f[0]] for f in found], item_type))
             columns += [pa.array([f[i] for f in found], pa.int64()) for i in (1, 2, 3)]
             yield pa.RecordBatch.from_arrays(
                 columns, names=["doc_id", "item_id", "distance", "match_start", "match_end"]

@@ -132,9 +132,15 @@ def test_matches_equal_brute_force(spark):
     assert decontaminate.without_matches(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_item_ids_may_be_text_or_missing(spark):
+    bench = spark.createDataFrame([("q1", "some words to find"), (None, "one")], "item_id string, text string")
+    docs = documents(spark, texts=["here are some  WORDS to\nfind", "none"])
+    rows = decontaminate.matches(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in rows if r.doc_id is not None) == [(0, "q1"), (0, "q1"), (1, None)]
+
+
 def plain_containment(template, text, width=5):
     def of(t):
-        words = re.findall(r"(?:[a-z]|[^\x00-\x7f])+|[0-9]+|$^", t.lower())
         words = re.findall(r"[a-z0-9\u0080-\U0010ffff]+", t.lower())
         w = min(width, len(words))
         return {tuple(words[i : i + w]) for i in range(len(words) - w + 1)} if words else set()

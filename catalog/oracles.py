@@ -841,7 +841,9 @@ ORACLES["pca_report"] = (
         """best AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY abs(v) DESC, feature) AS place FROM corrs)""",
         """sample AS (SELECT market_id || ':' || tag_id AS rid, classifier_label || ': ' || market_id AS name FROM zs
           ORDER BY md5(market_id), market_id, classifier_label LIMIT 80)""",
-        """spots AS (SELECT name, list(score ORDER BY k) AS p FROM sample JOIN scores USING (rid) WHERE k <= 10 GROUP BY rid, name)""",
+        # Directions without variance add nothing to a distance.
+        """spots AS (SELECT name, list(score ORDER BY k) AS p FROM sample JOIN scores USING (rid) JOIN pc USING (k)
+          WHERE k <= 10 AND ratio > 1e-9 GROUP BY rid, name)""",
     )
     + f"""SELECT 'score' AS part, rid AS key, 'PC' || k AS item, {r6('score', 'value')} FROM scores WHERE k <= 2
   UNION ALL SELECT 'correlation', feature, target, round(v, 6) + 0.0 FROM best WHERE place <= 8

@@ -6,6 +6,8 @@ polynomial of its bytes modulo 2**64, taken from one running sum over all bytes
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -48,8 +50,9 @@ class _Powers:
 
 
 _powers = _Powers()
-# Bytes hashed in one go; a longer single text is still hashed whole.
-BLOCK_BYTES = 4 << 20
+# Bytes hashed in one go, and the longest word that is hashed by the polynomial.
+BLOCK_BYTES = 1 << 19
+LONG_WORD = 1 << 20
 
 
 class Words:
@@ -90,6 +93,11 @@ class Words:
                 low = start[at]
                 stop = max(at + 1, int(np.searchsorted(end, low + BLOCK_BYTES, "right")))
                 size = int(end[stop - 1] - low)
+                if size > LONG_WORD:  # one huge word: its digest, for a bounded table of powers
+                    digest = hashlib.blake2b(raw[low : low + size].tobytes(), digest_size=8).digest()
+                    out[at] = int.from_bytes(digest, "little")
+                    at = stop
+                    continue
                 _powers.upto(size)
                 sums = np.zeros(size + 1, _U)
                 np.cumsum(_BYTE[raw[low : low + size]] * _powers.up[:size], out=sums[1:])

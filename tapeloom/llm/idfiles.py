@@ -44,6 +44,7 @@ class IdFiles:
     length: int = 2048
     batch_rows: int = 256
     bits: int = 16
+    memo_words: int = 250_000
 
 
 def _filesystem(path: str):
@@ -146,7 +147,7 @@ def write(
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part = context.partitionId()
-        encoder = tokens.encoder(cfg.tokenizer, cfg.chunks)
+        encoder = tokens.encoder(cfg.tokenizer, cfg.chunks, cfg.memo_words)
         store, top = _filesystem(path)
         attempt = f"{top}/.attempt-{part}-{context.taskAttemptId()}-{uuid.uuid4().hex}"
         writer = index = None

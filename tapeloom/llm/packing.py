@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeloom.llm import tokens
-from tapeloom.llm.rows import row_keys, staged, text_of
+from tapeloom.llm.rows import parts, row_keys, staged, text_of
 
 KEY_BITS = 20
 
@@ -44,6 +44,7 @@ class Packing:
     group_windows: int = 96
     group_pieces: int = 8192
     with_ids: bool = False
+    memo_words: int = 100_000
 
 
 def differencing(sizes: list[int], slots: int) -> np.ndarray:
@@ -103,10 +104,10 @@ def pieces(docs: DataFrame, cfg: Packing, id_col: str, text_col: str) -> DataFra
     end = np.array([cfg.end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.encoder(cfg.tokenizer, cfg.chunks)
+        encoder = tokens.encoder(cfg.tokenizer, cfg.chunks, cfg.memo_words)
         keys = row_keys()
         next(keys)
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b)):
             rows, columns = [], [[], [], [], [], [], []]
             starts, lengths, sums, totals, full, ids = columns
             for row, coded in enumerate(encoder.encode(batch.column("text").to_pylist())):

@@ -42,7 +42,7 @@ def row_keys() -> Iterator[np.ndarray]:
         done += count
 
 
-def parts(batch: pa.RecordBatch, rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def parts(batch: pa.RecordBatch, rows: int = 256, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """A batch with a ``text`` column in slices of at most so many rows and bytes of text.
 
     A text beyond the size is a slice of its own: texts are never cut.

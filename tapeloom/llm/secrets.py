@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.llm.rows import row_keys, staged, text_of, with_fields
+from tapeloom.llm.rows import parts, row_keys, staged, text_of, with_fields
 
 KINDS = ("assign", "access", "hex", "owned")
 # The base patterns and their least lengths.
@@ -99,7 +99,7 @@ def _scanned(rows: DataFrame, cfg: Ownership, keep: list[str]) -> DataFrame:
         span = pa.struct(
             [("start", pa.int64()), ("kind", pa.int64()), ("end", pa.int64()), ("hash", pa.binary())]
         )
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b)):
             counts, digests, spans = [[], [], []], [], []
             for text in batch.column("text").to_pylist():
                 base = base_spans(text)

@@ -17,9 +17,6 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-# Words kept per worker in each of two generations.
-MEMO_WORDS = 250_000
-
 # Latin characters on which all Unicode versions agree about case, kind and normal form. Left out:
 # rarer blanks and controls, numerals that are no decimal digits, and the dotted capital I.
 OTHER = re.compile(r"[^\t-\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]")
@@ -42,9 +39,9 @@ def byte_alphabet() -> dict[int, str]:
 class _Memo(dict):
     """Ids of words, computed when they are missed; words in use survive a change of generation."""
 
-    def __init__(self, ids):
+    def __init__(self, ids, words: int):
         super().__init__()
-        self._ids = ids
+        self._ids, self._words = ids, words
         self._old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
@@ -55,15 +52,18 @@ class _Memo(dict):
         return found
 
     def turn(self) -> None:
-        if len(self) > MEMO_WORDS:
+        if len(self) > self._words:
             self._old = dict(self)
             self.clear()
 
 
 class Encoder:
-    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers."""
+    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers.
+
+    ``memo`` words are kept per worker in each of two generations, about 170 bytes each.
+    """
 
-    def __init__(self, path: str, words: str):
+    def __init__(self, path: str, words: str, memo: int = 100_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -74,7 +74,7 @@ class Encoder:
         self._lower = words == DROPS_BLANKS
         special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._special = re.compile("|".join(map(re.escape, special)) or r"(?!)").search
-        self._memo = _Memo(self._word)
+        self._memo = _Memo(self._word, memo)
 
     def _word(self, word: str) -> bytes:
         """Ids of one word: its bytes in the vocabulary's alphabet, through the model."""
@@ -97,9 +97,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, words: str) -> Encoder:
+def encoder(path: str, words: str, memo: int) -> Encoder:
     """One encoder per worker process and tokenizer file."""
-    return Encoder(path, words)
+    return Encoder(path, words, memo)
 
 
 def public_file(name: str) -> str:

@@ -11,11 +11,14 @@ lookup per batch; no other window can collide, as its least hash would have to b
 template that a window retrieves is verified exactly: the share of its distinct shingles in the
 stretch of the window and one window length before and after it.
 
+A template of fewer than five words has no shingle of five. It is compared with every run of as many
+words, and found where a run equals it.
+
 The templates are parameters of the job, a fixed and small table within every task.
 
-Defined results: missing and empty texts match nothing; a template or text of fewer than five words
-is one shingle of all its words; templates without words never match; the best stretch counts, of
-equal ones the first; repeated rows match each; an empty table gives no rows; other columns are
+Defined results: missing and empty texts match nothing; a template of fewer than five words is
+contained whole or not at all, and its first place counts; templates without words never match; of
+the others the best stretch counts, of equal ones the first; repeated rows match each; an empty table gives no rows; other columns are
 ignored, whatever their names.
 """
 
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeloom.llm.hashing import Words, mix, seeds, shingles
-from tapeloom.llm.licensetexts import TEMPLATES
+from tapeloom.llm.licensetexts import NOTICES, TEMPLATES
 from tapeloom.llm.quality import SIGNS
 from tapeloom.llm.rows import parts, text_of
 
@@ -44,7 +47,10 @@ FILTER_BITS = 20
 
 @dataclass(frozen=True)
 class Licenses:
+    """``notices`` are further templates, by default those of a few words."""
+
     templates: dict[str, str] = field(default_factory=lambda: dict(TEMPLATES))
+    notices: dict[str, str] = field(default_factory=lambda: dict(NOTICES))
     width: int = 5
     containment: float = 0.8
     similarity: float = 0.5
@@ -65,16 +71,22 @@ def band_keys(found: np.ndarray, cfg: Licenses) -> list[int]:
 
 
 class Finder:
-    """Templates and their bands; ``find`` looks through one text's shingles."""
+    """Templates and their bands; ``find`` looks through one text's words."""
 
     def __init__(self, cfg: Licenses):
         self.cfg = cfg
-        names = sorted(cfg.templates)
-        words = Words(pa.array([cfg.templates[n] for n in names]), LETTERS)
+        texts = {**cfg.notices, **cfg.templates}
+        names = sorted(texts)
+        words = Words(pa.array([texts[n] for n in names], pa.string()), LETTERS)
         self.sets, self.retrieve = {}, {}
+        # Of templates below the width: word count -> hash of all words -> names.
+        self.runs: dict[int, dict[int, list[str]]] = {}
         for i, name in enumerate(names):
-            found = shingles(words.hash[words.first[i] : words.first[i + 1]], cfg.width)
-            if len(found):
+            own = words.hash[words.first[i] : words.first[i + 1]]
+            found = shingles(own, cfg.width)
+            if 0 < len(own) < cfg.width:
+                self.runs.setdefault(len(own), {}).setdefault(int(found[0]), []).append(name)
+            elif len(found):
                 self.sets[name] = np.unique(found)
                 size = len(found)
                 for key in band_keys(self.sets[name], cfg):
@@ -89,10 +101,22 @@ class Finder:
         at = np.flatnonzero(self.maybe[found >> _U(64 - FILTER_BITS)])
         return at[np.isin(found[at], self.known)]
 
-    def find(self, found: np.ndarray) -> list[tuple[str, float, int]]:
-        """(template, containment, first shingle of the window) of one text."""
+    def whole(self, words: np.ndarray) -> dict[str, tuple[float, int]]:
+        """Containment and first place of each template below the width among a text's words."""
+        best = {}
+        for width, names in self.runs.items():
+            runs = shingles(words, width) if len(words) >= width else words[:0]
+            for value, same in names.items():
+                at = np.flatnonzero(runs == _U(value))
+                if len(at):
+                    best.update(dict.fromkeys(same, (1.0, int(at[0]))))
+        return best
+
+    def find(self, words: np.ndarray) -> list[tuple[str, float, int]]:
+        """(template, containment, first word of the window) of one text."""
+        found = shingles(words, self.cfg.width)
         hits = self.hits(found)
-        best: dict[str, tuple[float, int]] = {}
+        best = self.whole(words)
         for size in self.sizes if len(hits) else ():
             step = max(1, size // 4)
             # Windows that hold a hit: starts from hit - size + 1 to hit.
@@ -127,7 +151,7 @@ def scan(
                 row, found = [], []
                 for i in range(part.num_rows):
                     own = words.hash[words.first[i] : words.first[i + 1]]
-                    matches = finder.find(shingles(own, cfg.width))
+                    matches = finder.find(own)
                     row += [i] * len(matches)
                     found += matches
                 yield pa.RecordBatch.from_arrays(

@@ -1,7 +1,7 @@
 """License notices to search for.
 
 Fixed values: the public wording of common license headers and notices, as text. Callers may pass
-their own templates instead.
+their own templates and notices instead.
 """
 
 from __future__ import annotations
@@ -44,3 +44,6 @@ form or as a compiled binary, for any purpose, commercial or non-commercial, and
 License.""",
     "All-rights-reserved": "All rights reserved. No part of this work may be reproduced.",
 }
+
+# Notices of fewer words than a shingle, as they are written.
+NOTICES: dict[str, str] = {"All-rights-reserved-line": "All rights reserved."}

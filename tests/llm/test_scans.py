@@ -173,6 +173,37 @@ def test_licenses_are_found_whole_and_edited(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_notices_of_few_words_are_found(spark):
+    rng = random.Random(12)
+    templates = {f"{k} words": " ".join(f"Word{j}" for j in range(k)) + "." for k in range(1, 7)}
+    templates["none"] = " .. "
+    cfg = licenses.Licenses(templates=templates)
+    texts, runs = [], {n: re.findall("[a-z0-9]+", t.lower()) for n, t in templates.items()}
+    for words in runs.values():
+        texts.append(" ".join([prose(rng, rng.randrange(0, 40)), *words, prose(rng, rng.randrange(0, 40))]))
+        texts.append(" ".join(words).upper())
+        texts.append(" ".join(words[:-1] + ["x"] + words[-1:]))
+    texts += ["(c) All rights\nreserved.", "all rights reserved", "all rights not reserved", "all, rights", None, ""]
+    runs["All-rights-reserved-line"] = ["all", "rights", "reserved"]
+    rows = licenses.scan(documents(spark, texts=texts, clashing=True), cfg).collect()
+    got = {(r.doc_id, r.license): (r.containment, r.first_word) for r in rows if r.doc_id is not None}
+    for i, text in enumerate(texts):
+        own = re.findall("[a-z0-9]+", (text or "").lower())
+        for name, words in runs.items():
+            at = [j for j in range(len(own)) if words and own[j : j + len(words)] == words]
+            if len(words) < cfg.width:
+                assert got.get((i, name)) == ((1.0, at[0]) if at else None), (i, name)
+            else:
+                assert ((i, name) in got) == bool(at), (i, name)
+
+
+def test_the_license_query_finds_notices_as_written(spark, sf):
+    rows = QUERIES["op3_licenses"](spark, sf).collect()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    want = {d.doc_id for d in docs if "All rights reserved." in (d.text or "")}
+    assert want and want <= {r.doc_id for r in rows if r.license == "All-rights-reserved-line"}
+
+
 def test_bands_collide_as_promised():
     cfg = licenses.Licenses()
     assert (1 - cfg.similarity**cfg.rows) ** cfg.bands <= 1 - cfg.sure

@@ -1,11 +1,11 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Every whole text is searched for spans of three base kinds (assignments, access keys, hex runs) and
-for further candidates: long runs of key characters with letters and digits and a high entropy. The
-value of each span is hashed; per hash the distinct repositories and distinct owners over the whole
-corpus are counted. A value of few owners and repositories looks live; one that many share is a
-widely copied example. Base spans always stay, each with its verdict; candidates that look live are
-added as spans of kind ``owned``, the others are not.
+for further candidates: runs of 20 key characters or more, of any length, with letters and digits and
+a high entropy. The value of each span is hashed; per hash the distinct repositories and distinct
+owners over the whole corpus are counted. A value of few owners and repositories looks live; one that
+many share is a widely copied example. Base spans always stay, each with its verdict; candidates that
+look live are added as spans of kind ``owned``, the others are not.
 
 Defined results: a missing text is empty and has no spans; a missing owner or repository counts as
 one more value; repeated rows are scanned each, and count as one repository; an empty table gives no
@@ -38,7 +38,7 @@ ASSIGN = re.compile(
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,200}(?![A-Za-z0-9+/_=-])")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
 
 
 @dataclass(frozen=True)

@@ -64,6 +64,20 @@ def test_owners_tell_examples_from_live_values(spark):
     assert rows[12].n_live == 1
 
 
+def test_long_values_are_candidates(spark):
+    rng = random.Random(13)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    sizes = [20, 200, 201, 342, 1700, 100_000]
+    values = ["".join(rng.choice(signs) for _ in range(n - 2)) + "a1" for n in sizes]
+    texts = [f"see {v} here" for v in values]
+    docs = documents(spark, texts=texts)
+    rows = {r.doc_id: r for r in secrets.scan(docs, *OWN).collect()}
+    masked = {r.doc_id: r.text for r in secrets.mask(docs, *OWN).collect()}
+    for i, n in enumerate(sizes):
+        assert rows[i].spans == f"owned:4:{4 + n}" and rows[i].n_owned == rows[i].n_live == 1
+        assert masked[i] == "see <secret> here"
+
+
 def test_masked_texts(spark):
     docs = documents(spark, clashing=True)
     masked = secrets.mask(docs, *OWN)

@@ -30,8 +30,8 @@ URL_RULES = [
     urls.Rule("block", "net", "/es/"),
     urls.Rule("block", "net", "/fr/"),
 ]
-# Documents have no repository of their own: a source owns them, each document is one repository.
-OWNER, REPOSITORY = "source", "doc_id"
+# Documents have no repository of their own: a source owns them, and owners alone are counted.
+OWNER, REPOSITORY = "source", None
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

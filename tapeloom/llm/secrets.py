@@ -5,7 +5,8 @@ for further candidates: runs of 20 key characters or more, of any length, with l
 a high entropy. The value of each span is hashed; per hash the distinct repositories and distinct
 owners over the whole corpus are counted. A value of few owners and repositories looks live; one that
 many share is a widely copied example. Base spans always stay, each with its verdict; candidates that
-look live are added as spans of kind ``owned``, the others are not.
+look live are added as spans of kind ``owned``, the others are not. Rows without repositories
+(``repository=None``) are judged by their owners alone: documents of one owner never make an example.
 
 Defined results: a missing text is empty and has no spans; a missing owner or repository counts as
 one more value; repeated rows are scanned each, and count as one repository; an empty table gives no
@@ -154,18 +155,22 @@ def ownership(values: DataFrame) -> DataFrame:
     )
 
 
-def _judged(scanned: DataFrame, cfg: Ownership) -> DataFrame:
+def _judged(scanned: DataFrame, cfg: Ownership, by_repository: bool) -> DataFrame:
     """Per row key: its spans (start, kind, end, live), in order, candidates only where live."""
     values = scanned.select("key", "owner", "repository", F.explode("found").alias("s"))
     values = values.select("key", "owner", "repository", "s.*")
     known = staged(ownership(values.select("hash", "owner", "repository")), "ownership")
-    live = (F.col("owners") <= cfg.owners) & (F.col("repositories") <= cfg.repositories)
+    live = F.col("owners") <= cfg.owners
+    if by_repository:
+        live &= F.col("repositories") <= cfg.repositories
     verdicts = values.join(known.withColumn("live", live), "hash").filter("kind < 3 OR live")
     span = F.struct("start", "kind", "end", "live")
     return verdicts.groupBy("key").agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
 
-def _column(of: Column | str) -> Column:
+def _column(of: Column | str | None) -> Column:
+    if of is None:
+        return F.lit(None)
     return F.col(f"`{of}`") if isinstance(of, str) else of
 
 
@@ -181,7 +186,7 @@ def _source(docs: DataFrame, owner, repository, text_col: str, *more: Column) ->
 def scan(
     docs: DataFrame,
     owner: Column | str,
-    repository: Column | str,
+    repository: Column | str | None,
     cfg: Ownership = Ownership(),
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -195,7 +200,7 @@ def scan(
         lambda s: F.concat_ws(":", F.element_at(kinds, s.kind.cast("int") + 1), s.start, s.end),
     )
     spans = F.coalesce("spans", F.array().cast("array<struct<start:long,kind:long,end:long,live:boolean>>"))
-    judged = scanned.join(_judged(scanned, cfg), "key", "left").withColumn("spans", spans)
+    judged = scanned.join(_judged(scanned, cfg, repository is not None), "key", "left").withColumn("spans", spans)
     return judged.select(
         "doc_id",
         "n_assign",
@@ -226,7 +231,7 @@ def hide(text: str, spans: list[dict]) -> str:
 def mask(
     docs: DataFrame,
     owner: Column | str,
-    repository: Column | str,
+    repository: Column | str | None,
     cfg: Ownership = Ownership(),
     text_col: str = "text",
     length_col: str | None = "n_chars",
@@ -240,7 +245,8 @@ def mask(
     rows = _source(docs, owner, repository, text_col, row)
     scanned = _scanned(rows, cfg, ["row", "owner", "repository"])
     holding = staged(scanned.filter(F.size("found") > 0), "holding")
-    judged = _judged(holding.select("key", "owner", "repository", "found"), cfg)
+    found = holding.select("key", "owner", "repository", "found")
+    judged = _judged(found, cfg, repository is not None)
     struck = holding.select("key", "row").join(judged, "key", "left")
     struck = struck.select(F.col(f"row.`{text_col}`").alias("text"), "spans", "row")
 

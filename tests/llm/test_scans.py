@@ -5,8 +5,9 @@ import random
 import re
 
 import pytest
-from cases import documents, empty, prose
+from cases import DOCUMENT, documents, empty, prose
 
+import corpus_pipeline
 from tapeloom.llm import decontaminate, licenses, secrets
 from tapeloom.llm.queries import QUERIES
 
@@ -64,6 +65,23 @@ def test_owners_tell_examples_from_live_values(spark):
     assert rows[12].n_live == 1
 
 
+def test_many_documents_of_one_owner_make_no_example(spark, tmp_path):
+    one, two, three = "Zx81QpLm47RtYu90WvBn", "Kk29LwPq83NmXc51RtGh", "Tt73VbNc28SdFg64HjKl"
+    held = [(one, ["a"]), (two, ["a", "b"]), (three, ["a", "b", None])]
+    rows = [(f"see {v} here, token=x{v}", o) for v, owners in held for o in owners for _ in range(20)]
+    rows = [(i, text, "en", owner, len(text)) for i, (text, owner) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, DOCUMENT)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op1_secrets"](spark, str(tmp_path)).collect()}
+    masked = {r.doc_id: r.text for r in corpus_pipeline.mask(spark, docs, str(tmp_path)).collect()}
+    for i, text, *_ in rows:
+        live = three not in text
+        assert (got[i].n_owned, got[i].n_live, got[i].n_example) == ((1, 2, 0) if live else (0, 0, 1))
+        assert masked[i] == ("see <secret> here, <secret>" if live else f"see {three} here, <example>")
+    # Where there are repositories, their bound still holds.
+    assert {r.n_live for r in secrets.scan(docs, *OWN).collect()} == {0}
+
+
 def test_long_values_are_candidates(spark):
     rng = random.Random(13)
     signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"

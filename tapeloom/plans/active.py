@@ -74,6 +74,11 @@ def select_markets(listing: DataFrame, cfg: ActiveSettings) -> DataFrame:
     ).withColumn("line", F.concat_ws("|", "token_id", F.unix_micros("start_ts")))
 
 
+def listed_categories(listing: DataFrame) -> DataFrame:
+    """The category columns of all listings, once each, whether any of them is acceptable or not."""
+    return listing.select("tag_id", "classifier_label", "tag_slug").distinct()
+
+
 def price_lines(selected: DataFrame) -> DataFrame:
     """What history work depends on, once each: the token and the start of the selected rows.
 
@@ -160,6 +165,7 @@ class ActiveTables:
     features: DataFrame
     n_selected: int
     cfg: ActiveSettings
+    categories: DataFrame
 
     def _with_market_columns(self, columns: list[str]) -> DataFrame:
         """Selected rows with columns of their price line and their own time to close."""
@@ -173,9 +179,8 @@ class ActiveTables:
         return joined.withColumn("feat_time_to_close_hours", F.when(F.col("n_valid") >= 2, to_close))
 
     def shortfall(self) -> DataFrame:
-        """Found and wanted markets of each category that has any listing selected."""
-        dimension = self.selected.select("tag_id", "classifier_label", "tag_slug").distinct()
-        return shortfall(self.selected, dimension, "tag_id", self.cfg.per_category)
+        """Found and wanted markets of each category; those without an acceptable market count 0."""
+        return shortfall(self.selected, self.categories, "tag_id", self.cfg.per_category)
 
     def coverage(self) -> DataFrame:
         """One row: how many price lines of the selection have any print in the window."""
@@ -226,29 +231,37 @@ class ActiveTables:
         ).select(*RAW_GRID.names)
 
 
-def build(listing: DataFrame, points: DataFrame, books: DataFrame | None, cfg: ActiveSettings) -> ActiveTables:
+def build(
+    listing: DataFrame, points: DataFrame, books: DataFrame | None, cfg: ActiveSettings,
+    categories: DataFrame | None = None,
+) -> ActiveTables:
     """All outputs as tables over one staged selection; the staging jobs run here.
 
     ``listing`` is one row per (market, tag) with the category columns, ``points`` the price
-    history, ``books`` one snapshot per token. Three tables feed several branches and are written
+    history, ``books`` one snapshot per token. ``categories`` (``tag_id``, ``classifier_label``,
+    ``tag_slug``) are those wanted, by default all that the listing has. Three tables feed several branches and are written
     once: the selection and the features (one row per selected market) and the buckets (at most
     one row per selected market and step). The counted selection is the size bound that later
     joins check before they broadcast it. History work runs once per distinct token and start.
     """
     prepare(listing.sparkSession)
+    wanted = staged(listed_categories(listing if categories is None else categories), "categories")
     selected = staged(select_markets(listing, cfg), "selected")
     markets = price_lines(selected)
     n = selected.count()
     buckets = staged(market_buckets(points, markets, n, cfg), "buckets")
     grid = market_grid(markets, buckets, cfg)
     features = staged(market_features(markets, n, buckets, books, cfg), "features")
-    return ActiveTables(selected, grid, features, n, cfg)
+    return ActiveTables(selected, grid, features, n, cfg, wanted)
 
 
-def run(listing: DataFrame, points: DataFrame, books: DataFrame | None, cfg: ActiveSettings, out: str) -> None:
+def run(
+    listing: DataFrame, points: DataFrame, books: DataFrame | None, cfg: ActiveSettings, out: str,
+    categories: DataFrame | None = None,
+) -> None:
     """Publish raw grid, metadata and scaled features under ``out``; empty tables keep their schema."""
     spark, mark = listing.sparkSession, staged_mark()
-    tables = build(listing, points, books, cfg)
+    tables = build(listing, points, books, cfg, categories)
     scaled, metadata = tables.scaled_features(), tables.metadata()
     require_aligned(scaled, metadata, ["market_id", "tag_id"])
     publish(tables.shortfall(), f"{out}/shortfall")

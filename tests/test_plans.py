@@ -131,3 +131,21 @@ def test_jobs_report_shortfall_and_coverage(spark, published):
     assert {"classifier_label", "found", "wanted", "short"} <= set(short.columns) and short.count() > 0
     seen = read(spark, f"{out}/coverage").first()
     assert 0 < seen.lines_with_data <= seen.lines_total
+
+
+def test_a_category_of_refused_listings_is_short(spark, tmp_path):
+    row = dict(question="q", startDate="2024-01-20T00:00:00Z", endDate="2024-02-01T00:00:00Z", volumeNum="9",
+               liquidityNum="9", volume="1", liquidityClob="1", clobTokenIds='["x"]')
+    one = {**row, "id": "m", "tag_id": "1", "classifier_label": "A", "tag_slug": "a", "category_ord": 0}
+    low = {**row, "id": "n", "tag_id": "2", "classifier_label": "B", "tag_slug": "b", "category_ord": 1, "volumeNum": "1"}
+    listing = spark.createDataFrame([one, low, {**low, "id": "o", "volumeNum": None}])
+    points = spark.createDataFrame([], "token_id string, resolution string, extract_ord bigint, t bigint, price double")
+    cfg = active.ActiveSettings(as_of=X.AS_OF, min_volume=5.0, min_liquidity=0.0, per_category=1)
+    found = {"1": (1, 1, False), "2": (0, 1, True)}
+    none = spark.createDataFrame([("3", "C", "c", 2)], "tag_id string, classifier_label string, tag_slug string, category_ord int")
+    given = listing.select(none.columns).unionByName(none)
+    for i, (categories, want) in enumerate([(None, found), (given, {**found, "3": (0, 1, True)})]):
+        active.run(listing, points, None, cfg, f"{tmp_path}/{i}", categories)
+        rows = read(spark, f"{tmp_path}/{i}/shortfall").collect()
+        assert len(rows) == len(want)
+        assert {r.tag_id: (r.found, r.wanted, r.short) for r in rows} == want

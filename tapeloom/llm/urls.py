@@ -4,8 +4,10 @@ A rule names a host with all its subdomains and the start of a path; the longest
 the page. Pages without a rule are judged by their host: the share of a host's pages that rules allow
 is its trusted seed, the share that they block its distrusted seed. Trust is a personalised PageRank
 from the trusted seeds along the links between hosts; distrust runs from the blocked seeds against the
-links, to the hosts that lead there. A host is blocked where its distrust exceeds its trust and
-reaches ``threshold`` times that of a fully blocked host without links; any other is allowed.
+links, to the hosts that lead there, which share it among them. The lead of a host is the same mass
+taken over its own links, each by its share of them: where a walk from there comes to, however many
+others link to the same hosts. A host is blocked where the larger of its distrust and lead exceeds its
+trust and reaches ``threshold`` times that of a fully blocked host without links; any other is allowed.
 
 Links are absolute ``href`` values of the whole page. They are counted per pair of hosts before
 anything is joined, so a host with a third of all pages is a bounded number of rows per task.
@@ -92,7 +94,7 @@ def _shares(links: DataFrame, of: str, to: str) -> DataFrame:
 
 
 def propagate(seeds: DataFrame, links: DataFrame, cfg: Graph) -> DataFrame:
-    """``host, trust, distrust`` from ``seeds(host, trusted, blocked)`` over ``links(src, dst, n)``.
+    """``host, trust, distrust, lead`` from ``seeds(host, trusted, blocked)`` over ``links(src, dst, n)``.
 
     Every host that has pages or links has a row. Each round is a written table; one number, the
     largest change, reaches the driver.
@@ -106,32 +108,36 @@ def propagate(seeds: DataFrame, links: DataFrame, cfg: Graph) -> DataFrame:
             "host",
             (rest * F.col("trusted")).alias("trust0"),
             (rest * F.col("blocked")).alias("distrust0"),
+            (rest * F.col("blocked")).alias("lead0"),
         ),
         "host-seeds",
     )
     forward = staged(_shares(links, "src", "dst"), "forward")
     backward = staged(_shares(links, "dst", "src"), "backward")
-    ranks = start.select("host", F.col("trust0").alias("trust"), F.col("distrust0").alias("distrust"))
+    # Each mass with the links it moves along, from one end to the other.
+    walks = {
+        "trust": (forward, "of", "to"),
+        "distrust": (backward, "of", "to"),
+        "lead": (forward, "to", "of"),
+    }
+    ranks = start.select("host", *[F.col(f"{n}0").alias(n) for n in walks])
     for _ in range(cfg.rounds):
-        flows = []
-        for shares, name in ((forward, "trust"), (backward, "distrust")):
-            moved = shares.join(ranks.select(F.col("host").alias("of"), F.col(name).alias("v")), "of")
-            flow = moved.filter("v > 0").groupBy(F.col("to").alias("host"))
-            flows.append(flow.agg(F.sum(F.col("share") * F.col("v")).alias(f"in_{name}")))
-        both = start.join(flows[0], "host", "left").join(flows[1], "host", "left")
-        new = both.select(
+        new = start
+        for name, (shares, at, to) in walks.items():
+            moved = shares.join(ranks.select(F.col("host").alias(at), F.col(name).alias("v")), at)
+            flow = moved.filter("v > 0").groupBy(F.col(to).alias("host"))
+            flow = flow.agg(F.sum(F.col("share") * F.col("v")).alias(f"in_{name}"))
+            new = new.join(flow, "host", "left")
+        new = new.select(
             "host",
             *[
                 (F.col(f"{n}0") + cfg.damping * F.coalesce(f"in_{n}", F.lit(0.0))).alias(n)
-                for n in ("trust", "distrust")
+                for n in walks
             ],
         )
-        old = ranks.select("host", F.struct("trust", "distrust").alias("was"))
+        old = ranks.select("host", F.struct(*walks).alias("was"))
         new = staged(new.join(old, "host"), "host-ranks")
-        change = F.greatest(
-            F.abs(F.col("trust") - F.col("was.trust")),
-            F.abs(F.col("distrust") - F.col("was.distrust")),
-        )
+        change = F.greatest(*[F.abs(F.col(n) - F.col(f"was.{n}")) for n in walks])
         largest = new.agg(F.max(change)).first()[0]
         ranks = new.drop("was")
         if largest is None or largest < cfg.tolerance:
@@ -163,7 +169,8 @@ def judge(
     seeds = judged.filter("host != ''").groupBy("host").agg(*share)
     ranks = propagate(seeds, host_links(parts), cfg)
     least = cfg.threshold * (1 - cfg.damping)
-    blocked = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= least)
+    against = F.greatest("distrust", "lead")
+    blocked = (against > F.col("trust")) & (against >= least)
     hosts = ranks.withColumn("by_host", F.when(blocked, "block").otherwise("allow"))
     return (
         judged.drop("html")

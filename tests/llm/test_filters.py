@@ -197,6 +197,26 @@ def test_hosts_that_link_to_blocked_hosts_are_blocked(spark):
     assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "block"}
 
 
+def test_hosts_with_many_fellow_linkers_are_blocked(spark):
+    bad, link = "http://bad.net/es/1", '<a href="{}">x</a>'.format
+    few = link(bad) + "".join(link(f"http://other{i}.org/") for i in range(9))
+    only = [f"http://only{i:02}.org/" for i in range(60)]
+    rows = [(bad, "", "block")] + [(u, link(bad), "block") for u in only]
+    rows += [
+        ("http://second.org/", link(only[0]), "block"),  # leads to a host that leads to the blocked one
+        ("http://few.org/", few, "allow"),
+        ("http://fine.org/", link("http://other0.org/"), "allow"),
+        ("http://good.com/", link(bad), "allow"),
+        ("http://spoken-for.org/", link(bad), "block"),
+        ("http://x.com/", link("http://spoken-for.org/") + link("http://good.com/") * 99, "allow"),
+    ]
+    pages = spark.createDataFrame([(i, u, t) for i, (u, t, _) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in urls.judge(pages, URL_RULES).collect()}
+    assert {rows[i][0]: r.verdict for i, r in got.items()} == {u: v for u, _, v in rows}
+    # One host's part of the distrust that all linkers share is below the threshold.
+    assert max(got[1 + i].distrust for i in range(60)) < 0.075
+
+
 def test_url_query_over_the_table(spark, sf):
     given = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     rows = QUERIES["op4_urls"](spark, sf).collect()

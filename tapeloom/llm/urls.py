@@ -20,6 +20,7 @@ links is lost, not spread; an empty table gives no rows; other columns are ignor
 
 from __future__ import annotations
 
+import math
 import string
 from dataclasses import dataclass
 
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm.rows import staged
+from tapeloom.session import drop_staged, staged_mark
 
 
 @dataclass(frozen=True)
@@ -42,8 +44,10 @@ class Rule:
 
 @dataclass(frozen=True)
 class Graph:
+    """Rounds go on until no mass changes by ``tolerance``; ``rounds`` ends them before, if given."""
+
     damping: float = 0.85
-    rounds: int = 20
+    rounds: int | None = None
     tolerance: float = 1e-6
     threshold: float = 0.5
 
@@ -96,8 +100,8 @@ def _shares(links: DataFrame, of: str, to: str) -> DataFrame:
 def propagate(seeds: DataFrame, links: DataFrame, cfg: Graph) -> DataFrame:
     """``host, trust, distrust, lead`` from ``seeds(host, trusted, blocked)`` over ``links(src, dst, n)``.
 
-    Every host that has pages or links has a row. Each round is a written table; one number, the
-    largest change, reaches the driver.
+    Every host that has pages or links has a row. Each round is a written table, which replaces the
+    one before; one number, the largest change, reaches the driver.
     """
     links = staged(links, "host-links")
     ends = links.select(F.explode(F.array("src", "dst")).alias("host")).distinct()
@@ -121,7 +125,13 @@ def propagate(seeds: DataFrame, links: DataFrame, cfg: Graph) -> DataFrame:
         "lead": (forward, "to", "of"),
     }
     ranks = start.select("host", *[F.col(f"{n}0").alias(n) for n in walks])
-    for _ in range(cfg.rounds):
+    rounds = cfg.rounds
+    if rounds is None:
+        # All masses together change by at most the seeds' mass times a power of the damping.
+        mass = start.agg(F.sum(F.col("trust0") + F.col("distrust0"))).first()[0] or 0.0
+        most = max(mass / cfg.tolerance, 1.0)
+        rounds = 1 + math.ceil(math.log(most) / -math.log(cfg.damping))
+    for i in range(rounds):
         new = start
         for name, (shares, at, to) in walks.items():
             moved = shares.join(ranks.select(F.col("host").alias(at), F.col(name).alias("v")), at)
@@ -136,7 +146,10 @@ def propagate(seeds: DataFrame, links: DataFrame, cfg: Graph) -> DataFrame:
             ],
         )
         old = ranks.select("host", F.struct(*walks).alias("was"))
+        mark = staged_mark()
         new = staged(new.join(old, "host"), "host-ranks")
+        if i:
+            drop_staged(seeds.sparkSession, mark - 1, mark)
         change = F.greatest(*[F.abs(F.col(n) - F.col(f"was.{n}")) for n in walks])
         largest = new.agg(F.max(change)).first()[0]
         ranks = new.drop("was")

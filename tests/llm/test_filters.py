@@ -217,6 +217,29 @@ def test_hosts_with_many_fellow_linkers_are_blocked(spark):
     assert max(got[1 + i].distrust for i in range(60)) < 0.075
 
 
+def test_judge_goes_on_until_the_tolerance_holds(spark):
+    # Two cycles of three hosts: one of blocked pages, one of pages without a rule that trust enters.
+    to = {0: [1, 3], 1: [2], 2: [0], 3: [4], 4: [5], 5: [3], 6: [3, 0]}
+    names = ["a.net", "b.net", "c.net", "d.org", "e.org", "f.org", "g.com"]
+    url = [f"http://{n}/{'es/' if n.endswith('net') else ''}" for n in names]
+    rows = [(i, url[i], "".join(f'<a href="{url[j]}">' for j in js)) for i, js in to.items()]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), URL_RULES).collect()
+    w = np.zeros((7, 7))
+    for i, js in to.items():
+        w[i, js] = 1
+    forward, back = w / w.sum(1, keepdims=True), np.divide(w, w.sum(0), out=np.zeros_like(w), where=w.sum(0) > 0)
+    blocked, trusted = np.array([1, 1, 1, 0, 0, 0, 0]), np.array([0, 0, 0, 0, 0, 0, 1])
+    dense = lambda m, s: np.linalg.solve(np.eye(7) - 0.85 * m, 0.15 * s)
+    trust, distrust, lead = dense(forward.T, trusted), dense(back, blocked), dense(forward, blocked)
+    assert len(got) == 7
+    for r in got:
+        # A last change below 1e-6 leaves at most 1e-6 * 0.85 / 0.15, summed over hosts.
+        assert abs(r.trust - trust[r.page_id]) < 5e-5 and abs(r.distrust - distrust[r.page_id]) < 5e-5
+        against = max(distrust[r.page_id], lead[r.page_id])
+        by_host = "block" if against > trust[r.page_id] and against >= 0.075 else "allow"
+        assert r.verdict == (plain_judge(url[r.page_id])[3] or by_host)
+
+
 def test_url_query_over_the_table(spark, sf):
     given = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     rows = QUERIES["op4_urls"](spark, sf).collect()

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tapeloom.llm import (
     dartminhash,
     decontaminate,
     idfiles,
+    importance,
     licenses,
     packing,
     quality,
     rules,
     secrets,
+    spelling,
     tokencounts,
     tokens,
     urls,
@@ -80,6 +83,16 @@ def op10_idfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.round_trip(table(spark, sf_dir, "documents"), cfg)
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    rows = importance.resample(docs, target)
+    return rows.select("doc_id", "n_features", "weight", "score", F.col("rank").cast("long"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_packing": op2_packing,
@@ -91,4 +104,6 @@ QUERIES = {
     "op8_rules": op8_rules,
     "op9_quality": op9_quality,
     "op10_idfiles": op10_idfiles,
+    "op12_importance": op12_importance,
+    "op13_spelling": op13_spelling,
 }

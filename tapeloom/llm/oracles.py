@@ -101,8 +101,26 @@ walk(word, place) AS (SELECT word, word FROM f
 root AS (SELECT walk.word, walk.place AS root FROM walk JOIN f ON f.word = walk.place WHERE f.form IS NULL)
 SELECT word, form, root, n, n_near, form_n FROM f JOIN root USING (word)"""
 
+REPEATS = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(coalesce(text, '')) AS h FROM documents),
+p AS (SELECT r, doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS k
+  FROM (SELECT r, doc_id, h, unnest(range(len(h) // 2 - 99)) AS i FROM d)),
+late AS (SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS place FROM p)
+  WHERE place > 1),
+run AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS number FROM (
+  SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM late)),
+gone AS (SELECT r, min(i) AS low, max(i) + 100 AS high FROM run GROUP BY r, number),
+left_over AS (SELECT r, h, low, high, coalesce(lag(high) OVER w, 0) AS before, lead(low) OVER w AS next
+  FROM gone JOIN d USING (r) WINDOW w AS (PARTITION BY r ORDER BY low)),
+kept AS (SELECT r, count(*) AS n_spans, CAST(sum(high - low) AS BIGINT) AS n_removed,
+  string_agg(substr(h, 2 * before + 1, 2 * (low - before)), '' ORDER BY low)
+    || last(CASE WHEN next IS NULL THEN substr(h, 2 * high + 1) END ORDER BY low) AS k FROM left_over GROUP BY r)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)"""
+
 ORACLES: dict[str, str] = {
     "op8_rules": RULES,
+    "op11_repeats": REPEATS,
     "op12_importance": IMPORTANCE,
     "op13_spelling": SPELLING,
 }

@@ -13,6 +13,7 @@ from tapeloom.llm import (
     licenses,
     packing,
     quality,
+    repeats,
     rules,
     secrets,
     spelling,
@@ -83,6 +84,17 @@ def op10_idfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.round_trip(table(spark, sf_dir, "documents"), cfg)
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     rows = importance.resample(docs, target)
@@ -104,6 +116,7 @@ QUERIES = {
     "op8_rules": op8_rules,
     "op9_quality": op9_quality,
     "op10_idfiles": op10_idfiles,
+    "op11_repeats": op11_repeats,
     "op12_importance": op12_importance,
     "op13_spelling": op13_spelling,
 }

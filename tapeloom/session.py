@@ -49,14 +49,14 @@ def shared_dir(spark: SparkSession) -> str:
 _staged: list[str] = []
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the files.
 
     Used where one result feeds several branches or many iterations: the lineage is cut by a
     table that outlives any executor. This runs a job; :func:`drop_staged` deletes the tables.
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("compression", compression) if compression else df.write).parquet(path)
     _staged.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

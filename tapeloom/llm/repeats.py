@@ -46,7 +46,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -243,11 +243,16 @@ def _sampled(rows: DataFrame, cfg: Repeats) -> DataFrame:
     return rows.mapInArrow(task, "bucket long, stretch long, doc long, digest long, place long")
 
 
-def shuffles_done(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files whose frames are gone: it does so when the driver collects
-    garbage, which a small driver heap may put off for long."""
+def _kept(df: DataFrame, label: str) -> DataFrame:
+    """A staged table, after which the shuffle files of its making may go.
+
+    Spark deletes the files of a shuffle when the driver collects the garbage that was its frame,
+    which a driver with little to do may put off for long.
+    """
+    out = staged(df, label, "zstd")
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def _start() -> Column:
@@ -281,12 +286,11 @@ def _whole(sampled: DataFrame, cfg: Repeats) -> tuple[DataFrame, DataFrame]:
     )
     shared = buckets.where("n > 1").select("bucket", "least", (F.col("one") != F.col("other")).alias("mixed"))
     known = sent.join(shared, "bucket").where(F.col("mixed") | (F.col("doc") > F.col("least")))
-    known = staged(known, "shared-buckets")
-    shuffles_done(sampled.sparkSession)
+    known = _kept(known, "shared-buckets")
     equal = known.where(~F.col("mixed")).select(*_range(cfg))
     mixed = known.where("mixed").drop("least", "mixed")
     least = mixed.groupBy("bucket", "stretch").agg(F.min("doc").alias("least"))
-    judged = staged(mixed.join(least, ["bucket", "stretch"]), "mixed-buckets")
+    judged = _kept(mixed.join(least, ["bucket", "stretch"]), "mixed-buckets")
     later = judged.where(F.col("doc") > F.col("least")).select(*_range(cfg))
     open_ = judged.where(F.col("doc") == F.col("least")).select("doc", "digest", "place")
     return own.unionByName(equal).unionByName(later), open_
@@ -393,7 +397,7 @@ def _refined(snippets: DataFrame, cfg: Repeats) -> DataFrame:
     ranges = F.array(F.lit(rest).cast("int"))  # one range, [0, rest]
     open_ = snippets.withColumn("ranges", ranges)
     for split in cfg.steps:
-        found = staged(_parts(open_, split, cfg), "parts")
+        found = _kept(_parts(open_, split, cfg), "parts")
         company = found.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").drop("n")
         kept = found.join(company, ["a", "b"], "left_semi")
         kept = kept.groupBy("doc", "digest", "place").agg(F.collect_list("part").alias("ranges"))
@@ -401,14 +405,21 @@ def _refined(snippets: DataFrame, cfg: Repeats) -> DataFrame:
     single = _parts(open_, rest + 1, cfg)
     before = F.shiftright("part", 8).cast("long")
     start = F.shiftright("place", 16) + F.col("place").bitwiseAND(F.lit(255)) - before
-    single = staged(single.select("a", "b", "doc", "digest", start.alias("start")), "strings")
+    mark = staged_mark()
+    single = _kept(single.select("a", "b", "doc", "digest", start.alias("start")), "strings")
     least = single.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("doc").alias("least"))
-    judged = staged(single.join(least.where("n > 1").drop("n"), ["a", "b"]), "shared-strings")
+    shared = single.join(least.where("n > 1").drop("n"), ["a", "b"])
+    until = staged_mark()
+    # Of strings in later documents nothing but the place is needed on.
+    own = F.col("doc") == F.col("least")
+    judged = shared.select("doc", "digest", "start", own.alias("own"), *[F.when(own, F.col(c)).alias(c) for c in "ab"])
+    judged = _kept(judged, "shared-strings")
+    drop_staged(snippets.sparkSession, mark, until)
     # In the least document itself all places but the first go.
-    own = judged.where(F.col("doc") == F.col("least"))
+    own = judged.where("own")
     first = own.groupBy("a", "b", "digest").agg(F.count("*").alias("n"), F.min("start").alias("first"))
     again = own.join(first.where("n > 1"), ["a", "b", "digest"]).where(F.col("start") > F.col("first"))
-    gone = judged.where(F.col("doc") > F.col("least")).select("doc", "digest", "start")
+    gone = judged.where("NOT own").select("doc", "digest", "start")
     gone = gone.unionByName(again.select("doc", "digest", "start"))
     return gone.withColumn("end", F.col("start") + cfg.length)
 
@@ -437,13 +448,11 @@ def without_repeats(
     )
     mark = staged_mark()
     whole, open_ = _whole(_sampled(rows.select("doc", "digest", "text"), cfg), cfg)
-    snippets = staged(_snippets(rows.select("doc", "digest", "text"), open_, cfg), "snippets")
-    shuffles_done(spark)
+    snippets = _kept(_snippets(rows.select("doc", "digest", "text"), open_, cfg), "snippets")
     gone = whole.unionByName(_refined(snippets, cfg)).groupBy("doc", "digest")
     until = staged_mark()
-    gone = staged(gone.agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("gone")), "ranges")
+    gone = _kept(gone.agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("gone")), "ranges")
     drop_staged(spark, mark, until)
-    shuffles_done(spark)
     held = _packed(rows, "doc_id").join(gone, ["doc", "digest"], "left").select("doc_id", "packed", "gone")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -766,15 +766,35 @@ ORACLES["cvae_reconstruction"] = (
 )
 
 
-def one_step(head: bool) -> str:
-    """One full-batch descent by the chain rule, then the encoder with the new weights."""
+def pull(upstream: str, l: int, n_in: int) -> str:
+    return f"[list_dot_product({upstream}, rows_{l}[i]) for i in range(1, {n_in + 1})]"
+
 
-    def pull(upstream: str, l: int, n_in: int) -> str:
-        return f"[list_dot_product({upstream}, rows_{l}[i]) for i in range(1, {n_in + 1})]"
+def through(upstream: str, a: str, n: int) -> str:
+    return f"[{upstream}[i] * (1 - {a}[i] ** 2) for i in range(1, {n + 1})]"
+
+
+def descended(last: str, sides: list[tuple[int, str, str]], free: int) -> list[str]:
+    """Weights and biases after one descent; ``sides`` are (layer, its input, gradient of its output)."""
+    grads = " UNION ALL ".join(
+        f"SELECT {l} AS l, i - 1 AS i, j - 1 AS j, sum({a}[i] * {d}[j]) AS g FROM {last}, range(1, len({a}) + 1) q(i), range(1, len({d}) + 1) r(j) GROUP BY i, j"
+        for l, a, d in sides
+    )
+    biases = " UNION ALL ".join(
+        f"SELECT {l} AS l, j - 1 AS j, sum({d}[j]) AS g FROM {last}, range(1, len({d}) + 1) r(j) GROUP BY j" for l, _, d in sides
+    )
+    return [
+        f"grads AS ({grads})", f"bias_grads AS ({biases})",
+        "decayed AS (SELECT l, i, j, v, g + 1e-4 * v AS g FROM weight JOIN grads USING (l, i, j))",
+        "rate AS (SELECT 0.05 * least(1.0::DOUBLE, 5.0 / sqrt(sum(g * g))) AS r FROM decayed)",
+        f"weight2 AS (SELECT l, i, j, CASE WHEN l = {free} THEN v - r * g ELSE greatest(-4, least(4, v - r * g)) END AS v FROM decayed, rate)",
+        "bias2 AS (SELECT l, j, v - r * g AS v FROM bias JOIN bias_grads USING (l, j), rate)",
+        *by_layer("2"),
+    ]
 
-    def through(upstream: str, a: str, n: int) -> str:
-        return f"[{upstream}[i] * (1 - {a}[i] ** 2) for i in range(1, {n + 1})]"
 
+def one_step(head: bool) -> str:
+    """One full-batch descent by the chain rule, then the encoder with the new weights."""
     n = "n_src"
     back = [
         ("d6", f"[2 * (a6[j] - a0[j]) / {n} for j in range(1, 65)]"),
@@ -797,26 +817,65 @@ def one_step(head: bool) -> str:
     sides = [(0, "a0", "d1"), (1, "a1", "d2"), (2, "a2", "d3"), (3, "a3", "d4"), (4, "a4", "d5"), (5, "a5", "d6")]
     if head:
         sides.append((6, "a3", "dc"))
-    grads = " UNION ALL ".join(
-        f"SELECT {l} AS l, i - 1 AS i, j - 1 AS j, sum({a}[i] * {d}[j]) AS g FROM {last}, range(1, len({a}) + 1) q(i), range(1, len({d}) + 1) r(j) GROUP BY i, j"
-        for l, a, d in sides
-    )
-    biases = " UNION ALL ".join(
-        f"SELECT {l} AS l, j - 1 AS j, sum({d}[j]) AS g FROM {last}, range(1, len({d}) + 1) r(j) GROUP BY j" for l, _, d in sides
-    )
     return ctes(
         NET_SRC, *weights(AE_WIDTHS if head else AE_WIDTHS[:6]), *by_layer(),
-        *chain("src", ENCODE + DECODE, "f"), *chain("f5", back, "g"),
-        f"grads AS ({grads})", f"bias_grads AS ({biases})",
-        "decayed AS (SELECT l, i, j, v, g + 1e-4 * v AS g FROM weight JOIN grads USING (l, i, j))",
-        "rate AS (SELECT 0.05 * least(1.0::DOUBLE, 5.0 / sqrt(sum(g * g))) AS r FROM decayed)",
-        "weight2 AS (SELECT l, i, j, CASE WHEN l = 6 THEN v - r * g ELSE greatest(-4, least(4, v - r * g)) END AS v FROM decayed, rate)",
-        "bias2 AS (SELECT l, j, v - r * g AS v FROM bias JOIN bias_grads USING (l, j), rate)",
-        *by_layer("2"),
+        *chain("src", ENCODE + DECODE, "f"), *chain("f5", back, "g"), *descended(last, sides, free=6),
         *chain("src", [("a1", layer("a0", 0, 8, tag="2")), ("a2", layer("a1", 1, 4, tag="2")), ("a3", layer("a2", 2, 2, tag="2"))], "h"),
     ) + Z12 + "h2"
 
 
+def noise_steps() -> list[str]:
+    """Normal noise of (row key, column) in epoch 0: two mixed counters of 64 bits each, Box-Muller."""
+    whole = "18446744073709551616::UHUGEINT"
+    start = (42 * 0x9E3779B97F4A7C15) % 2**64
+    steps = [
+        f"""n0 AS (SELECT market_id, c, o, CAST((CAST(market_id AS UHUGEINT) + {start}::UHUGEINT
+          + c::UHUGEINT * {0x632BE59BD9B4E019}::UHUGEINT
+          + CASE o WHEN 0 THEN {0x2545F4914F6CDD1D}::UHUGEINT ELSE {0x1F83D9AB}::UHUGEINT END) % {whole} AS UBIGINT) AS h
+          FROM (SELECT CAST(vec_id AS VARCHAR) AS market_id FROM embeddings), range(2) q(c), range(2) r(o))"""
+    ]
+    for k, (shift, factor) in enumerate(((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB))):
+        steps.append(
+            f"n{k + 1} AS (SELECT market_id, c, o, CAST((xor(h, h // {1 << shift}::UBIGINT)::UHUGEINT * {factor}::UHUGEINT) % {whole} AS UBIGINT) AS h FROM n{k})"
+        )
+    return steps + [
+        f"n3 AS (SELECT market_id, c, o, (CAST(xor(h, h // {1 << 31}::UBIGINT) // 2048::UBIGINT AS DOUBLE) + 0.5) / 9007199254740992 AS u FROM n2)",
+        """noise AS (SELECT market_id, list(e ORDER BY c) AS eps FROM (
+          SELECT market_id, c, sqrt(-2 * ln(max(u) FILTER (o = 0))) * cos(2 * pi() * max(u) FILTER (o = 1)) AS e
+          FROM n3 GROUP BY 1, 2) GROUP BY 1)""",
+        "drawn AS (SELECT src.*, eps FROM src JOIN noise USING (market_id))",
+    ]
+
+
+def cvae_step() -> str:
+    """One full-batch descent of the conditional model, then its encoder with the new weights."""
+    n = "n_src"
+    forward = CVAE_ENCODE + [
+        ("dev", "[exp(0.5 * q) for q in lv]"), ("z", "[a3[i] + dev[i] * eps[i] for i in range(1, 3)]"), ("zy", "z || y"),
+        ("a4", layer("zy", 4, 4)), ("a5", layer("a4", 5, 8)), ("a6", layer("a5", 6, 64, False)),
+    ]
+    back = [
+        ("d6", f"[2 * (a6[j] - a0[j]) / {n} for j in range(1, 65)]"),
+        ("u5", pull("d6", 6, 8)), ("d5", through("u5", "a5", 8)),
+        ("u4", pull("d5", 5, 4)), ("d4", through("u4", "a4", 4)),
+        ("u3", pull("d4", 4, 5)),
+        ("dm", f"[u3[i] + 0.5 * a3[i] / {n} for i in range(1, 3)]"),
+        ("dl", f"[u3[i] * 0.5 * dev[i] * eps[i] + 0.5 * 0.5 * (exp(lv[i]) - 1) / {n} for i in range(1, 3)]"),
+        ("um", pull("dm", 2, 4)), ("ul", pull("dl", 3, 4)), ("u2", "[um[i] + ul[i] for i in range(1, 5)]"),
+        ("d2", through("u2", "a2", 4)),
+        ("u1", pull("d2", 1, 8)), ("d1", through("u1", "a1", 8)),
+    ]
+    sides = [(0, "given", "d1"), (1, "a1", "d2"), (2, "a2", "dm"), (3, "a2", "dl"), (4, "zy", "d4"), (5, "a4", "d5"), (6, "a5", "d6")]
+    return ctes(
+        NET_SRC, *noise_steps(), *weights(CVAE_WIDTHS), *by_layer(),
+        *chain("drawn", forward, "f"), *chain(f"f{len(forward) - 1}", back, "g"),
+        *descended(f"g{len(back) - 1}", sides, free=-1),
+        *chain("src", [("y", GIVEN), ("given", "a0 || y"), ("a1", layer("given", 0, 8, tag="2")),
+                       ("a2", layer("a1", 1, 4, tag="2")), ("a3", layer("a2", 2, 2, False, tag="2"))], "h"),
+    ) + Z12 + "h4"
+
+
+ORACLES["cvae_one_step"] = cvae_step()
 ORACLES["ae_one_step"] = one_step(False)
 ORACLES["semi_one_step"] = one_step(True)
 PC_NAMES = [f"PC{i + 1}" for i in range(20)]

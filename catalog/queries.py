@@ -823,7 +823,9 @@ def _formula_rows(spark, sf) -> DataFrame:
         F.col("embedding").cast("array<double>").alias("x"),
         F.pmod("label", F.lit(FORMULA_CLASSES)).alias("label_class_index"),
     )
-    return N.training_rows(vectors.select("market_id", "x"), vectors.drop("x"))
+    rows = N.training_rows(vectors.select("market_id", "x"), vectors.drop("x"))
+    # The noise of a row hangs on its key: a number that SQL has as well.
+    return rows.withColumn("row_key", F.col("market_id").cast("long"))
 
 
 def _encoded(kind: str, steps: int):
@@ -838,7 +840,7 @@ def _encoded(kind: str, steps: int):
 
 for _kind in ("ae", "cvae"):
     QUERIES[f"{_kind}_encode"] = _encoded(_kind, 0)
-for _kind in ("ae", "semi"):
+for _kind in ("ae", "semi", "cvae"):
     QUERIES[f"{_kind}_one_step"] = _encoded(_kind, 1)
 
 

@@ -1,23 +1,29 @@
 """Sequence embeddings trained on rows that stay where they are.
 
-The rows are a table (market_id, x[, label_class_index]), dealt by row key over tasks of a bounded
-number of rows. In a round every task starts from the broadcast weights and descends over its own
-rows in mini-batches, in an order that depends on (row key, seed, epoch) alone; the weights of all
-tasks are then averaged by their row counts. One task is the plain mini-batch loop. The averages are
-added tree-wise before a bounded number of vectors reaches the driver.
+The rows are a table (market_id, x[, label_class_index]), numbered once by row key and dealt over
+tasks. One rule holds at any size: in each epoch the row numbers are permuted by a keyed bijection,
+which every task computes for its own rows, and consecutive places make up the mini-batches. The tasks
+of a barrier stage add their parts of a mini-batch's gradient up (``allGather``, in pieces) and all
+take the same step, so the number of tasks changes nothing but the order of a sum.
+
+A stage runs ``round_epochs`` epochs; then one task hands the weights to the driver, and the next
+stage starts from them. A lost executor costs the current round at most. A step exchanges one gradient
+per task that holds rows of its mini-batch: on many executors, take larger mini-batches.
 
 Vector arithmetic inside a task is numpy on Arrow batches.
 """
 
 from __future__ import annotations
 
+import base64
 import copy
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +33,8 @@ from tapeloom.session import staged
 TANH_INPUT, LOGIT_INPUT, LOG_VARIANCE = 20.0, 30.0, 8.0
 GRADIENT_NORM, WEIGHT_BOUND = 5.0, 4.0
 AE_SCALE, CLASSIFIER_SCALE, CVAE_SCALE = 0.08, 0.02, 0.06
-# Weight vectors added by one task, and the most that reach the driver.
-FAN_IN = 16
+# Bytes that one exchange brings to a task, within Spark's bound on a message.
+EXCHANGE_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -45,9 +51,10 @@ class Training:
     beta_kl: float = 0.5
     seed: int = 42
     batch: int = 64
-    # Rows of one task, and epochs it runs before weights are averaged.
+    # Rows a task should have (there are at most as many tasks as the session runs at once), and
+    # epochs between two hand-overs of the weights. Neither changes the result.
     task_rows: int = 16_384
-    round_epochs: int = 10
+    round_epochs: int = 50
 
     def __post_init__(self):
         if self.latent < 1:
@@ -255,23 +262,6 @@ def _batch(batch: pa.RecordBatch):
     )
 
 
-def _add_up(parts: DataFrame, n_parts: int) -> np.ndarray:
-    """Rows (slot, v) whose arrays are added until at most FAN_IN rows are left, then fetched."""
-
-    def add(group: pa.Table) -> pa.Table:
-        arrays = group.column("v").combine_chunks()
-        total = arrays.flatten().to_numpy(zero_copy_only=False).reshape(group.num_rows, -1).sum(axis=0)
-        return pa.table({"slot": group.column("slot")[:1], "v": _one_list(total)})
-
-    while n_parts > FAN_IN:
-        n_parts = math.ceil(n_parts / FAN_IN)
-        grouped = parts.withColumn("slot", F.pmod("slot", F.lit(n_parts)))
-        parts = grouped.groupBy("slot").applyInArrow(add, "slot int, v array<double>")
-    rows = parts.orderBy("slot").select("v").toArrow()
-    flat = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(rows.num_rows, -1).sum(axis=0)
-
-
 def _one_list(values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))
 
@@ -289,40 +279,97 @@ def _set_flat(model, values: np.ndarray) -> None:
             at += old.size
 
 
-def batch_order(keys: np.ndarray, seed: int, epoch: int) -> np.ndarray:
-    """The order of an epoch's rows, a shuffle that each row's key decides."""
-    draw = _row_noise(keys, 1, seed + 1, epoch)[:, 0]
-    return np.lexsort((keys, draw))
+def batch_places(numbers: np.ndarray, n: int, seed: int, epoch: int) -> np.ndarray:
+    """The epoch's place of each row number below ``n``: a shuffle without any exchange.
 
-
-def train_epochs(model, x, labels, keys, cfg: Training, first: int, last: int) -> None:
-    """Mini-batch descent over one set of rows, epochs ``first`` to ``last`` - 1."""
+    Four Feistel rounds permute the numbers of 2h bits, the fewest that hold ``n``; a place beyond
+    ``n`` is permuted again until it falls below, which keeps this a bijection.
+    """
+    half = np.uint64(max(1, ((n - 1).bit_length() + 1) // 2))
+    low = (np.uint64(1) << half) - np.uint64(1)
+    keys = np.arange(1, 5, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    keys += np.uint64((seed * 0xD1B54A32D192ED03 + epoch * 0x8CB92BA72F3D8DD7) & ((1 << 64) - 1))
+    out = numbers.astype(np.uint64)
+    todo = np.arange(len(out))
+    while len(todo):
+        left, right = out[todo] >> half, out[todo] & low
+        for key in keys:
+            h = (right + key) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            left, right = right, left ^ ((h >> np.uint64(32)) & low)
+        out[todo] = left << half | right
+        todo = todo[out[todo] >= np.uint64(n)]
+    return out.astype(np.int64)
+
+
+def train_epochs(
+    model, x, labels, keys, numbers, n: int, cfg: Training, first: int, last: int,
+    add: Callable[[np.ndarray | None, int], np.ndarray],
+) -> None:
+    """Mini-batch descent, epochs ``first`` to ``last`` - 1, over the rows a task holds of all ``n``.
+
+    ``add`` gives the sum over all tasks of a mini-batch's gradient; None stands for no rows.
+    """
+    size = sum(layer.weight.size + layer.bias.size for layer in model.layers())
+    batch = min(cfg.batch, n)
     for epoch in range(first, last):
-        order = batch_order(keys, cfg.seed, epoch)
-        for at in range(0, len(order), cfg.batch):
-            rows = order[at : at + cfg.batch]
-            with np.errstate(all="ignore"):
-                found = model.gradients(x[rows], labels[rows], keys[rows], float(len(rows)), epoch)
-            flat = np.concatenate([part.ravel() for pair in found for part in pair])
-            _apply(model, np.nan_to_num(flat, nan=0.0, posinf=0.0, neginf=0.0), cfg)
+        places = batch_places(numbers, n, cfg.seed, epoch)
+        order = np.argsort(places)
+        bounds = np.searchsorted(places[order], np.arange(0, n + batch, batch))
+        for k, at in enumerate(range(0, n, batch)):
+            rows = order[bounds[k] : bounds[k + 1]]
+            flat = None
+            if len(rows):
+                with np.errstate(all="ignore"):
+                    found = model.gradients(x[rows], labels[rows], keys[rows], float(min(batch, n - at)), epoch)
+                flat = np.concatenate([part.ravel() for pair in found for part in pair])
+            total = add(flat, size)
+            _apply(model, np.nan_to_num(total, nan=0.0, posinf=0.0, neginf=0.0), cfg)
+
+
+def _alone(flat: np.ndarray | None, size: int) -> np.ndarray:
+    return flat
 
 
-def _round(model, rows: DataFrame, n_parts: int, first: int, last: int, cfg: Training) -> None:
+def _gathered(context: BarrierTaskContext, n_tasks: int):
+    """Sums over the tasks of a barrier stage, in the tasks' order, so that all get the same."""
+    piece = max(1, EXCHANGE_BYTES // (11 * n_tasks))
+
+    def add(flat: np.ndarray | None, size: int) -> np.ndarray:
+        total = np.zeros(size)
+        for at in range(0, size, piece):
+            own = b"" if flat is None else flat[at : at + piece].astype("<f8").tobytes()
+            for sent in context.allGather(base64.b64encode(own).decode("ascii")):
+                if sent:
+                    total[at : at + piece] += np.frombuffer(base64.b64decode(sent), "<f8")
+        return total
+
+    return add
+
+
+def _round(model, rows: DataFrame, n: int, n_parts: int, first: int, last: int, cfg: Training) -> None:
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def task(batches):
-        held = [_batch(batch) for batch in batches if batch.num_rows]
-        if held:
-            x, labels, keys = (np.concatenate(parts) for parts in zip(*held, strict=True))
-            own = copy.deepcopy(sent.value)
-            train_epochs(own, x, labels, keys, cfg, first, last)
-            total = np.append(_flat(own) * len(x), len(x))
-            slot = pa.array([TaskContext.get().partitionId()], pa.int32())
-            yield pa.RecordBatch.from_arrays([slot, _one_list(total)], names=["slot", "v"])
-
-    total = _add_up(rows.mapInArrow(task, "slot int, v array<double>"), n_parts)
+        context = BarrierTaskContext.get() if n_parts > 1 else None
+        own = copy.deepcopy(sent.value)
+        held = [(*_batch(b), b.column("number").to_numpy()) for b in batches if b.num_rows]
+        if not held:
+            x = np.empty((0, _width(own)))
+            held = [(x, np.empty(0, int), np.empty(0, np.int64), np.empty(0, np.int64))]
+        x, labels, keys, numbers = (np.concatenate(parts) for parts in zip(*held, strict=True))
+        add = _gathered(context, n_parts) if context else _alone
+        train_epochs(own, x, labels, keys, numbers, n, cfg, first, last, add)
+        if context is None or context.partitionId() == 0:
+            yield pa.RecordBatch.from_arrays([_one_list(_flat(own))], names=["v"])
+
+    found = rows.mapInArrow(task, "v array<double>", barrier=n_parts > 1).toArrow()
     sent.destroy()
-    _set_flat(model, total[:-1] / total[-1])
+    _set_flat(model, found.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False))
+
+
+def _width(model) -> int:
+    return (model.encoder if isinstance(model, Autoencoder) else model.trunk)[0].weight.shape[0]
 
 
 def _apply(model, flat: np.ndarray, cfg: Training) -> None:
@@ -372,14 +419,32 @@ def fit(kind: str, rows: DataFrame, cfg: Training, n_classes: int = 0):
     return train(model, rows, cfg)
 
 
+def numbered(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Rows with a dense ``number`` from 0 in the order of their keys, and how many there are."""
+    order = ["row_key", "market_id", F.xxhash64("x")]
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = ranged.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
+    ranged = staged(ranged, "numbered")
+    # One row per part of the range partitioning, whatever the rows.
+    sizes = sorted(ranged.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    before, n = [], 0
+    for part, size in sizes:
+        before.append((part, n))
+        n += size
+    starts = rows.sparkSession.createDataFrame(before, "_part int, _before long")
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.join(F.broadcast(starts), "_part").withColumn("number", place).drop("_part", "_at", "_before"), n
+
+
 def train(model, rows: DataFrame, cfg: Training):
     """Train ``model`` in place on all rows; see the module text."""
-    n_parts = math.ceil(rows.count() / cfg.task_rows)
-    dealt = rows.repartition(n_parts, "row_key").sortWithinPartitions("row_key").persist()
-    epochs = max(1, cfg.epochs)
-    step = epochs if n_parts == 1 else max(1, cfg.round_epochs)
+    rows, n = numbered(rows)
+    slots = rows.sparkSession.sparkContext.defaultParallelism
+    n_parts = max(1, min(math.ceil(n / cfg.task_rows), slots))
+    dealt = rows.repartition(n_parts, "row_key").persist()
+    epochs, step = max(1, cfg.epochs), max(1, cfg.round_epochs)
     for first in range(0, epochs, step):
-        _round(model, dealt, n_parts, first, min(epochs, first + step), cfg)
+        _round(model, dealt, n, n_parts, first, min(epochs, first + step), cfg)
     dealt.unpersist()
     return model
 

@@ -194,21 +194,17 @@ def test_embedding_tables(spark):
     assert cfg.training_for("cvae").epochs == 1 and cfg.training_for("ae").epochs == 2
 
 
-@pytest.mark.parametrize("kind", ["ae", "semi", "cvae"])
-def test_one_task_is_the_plain_mini_batch_loop(spark, kind):
-    """The rule restated: shuffled batches of 64, mean gradients, decay, clip, bound."""
-    cfg = N.Training(h1=8, h2=4, latent=2, epochs=5, learning_rate=0.05)
-    rows = vectors(spark, n=150)
-    fitted = N.fit(kind, rows, cfg, 3)
+def plain_loop(kind, rows, cfg):
+    """The rule restated: shuffled batches, mean gradients, decay, clip, bound."""
     held = sorted(rows.collect(), key=lambda r: r.row_key)
     x = np.array([r.x for r in held])
     labels = np.array([r.label_class_index for r in held])
     keys = np.array([r.row_key for r in held])
     model = N.ConditionalVae.fresh(6, cfg, 3) if kind == "cvae" else N.Autoencoder.fresh(6, cfg, 3 if kind == "semi" else 0)
-    for epoch in range(5):
-        order = N.batch_order(keys, cfg.seed, epoch)
-        for at in range(0, 150, 64):
-            take = order[at : at + 64]
+    for epoch in range(cfg.epochs):
+        order = np.argsort(N.batch_places(np.arange(len(x)), len(x), cfg.seed, epoch))
+        for at in range(0, len(x), cfg.batch):
+            take = order[at : at + cfg.batch]
             grads = model.gradients(x[take], labels[take], keys[take], len(take), epoch)
             decayed = [w + cfg.l2 * layer.weight for layer, (w, _) in zip(model.layers(), grads)]
             norm = np.sqrt(sum((w**2).sum() for w in decayed))
@@ -218,25 +214,45 @@ def test_one_task_is_the_plain_mini_batch_loop(spark, kind):
                 layer.bias = layer.bias - rate * b
                 if not layer.free:
                     layer.weight = np.clip(layer.weight, -4, 4)
-    for a, b in zip(fitted.layers(), model.layers()):
-        assert np.allclose(a.weight, b.weight) and np.allclose(a.bias, b.bias)
+    return model
 
 
-def test_several_tasks_average_their_weights(spark):
-    cfg = N.Training(h1=8, h2=4, latent=2, epochs=30, learning_rate=0.05, task_rows=40, round_epochs=3)
+@pytest.mark.parametrize("kind", ["ae", "semi", "cvae"])
+@pytest.mark.parametrize("task_rows, round_epochs", [(1000, 50), (80, 3), (40, 50), (10, 2)])
+def test_any_number_of_tasks_is_the_plain_mini_batch_loop(spark, kind, task_rows, round_epochs):
+    cfg = N.Training(
+        h1=8, h2=4, latent=2, epochs=5, learning_rate=0.05, task_rows=task_rows, round_epochs=round_epochs
+    )
     rows = vectors(spark, n=150)
-    a, b = N.fit("ae", rows, cfg), N.fit("ae", rows.repartition(7), cfg)
-    assert all(np.allclose(p.weight, q.weight) for p, q in zip(a.layers(), b.layers()))
-    start = N.Autoencoder.fresh(6, cfg)
-    assert N.metrics(a, rows).first().mse < N.metrics(start, rows).first().mse
+    fitted, model = N.fit(kind, rows, cfg, 3), plain_loop(kind, rows, cfg)
+    for a, b in zip(fitted.layers(), model.layers()):
+        assert np.abs(a.weight - b.weight).max() < 1e-9 and np.abs(a.bias - b.bias).max() < 1e-9
+
+
+def test_gradients_are_exchanged_in_pieces(spark, monkeypatch):
+    class Context:
+        def __init__(self):
+            self.sent = []
+
+        def allGather(self, message):
+            self.sent.append(message)
+            return [message, "", message]
+
+    monkeypatch.setattr(N, "EXCHANGE_BYTES", 11 * 3 * 4)
+    context = Context()
+    add = N._gathered(context, 3)
+    flat = np.arange(10.0)
+    assert (add(flat, 10) == 2 * flat).all() and len(context.sent) == 3
+    assert (add(None, 10) == 0).all()
 
 
-def test_batch_order_is_a_shuffle_of_keys():
-    keys = np.arange(1000, dtype=np.int64)
-    one, two = N.batch_order(keys, 42, 0), N.batch_order(keys, 42, 1)
-    assert sorted(one) == list(range(1000)) and (one != two).any()
-    turned = N.batch_order(keys[::-1].copy(), 42, 0)
-    assert (keys[::-1][turned] == keys[one]).all()
+def test_batch_places_are_a_shuffle():
+    for n in (1, 2, 3, 5, 64, 1000):
+        one, two = (N.batch_places(np.arange(n), n, 42, e) for e in (0, 1))
+        assert sorted(one) == sorted(two) == list(range(n))
+        assert n < 64 or (one != two).mean() > 0.9
+        some = np.arange(0, n, 3)
+        assert (N.batch_places(some, n, 42, 0) == one[some]).all()
 
 
 def test_published_grids_get_their_category_order(spark):

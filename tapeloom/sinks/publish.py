@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,34 +15,129 @@ def _paths(spark: SparkSession, path: str):
     return jvm_path, jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-POINTER = "_current"
+# A published version is a small file of its own, numbered, that names the version's folder.
+POINTER = "_version-"
+KEPT_VERSIONS = 2
 
 
-def publish(df: DataFrame, path: str, fmt: str = "parquet") -> str:
-    """Write a new version below ``path`` and switch the pointer to it; returns the version's folder.
+class Conflict(RuntimeError):
+    """Another writer has published since the version that the caller expects."""
 
-    Executors write the version in parallel under a name of its own. Then one small file,
-    ``_current``, is replaced by one that names it; readers resolve it with :func:`current`. A job
-    that fails before that leaves the old version in place. Older versions but the last one are
-    dropped afterwards, so a reader that has just resolved the pointer still finds its files.
+
+def publish(df: DataFrame, path: str, fmt: str = "parquet", expect: int | None = None) -> str:
+    """Write a new version below ``path`` and make it the current one; returns the version's folder.
+
+    Executors write the version in parallel into a folder of its own. Then its number is claimed by
+    :func:`claim`. Nothing that a reader may hold is ever opened for writing: a job that ends before
+    that leaves the old version current, and readers (:func:`current`) see whole versions only. With
+    ``expect`` the claim succeeds only if that number is still the last one (0 for none), else
+    :class:`Conflict` is raised and the folder dropped. Versions before the last two are deleted, so a
+    reader that has just resolved a version still finds its files.
     """
     spark = df.sparkSession
-    version = f"{path.rstrip('/')}/v-{uuid.uuid4().hex}"
+    root = path.rstrip("/")
+    name = f"v-{uuid.uuid4().hex}"
     writer = df.write.option("header", True) if fmt == "csv" else df.write
-    writer.format(fmt).save(version)
-    before = current(spark, path, missing_ok=True)
-    _write_text(spark, f"{path.rstrip('/')}/{POINTER}", version.rsplit("/", 1)[1])
-    root, files = _paths(spark, path)
-    keep = {version.rsplit("/", 1)[1], before.rsplit("/", 1)[1] if before else ""}
-    for entry in files.listStatus(root):
-        name = entry.getPath().getName()
-        if name.startswith("v-") and name not in keep:
-            files.delete(entry.getPath(), True)
-    return version
+    writer.format(fmt).save(f"{root}/{name}")
+    try:
+        number = claim(spark, root, name, expect)
+    except Conflict:
+        folder, files = _paths(spark, f"{root}/{name}")
+        files.delete(folder, True)
+        raise
+    _forget(spark, root, number - KEPT_VERSIONS)
+    return f"{root}/{name}"
+
+
+def claim(spark: SparkSession, root: str, name: str, expect: int | None = None) -> int:
+    """Publish the folder ``name`` under the next free number, which only one writer can get.
+
+    The number's file is written under another name and closed, then given its name by an operation
+    that is atomic and fails where the name is taken: a hard link on a local disk, a rename without
+    overwriting elsewhere. (Object stores without atomic renames need a committer of their own.)
+    """
+    draft = f"{root}/.draft-{uuid.uuid4().hex}"
+    _write_text(spark, draft, name)
+    try:
+        while True:
+            last = max([n for n, _ in _versions(spark, root)], default=0)
+            if expect is not None and last != expect:
+                raise Conflict(f"version {last} is current at {root}, not {expect}")
+            if _renamed(spark, draft, f"{root}/{POINTER}{last + 1:012d}"):
+                return last + 1
+    finally:
+        target, files = _paths(spark, draft)
+        files.delete(target, False)
+
+
+def _renamed(spark: SparkSession, source: str, target: str) -> bool:
+    """Give a closed file another name unless that is taken; atomic."""
+    old, files = _paths(spark, source)
+    new, _ = _paths(spark, target)
+    if files.getScheme() == "file":
+        try:
+            os.link(_local(old), _local(new))
+        except FileExistsError:
+            return False
+        return True
+    jvm = spark.sparkContext._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        files.getUri(), spark.sparkContext._jsc.hadoopConfiguration()
+    )
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.NONE
+    try:
+        context.rename(old, new, options)
+    except Py4JJavaError as error:
+        if error.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+            raise
+        return False
+    return True
+
+
+def _local(path) -> str:
+    return path.toUri().getPath()
+
+
+def _versions(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    """(number, file) of all published versions that are left, ascending."""
+    folder, files = _paths(spark, root)
+    if not files.exists(folder):
+        return []
+    names = [e.getPath().getName() for e in files.listStatus(folder)]
+    return sorted((int(n.removeprefix(POINTER)), f"{root}/{n}") for n in names if n.startswith(POINTER))
+
+
+def _read_text(spark: SparkSession, path: str) -> str | None:
+    target, files = _paths(spark, path)
+    try:
+        stream = files.open(target)
+    except Py4JJavaError as error:
+        if error.java_exception.getClass().getSimpleName() != "FileNotFoundException":
+            raise
+        return None
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def _forget(spark: SparkSession, root: str, upto: int) -> None:
+    """Delete versions up to a number: the folder first, then the file that names it.
+
+    Folders that no file names yet belong to writers at work and stay.
+    """
+    for number, file in _versions(spark, root):
+        if number <= upto:
+            name = _read_text(spark, file)
+            for gone in (f"{root}/{name}" if name else None, file):
+                if gone:
+                    target, files = _paths(spark, gone)
+                    files.delete(target, True)
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Replace one small file; file systems put the new content in place when it is closed."""
     target, files = _paths(spark, path)
     out = files.create(target, True)
     try:
@@ -49,19 +146,21 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def version(spark: SparkSession, path: str) -> int:
+    """The number of the published version, 0 for none; to be given to :func:`publish` as ``expect``."""
+    return max([n for n, _ in _versions(spark, path.rstrip("/"))], default=0)
+
+
 def current(spark: SparkSession, path: str, missing_ok: bool = False) -> str | None:
     """The folder of the published version of ``path``."""
-    pointer, files = _paths(spark, f"{path.rstrip('/')}/{POINTER}")
-    if not files.exists(pointer):
-        if missing_ok:
-            return None
-        raise FileNotFoundError(f"nothing is published at {path}")
-    stream = files.open(pointer)
-    try:
-        name = bytes(stream.readAllBytes()).decode()
-    finally:
-        stream.close()
-    return f"{path.rstrip('/')}/{name}"
+    root = path.rstrip("/")
+    while found := _versions(spark, root):
+        name = _read_text(spark, found[-1][1])
+        if name is not None:  # else the version was superseded and dropped between two looks
+            return f"{root}/{name}"
+    if missing_ok:
+        return None
+    raise FileNotFoundError(f"nothing is published at {path}")
 
 
 def publish_ids(df: DataFrame, path: str, column: str = "market_id") -> str:

@@ -14,10 +14,10 @@ are refined until their members share ``length`` bytes; only members that still
    Other buckets are refined by the whole stretch; again all but the least document's go whole, and
    the least ones, which differ from each other, stay open.
 4. *Refinement.* An open stretch is a range of strings, from anchor at their end to anchor at their
-   start. The range is halved: the strings of one half all hold the q-gram and the bytes before it up to
-   some offset, those of the other half the bytes behind it. A half's bucket is that longer common part:
-   its parent's bucket and the bucket of the suffix at the later (or earlier) offset. Halves alone in
-   their bucket are dropped, the others are split further, by ``steps``, until each is a single string.
+   start. The range is split, by ``steps``: the strings of a part all hold the q-gram, the bytes before it
+   from some offset on and the bytes behind it up to another. A part's bucket is this longer common part:
+   its parent's bucket and those of the suffixes at the earlier and later offsets. Parts alone in their
+   bucket are dropped, the others are split further, until each is a single string.
    The least document of its bucket keeps its first place; all others are repeated.
 
 Every bucket is a number of 128 bits in two polynomials of its bytes. A bucket is never gathered: it is
@@ -66,7 +66,7 @@ class Repeats:
 
     length: int = 100
     gram: int = 24
-    steps: tuple[int, ...] = (2, 4)
+    steps: tuple[int, ...] = (4, 5)
     block: int = 1 << 20
 
     def __post_init__(self):
@@ -247,9 +247,11 @@ def _kept(df: DataFrame, label: str) -> DataFrame:
     """A staged table, after which the shuffle files of its making may go.
 
     Spark deletes the files of a shuffle when the driver collects the garbage that was its frame,
-    which a driver with little to do may put off for long.
+    which a driver with little to do may put off for long. The scheduler holds the last job's
+    stages, so a look at the table, a job of one task, goes before.
     """
     out = staged(df, label, "zstd")
+    out.isEmpty()
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
     return out
@@ -396,6 +398,7 @@ def _refined(snippets: DataFrame, cfg: Repeats) -> DataFrame:
     rest = cfg.length - cfg.gram
     ranges = F.array(F.lit(rest).cast("int"))  # one range, [0, rest]
     open_ = snippets.withColumn("ranges", ranges)
+    mark = staged_mark()
     for split in cfg.steps:
         found = _kept(_parts(open_, split, cfg), "parts")
         company = found.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").drop("n")
@@ -405,8 +408,9 @@ def _refined(snippets: DataFrame, cfg: Repeats) -> DataFrame:
     single = _parts(open_, rest + 1, cfg)
     before = F.shiftright("part", 8).cast("long")
     start = F.shiftright("place", 16) + F.col("place").bitwiseAND(F.lit(255)) - before
-    mark = staged_mark()
+    until = staged_mark()
     single = _kept(single.select("a", "b", "doc", "digest", start.alias("start")), "strings")
+    drop_staged(snippets.sparkSession, mark, until)
     least = single.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("doc").alias("least"))
     shared = single.join(least.where("n > 1").drop("n"), ["a", "b"])
     until = staged_mark()

@@ -133,6 +133,10 @@ def word_vectors(rows: DataFrame, cfg: Quality) -> np.ndarray:
     return np.divide(table, norm, out=np.zeros_like(table), where=norm > 0).astype(np.float32)
 
 
+# Tokens whose vectors are held at a time.
+SLICE_TOKENS = 1 << 17
+
+
 def pooled(buckets: np.ndarray, first: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Mean, spread and logarithms of all and of distinct tokens per text."""
     counts = np.diff(first)
@@ -142,9 +146,12 @@ def pooled(buckets: np.ndarray, first: np.ndarray, vectors: np.ndarray) -> np.nd
     for i in np.flatnonzero(counts):
         own = buckets[first[i] : first[i + 1]]
         out[i, -2] = math.log1p(len(np.unique(own)))
-        rows = vectors[own]
-        mean = rows.sum(0) / len(rows)
-        square = np.einsum("ij,ij->j", rows, rows) / len(rows)
+        total, square = np.zeros(width, np.float32), np.zeros(width, np.float32)
+        for at in range(0, len(own), SLICE_TOKENS):
+            rows = vectors[own[at : at + SLICE_TOKENS]]
+            total += rows.sum(0)
+            square += np.einsum("ij,ij->j", rows, rows)
+        mean, square = total / len(own), square / len(own)
         out[i, :width] = mean
         out[i, width:-SCALARS] = np.sqrt(np.maximum(square - mean * mean, 0))
     return out

@@ -10,7 +10,8 @@ look live are added as spans of kind ``owned``, the others are not. Rows without
 
 Defined results: a missing text is empty and has no spans; a missing owner or repository counts as
 one more value; repeated rows are scanned each, and count as one repository; an empty table gives no
-rows; spans are in code points, end exclusive, ordered by start, then by kind in the order listed;
+rows; a text of any length is scanned whole, in time in proportion to it; candidates that touch a
+base span are none; spans are in code points, end exclusive, ordered by start, then by kind in the order listed;
 other columns are carried whole by ``mask`` and ignored by ``scan``, whatever their names.
 """
 
@@ -22,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -74,12 +76,14 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 def candidates(text: str, base: list, least: float) -> list[tuple[int, int, int, str]]:
     """Further values outside the base spans."""
     found, at = [], 0
-    reach = sorted((b[0], b[2]) for b in base)
+    # Base spans by start; the furthest end so far tells whether one of them reaches a place.
+    starts = [b[0] for b in base]
+    reach = list(accumulate((b[2] for b in base), max))
     for m in CANDIDATE.finditer(text):
-        while at < len(reach) and reach[at][1] <= m.start():
+        while at < len(starts) and starts[at] < m.end():
             at += 1
         value = m[0]
-        if any(a < m.end() and m.start() < b for a, b in reach[at:]):
+        if at and reach[at - 1] > m.start():
             continue
         if any(map(str.isdigit, value)) and any(map(str.isalpha, value)):
             if entropy(value) >= least:

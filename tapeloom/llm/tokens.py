@@ -36,8 +36,15 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
+# Longer words are not kept: they are rare, and would make the memo's size a matter of the texts.
+LONGEST_KEPT = 64
+
+
 class _Memo(dict):
-    """Ids of words, computed when they are missed; words in use survive a change of generation."""
+    """Ids of words, computed when they are missed; words in use survive a change of generation.
+
+    A generation ends with its last word, in the middle of a text or not.
+    """
 
     def __init__(self, ids, words: int):
         super().__init__()
@@ -48,19 +55,23 @@ class _Memo(dict):
         found = self._old.get(word)
         if found is None:
             found = self._ids(word)
-        self[word] = found
+        if len(word) <= LONGEST_KEPT:
+            if len(self) >= self._words:
+                self._old = dict(self)
+                self.clear()
+            self[word] = found
         return found
 
-    def turn(self) -> None:
-        if len(self) > self._words:
-            self._old = dict(self)
-            self.clear()
+    def held(self) -> int:
+        """Words in both generations."""
+        return len(self) + len(self._old)
 
 
 class Encoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers.
 
-    ``memo`` words are kept per worker in each of two generations, about 170 bytes each.
+    ``memo`` words of at most 64 characters are kept per worker in each of two generations: some 170
+    bytes each for words of prose, and never more than about 700.
     """
 
     def __init__(self, path: str, words: str, memo: int = 100_000):
@@ -88,9 +99,7 @@ class Encoder:
             ids = self._tokenizer.encode(text, add_special_tokens=False).ids
             return np.array(ids, "<u4").tobytes()
         words = self._words(text.lower() if self._lower else text)
-        ids = b"".join(map(self._memo.__getitem__, words))
-        self._memo.turn()
-        return ids
+        return b"".join(map(self._memo.__getitem__, words))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         return [self.one(t) for t in texts]

@@ -81,7 +81,7 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
 def host_links(pages: DataFrame) -> DataFrame:
     """``src, dst, n`` of ``pages(host, html)``: absolute links between different hosts."""
     target = F.regexp_extract_all(
-        "html", F.lit("(?i)\\bhref\\s*=\\s*[\"']?\\s*((?:https?:)?//[^\"'\\s>]+)"), F.lit(1)
+        "html", F.lit("(?i)\\bhref\\s*+=\\s*+(?:[\"']\\s*+)?+((?:https?:)?//[^\"'\\s>]+)"), F.lit(1)
     )
     links = pages.filter("host != ''").select(F.col("host").alias("src"), F.explode(target).alias("url"))
     url = F.when(F.col("url").startswith("//"), F.concat(F.lit("http:"), "url")).otherwise(F.col("url"))

@@ -154,3 +154,14 @@ def test_queries_cover_all_documents(spark, sf, name):
     assert rows.select("doc_id").distinct().count() == docs.count()
 
 
+
+
+def test_the_memo_is_bounded_within_a_text():
+    encoder = tokens.Encoder(WORDS, tokens.DROPS_BLANKS, memo=1000)
+    text = " ".join("".join(chr(97 + (i // 26**k) % 26) for k in range(5)) for i in range(50_000))
+    text += " " + "x" * 100_000
+    got = encoder.encode([text])[0]
+    assert encoder._memo.held() <= 2000
+    assert max(map(len, encoder._memo)) <= tokens.LONGEST_KEPT
+    want = np.array(Tokenizer.from_file(WORDS).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert got == want

@@ -922,3 +922,6 @@ ORACLES["landed_grid_paths"] = (
 )
 # A list of CTEs ends with a newline; some queries add further ones after a comma.
 ORACLES = {k: v.replace("\n,", ",").replace("\n      ,", ",") for k, v in ORACLES.items()}
+
+# The latest snapshot is that of the highest number: unreadable stamps, and older ones, change nothing.
+ORACLES["latest_order_books"] = ORACLES["order_book_summary"]

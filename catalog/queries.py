@@ -436,6 +436,17 @@ def order_book_summary(spark, sf):
     return rows.select("token_id", *r6s(BOOK_COLUMNS), "ob_timestamp_ms")
 
 
+@query
+def latest_order_books(spark, sf):
+    """The latest of several snapshots of each token, some with a stamp that is no number."""
+    levels = X.levels(spark, sf).withColumn("token", F.col("token_id"))
+    apart = levels.withColumn("token_id", F.concat_ws("@", "token", F.col("timestamp").cast("string")))
+    snapshots = B.books_from_levels(apart, X.LEVEL_ORDER).withColumn("token_id", F.substring_index("token_id", "@", 1))
+    broken = snapshots.withColumn("timestamp", F.lit("n/a")).withColumn("bids", F.slice("bids", 1, 1))
+    rows = B.summarize_books(B.latest_books(snapshots.unionByName(broken)))
+    return rows.select("token_id", *r6s(BOOK_COLUMNS), "ob_timestamp_ms")
+
+
 @query
 def scan_order_books(spark, sf):
     """Book payloads as JSON text, one per line item: two levels a side, some unreadable."""
@@ -534,7 +545,7 @@ def rich_features(spark, sf):
 
 @query
 def sequence_matrix(spark, sf):
-    paths = staged(Q.path_vectors(Q.filled_paths(staged_steps(spark, sf))), "paths")
+    paths = staged(Q.path_vectors(staged_steps(spark, sf)), "paths")
     vectors = Q.scale_vectors(paths)
     return vectors.select("market_id", F.posexplode("x").alias("slot", "value")).select(
         "market_id", F.col("slot").cast("bigint").alias("slot"), *r6s(["value"])

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +14,6 @@ from tapeloom.functions.lenient import to_double
 from tapeloom.functions.prices import clip
 from tapeloom.operators.components import global_rank
 from tapeloom.operators.scaling import scaled, spread
-from tapeloom.operators.series import along, difference_or_zero, fill_both_ways
 from tapeloom.sources.tables import require_columns
 
 # Fewest points of a usable path, price of an empty path, bound of scaled inputs.
@@ -77,34 +81,71 @@ def enough_points(steps: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
     )
 
 
-def filled_paths(steps: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
-    """(market_id, position, step, level, diff) over the union of all steps.
+def market_paths(steps: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
+    """(market_id, steps, levels, diffs): one row per market, over the union of all steps.
 
-    The steps of dropped markets count too. The distinct steps form one array, bounded by the
-    grid length, that reaches the rows as a scalar subquery; every kept market is unfolded over
-    it. Windows run over one market's steps.
+    The steps of dropped markets count too. The distinct steps form one array, bounded by the grid
+    length, that reaches the rows as a scalar subquery. A market's own steps are gathered by the one
+    shuffle there is; prices are put in their places and carried on and back inside arrays.
     """
     all_steps = steps.agg(F.sort_array(F.collect_set("step")).alias("s"))
-    kept = enough_points(steps, min_points).select("market_id")
-    lines = kept.withColumn("_steps", all_steps.scalar()).select(
-        "market_id", F.posexplode("_steps").alias("position", "step")
-    )
-    line = along(["market_id"], "step")
-    return (
-        lines.join(steps.select("market_id", "step", "price_yes"), ["market_id", "step"], "left")
-        .withColumn("level", fill_both_ways(F.col("price_yes"), line, EMPTY_PRICE))
-        .withColumn("diff", difference_or_zero(F.col("level"), line))
-        .drop("price_yes")
+    priced = steps.where(F.col("price_yes").isNotNull())
+    own = F.collect_list(F.struct("step", "price_yes"))
+    kept = priced.groupBy("market_id").agg(own.alias("own")) if min_points > 0 else (
+        steps.groupBy("market_id").agg(F.filter(own, lambda p: p["price_yes"].isNotNull()).alias("own"))
+    )
+    kept = kept.where(F.size("own") >= min_points).withColumn("steps", all_steps.scalar())
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
+            axis = batch.column("steps")[0].values.to_numpy()
+            levels = _filled(batch.column("own"), axis)
+            diffs = np.diff(levels, axis=1, prepend=levels[:, :1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("market_id"), batch.column("steps"), _lists(levels), _lists(diffs)],
+                names=["market_id", "steps", "levels", "diffs"],
+            )
+
+    return kept.select("market_id", "steps", "own").mapInArrow(
+        fill, "market_id string, steps array<bigint>, levels array<double>, diffs array<double>"
     )
 
 
-def path_vectors(paths: DataFrame) -> DataFrame:
+def _filled(own: pa.ListArray, axis: np.ndarray) -> np.ndarray:
+    """(markets x steps): each market's prices at their steps, carried on, then back."""
+    points = own.flatten()
+    row = np.repeat(np.arange(len(own)), pc.list_value_length(own).to_numpy())
+    place = np.searchsorted(axis, points.field("step").to_numpy())
+    out = np.full((len(own), len(axis)), np.nan)
+    out[row, place] = points.field("price_yes").to_numpy()
+    known = ~np.isnan(out)
+    here = np.arange(len(axis))
+    last = np.maximum.accumulate(np.where(known, here, -1), axis=1)
+    following = np.minimum.accumulate(np.where(known, here, len(axis))[:, ::-1], axis=1)[:, ::-1]
+    source = np.where(last >= 0, last, following)
+    empty = source == len(axis)
+    filled = np.take_along_axis(out, np.where(empty, 0, source), axis=1)
+    return np.where(empty, EMPTY_PRICE, filled)
+
+
+def _lists(values: np.ndarray) -> pa.ListArray:
+    bounds = np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.ascontiguousarray(values).ravel()))
+
+
+def filled_paths(steps: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
+    """(market_id, position, step, level, diff): :func:`market_paths`, one row per step."""
+    points = F.arrays_zip("steps", "levels", "diffs")
+    rows = market_paths(steps, min_points).select("market_id", F.posexplode(points).alias("position", "p"))
+    return rows.select(
+        "market_id", "position", F.col("p.steps").alias("step"), F.col("p.levels").alias("level"),
+        F.col("p.diffs").alias("diff"),
+    )
+
+
+def path_vectors(steps: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
     """(market_id, x): one array per market, all levels in step order, then all differences."""
-    ordered = F.array_sort(F.collect_list(F.struct("position", "level", "diff")))
-    per_market = paths.groupBy("market_id").agg(ordered.alias("path"))
-    levels = F.transform("path", lambda p: p["level"])
-    diffs = F.transform("path", lambda p: p["diff"])
-    return per_market.select("market_id", F.concat(levels, diffs).alias("x"))
+    return market_paths(steps, min_points).select("market_id", F.concat("levels", "diffs").alias("x"))
 
 
 def scale_vectors(vectors: DataFrame, bound: float = SCALED_BOUND) -> DataFrame:

@@ -85,23 +85,32 @@ def detect_streaks(
 
 
 def prints_in_segment(
-    prints: DataFrame, segments: DataFrame, max_markets: int | None = None
+    prints: DataFrame, segments: DataFrame, max_markets: int | None = None, bin_seconds: int = HOUR
 ) -> DataFrame:
     """Prints inside [segment_start, segment_end], with seconds to both bounds.
 
-    ``segments`` has one row per market with ``token_id``; markets without bounds drop out.
+    ``segments`` has one row per market with ``token_id``; markets without bounds drop out. Each
+    segment is unfolded over the time bins it touches, and joined on token and bin: a token with a
+    third of all prints, or with many segments, is spread over its bins, and only prints of a bin's
+    own length of time are compared with a segment. A print is in one bin, so no pair meets twice.
     """
-    bounded = segments.where(F.col("segment_end").isNotNull()).select(
-        "market_id", "token_id", "segment_start", "segment_end"
+    bins = F.sequence(_bin(F.col("segment_start"), bin_seconds), _bin(F.col("segment_end"), bin_seconds))
+    bounded = segments.where(F.col("segment_end") >= F.col("segment_start")).select(
+        "market_id", "token_id", "segment_start", "segment_end", F.explode(bins).alias("_bin")
     )
-    inside = join_small(prints, bounded, ["token_id"], "inner", max_markets).where(
+    binned = prints.withColumn("_bin", _bin(F.col("t"), bin_seconds))
+    inside = join_small(binned, bounded, ["token_id", "_bin"], "inner", max_markets).where(
         F.col("t").between(F.col("segment_start"), F.col("segment_end"))
-    )
+    ).drop("_bin")
     return inside.withColumn(
         "seconds_since_window_start", (F.col("t") - F.col("segment_start")).cast("double")
     ).withColumn("seconds_until_window_end", (F.col("segment_end") - F.col("t")).cast("double"))
 
 
+def _bin(t: Column, seconds: int) -> Column:
+    return F.floor(t / F.lit(seconds)).cast("long")
+
+
 def segment_note(status: Column, has_prints: Column) -> Column:
     """Why a market has no segment rows; blank where it has."""
     return (

@@ -19,9 +19,9 @@ from tapeloom.operators.jumps import jump_features, prints_per_hour
 from tapeloom.operators.scaling import zscore
 from tapeloom.operators.selection import shortfall, top_markets_per_category
 from tapeloom.schemas import ACTIVE_FEATURES, FEATURES, IDENTITY, RAW_GRID
-from tapeloom.session import drop_staged, join_small, prepare, staged, staged_mark
+from tapeloom.session import join_small, prepare, staged, staging
 from tapeloom.sinks.publish import publish, require_aligned
-from tapeloom.sources.books import summarize_books
+from tapeloom.sources.books import latest_books, summarize_books
 
 
 @dataclass(frozen=True)
@@ -136,7 +136,7 @@ def market_features(
     if books is not None and cfg.use_books:
         wanted = out.select("token_id").distinct()
         held = join_small(books, wanted, ["token_id"], "left_semi", n_markets)
-        out = out.join(summarize_books(held), "token_id", "left")
+        out = out.join(summarize_books(latest_books(held)), "token_id", "left")
     else:
         out = out.withColumns({c: F.lit(None).cast("double") for c in BOOK_COLUMNS}).withColumn(
             "ob_timestamp_ms", F.lit("")
@@ -238,7 +238,7 @@ def build(
     """All outputs as tables over one staged selection; the staging jobs run here.
 
     ``listing`` is one row per (market, tag) with the category columns, ``points`` the price
-    history, ``books`` one snapshot per token. ``categories`` (``tag_id``, ``classifier_label``,
+    history, ``books`` snapshots, of which the latest of each token counts. ``categories`` (``tag_id``, ``classifier_label``,
     ``tag_slug``) are those wanted, by default all that the listing has. Three tables feed several branches and are written
     once: the selection and the features (one row per selected market) and the buckets (at most
     one row per selected market and step). The counted selection is the size bound that later
@@ -257,18 +257,21 @@ def build(
 
 def run(
     listing: DataFrame, points: DataFrame, books: DataFrame | None, cfg: ActiveSettings, out: str,
-    categories: DataFrame | None = None,
+    categories: DataFrame | None = None, resume: str | None = None,
 ) -> None:
-    """Publish raw grid, metadata and scaled features under ``out``; empty tables keep their schema."""
-    spark, mark = listing.sparkSession, staged_mark()
-    tables = build(listing, points, books, cfg, categories)
-    scaled, metadata = tables.scaled_features(), tables.metadata()
-    require_aligned(scaled, metadata, ["market_id", "tag_id"])
-    publish(tables.shortfall(), f"{out}/shortfall")
-    publish(tables.coverage(), f"{out}/coverage")
-    publish(tables.raw_grid(), f"{out}/raw_grid")
-    publish(metadata, f"{out}/metadata")
-    if scaled.isEmpty():
-        scaled = spark.createDataFrame([], FEATURES)
-    publish(scaled, f"{out}/features")
-    drop_staged(spark, mark)
+    """Publish raw grid, metadata and scaled features under ``out``; empty tables keep their schema.
+
+    ``resume`` (:func:`tapeloom.session.job_name`) lets a run that was killed go on where it was.
+    """
+    spark = listing.sparkSession
+    with staging(spark, resume):
+        tables = build(listing, points, books, cfg, categories)
+        scaled, metadata = tables.scaled_features(), tables.metadata()
+        require_aligned(scaled, metadata, ["market_id", "tag_id"])
+        publish(tables.shortfall(), f"{out}/shortfall")
+        publish(tables.coverage(), f"{out}/coverage")
+        publish(tables.raw_grid(), f"{out}/raw_grid")
+        publish(metadata, f"{out}/metadata")
+        if scaled.isEmpty():
+            scaled = spark.createDataFrame([], FEATURES)
+        publish(scaled, f"{out}/features")

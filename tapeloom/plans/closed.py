@@ -20,7 +20,7 @@ from tapeloom.operators.streaks import (
     detect_streaks, prints_in_segment, segment_note,
 )
 from tapeloom.schemas import CLOSED_FEATURES
-from tapeloom.session import drop_staged, join_small, prepare, staged, staged_mark
+from tapeloom.session import join_small, prepare, staged, staging
 from tapeloom.sinks.publish import publish, require_aligned
 
 
@@ -226,17 +226,22 @@ def _minute_rows(segment: DataFrame, bounded: DataFrame, max_markets: int) -> Da
     )
 
 
-def run(events: DataFrame, listing: DataFrame, points: DataFrame, sports: DataFrame, cfg: ClosedSettings, out: str) -> None:
-    """Publish scaled features, metadata and segment rows under ``out``."""
-    mark = staged_mark()
-    tables = build(events, listing, points, sports, cfg)
-    if tables.selected.isEmpty():
-        raise ValueError("no closed match-up passed the filters")
-    scaled, metadata = tables.scaled_features(), tables.metadata()
-    require_aligned(scaled, metadata.withColumnRenamed("id", "market_id"), ["market_id"])
-    publish(scaled, f"{out}/features")
-    publish(metadata, f"{out}/metadata")
-    publish(tables.raw_segments(), f"{out}/raw_segments")
-    wanted = sports.select("sport").distinct()
-    publish(shortfall(tables.selected, wanted, "sport", cfg.per_sport), f"{out}/shortfall")
-    drop_staged(events.sparkSession, mark)
+def run(
+    events: DataFrame, listing: DataFrame, points: DataFrame, sports: DataFrame, cfg: ClosedSettings, out: str,
+    resume: str | None = None,
+) -> None:
+    """Publish scaled features, metadata and segment rows under ``out``.
+
+    ``resume`` (:func:`tapeloom.session.job_name`) lets a run that was killed go on where it was.
+    """
+    with staging(events.sparkSession, resume):
+        tables = build(events, listing, points, sports, cfg)
+        if tables.selected.isEmpty():
+            raise ValueError("no closed match-up passed the filters")
+        scaled, metadata = tables.scaled_features(), tables.metadata()
+        require_aligned(scaled, metadata.withColumnRenamed("id", "market_id"), ["market_id"])
+        publish(scaled, f"{out}/features")
+        publish(metadata, f"{out}/metadata")
+        publish(tables.raw_segments(), f"{out}/raw_segments")
+        wanted = sports.select("sport").distinct()
+        publish(shortfall(tables.selected, wanted, "sport", cfg.per_sport), f"{out}/shortfall")

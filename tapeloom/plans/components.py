@@ -13,7 +13,7 @@ from tapeloom.operators.components import (
 )
 from tapeloom.operators.distances import SAMPLE_ROWS, SCORE_DIMENSIONS, pairwise_distances
 from tapeloom.schemas import IDENTITY
-from tapeloom.session import prepare, staged
+from tapeloom.session import prepare, staged, staging
 from tapeloom.sinks.publish import publish, publish_ids
 
 
@@ -84,12 +84,13 @@ def build(
     return Report(fitted, staged(fitted.scores(used), "scores"), dropped, cfg)
 
 
-def run(features: DataFrame, cfg: ReportSettings, out: str, **inputs) -> None:
-    report = build(features, cfg, **inputs)
-    publish(report.points(), f"{out}/points")
-    publish(report.fitted.scree(), f"{out}/scree")
-    publish(report.fitted.loading_table(), f"{out}/loadings")
-    publish(report.correlations(), f"{out}/correlations")
-    publish(report.time_ordered(), f"{out}/time_ordered")
-    publish(report.distances(), f"{out}/distances")
-    publish_ids(report.dropped, f"{out}/dropped_ids")
+def run(features: DataFrame, cfg: ReportSettings, out: str, resume: str | None = None, **inputs) -> None:
+    with staging(features.sparkSession, resume):
+        report = build(features, cfg, **inputs)
+        publish(report.points(), f"{out}/points")
+        publish(report.fitted.scree(), f"{out}/scree")
+        publish(report.fitted.loading_table(), f"{out}/loadings")
+        publish(report.correlations(), f"{out}/correlations")
+        publish(report.time_ordered(), f"{out}/time_ordered")
+        publish(report.distances(), f"{out}/distances")
+        publish_ids(report.dropped, f"{out}/dropped_ids")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,36 +50,104 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-_staged: list[str] = []
+class _Owner(threading.local):
+    """The tables a thread has staged, and the job whose folder it stages them in, if any."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+        self.job: str | None = None
+        self.step = 0
+
+
+_owner = _Owner()
 
 
 def staged(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the files.
 
     Used where one result feeds several branches or many iterations: the lineage is cut by a
-    table that outlives any executor. This runs a job; :func:`drop_staged` deletes the tables.
+    table that outlives any executor. This runs a job; :func:`drop_staged` or the end of the
+    surrounding :func:`staging` deletes the tables. Within a job that can be resumed, a table that
+    an earlier run has finished is read instead.
     """
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    (df.write.option("compression", compression) if compression else df.write).parquet(path)
-    _staged.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    writer = df.write.option("compression", compression) if compression else df.write
+    if _owner.job is None:
+        path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        writer.parquet(path)
+    else:
+        path = f"{_owner.job}/{_owner.step:03d}-{label}"
+        _owner.step += 1
+        if not _exists(spark, f"{path}/_SUCCESS"):
+            writer.mode("overwrite").parquet(path)
+    _owner.paths.append(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def staged_mark() -> int:
-    """A mark for :func:`drop_staged`: tables staged from now on."""
-    return len(_staged)
+    """A mark for :func:`drop_staged`: tables staged by this thread from now on."""
+    return len(_owner.paths)
 
 
 def drop_staged(spark: SparkSession, mark: int = 0, until: int | None = None) -> None:
-    """Delete the tables staged by this process since ``mark`` (and before ``until``).
+    """Delete the tables staged by this thread since ``mark`` (and before ``until``).
+
+    Their frames, and those that read them, can no longer be used. Tables of a job that can be
+    resumed stay until its end.
+    """
+    if _owner.job is None:
+        for path in _owner.paths[mark:until]:
+            _delete(spark, path)
+    del _owner.paths[mark:until]
+
+
+@contextmanager
+def staging(spark: SparkSession, resume: str | None = None) -> Iterator[None]:
+    """A job that owns the tables staged in it: they go at its end, also when it fails.
 
-    Their frames, and those that read them, can no longer be used.
+    Jobs in other threads have tables of their own. With ``resume``, a name of the job's inputs and
+    settings (:func:`job_name`), tables stay where the job fails or is killed; a later run of the
+    same name reads the finished ones, as its steps are staged in the same order. A job inside
+    another belongs to it.
     """
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _staged[mark:until]:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(hadoop).delete(where, True)
-    del _staged[mark:until]
+    if _owner.job is not None or resume is None:
+        mark = staged_mark()
+        try:
+            yield
+        finally:
+            drop_staged(spark, mark)
+        return
+    outer, _owner.paths = _owner.paths, []
+    _owner.job, _owner.step = f"{shared_dir(spark)}/job-{resume}", 0
+    try:
+        yield
+        _delete(spark, _owner.job)
+    finally:
+        _owner.job, _owner.paths = None, outer
+
+
+def job_name(job: str, settings: object, inputs: dict[str, str]) -> str:
+    """A name for :func:`staging` that changes with the settings and with the inputs' versions.
+
+    ``inputs`` names each input and its version, such as a published folder or a snapshot id.
+    """
+    said = repr((job, settings, sorted(inputs.items())))
+    return f"{job}-{hashlib.sha256(said.encode()).hexdigest()[:32]}"
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where, files = _files(spark, path)
+    return files.exists(where)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where, files = _files(spark, path)
+    files.delete(where, True)
 
 
 def row_bytes(schema: T.StructType) -> int:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,17 +43,33 @@ def summarize_books(books: DataFrame, top_n: int = TOP_LEVELS) -> DataFrame:
     )
 
 
+def stamp_number(stamp: Column) -> Column:
+    """The number in a timestamp; null where it is unreadable."""
+    return stamp.try_cast("decimal(38,0)")
+
+
+def latest_books(books: DataFrame) -> DataFrame:
+    """One snapshot per token: the one of the highest number in its timestamp.
+
+    Unreadable timestamps come last; of equal ones the greatest text, then the greatest sides, so that
+    the choice repeats.
+    """
+    order = [stamp_number(F.col("timestamp")).alias("_number"), "timestamp", "bids", "asks"]
+    latest = books.groupBy("token_id").agg(F.max(F.struct(*order)).alias("_b"))
+    return latest.select("token_id", "_b.bids", "_b.asks", "_b.timestamp")
+
+
 def books_from_levels(levels: DataFrame, order: list[str], top_n: int = TOP_LEVELS) -> DataFrame:
     """The latest snapshot of each token with ``bids``/``asks`` arrays from one row per level.
 
-    A snapshot is a token's levels of one ``timestamp``, the latest by number. Only the first
+    A snapshot is a token's levels of one ``timestamp``, the latest by number; unreadable stamps
+    count only where a token has no other. Only the first
     ``top_n`` levels of a side are ever collected, so an array is bounded however many levels a
     token has; summarise such books with the same ``top_n``, or with :func:`summarize_levels`.
     """
-    latest = levels.groupBy("token_id").agg(F.max(F.col("timestamp").cast("decimal(38,0)")).alias("_latest"))
-    current = levels.join(latest, "token_id").where(
-        F.col("timestamp").cast("decimal(38,0)").eqNullSafe(F.col("_latest"))
-    )
+    number = stamp_number(F.col("timestamp"))
+    latest = levels.groupBy("token_id").agg(F.max(number).alias("_latest"))
+    current = levels.join(latest, "token_id").where(number.eqNullSafe(F.col("_latest")))
     first = top_n_per_group(
         current.drop("_latest"), ["token_id", "side"], [F.col(c) for c in order], top_n, "level", order
     )
@@ -72,7 +88,7 @@ def books_from_levels(levels: DataFrame, order: list[str], top_n: int = TOP_LEVE
     return first.groupBy("token_id").agg(
         side("bid").alias("bids"),
         side("ask").alias("asks"),
-        F.max(F.col("timestamp").cast("decimal(38,0)")).cast("string").alias("timestamp"),
+        F.max(number).cast("string").alias("timestamp"),
     )
 
 

@@ -33,7 +33,7 @@ def test_paths_cover_steps_of_dropped_markets(spark):
     assert got == [("m", 0, 0.1, 0.0), ("m", 1, 0.1, 0.0), ("m", 2, 0.2, 0.1)]
     empty = Q.filled_paths(steps, min_points=0).where("market_id = 'n'").collect()
     assert [r.level for r in empty] == [0.5, 0.5, 0.5]
-    assert Q.path_vectors(paths).first().x[:3] == [0.1, 0.1, 0.2]
+    assert Q.path_vectors(steps, min_points=2).first().x[:3] == [0.1, 0.1, 0.2]
 
 
 def test_scaled_vectors(spark):

@@ -1,4 +1,6 @@
 import json
+import os
+import threading
 
 import pytest
 from conftest import near
@@ -7,7 +9,8 @@ from pyspark.sql import types as T
 
 from tapeloom.functions.books import book_features
 from tapeloom.schemas import FEATURES
-from tapeloom.session import join_small, shared_dir, staged
+from tapeloom.session import job_name, join_small, shared_dir, staged, staging
+from tapeloom.sinks import publish as P
 from tapeloom.sinks.publish import alignment, current, publish, publish_ids, require_aligned
 from tapeloom.sources import books as B
 from tapeloom.sources import histories as H
@@ -137,3 +140,129 @@ def test_join_small_agrees_for_every_route(spark):
 def test_staged_uses_the_shared_folder(spark):
     df = staged(spark.range(4), "check")
     assert df.count() == 4 and shared_dir(spark) in df.inputFiles()[0]
+
+
+def test_readers_see_whole_versions_during_publishing(spark, tmp_path):
+    path = str(tmp_path / "t")
+    publish(spark.range(0, 5).coalesce(1), path)
+    stop, seen, errors = threading.Event(), [], []
+
+    def read():
+        while not stop.is_set():
+            try:
+                # What a reader resolves is a whole version; it may be dropped two versions later.
+                folder = current(spark, path)
+                assert folder.startswith(f"{path}/v-") and os.path.exists(f"{folder}/_SUCCESS"), folder
+                seen.append(folder)
+            except Exception as error:  # noqa: BLE001
+                errors.append(error)
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for i in range(15):
+        publish(spark.range(i, i + 5).coalesce(1), path)
+    stop.set()
+    reader.join()
+    assert not errors and len(set(seen)) > 3 and P.version(spark, path) == 16
+    assert {r.id for r in spark.read.parquet(current(spark, path)).collect()} == set(range(14, 19))
+
+
+def test_two_writers_and_compare_and_set(spark, tmp_path):
+    path = str(tmp_path / "t")
+    before = P.version(spark, path)
+    publish(spark.range(1), path, expect=before)
+    with pytest.raises(P.Conflict):
+        publish(spark.range(2), path, expect=before)
+    assert spark.read.parquet(current(spark, path)).count() == 1
+    assert len([p for p in os.listdir(path) if p.startswith("v-")]) == 1  # the loser's folder is gone
+
+    def write(i):
+        for k in range(4):
+            publish(spark.range(10 * i + k), path)
+
+    writers = [threading.Thread(target=write, args=(i,)) for i in (1, 2)]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    # Every publication got a number of its own, and the last one is one of the writers' last.
+    assert P.version(spark, path) == 9
+    assert spark.read.parquet(current(spark, path)).count() in (13, 23)
+    assert not [p for p in os.listdir(path) if p.startswith(".draft")]
+
+
+def test_a_crash_before_the_claim_changes_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    publish(spark.range(3), path)
+    monkeypatch.setattr(P, "_renamed", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+    with pytest.raises(KeyboardInterrupt):
+        publish(spark.range(9), path)
+    monkeypatch.undo()
+    assert spark.read.parquet(current(spark, path)).count() == 3
+    publish(spark.range(4), path)
+    assert spark.read.parquet(current(spark, path)).count() == 4
+
+
+def test_latest_snapshot_and_unreadable_stamps(spark):
+    side = "array<struct<price:string,size:string>>"
+    rows = [
+        ("a", "900", [(".4", "1")], []), ("a", "1000", [(".5", "1")], []), ("a", "n/a", [(".6", "1")], []),
+        ("b", "n/a", [(".1", "1")], []), ("b", None, [(".2", "1")], []), ("c", "7", None, None), ("c", "7", [(".3", "2")], []),
+    ]
+    books = spark.createDataFrame(rows, f"token_id string, timestamp string, bids {side}, asks {side}")
+    got = {r.token_id: (r.ob_best_bid, r.ob_timestamp_ms) for r in B.summarize_books(B.latest_books(books)).collect()}
+    assert got == {"a": (0.5, "1000"), "b": (0.1, "n/a"), "c": (0.3, "7")}
+    levels = spark.createDataFrame(
+        [("a", "bid", 0.5, 1.0, "n/a", 1), ("a", "bid", 0.4, 1.0, "10", 2), ("a", "bid", 0.3, 1.0, "9", 3), ("b", "ask", 0.9, 1.0, "x", 4)],
+        "token_id string, side string, price double, size double, timestamp string, o int",
+    )
+    got = {r.token_id: (r.ob_best_bid, r.ob_best_ask) for r in B.summarize_levels(levels, ["o"]).collect()}
+    assert got == {"a": (0.4, None), "b": (None, 0.9)}
+
+
+def test_a_job_owns_its_tables(spark):
+    folder = shared_dir(spark)
+
+    def files():
+        return {p for p in os.listdir(folder) if "owned" in p}
+
+    with pytest.raises(ValueError):
+        with staging(spark):
+            staged(spark.range(3), "owned")
+            assert len(files()) == 1
+            raise ValueError
+    assert not files()
+    counts = {}
+
+    def job(name, n):
+        with staging(spark):
+            tables = [staged(spark.range(n), f"owned-{name}") for _ in range(3)]
+            counts[name] = [t.count() for t in tables]
+
+    jobs = [threading.Thread(target=job, args=(f"j{n}", n)) for n in (4, 7)]
+    for j in jobs:
+        j.start()
+    for j in jobs:
+        j.join()
+    assert counts == {"j4": [4] * 3, "j7": [7] * 3} and not files()
+
+
+def test_a_killed_job_goes_on_where_it_was(spark):
+    name = job_name("owned", ("settings", 1), {"points": "v-1"})
+    assert name != job_name("owned", ("settings", 2), {"points": "v-1"}) != job_name("owned", ("settings", 1), {"points": "v-2"})
+    run = []
+
+    def job(fail):
+        with staging(spark, name):
+            first = staged(spark.range(5).withColumn("x", F.rand()), "one")
+            run.append(sorted(r.x for r in first.collect()))
+            if fail:
+                raise KeyboardInterrupt
+            return staged(first.where("id < 2"), "two").count()
+
+    with pytest.raises(KeyboardInterrupt):
+        job(True)
+    folder = f"{shared_dir(spark)}/job-{name}"
+    assert os.path.exists(f"{folder}/000-one/_SUCCESS")
+    assert job(False) == 2
+    assert run[0] == run[1] and not os.path.exists(folder)  # random numbers were read, not drawn again

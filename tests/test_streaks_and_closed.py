@@ -153,3 +153,20 @@ def test_closed_edges(spark):
     assert missing_volume.efficiency_ratio is None and missing_volume.momentum_1h is not None
     with pytest.raises(ValueError):
         closed(spark, [], end, anchor="start")
+
+
+def test_segments_join_by_time_bins(spark):
+    """One token with most prints and many segments, bounds on and off the bins, empty segments."""
+    prints = spark.range(4000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('t', id % 5) END AS token_id", "id * 7 - 9000 AS t", "0.5D AS price"
+    )
+    segments = spark.range(60).selectExpr(
+        "concat('m', id) AS market_id", "CASE WHEN id % 2 = 0 THEN 'hot' ELSE concat('t', id % 7) END AS token_id",
+        "id * 300 - 9000 AS segment_start",
+        "CASE WHEN id % 11 = 0 THEN NULL WHEN id % 13 = 0 THEN id * 300 - 9001 ELSE id * 300 - 9000 + id * 60 END AS segment_end",
+    )
+    plain = prints.join(segments, "token_id").where("t BETWEEN segment_start AND segment_end").select("market_id", "t")
+    for width in (60, 3600, 10**6):
+        got = S.prints_in_segment(prints, segments, bin_seconds=width)
+        assert sorted(map(tuple, got.select("market_id", "t").collect())) == sorted(map(tuple, plain.collect()))
+        assert "_bin" not in got.columns

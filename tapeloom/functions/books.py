@@ -19,15 +19,19 @@ def book_side(levels: Column, top_n: int) -> Column:
     The price is that of the first readable level. Levels with an unreadable price or size are
     skipped; no levels at all means no depth.
     """
-    # One expression per level, which compiles, where functions over arrays are interpreted.
-    prices, depth = [], F.lit(0.0)
-    for place in range(top_n):
-        level = F.get(levels, F.lit(place))
-        price, size = to_double(level["price"]), to_double(level["size"])
-        good = price.isNotNull() & size.isNotNull()
-        prices.append(F.when(good, price))
-        depth = depth + F.when(good, size).otherwise(F.lit(0.0))
-    total = F.struct(F.coalesce(*prices).alias("price"), depth.alias("depth"))
+    read = F.transform(
+        F.slice(levels, 1, top_n),
+        lambda lvl: F.struct(to_double(lvl["price"]).alias("p"), to_double(lvl["size"]).alias("s")),
+    )
+    good = F.filter(read, lambda lvl: lvl["p"].isNotNull() & lvl["s"].isNotNull())
+    nothing = F.struct(F.lit(None).cast("double").alias("price"), F.lit(0.0).alias("depth"))
+    total = F.aggregate(
+        good,
+        nothing,
+        lambda acc, lvl: F.struct(
+            F.coalesce(acc["price"], lvl["p"]).alias("price"), (acc["depth"] + lvl["s"]).alias("depth")
+        ),
+    )
     return F.when(F.size(levels) > 0, total)
 
 

@@ -20,7 +20,8 @@ are refined until their members share ``length`` bytes; only members that still
    bucket are dropped, the others are split further, until each is a single string.
    The least document of its bucket keeps its first place; all others are repeated.
 
-Every bucket is a number of 128 bits in two polynomials of its bytes. A bucket is never gathered: it is
+Buckets are fingerprints, two polynomials of 64 bits each: a q-gram has the first, a stretch the second
+within its q-gram's bucket, parts and single strings have both. A bucket is never gathered: it is
 an aggregate with map-side sums, and a join of its members with that one row, which adaptive execution
 splits where a bucket has most rows. Within one document later repeats are found before any shuffle, so
 a document sends each stretch once.

@@ -84,6 +84,13 @@ def staged(df: DataFrame, label: str, compression: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder for files other than tables; it goes as staged tables do."""
+    path = f"{_owner.job or shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _owner.paths.append(path)
+    return path
+
+
 def staged_mark() -> int:
     """A mark for :func:`drop_staged`: tables staged by this thread from now on."""
     return len(_owner.paths)

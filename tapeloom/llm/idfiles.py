@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm import tokens
 from tapeloom.llm.rows import staged, text_of
-from tapeloom.session import shared_dir
+from tapeloom.session import scratch
 
 
 @dataclass(frozen=True)
@@ -238,6 +238,6 @@ def read(spark: SparkSession, path: str, manifest: DataFrame, cfg: IdFiles) -> D
 def round_trip(docs: DataFrame, cfg: IdFiles, id_col: str = "doc_id", text_col: str = "text"):
     """Write below the shared folder and read back."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
+    path = scratch(spark, "ids")
     manifest = write(docs, path, cfg, id_col, text_col)
     return read(spark, path, manifest, cfg)

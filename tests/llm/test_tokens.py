@@ -1,5 +1,6 @@
 """Packing, id files and token counts against the tokenizers library over odd texts."""
 
+import os
 import random
 import zlib
 
@@ -10,6 +11,7 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 
 from tapeloom.llm import idfiles, packing, tokencounts, tokens
 from tapeloom.llm.queries import QUERIES
+from tapeloom.session import drop_staged, shared_dir, staged_mark
 
 WORDS = tokens.public_file("word_bpe_49k.json")
 BYTES = tokens.public_file("byte_bpe_50k.json")
@@ -165,3 +167,14 @@ def test_the_memo_is_bounded_within_a_text():
     assert max(map(len, encoder._memo)) <= tokens.LONGEST_KEPT
     want = np.array(Tokenizer.from_file(WORDS).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     assert got == want
+
+
+def test_id_files_go_with_staged_tables(spark):
+    folder = shared_dir(spark)
+    before = set(os.listdir(folder))
+    mark = staged_mark()
+    cfg = idfiles.IdFiles(BYTES)
+    assert idfiles.round_trip(documents(spark), cfg).count() == documents(spark).count()
+    assert any(f.startswith("ids-") for f in set(os.listdir(folder)) - before)
+    drop_staged(spark, mark)
+    assert set(os.listdir(folder)) == before

@@ -2,9 +2,11 @@
 
 A file is an Arrow IPC file without compression. Each row of a batch holds ``ids``, a fixed-size list
 of ``length`` unsigned 16- or 32-bit ids, and ``mask``, a fixed-size list of as many bits, so that any
-sequence is reached by its number without copying or decoding: row // batch_rows is the batch. The
-ids of all documents follow each other; only the last sequence of a file is padded, where the mask is
-false. Beside it a second Arrow file holds ``doc_id``, ``start`` in the file's ids, and ``n_tokens``.
+sequence is reached by its number without copying or decoding: row // batch_rows is the batch. Local
+files are mapped into memory, and ids and masks are views of the map; from other stores a batch is
+fetched once and both are views of it. The ids of all documents follow each other; only the last
+sequence of a file is padded, where the mask is false. Beside it a second Arrow file holds ``doc_id``,
+``start`` in the file's ids, and ``n_tokens``.
 
 Documents are written in ascending id order: ranges of (id, row key) are dealt to tasks, each sorts
 and writes one pair of files. A task writes under a name of its own attempt and renames at the end,
@@ -36,7 +38,7 @@ from tapeloom.session import scratch
 
 @dataclass(frozen=True)
 class IdFiles:
-    """``file_bytes`` is the text aimed at for one file; ``bits`` is 16 where all ids fit."""
+    """``bits`` is 16 where all ids fit; a batch is ``batch_rows`` sequences of ``length`` ids."""
 
     tokenizer: str
     chunks: str = tokens.LEADING_BLANKS
@@ -50,9 +52,18 @@ class IdFiles:
 def _filesystem(path: str):
     from pyarrow import fs
 
+    if path.startswith("s3a://"):
+        path = "s3://" + path[len("s3a://") :]
     return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.replace("file:", ""))
 
 
+def _opened(store, path: str):
+    """A memory map where the file is local, else a file of its store."""
+    from pyarrow import fs
+
+    return pa.memory_map(path) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(path)
+
+
 class SequenceWriter:
     """Writes ids as they come; holds at most one batch."""
 
@@ -110,13 +121,11 @@ class SequenceReader:
             self._at, self._batch = number, self._file.get_batch(number)
         return self._batch
 
-    def sequence(self, row: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (a view of the file's bytes) and mask of one sequence."""
+    def sequence(self, row: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of one sequence, both views of the file's bytes; the mask stays bits."""
         batch = self._lists(row // self._rows)
-        place = slice(row % self._rows * self._length, (row % self._rows + 1) * self._length)
-        ids = batch.column("ids").flatten().to_numpy(zero_copy_only=True)[place]
-        mask = batch.column("mask").flatten().to_numpy(zero_copy_only=False)[place]
-        return ids, mask
+        ids, mask = (batch.column(name)[row % self._rows].values for name in ("ids", "mask"))
+        return ids.to_numpy(zero_copy_only=True), mask
 
     def stretch(self, start: int, count: int) -> np.ndarray:
         """``count`` ids from ``start`` on, over as many batches as they span."""
@@ -209,9 +218,9 @@ def read(spark: SparkSession, path: str, manifest: DataFrame, cfg: IdFiles) -> D
             for file in batch.to_pylist():
                 name = f"{top}/{file['file']}"
                 reader = SequenceReader(
-                    store.open_input_file(f"{name}.ids.arrow"), cfg.length, cfg.batch_rows
+                    _opened(store, f"{name}.ids.arrow"), cfg.length, cfg.batch_rows
                 )
-                index = pa.ipc.open_file(store.open_input_file(f"{name}.docs.arrow"))
+                index = pa.ipc.open_file(_opened(store, f"{name}.docs.arrow"))
                 for number in range(index.num_record_batches):
                     docs = index.get_batch(number)
                     sums = [

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import documents, empty, odd_texts
 from tokenizers import Tokenizer, models, pre_tokenizers
@@ -106,11 +107,15 @@ def test_sequences_are_views_with_masks(tmp_path):
     for part in np.split(ids, [5, 6, 30]):
         writer.add(part)
     writer.close()
-    reader = idfiles.SequenceReader(file, 8, 2)
-    got = [reader.sequence(i) for i in range(5)]
-    assert np.concatenate([i[m] for i, m in got]).tolist() == list(range(37))
-    assert got[4][1].tolist() == [True] * 5 + [False] * 3
-    assert not got[0][0].flags.owndata
+    mapped = pa.memory_map(file)
+    whole = mapped.read_buffer(mapped.size())
+    reader = idfiles.SequenceReader(mapped, 8, 2)
+    got = [(i, m, m.to_numpy(zero_copy_only=False)) for i, m in map(reader.sequence, range(5))]
+    assert np.concatenate([i[b] for i, _, b in got]).tolist() == list(range(37))
+    assert got[4][2].tolist() == [True] * 5 + [False] * 3
+    for i, m, _ in got:
+        for at in (i.__array_interface__["data"][0], m.buffers()[1].address):
+            assert whole.address <= at < whole.address + whole.size
     assert reader.stretch(3, 30).tolist() == list(range(3, 33))
     with pytest.raises(ValueError):
         idfiles.SequenceWriter(str(tmp_path / "y.arrow"), cfg).add(np.array([70_000]))

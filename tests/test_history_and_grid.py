@@ -1,3 +1,4 @@
+import numpy as np
 from conftest import all_near, near
 from pyspark.sql import functions as F
 
@@ -125,6 +126,36 @@ def test_jump_edges(spark):
     assert JU.jump_features(grid_of(spark, [None, 0.0]), ["market_id"]).count() == 0
 
 
+def test_jump_features_against_plain_quantiles(spark):
+    rng = np.random.default_rng(2)
+    rows, plain = [], {}
+    for key, n in enumerate([2, 3, 21, 101, 800]):
+        prices = np.round(rng.uniform(0.01, 0.99, n), 1 if key % 2 else 6).clip(0.01, 0.99)
+        rows += [(str(key), i * 60, float(p)) for i, p in enumerate(prices)]
+        plain[str(key)] = np.abs(np.diff(prices))
+    grid = spark.createDataFrame(rows, "market_id string, unix_ts long, price_yes double")
+    got = {r.market_id: r for r in JU.jump_features(grid.repartition(5), ["market_id"]).collect()}
+    assert got.keys() == plain.keys()
+    for key, sizes in plain.items():
+        r = got[key]
+        # Spark's own exact percentile on the same sizes, ties included.
+        p95, p99 = spark.createDataFrame([(float(a),) for a in sizes], "a double").selectExpr(
+            "percentile(a, 0.95)", "percentile(a, 0.99)"
+        ).first()
+        assert r.feat_jump_count_ge_p95 == (sizes >= p95).sum()
+        assert r.feat_jump_count_ge_p99 == (sizes >= p99).sum()
+        assert near(r.feat_jump_top3_sum_abs, np.sort(sizes)[-3:].sum(), 1e-12)
+        assert near(r.feat_jump_max_abs, sizes.max(), 1e-12)
+
+
+def test_jump_features_hold_no_list_and_shuffle_once(spark):
+    grid = spark.createDataFrame([("a", 0, 0.5)], "market_id string, unix_ts long, price_yes double")
+    rows = JU.jump_features(grid, ["market_id"])
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "collect_list" not in plan and "percentile" not in plan
+
+
 def test_grid_covers_floor_to_ceil_and_keeps_gaps(spark):
     markets = spark.createDataFrame([("m", 3700, 10_801), ("n", 20_000, 10_000)], "market_id string, s bigint, e bigint")
     lines = G.spine(markets, F.timestamp_seconds("s"), F.timestamp_seconds("e"), 3600)

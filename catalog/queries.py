@@ -730,7 +730,7 @@ def fitted(spark, sf):
 @query
 def pca_scores(spark, sf):
     table, model = fitted(spark, sf)
-    names = [f"PC{i + 1}" for i in range(len(model.signs))]
+    names = [f"PC{i + 1}" for i in range(len(model.loadings))]
     return model.scores(table).select("market_id", "classifier_label", *r6s(names))
 
 

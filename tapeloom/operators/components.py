@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +19,8 @@ from tapeloom.session import staged
 # Most components, and how many the reports show.
 COMPONENT_CAP, SHOWN_SCORES, SHOWN_FEATURES = 20, 8, 8
 TINY = 1e-12
+# Triangles that reach the driver at most.
+LAST_MERGE = 32
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -44,31 +46,29 @@ def component_count(n_rows: int, n_columns: int, cap: int = COMPONENT_CAP) -> in
     return max(1, min(n_rows, n_columns, max(1, cap)))
 
 
-def imputed(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Feature columns as doubles with missing and infinite values as 0."""
-    return df.withColumns({c: finite_or_zero(F.col(c)) for c in columns})
-
-
 @dataclass(frozen=True)
 class Components:
     """A fitted rotation; every field is of the size of the column list, not of the data."""
 
     spark: SparkSession
     columns: list[str]
-    pipeline: object
+    centre: np.ndarray
     loadings: np.ndarray  # components x columns
-    signs: list[float]
     variance_ratio: list[float]
 
     def scores(self, df: DataFrame) -> DataFrame:
         """``df`` with one column PC1..PCk per component; PC2 is 0 if there is only one."""
-        rotated = self.pipeline.transform(imputed(df, self.columns))
-        values = vector_to_array("_rotated")
+        centre, rotation, shown = self.centre, self.loadings.T, len(self.loadings)
+
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
+        def rotate(*columns: pd.Series) -> pd.Series:
+            return pd.Series(list((np.column_stack(columns) - centre) @ rotation))
+
+        rotated = df.withColumn("_rotated", rotate(*[finite_or_zero(F.col(c)) for c in self.columns]))
         out = rotated.select(
-            *df.columns,
-            *[(F.get(values, i) * sign).alias(f"PC{i + 1}") for i, sign in enumerate(self.signs)],
+            *df.columns, *[F.get("_rotated", F.lit(i)).alias(f"PC{i + 1}") for i in range(shown)]
         )
-        return out if len(self.signs) > 1 else out.withColumn("PC2", F.lit(0.0))
+        return out if shown > 1 else out.withColumn("PC2", F.lit(0.0))
 
     def scree(self) -> DataFrame:
         """Variance ratio and running total per component."""
@@ -85,52 +85,114 @@ class Components:
         return self.spark.createDataFrame(
             [
                 (feature, k + 1, float(self.loadings[k, j]))
-                for k in range(len(self.signs))
+                for k in range(len(self.loadings))
                 for j, feature in enumerate(self.columns)
             ],
             "feature string, component int, loading double",
         )
 
     def top_features(self, n: int = SHOWN_FEATURES) -> DataFrame:
-        """Features with the largest loading norm over all components."""
-        norm = F.sqrt(F.sum(F.col("loading") * F.col("loading")))
-        return (
-            self.loading_table()
-            .groupBy("feature")
-            .agg(norm.alias("loading_norm"))
-            .orderBy(F.desc("loading_norm"), "feature")
-            .limit(n)
+        """Features with the largest loading norm over all components; ties go by name."""
+        norms = zip(self.columns, np.linalg.norm(self.loadings, axis=0))
+        rows = self.spark.createDataFrame(
+            [(feature, float(norm)) for feature, norm in norms], "feature string, loading_norm double"
+        )
+        return rows.orderBy(F.desc("loading_norm"), "feature").limit(n)
+
+
+@dataclass(frozen=True)
+class Triangle:
+    """What a set of rows says about its spread: count, mean, and R of a QR of the centred rows."""
+
+    count: int
+    mean: np.ndarray
+    r: np.ndarray
+
+    @staticmethod
+    def of(rows: np.ndarray) -> Triangle:
+        mean = rows.mean(axis=0)
+        return Triangle(len(rows), mean, np.linalg.qr(rows - mean, mode="r"))
+
+    def merged(self, other: Triangle) -> Triangle:
+        """Of both sets; one more row carries the distance of their means."""
+        count = self.count + other.count
+        apart = other.mean - self.mean
+        between = np.sqrt(self.count * (other.count / count)) * apart
+        r = np.linalg.qr(np.vstack([self.r, other.r, between]), mode="r")
+        return Triangle(count, self.mean + apart * (other.count / count), r)
+
+    def batch(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict(
+            {"count": [self.count], "mean": [self.mean.tolist()], "r": [self.r.ravel().tolist()]}
         )
 
 
+def _triangles(batch: pa.RecordBatch) -> Iterator[Triangle]:
+    for row in batch.to_pylist():
+        mean = np.array(row["mean"])
+        yield Triangle(row["count"], mean, np.array(row["r"]).reshape(-1, len(mean)))
+
+
+def _merged(parts: Iterator[Triangle]) -> Iterator[pa.RecordBatch]:
+    """One row for all parts, none for none."""
+    total = None
+    for part in parts:
+        total = part if total is None else total.merged(part)
+    if total is not None:
+        yield total.batch()
+
+
+def _reduce_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _merged(
+        Triangle.of(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]))
+        for batch in batches
+        if batch.num_rows
+    )
+
+
+def _reduce_triangles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _merged(t for batch in batches for t in _triangles(batch))
+
+
+def spread(df: DataFrame, columns: list[str]) -> Triangle | None:
+    """The triangle of all rows, by a tall-skinny QR; None for no rows.
+
+    Each task reduces its rows, batch by batch, to a triangle of columns x columns; triangles are
+    merged in as many tasks as the session has shuffle partitions, then in at most ``LAST_MERGE``,
+    and the driver merges those. The rows are read once and never squared, so components far
+    smaller than the largest keep their digits, as they would not in a covariance matrix.
+    """
+    schema = "count long, mean array<double>, r array<double>"
+    parts = df.select(*[finite_or_zero(F.col(c)).alias(c) for c in columns]).mapInArrow(_reduce_rows, schema)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for n in dict.fromkeys((tasks, min(tasks, LAST_MERGE))):
+        parts = parts.repartition(n).mapInArrow(_reduce_triangles, schema)
+    found = parts.toArrow().to_batches()
+    last = next(_merged(t for batch in found for t in _triangles(batch)), None)
+    return None if last is None else next(_triangles(last))
+
+
 def fit_components(df: DataFrame, columns: list[str], cap: int = COMPONENT_CAP) -> Components:
     """Centre (never rescale) and rotate.
 
-    The covariance is a tree-aggregated columns x columns matrix; only it and the rotation reach
-    the driver. Each component's largest loading is made positive, as the sign is arbitrary.
+    The rotation is that of the triangle's singular vectors (:func:`spread`); only a bounded number of
+    columns x columns triangles reaches the driver. Each component's largest loading is made positive, as
+    the sign is arbitrary. Where nothing varies all variance ratios are 0.
     """
-    n_rows = df.limit(max(cap, 2)).count()
-    if n_rows < 2:
+    whole = spread(df, columns)
+    if whole is None or whole.count < 2:
         raise ValueError("principal components need at least 2 rows")
-    k = component_count(n_rows, len(columns), cap)
-    stages = Pipeline(
-        stages=[
-            VectorAssembler(inputCols=columns, outputCol="_features"),
-            StandardScaler(inputCol="_features", outputCol="_centred", withMean=True, withStd=False),
-            PCA(k=k, inputCol="_centred", outputCol="_rotated"),
-        ]
-    )
-    pipeline = stages.fit(imputed(df, columns))
-    rotation = pipeline.stages[-1].pc.toArray().T
+    k = component_count(whole.count, len(columns), cap)
+    _, sizes, rotation = np.linalg.svd(whole.r, full_matrices=False)
+    rotation, total = rotation[:k], float((sizes**2).sum())
     strongest = np.abs(rotation).argmax(axis=1)
     signs = np.where(rotation[np.arange(k), strongest] < 0, -1.0, 1.0)
     return Components(
         df.sparkSession,
         list(columns),
-        pipeline,
+        whole.mean,
         rotation * signs[:, None],
-        [float(s) for s in signs],
-        [float(v) for v in pipeline.stages[-1].explainedVariance.toArray()],
+        [float(v) for v in (sizes[:k] ** 2 / total if total > 0 else np.zeros(k))],
     )
 
 

@@ -54,7 +54,7 @@ class Report:
         return self.fitted.top_features()
 
     def distances(self) -> DataFrame:
-        k = max(1, min(self.cfg.distance_dimensions, len(self.fitted.signs)))
+        k = max(1, min(self.cfg.distance_dimensions, len(self.fitted.loadings)))
         latent = [f"PC{i + 1}" for i in range(k)]
         columns = latent if self.cfg.distance_space == "latent" else self.fitted.columns
         return pairwise_distances(self.scored, columns, self.cfg.distance_rows)
@@ -74,7 +74,7 @@ def build(
     prepare(features.sparkSession)
     kept, dropped = split_by_category(features, cfg.categories)
     used = kept if excluded is None else exclude_ids(kept, excluded)
-    # The fit reads the rows several times: count, mean, covariance, scores.
+    # The fit and the scores both read the rows.
     used = staged(used, "report-rows")
     fitted = fit_components(used, numeric_columns(used), cfg.component_cap)
     if metadata is not None:

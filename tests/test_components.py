@@ -67,6 +67,39 @@ def test_components_agree_with_svd(spark):
     assert {r.feature for r in model.top_features(3).collect()} == {names[i] for i in np.argsort(-norms, kind="stable")[:3]}
 
 
+@pytest.mark.parametrize("parts", [1, 5, 40])
+def test_small_components_keep_their_digits(spark, parts):
+    rng = np.random.default_rng(8)
+    turn, _ = np.linalg.qr(rng.normal(size=(4, 4)))
+    x = (rng.normal(size=(400, 4)) * [1.0, 1e-3, 1e-6, 1e-8]) @ turn
+    df, names = frame(spark, x.tolist())
+    model = PC.fit_components(df.repartition(parts), names)
+    _, s, vt = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    assert np.allclose(model.variance_ratio, s**2 / (s**2).sum(), rtol=1e-6, atol=0)
+    assert np.allclose(np.abs(model.loadings @ vt.T), np.eye(4), atol=1e-6)
+    squared = np.linalg.eigvalsh(np.cov(x.T))[0] / np.trace(np.cov(x.T))  # a covariance loses the last one
+    assert abs(squared / model.variance_ratio[3] - 1) > 1e-3
+
+
+def test_triangles_merge_in_any_order():
+    x = np.random.default_rng(3).normal(size=(50, 3)) + [5.0, 0.0, -2.0]
+    parts = [PC.Triangle.of(p) for p in np.split(x, [1, 2, 30])]
+    centred = x - x.mean(axis=0)
+    for order in ([0, 1, 2, 3], [3, 1, 0, 2]):
+        whole = parts[order[0]]
+        for i in order[1:]:
+            whole = whole.merged(parts[i])
+        assert whole.count == 50 and np.allclose(whole.mean, x.mean(axis=0), atol=1e-12)
+        assert np.allclose(whole.r.T @ whole.r, centred.T @ centred, atol=1e-10)
+
+
+def test_rows_without_spread(spark):
+    df, names = frame(spark, [(1.0, 2.0)] * 3)
+    model = PC.fit_components(df, names)
+    assert model.variance_ratio == [0.0, 0.0]
+    assert {(r.PC1, r.PC2) for r in model.scores(df).collect()} == {(0.0, 0.0)}
+
+
 def test_component_limits(spark):
     assert PC.component_count(3, 10, 20) == 3 and PC.component_count(50, 64, 20) == 20 and PC.component_count(5, 5, 0) == 1
     df, names = frame(spark, [(1,), (2,)])

@@ -925,3 +925,7 @@ ORACLES = {k: v.replace("\n,", ",").replace("\n      ,", ",") for k, v in ORACLE
 
 # The latest snapshot is that of the highest number: unreadable stamps, and older ones, change nothing.
 ORACLES["latest_order_books"] = ORACLES["order_book_summary"]
+
+# A store that extracts were added to gives what the points give at once.
+ORACLES["stored_merge_resolutions"] = ORACLES["merge_resolutions"]
+ORACLES["stored_finest_resolution"] = ORACLES["finest_resolution"]

@@ -32,11 +32,12 @@ from tapeloom.operators.distances import pairwise_distances
 from tapeloom.operators.ranking import hash_sample
 from tapeloom.plans import active, closed, components, embeddings
 from tapeloom.schemas import ACTIVE_FEATURES, CLOSED_FEATURES, MARKET, RAW_GRID
-from tapeloom.session import join_small, shared_dir, staged
+from tapeloom.session import join_small, scratch, shared_dir, staged
 from tapeloom.sinks import publish as W
 from tapeloom.sources import books as B
 from tapeloom.sources import histories as SH
 from tapeloom.sources import idlists, listings
+from tapeloom.sources.pointstore import PointStore
 from tapeloom.sources.tables import read_csv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -675,6 +676,27 @@ def finest_resolution(spark, sf):
     return rows.select("token_id", "resolution", "t", *r6s(["price"]))
 
 
+def point_store(spark, sf) -> PointStore:
+    """Two extracts added one after the other, the later one first."""
+    store, points = PointStore(scratch(spark, "points"), 8), X.points(spark, sf)
+    store.add(points.where(F.col("extract_ord") % 2 == 1))
+    store.add(points.where(F.col("extract_ord") % 2 == 0))
+    return store
+
+
+@query
+def stored_merge_resolutions(spark, sf):
+    markets = X.market_times(spark, sf)
+    rows = point_store(spark, sf).merge_resolutions(markets, max_markets=markets.count())
+    return rows.select("market_id", "t", *r6s(["price"]))
+
+
+@query
+def stored_finest_resolution(spark, sf):
+    rows = point_store(spark, sf).finest_resolution(spark)
+    return rows.select("token_id", "resolution", "t", *r6s(["price"]))
+
+
 # ---- scalars -------------------------------------------------------------------------------
 
 

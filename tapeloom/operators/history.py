@@ -84,14 +84,17 @@ def resolution_to_use(points: DataFrame, key: str) -> DataFrame:
     return per_key.select(key, _finest(stats).alias("resolution")).where("resolution IS NOT NULL")
 
 
-def finest_resolution(points: DataFrame, key: str = "token_id", max_keys: int | None = None) -> DataFrame:
+def finest_resolution(
+    points: DataFrame, key: str = "token_id", max_keys: int | None = None, layout: tuple[str, ...] = ()
+) -> DataFrame:
     """Deduplicated points of the one resolution each key should use; never a mix.
 
-    The resolution is chosen first, so only its points are shuffled by second.
+    The resolution is chosen first, so only its points are shuffled by second. ``layout`` names
+    columns that follow from key and time; points bucketed by key and these are not shuffled.
     """
     use = resolution_to_use(points, key)
     chosen = join_small(points, use, [key, "resolution"], "left_semi", max_keys)
-    return dedupe_history(chosen, [key, "resolution"])
+    return dedupe_history(chosen, [key, "resolution", *layout]).drop(*layout)
 
 
 def near_ends(
@@ -146,12 +149,14 @@ def merge_resolutions(
     markets: DataFrame,
     lookback_hours: float = MERGE_LOOKBACK_HOURS,
     max_markets: int | None = None,
+    layout: tuple[str, ...] = (),
 ) -> DataFrame:
     """(market_id, t, price): hourly prints overwritten by minute prints before the end time.
 
     Where that leaves fewer than two seconds, the whole hourly history is laid over it.
     ``markets`` has one row per market with ``token_id`` and ``end_ts``. The sparse markets are
     found first, by one row per market and task, so that only points that count are shuffled.
+    ``layout`` names columns that follow from market and time; points bucketed by these are not shuffled.
     """
     sparse = sparse_markets(points, markets, lookback_hours, max_markets)
     joined = _merge_inputs(points, markets, lookback_hours, max_markets)
@@ -164,13 +169,14 @@ def merge_resolutions(
     near, wide = F.col("_near"), is_sparse & (F.col("resolution") == "1h")
     return (
         marked.where(near | wide)
-        .groupBy("market_id", "t")
+        .groupBy("market_id", "t", *layout)
         .agg(
             F.coalesce(
                 F.max_by(F.when(wide, F.col("price")), F.when(wide, F.col("extract_ord"))),
                 F.max_by(F.when(near, F.col("price")), F.when(near, rank)),
             ).alias("price")
         )
+        .drop(*layout)
     )
 
 

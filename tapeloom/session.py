@@ -152,6 +152,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return files.exists(where)
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none where there is no folder."""
+    where, files = _files(spark, path)
+    return sorted(e.getPath().getName() for e in files.listStatus(where)) if files.exists(where) else []
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where, files = _files(spark, path)
     files.delete(where, True)

@@ -19,8 +19,8 @@ from tapeloom.operators.jumps import jump_features, prints_per_hour
 from tapeloom.operators.scaling import zscore
 from tapeloom.operators.selection import shortfall, top_markets_per_category
 from tapeloom.schemas import ACTIVE_FEATURES, FEATURES, IDENTITY, RAW_GRID
-from tapeloom.session import join_small, prepare, staged, staging
-from tapeloom.sinks.publish import publish, require_aligned
+from tapeloom.session import join_small, prepare, staged, staged_with_counts, staging
+from tapeloom.sinks.publish import publish, publish_aligned
 from tapeloom.sources.books import latest_books, summarize_books
 
 
@@ -156,6 +156,10 @@ def market_features(
     )
 
 
+# What is counted over the price lines.
+COVERAGE = {"lines_with_data": "clob_points_raw > 0", "lines_total": "true"}
+
+
 @dataclass(frozen=True)
 class ActiveTables:
     """Outputs over staged tables; ``grid`` and ``features`` are per price line and unscaled."""
@@ -166,6 +170,7 @@ class ActiveTables:
     n_selected: int
     cfg: ActiveSettings
     categories: DataFrame
+    counts: dict[str, int]
 
     def _with_market_columns(self, columns: list[str]) -> DataFrame:
         """Selected rows with columns of their price line and their own time to close."""
@@ -183,10 +188,13 @@ class ActiveTables:
         return shortfall(self.selected, self.categories, "tag_id", self.cfg.per_category)
 
     def coverage(self) -> DataFrame:
-        """One row: how many price lines of the selection have any print in the window."""
-        return self.features.agg(
-            F.count_if(F.col("clob_points_raw") > 0).alias("lines_with_data"),
-            F.count(F.lit(1)).alias("lines_total"),
+        """One row: how many price lines of the selection have any print in the window.
+
+        They were counted while the features were written.
+        """
+        names = list(COVERAGE)
+        return self.selected.sparkSession.createDataFrame(
+            [tuple(self.counts[n] for n in names)], ", ".join(f"{n} long" for n in names)
         )
 
     def scaled_features(self) -> DataFrame:
@@ -251,8 +259,11 @@ def build(
     n = selected.count()
     buckets = staged(market_buckets(points, markets, n, cfg), "buckets")
     grid = market_grid(markets, buckets, cfg)
-    features = staged(market_features(markets, n, buckets, books, cfg), "features")
-    return ActiveTables(selected, grid, features, n, cfg, wanted)
+    features, counts = staged_with_counts(
+        market_features(markets, n, buckets, books, cfg), "features",
+        {name: F.count_if(F.expr(rule)) for name, rule in COVERAGE.items()},
+    )
+    return ActiveTables(selected, grid, features, n, cfg, wanted, counts)
 
 
 def run(
@@ -267,11 +278,10 @@ def run(
     with staging(spark, resume):
         tables = build(listing, points, books, cfg, categories)
         scaled, metadata = tables.scaled_features(), tables.metadata()
-        require_aligned(scaled, metadata, ["market_id", "tag_id"])
+        if not tables.n_selected:
+            scaled = spark.createDataFrame([], FEATURES)
+        keys = ["market_id", "tag_id"]
+        publish_aligned(scaled, metadata, (f"{out}/features", f"{out}/metadata"), keys)
         publish(tables.shortfall(), f"{out}/shortfall")
         publish(tables.coverage(), f"{out}/coverage")
         publish(tables.raw_grid(), f"{out}/raw_grid")
-        publish(metadata, f"{out}/metadata")
-        if scaled.isEmpty():
-            scaled = spark.createDataFrame([], FEATURES)
-        publish(scaled, f"{out}/features")

@@ -21,7 +21,7 @@ from tapeloom.operators.streaks import (
 )
 from tapeloom.schemas import CLOSED_FEATURES
 from tapeloom.session import join_small, prepare, staged, staging
-from tapeloom.sinks.publish import publish, require_aligned
+from tapeloom.sinks.publish import publish, publish_aligned
 
 
 @dataclass(frozen=True)
@@ -239,9 +239,7 @@ def run(
         if tables.selected.isEmpty():
             raise ValueError("no closed match-up passed the filters")
         scaled, metadata = tables.scaled_features(), tables.metadata()
-        require_aligned(scaled, metadata.withColumnRenamed("id", "market_id"), ["market_id"])
-        publish(scaled, f"{out}/features")
-        publish(metadata, f"{out}/metadata")
+        publish_aligned(scaled, metadata, (f"{out}/features", f"{out}/metadata"), ["market_id"], ["id"])
         publish(tables.raw_segments(), f"{out}/raw_segments")
         wanted = sports.select("sport").distinct()
         publish(shortfall(tables.selected, wanted, "sport", cfg.per_sport), f"{out}/shortfall")

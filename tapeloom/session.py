@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,18 +70,38 @@ def staged(df: DataFrame, label: str, compression: str | None = None) -> DataFra
     surrounding :func:`staging` deletes the tables. Within a job that can be resumed, a table that
     an earlier run has finished is read instead.
     """
-    spark = df.sparkSession
-    writer = df.write.option("compression", compression) if compression else df.write
+    path, there = _place(df.sparkSession, label)
+    if not there:
+        writer = df.write.option("compression", compression) if compression else df.write
+        writer.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def staged_with_counts(df: DataFrame, label: str, counts: dict[str, Column]) -> tuple[DataFrame, dict]:
+    """:func:`staged`, and aggregates over the rows that are gathered while they are written.
+
+    A table that an earlier run has finished is read for them instead.
+    """
+    path, there = _place(df.sparkSession, label)
+    named = [c.alias(name) for name, c in counts.items()]
+    table = df.sparkSession.read.schema(df.schema).parquet
+    if there:
+        return table(path), table(path).agg(*named).first().asDict()
+    watch = Observation()
+    df.observe(watch, *named).write.mode("overwrite").parquet(path)
+    return table(path), watch.get
+
+
+def _place(spark: SparkSession, label: str) -> tuple[str, bool]:
+    """Where this thread's next table goes, and whether an earlier run has finished it."""
     if _owner.job is None:
-        path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-        writer.parquet(path)
+        path, there = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", False
     else:
         path = f"{_owner.job}/{_owner.step:03d}-{label}"
         _owner.step += 1
-        if not _exists(spark, f"{path}/_SUCCESS"):
-            writer.mode("overwrite").parquet(path)
+        there = _exists(spark, f"{path}/_SUCCESS")
     _owner.paths.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path, there
 
 
 def scratch(spark: SparkSession, label: str) -> str:

@@ -6,7 +6,7 @@ import os
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,19 +34,73 @@ def publish(df: DataFrame, path: str, fmt: str = "parquet", expect: int | None =
     :class:`Conflict` is raised and the folder dropped. Versions before the last two are deleted, so a
     reader that has just resolved a version still finds its files.
     """
-    spark = df.sparkSession
     root = path.rstrip("/")
+    name = _draft(df, root, fmt)
+    _make_current(df.sparkSession, root, name, expect)
+    return f"{root}/{name}"
+
+
+def publish_aligned(
+    features: DataFrame, metadata: DataFrame, paths: tuple[str, str], keys: list[str],
+    metadata_keys: list[str] | None = None,
+) -> None:
+    """Publish two tables that must have the same keys; neither becomes current where they differ.
+
+    ``metadata_keys`` are the names of ``keys`` in the metadata, where they are others there.
+
+    Keys are compared on the way: each write counts its rows and adds up two 64-bit hashes of their
+    keys, whatever their order, so neither table is computed or read for the check. Only after a
+    difference are the two written tables read, to say how many keys only one of them has.
+    """
+    spark = features.sparkSession
+    roots = [path.rstrip("/") for path in paths]
+    named = (keys, metadata_keys or keys)
+    names, sums = [], []
+    for df, root, own in zip((features, metadata), roots, named):
+        watch = Observation()
+        names.append(_draft(df.observe(watch, *_key_sums(own)), root, "parquet"))
+        sums.append(watch.get)
+    if sums[0] != sums[1]:
+        written = [
+            spark.read.parquet(f"{root}/{name}").select(*[F.col(c).alias(k) for c, k in zip(own, keys)])
+            for root, name, own in zip(roots, names, named)
+        ]
+        report = alignment(*written, keys).first().asDict()
+        for root, name in zip(roots, names):
+            _drop(spark, root, name)
+        raise ValueError(f"features and metadata differ: {report}")
+    for root, name in zip(roots, names):
+        _make_current(spark, root, name, None)
+
+
+def _key_sums(keys: list[str]) -> list:
+    key = F.to_json(
+        F.struct(*[F.col(k).alias(str(i)) for i, k in enumerate(keys)]), {"ignoreNullFields": "false"}
+    )
+    hashes = [F.sum(F.xxhash64(F.lit(i), key).cast("decimal(20,0)")) for i in range(2)]
+    return [F.count(F.lit(1)).alias("rows"), *[h.alias(f"sum_{i}") for i, h in enumerate(hashes)]]
+
+
+def _draft(df: DataFrame, root: str, fmt: str) -> str:
+    """Write a version that nothing names yet; the name of its folder."""
     name = f"v-{uuid.uuid4().hex}"
     writer = df.write.option("header", True) if fmt == "csv" else df.write
     writer.format(fmt).save(f"{root}/{name}")
+    return name
+
+
+def _drop(spark: SparkSession, root: str, name: str) -> None:
+    folder, files = _paths(spark, f"{root}/{name}")
+    files.delete(folder, True)
+
+
+def _make_current(spark: SparkSession, root: str, name: str, expect: int | None) -> None:
     try:
         number = claim(spark, root, name, expect)
     except Conflict:
-        folder, files = _paths(spark, f"{root}/{name}")
-        files.delete(folder, True)
+        _drop(spark, root, name)
         raise
     _forget(spark, root, number - KEPT_VERSIONS)
-    return f"{root}/{name}"
 
 
 def claim(spark: SparkSession, root: str, name: str, expect: int | None = None) -> int:

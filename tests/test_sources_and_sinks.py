@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from tapeloom.functions.books import book_features
 from tapeloom.schemas import FEATURES
-from tapeloom.session import job_name, join_small, shared_dir, staged, staging
+from tapeloom.session import job_name, join_small, shared_dir, staged, staged_with_counts, staging
 from tapeloom.sinks import publish as P
 from tapeloom.sinks.publish import alignment, current, publish, publish_ids, require_aligned
 from tapeloom.sources import books as B
@@ -126,6 +126,48 @@ def test_alignment(spark):
     assert alignment(a.limit(0), a.limit(0), ["k"]).first().aligned
 
 
+def test_aligned_tables_are_checked_while_they_are_written(spark, tmp_path):
+    paths = (str(tmp_path / "features"), str(tmp_path / "metadata"))
+    a = spark.range(500).select(F.col("id").cast("string").alias("k"), F.when(F.col("id") > 3, F.lit("t")).alias("tag"))
+    b = a.repartition(7).withColumnRenamed("k", "id").withColumn("more", F.lit(1))
+    before = jobs(spark)
+    P.publish_aligned(a, b, paths, ["k", "tag"], ["id", "tag"])
+    assert jobs(spark) - before <= 3  # two writes and the shuffle that the second one has itself
+    known = [current(spark, p) for p in paths]
+    assert [spark.read.parquet(p).count() for p in known] == [500, 500]
+    other = b.where("id <> '7'").unionByName(b.where("id = '8'"))  # as many rows, other keys
+    twice = b.unionByName(b.where("id = '8'"))
+    swapped = b.withColumn("tag", F.when(F.col("id") == "2", F.lit("t")).when(F.col("id") == "9", None).otherwise(F.col("tag")))
+    for wrong in (other, twice, swapped, b.limit(0)):
+        with pytest.raises(ValueError):
+            P.publish_aligned(a, wrong, paths, ["k", "tag"], ["id", "tag"])
+        assert [current(spark, p) for p in paths] == known
+        assert all(len([n for n in os.listdir(p) if n.startswith("v-")]) == 1 for p in paths)
+    P.publish_aligned(a.limit(0), b.limit(0), paths, ["k", "tag"], ["id", "tag"])
+    assert [spark.read.parquet(current(spark, p)).count() for p in paths] == [0, 0]
+
+
+def jobs(spark):
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+
+
+def test_counts_are_gathered_while_staging(spark):
+    counts = {"n": F.count(F.lit(1)), "even": F.count_if(F.col("id") % 2 == 0)}
+    for rows, want in ((spark.range(9).repartition(3), {"n": 9, "even": 5}), (spark.range(0), {"n": 0, "even": 0})):
+        table, got = staged_with_counts(rows, "counted", counts)
+        assert got == want and table.count() == want["n"]
+    name = job_name("counting", 1, {})
+    for _ in range(2):  # the second run finds the table and reads it
+        try:
+            with staging(spark, name):
+                assert staged_with_counts(spark.range(4), "counted", counts)[1] == {"n": 4, "even": 2}
+                raise RuntimeError
+        except RuntimeError:
+            pass
+    with staging(spark, name):
+        assert staged_with_counts(spark.range(4), "counted", counts)[1] == {"n": 4, "even": 2}
+
+
 def test_join_small_agrees_for_every_route(spark):
     big = spark.range(1000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"), F.col("id").alias("v"))
     small = spark.range(20).toDF("k").withColumn("w", F.col("k") * 2)

@@ -887,6 +887,8 @@ ORACLES["pca_scree"] = recursive(EMB, EMB_SRC, *eigen(64, 20)) + f"""SELECT k AS
   {r6('sum(ratio) OVER (ORDER BY k)', 'cumulative_ratio')} FROM pc"""
 ORACLES["pca_loadings"] = recursive(EMB, EMB_SRC, *eigen(64, 20)) + f"""SELECT 'f' || i AS feature, k AS component, {r6('vec[i]', 'loading')}
   FROM pc, range(1, 65) r(i)"""
+ORACLES["pca_top_features"] = recursive(EMB, EMB_SRC, *eigen(64, 20)) + """SELECT 'f' || i AS feature,
+  round(sqrt(sum(vec[i] * vec[i])), 6) + 0.0 AS loading_norm FROM pc, range(1, 65) r(i) GROUP BY i ORDER BY sqrt(sum(vec[i] * vec[i])) DESC LIMIT 8"""
 N_ACTIVE = len(ALL_FEATURES)
 ORACLES["pca_report"] = (
     recursive(

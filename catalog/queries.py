@@ -767,6 +767,11 @@ def pca_loadings(spark, sf):
     return fitted(spark, sf)[1].loading_table().select("feature", "component", *r6s(["loading"]))
 
 
+@query
+def pca_top_features(spark, sf):
+    return fitted(spark, sf)[1].top_features().select("feature", *r6s(["loading_norm"]))
+
+
 def half_correlations(spark, sf) -> DataFrame:
     """The operator on two projections that SQL can state: the two halves' mean."""
     table = X.embedding_features(spark, sf)

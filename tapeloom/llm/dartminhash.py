@@ -16,8 +16,11 @@ Classes are the connected components of all links of at least ``threshold``:
    buckets; the links are verified on the exact sets, and their components found. A tight group of
    any size costs a few links per member.
 3. Buckets that still hold several components are compared in blocks: each member outside a bucket's
-   largest component meets every member of another component, cut into blocks of bounded size dealt
-   over tasks, by the agreement of longer signatures (``probe`` darts, half a byte each). Only pairs
+   largest component meets every member of another component, cut into blocks dealt over tasks, by
+   the agreement of longer signatures (``probe`` darts, half a byte each). A block holds ``block``
+   members, more in buckets of over ``block * split`` and at most 64 times as many, so a row is sent
+   to at most ``split + 2`` blocks in a bucket of up to ``64 * block * split`` members (524,288), and to one
+   more per ``64 * block`` beyond. Only pairs
    whose agreement does not rule out the threshold (4 standard deviations) become rows, each in the
    first band they share; they are verified exactly as well. Nothing is dropped, whatever the size
    of a bucket.
@@ -62,6 +65,7 @@ class Near:
     rows: int = 6
     weights: str = "set"
     block: int = 256
+    split: int = 32
     probe: int = 1024
 
     def __post_init__(self):
@@ -294,19 +298,24 @@ def similarity(h1, c1, h2, c2, weights: str) -> float:
     return both / either if either else 1.0
 
 
-def _blocks(members: DataFrame, cfg: Near) -> DataFrame:
-    """Pairs of different components in one bucket whose signatures may reach the threshold."""
+# Rows of one block that meet a row at a time, so that what is compared stays in the cache.
+MEET = 512
+
+
+def _cells(members: DataFrame, cfg: Near) -> DataFrame:
+    """``members`` once for every pair of blocks (i, j) of their bucket that their ``own`` is part of."""
     part = F.pmod(F.xxhash64("key"), F.lit(1 << 30))
     count = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     size = count.groupBy("bucket").agg(
         F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("major")
     )
+    width = F.least(F.greatest(F.col("n") / cfg.split, F.lit(cfg.block)), F.lit(64 * cfg.block))
     size = staged(
         size.filter("n > major.n").select(
             "bucket",
             F.col("major.label").alias("major"),
-            F.ceil(F.col("major.n") / cfg.block).cast("int").alias("majors"),
-            F.ceil((F.col("n") - F.col("major.n")) / cfg.block).cast("int").alias("minors"),
+            F.ceil(F.col("major.n") / width).cast("int").alias("majors"),
+            F.ceil((F.col("n") - F.col("major.n")) / width).cast("int").alias("minors"),
         ),
         "sizes",
     )
@@ -326,13 +335,18 @@ def _blocks(members: DataFrame, cfg: Near) -> DataFrame:
     ).otherwise(F.sequence(F.lit(0), F.col("minors") - 1))
     facts = ["key", "label", "bands", "small"]
     cells = placed.select("bucket", "own", *facts, F.explode(others).alias("other"))
-    cells = cells.select(
+    return cells.select(
         "bucket",
         F.least("own", "other").alias("i"),
         F.greatest("own", "other").alias("j"),
         F.col("own").cast("int").alias("own"),
         *facts,
     )
+
+
+def _blocks(members: DataFrame, cfg: Near) -> DataFrame:
+    """Pairs of different components in one bucket whose signatures may reach the threshold."""
+    cells = _cells(members, cfg)
     agree = cfg.threshold + (1 - cfg.threshold) / 16
     sure = cfg.threshold - 4.2 * math.sqrt(agree * (1 - agree) / cfg.probe) * 16 / 15
 
@@ -347,15 +361,17 @@ def _blocks(members: DataFrame, cfg: Near) -> DataFrame:
             raw = b"".join(cell.column("bands").to_pylist())
             earlier = np.frombuffer(raw, "<u4").reshape(len(key), -1)[:, :band]
             a = np.flatnonzero(own == low)
-            b = np.flatnonzero(own == cell.column("j").to_numpy())
+            others = np.flatnonzero(own == cell.column("j").to_numpy())
+            width = 2 * small.shape[1]
             x, y = [], []
-            for i in a:
+            for i, b in ((i, others[at : at + MEET]) for at in range(0, len(others), MEET) for i in a):
                 j = b[(label[b] != label[i]) & ((key[b] > key[i]) | (own[i] != own[b]))]
                 # Pairs that share an earlier band meet there.
                 j = j[~(earlier[j] == earlier[i]).any(1)]
                 if len(j):
                     differ = small[j] ^ small[i]
-                    alike = ((differ < 16).mean(1) + (differ & 15 == 0).mean(1)) / 2
+                    same = np.count_nonzero(differ < 16, 1) + np.count_nonzero(differ & 15 == 0, 1)
+                    alike = same / width
                     j = j[(alike - 1 / 16) / (1 - 1 / 16) >= sure]
                     x.append(np.full(len(j), key[i]))
                     y.append(key[j])

@@ -84,6 +84,33 @@ def test_classes_equal_brute_force(spark):
     assert sorted(r.doc_id for r in kept) == [g[0] for g in want]
 
 
+def test_a_row_meets_a_bounded_number_of_blocks(spark):
+    """Unlike members of one bucket: copies per row do not grow with the bucket."""
+    cfg = dartminhash.Near(block=4, split=8)
+    for n, most in ((16, 4), (32, 8), (2000, 8), (4000, 16)):
+        members = spark.range(n).selectExpr(
+            "id AS key", "7L AS bucket", "id AS label", "X'00' AS small", "X'00' AS bands"
+        )
+        cells = dartminhash._cells(members, cfg)
+        assert cells.groupBy("key").count().agg({"count": "max"}).first()[0] <= most + 2
+        # All blocks meet, themselves as well, but for that of the one member taken as the largest.
+        blocks = cells.agg({"j": "max"}).first()[0] + 1
+        assert cells.select("i", "j").distinct().count() == blocks * (blocks + 1) // 2 - 1
+
+
+def test_a_bucket_of_many_unlike_texts(spark):
+    """Texts of one long head and tails of their own, some of them near; blocks that have grown."""
+    rng = random.Random(21)
+    head = prose(rng, 60)
+    texts = [f"{head} {prose(rng, 30)}" for _ in range(120)]
+    texts += [edited(rng, t, 1) for t in texts[:30]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = partition(enumerate(brute_classes(texts)))
+    for cfg in (dartminhash.Near(block=2, split=4), dartminhash.Near(block=16)):
+        rows = dartminhash.classes(docs, cfg).collect()
+        assert partition((r.doc_id, r.class_id) for r in rows) == want
+
+
 def test_members_far_from_the_centre_are_linked(spark):
     """A star whose points resemble only the middle, which is not the least id."""
     rng = random.Random(3)

@@ -61,6 +61,23 @@ def test_the_order_of_rules_changes_nothing(spark, sf):
     assert one == two and sorted(rules.ordered_rules(docs, cfg, "doc_id", "text")) == sorted(cfg.rules)
 
 
+def test_dear_rules_come_last(spark, sf):
+    """Two rules of equal rejections; one does the work of the other a hundred times."""
+    def once():
+        return F.length(F.regexp_replace(F.col("text"), "[aeiou]+", "")) < 0.8 * F.length("text")
+
+    def often():
+        texts = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda i: F.concat("text", i.cast("string")))
+        work = F.transform(texts, lambda t: F.length(F.regexp_replace(t, "[aeiou]+", "")))
+        return once() & (F.array_max(work) >= 0)
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for names in (("dear", "cheap"), ("cheap", "dear")):
+        both = {n: {"dear": often, "cheap": once}[n] for n in names}
+        cfg = rules.Cascade(rules=both, repeats=4)
+        assert rules.ordered_rules(docs, cfg, "doc_id", "text") == ["cheap", "dear"]
+
+
 def test_the_cascade_is_native(spark, sf):
     plan = QUERIES["op8_rules"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

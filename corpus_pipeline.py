@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tapeloom.llm import dartminhash, decontaminate, packing, quality, secrets, tokens
-from tapeloom.llm.queries import OWNER, REPOSITORY, WORD_VOCABULARY
+from tapeloom.llm.queries import OWNER, OWNERSHIP, REPOSITORY, WORD_VOCABULARY
 from tapeloom.llm.rows import staged, table
 
 
@@ -28,7 +28,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secrets.mask(docs, OWNER, REPOSITORY)
+    return secrets.mask(docs, OWNER, REPOSITORY, OWNERSHIP)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

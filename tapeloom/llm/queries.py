@@ -34,13 +34,14 @@ URL_RULES = [
     urls.Rule("block", "net", "/es/"),
     urls.Rule("block", "net", "/fr/"),
 ]
-# Documents have no repository of their own: a source owns them, and owners alone are counted.
-OWNER, REPOSITORY = "source", None
+# A source owns its documents, and each document is a repository: both are counted, owners alone decide.
+OWNER, REPOSITORY = "source", "doc_id"
+OWNERSHIP = secrets.Ownership(repositories=None)
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return secrets.scan(docs, OWNER, REPOSITORY)
+    return secrets.scan(docs, OWNER, REPOSITORY, OWNERSHIP)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

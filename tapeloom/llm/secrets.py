@@ -4,9 +4,10 @@ Every whole text is searched for spans of three base kinds (assignments, access
 for further candidates: runs of 20 key characters or more, of any length, with letters and digits and
 a high entropy. The value of each span is hashed; per hash the distinct repositories and distinct
 owners over the whole corpus are counted. A value of few owners and repositories looks live; one that
-many share is a widely copied example. Base spans always stay, each with its verdict; candidates that
-look live are added as spans of kind ``owned``, the others are not. Rows without repositories
-(``repository=None``) are judged by their owners alone: documents of one owner never make an example.
+many share is a widely copied example. Base spans always stay, each with its verdict and both counts;
+candidates that look live are added as spans of kind ``owned``, the others are not. With
+``repositories=None`` in the settings, or rows without repositories (``repository=None``), owners alone
+decide: however many repositories of one owner never make an example.
 
 Defined results: a missing text is empty and has no spans; a missing owner or repository counts as
 one more value; repeated rows are scanned each, and count as one repository; an empty table gives no
@@ -46,11 +47,11 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9
 
 @dataclass(frozen=True)
 class Ownership:
-    """Most owners and repositories of a value that looks live; least entropy (bits per character)
-    of a candidate."""
+    """Most owners and repositories (None: any number) of a value that looks live; least entropy
+    (bits per character) of a candidate."""
 
     owners: int = 2
-    repositories: int = 8
+    repositories: int | None = 8
     entropy: float = 3.5
 
 
@@ -159,16 +160,19 @@ def ownership(values: DataFrame) -> DataFrame:
     )
 
 
+SPAN = ("start", "kind", "end", "live", "owners", "repositories")
+
+
 def _judged(scanned: DataFrame, cfg: Ownership, by_repository: bool) -> DataFrame:
-    """Per row key: its spans (start, kind, end, live), in order, candidates only where live."""
+    """Per row key: its spans with their verdicts and counts, in order, candidates only where live."""
     values = scanned.select("key", "owner", "repository", F.explode("found").alias("s"))
     values = values.select("key", "owner", "repository", "s.*")
     known = staged(ownership(values.select("hash", "owner", "repository")), "ownership")
     live = F.col("owners") <= cfg.owners
-    if by_repository:
+    if by_repository and cfg.repositories is not None:
         live &= F.col("repositories") <= cfg.repositories
     verdicts = values.join(known.withColumn("live", live), "hash").filter("kind < 3 OR live")
-    span = F.struct("start", "kind", "end", "live")
+    span = F.struct(*SPAN)
     return verdicts.groupBy("key").agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
 
@@ -195,7 +199,10 @@ def scan(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Per row: doc_id, counts and digest of the base spans, all spans, and their verdicts."""
+    """Per row: doc_id, counts and digest of the base spans, all spans, and their verdicts.
+
+    ``held_by`` has, span by span, the owners of its value and, where repositories are given, their number.
+    """
     rows = _source(docs, owner, repository, text_col, F.col(f"`{id_col}`").alias("doc_id"))
     scanned = staged(_scanned(rows, cfg, ["doc_id", "owner", "repository"]), "scanned")
     kinds = F.array(*map(F.lit, KINDS))
@@ -203,7 +210,14 @@ def scan(
         "spans",
         lambda s: F.concat_ws(":", F.element_at(kinds, s.kind.cast("int") + 1), s.start, s.end),
     )
-    spans = F.coalesce("spans", F.array().cast("array<struct<start:long,kind:long,end:long,live:boolean>>"))
+    held = F.transform(
+        "spans",
+        lambda s: F.concat_ws(":", s.owners, s.repositories)
+        if repository is not None
+        else s.owners.cast("string"),
+    )
+    of = ",".join(f"{name}:{'boolean' if name == 'live' else 'long'}" for name in SPAN)
+    spans = F.coalesce("spans", F.array().cast(f"array<struct<{of}>>"))
     judged = scanned.join(_judged(scanned, cfg, repository is not None), "key", "left").withColumn("spans", spans)
     return judged.select(
         "doc_id",
@@ -212,6 +226,7 @@ def scan(
         "n_hex",
         "base_sha256",
         F.concat_ws(",", shown).alias("spans"),
+        F.concat_ws(",", held).alias("held_by"),
         F.size(F.filter("spans", lambda s: s.kind == 3)).cast("long").alias("n_owned"),
         F.size(F.filter("spans", lambda s: s.live)).cast("long").alias("n_live"),
         F.size(F.filter("spans", lambda s: ~s.live)).cast("long").alias("n_example"),

@@ -250,6 +250,43 @@ def plain_license(template, text, cfg):
     return plain_containment(template, text) >= cfg.containment
 
 
+def plain_scan(docs):
+    """Spans, owners and documents of their values, and live ones of (doc_id, text, source) rows."""
+    found, owners, holders = {}, {}, {}
+    for doc_id, text, source in docs:
+        base = secrets.base_spans(text or "")
+        assert secrets.describe(base) == ",".join(plain_base(text))
+        found[doc_id] = base + plain_candidates(text or "", base, 3.5)
+        for *_, value in found[doc_id]:
+            owners.setdefault(value, set()).add(source)
+            holders.setdefault(value, set()).add(doc_id)
+    out = {}
+    for doc_id, spans in found.items():
+        live = {s: len(owners[s[3]]) <= 2 for s in spans}
+        kept = sorted(s for s in spans if s[1] < 3 or live[s])
+        held = ",".join(f"{len(owners[s[3]])}:{len(holders[s[3]])}" for s in kept)
+        out[doc_id] = secrets.describe(kept), held, sum(live[s] for s in kept)
+    return out
+
+
+def test_scan_query_on_texts_with_shared_values(spark, tmp_path):
+    """The query against the plain version where values have many owners and documents."""
+    rng = random.Random(4)
+    signs = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789"
+    values = ["".join(rng.choice(signs) for _ in range(22)) + "a1" for _ in range(40)]
+    rows = []
+    for i in range(300):
+        parts = [rng.choice(["see {}", "token={}", "AKIAABCDEFGHIJKL{}", "deadbeef00112233445566 {}"]) for _ in range(4)]
+        text = " and ".join(p.format(rng.choice(values[: 1 + i % 40])) for p in parts)
+        rows.append((i, None if i % 50 == 0 else text, "en", rng.choice(["a", "b", "c", "d", None]), len(text)))
+    rows += [(300 + i, f"mine {v}x{i} here", "en", "a", 9) for i, v in enumerate(values)]
+    spark.createDataFrame(rows, DOCUMENT).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op1_secrets"](spark, str(tmp_path)).collect()
+    want = plain_scan([(r[0], r[1], r[3]) for r in rows])
+    assert {r.doc_id: (r.spans, r.held_by, r.n_live) for r in got} == want
+    assert any("owned" in r.spans for r in got) and any(r.n_example for r in got)
+
+
 @pytest.mark.parametrize("name", ["op1_secrets", "op3_licenses", "op7_decontaminate"])
 def test_queries_against_plain_scans(spark, sf, name):
     rows = QUERIES[name](spark, sf).collect()
@@ -257,6 +294,8 @@ def test_queries_against_plain_scans(spark, sf, name):
     if name == "op1_secrets":
         want = {d.doc_id: hashlib.sha256(",".join(plain_base(d.text)).encode()).hexdigest() for d in docs}
         assert {r.doc_id: r.base_sha256 for r in rows} == want
+        full = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source").collect()
+        assert {r.doc_id: (r.spans, r.held_by, r.n_live) for r in rows} == plain_scan(full)
     elif name == "op3_licenses":
         cfg = licenses.Licenses()
         want = {

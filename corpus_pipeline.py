@@ -44,8 +44,8 @@ STAGES = [
     ("packing", pack),
 ]
 
-# Models and tokenizers are beyond SQL. Tests check columns, falling row counts and the number of packed
-# documents; no plain version of the whole is compared with the rows. Stages have tests of their own.
+# Models and tokenizers are beyond SQL. A test holds run()'s documents, masked texts and ids against a plain
+# version of every stage (the fitted weights are taken as they are); stages have tests of their own.
 ORACLE_SQL = None
 
 

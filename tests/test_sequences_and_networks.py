@@ -259,3 +259,30 @@ def test_published_grids_get_their_category_order(spark):
     df = spark.createDataFrame([("Tech",), ("Sports",), ("Other",), ("Another",)], "classifier_label string")
     rows = E.with_category_order(df, E.EmbeddingSettings()).orderBy("category_ord").collect()
     assert [r.classifier_label for r in rows] == ["Sports", "Tech", "Another", "Other"]
+
+
+def test_a_step_makes_no_unused_products_and_no_copies_of_the_model():
+    x, labels, keys = sample()
+    cfg = N.Training(h1=4, h2=3, latent=2)
+    for model in (N.Autoencoder.fresh(5, cfg, 3), N.ConditionalVae.fresh(5, cfg, 3)):
+        first, inputs = model.layers()[0], []
+        kept = first.backward
+        first.backward = lambda *a: inputs.append(kept(*a)[2]) or kept(*a)
+        found = model.gradients(x, labels, keys, 9.0, 0)
+        assert inputs == [None]  # nobody asks for the gradient of the rows themselves
+        held = [(layer.weight, layer.bias) for layer in model.layers()]
+        N._apply(model, np.concatenate([p.ravel() for pair in found for p in pair]), cfg)
+        assert all(w is layer.weight and b is layer.bias for (w, b), layer in zip(held, model.layers()))
+
+
+def test_values_that_are_not_finite_count_as_none_in_a_step():
+    x, labels, keys = sample()
+    cfg = N.Training(h1=4, h2=3, latent=2, batch=9, epochs=1)
+    own, plain = N.Autoencoder.fresh(5, cfg), N.Autoencoder.fresh(5, cfg)
+    size = N._flat(own).size
+    for odd in (np.nan, np.inf, -np.inf):
+        sent = np.full(size, 0.5)
+        sent[::7] = odd
+        N.train_epochs(own, x, labels, keys, np.arange(9), 9, cfg, 0, 1, lambda flat, size: sent.copy())
+        N._apply(plain, np.where(np.isfinite(sent), sent, 0.0), cfg)
+        assert (N._flat(own) == N._flat(plain)).all()

@@ -1,3 +1,6 @@
+import threading
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from conftest import near
@@ -286,3 +289,30 @@ def test_values_that_are_not_finite_count_as_none_in_a_step():
         N.train_epochs(own, x, labels, keys, np.arange(9), 9, cfg, 0, 1, lambda flat, size: sent.copy())
         N._apply(plain, np.where(np.isfinite(sent), sent, 0.0), cfg)
         assert (N._flat(own) == N._flat(plain)).all()
+
+
+def test_models_are_trained_side_by_side(spark, monkeypatch):
+    rows = vectors(spark, n=90)
+    kinds = {k: N.Training(h1=8, h2=4, latent=2, epochs=3 + i, learning_rate=0.05) for i, k in enumerate(("ae", "semi", "cvae"))}
+    alone = {kind: N.fit(kind, rows, cfg, 3) for kind, cfg in kinds.items()}
+    met, one_round = threading.Barrier(3, timeout=60), N._round
+
+    def together(*args):
+        met.wait()  # breaks unless three models are trained at a time
+        one_round(*args)
+
+    monkeypatch.setattr(N, "_round", together)
+    found = N.fit_all(kinds, rows, 3)
+    assert list(found) == list(kinds)
+    assert all((N._flat(found[k]) == N._flat(alone[k])).all() for k in kinds)
+    monkeypatch.setattr(N, "_round", one_round)
+    many = {k: replace(cfg, task_rows=30) for k, cfg in kinds.items()}  # three of the four slots each: one at a time
+    assert all(np.abs(N._flat(m) - N._flat(alone[k])).max() < 1e-9 for k, m in N.fit_all(many, rows, 3).items())
+
+
+def test_unknown_models_and_no_rows_are_errors_for_all(spark):
+    cfg = N.Training(h1=4, h2=3, epochs=1)
+    with pytest.raises(ValueError):
+        N.fit_all({"ae": cfg, "other": cfg}, vectors(spark), 3)
+    with pytest.raises(ValueError):
+        N.fit_all({"ae": cfg}, vectors(spark).limit(0), 3)

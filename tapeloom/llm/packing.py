@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -48,29 +50,45 @@ class Packing:
 
 
 def differencing(sizes: list[int], slots: int) -> np.ndarray:
-    """The slot of each item in a partition into ``slots`` near-equal sums."""
-    heap = []
-    for i, size in enumerate(sizes):
-        sums = np.zeros(slots, np.int64)
-        sums[0] = size
-        heap.append((-size, i, sums, np.array([i]), np.zeros(1, np.int64)))
+    """The slot of each item in a partition into ``slots`` near-equal sums.
+
+    A partition is its negated sums, heaviest first, and the items of each slot. Most merges bring
+    a single item to a partition: it goes to the lightest slot, which then moves to its new rank.
+    """
+    if slots == 1:
+        return np.zeros(len(sizes), np.int64)
+    heap = [(-size, i, None, i) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
-    made = len(sizes)
-    while len(heap) > 1:
-        _, _, sums, items, places = heapq.heappop(heap)
-        _, _, other, more, others = heapq.heappop(heap)
-        sums = sums + other[::-1]  # heaviest slots meet the lightest ones
-        order = np.argsort(-sums, kind="stable")
-        rank = np.empty(slots, np.int64)
-        rank[order] = np.arange(slots)
-        sums = sums[order]
-        sums -= sums[-1]
-        places = rank[np.concatenate([places, slots - 1 - others])]
-        heapq.heappush(heap, (-int(sums[0]), made, sums, np.concatenate([items, more]), places))
-        made += 1
-    _, _, _, items, places = heap[0]
-    slot = np.empty(len(sizes), np.int64)
-    slot[items] = places
+    for made in range(len(sizes), 2 * len(sizes) - 1):
+        spread, _, sums, items = heapq.heappop(heap)
+        other_spread, _, other, more = heapq.heappop(heap)
+        if other is None:
+            if sums is None:
+                sums = [spread] + [0] * (slots - 1)
+                items = [[items], *([] for _ in range(slots - 1))]
+            lightest, held = sums.pop() + other_spread, items.pop()
+            held.append(more)
+            rank = bisect_right(sums, lightest)
+            sums.insert(rank, lightest)
+            items.insert(rank, held)
+        else:  # heaviest slots meet the lightest ones
+            other.reverse()
+            more.reverse()
+            if sums is None:
+                other[0] += spread
+                more[0].append(items)
+                sums, items = other, more
+            else:
+                sums = list(map(add, sums, other))
+                items = list(map(add, items, more))
+            order = sorted(range(slots), key=sums.__getitem__)
+            sums = [sums[i] for i in order]
+            items = [items[i] for i in order]
+        heapq.heappush(heap, (sums[0] - sums[-1], made, sums, items))
+    _, _, _, items = heap[0]
+    slot = np.zeros(len(sizes), np.int64)
+    for place, held in enumerate(items if len(sizes) > 1 else []):
+        slot[held] = place
     return slot
 
 

@@ -89,7 +89,9 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         """Ids of one word: its bytes in the vocabulary's alphabet, through the model."""
-        shown = word.encode().decode("latin-1").translate(self._alphabet)
+        shown = word
+        if not (word.isascii() and word.isalnum()):  # those stand for themselves in the alphabet
+            shown = word.encode().decode("latin-1").translate(self._alphabet)
         return b"".join([self._bytes[t.id] for t in self._model.tokenize(shown)])
 
     def one(self, text: str | None) -> bytes:

@@ -32,6 +32,8 @@ from tapeloom.llm import tokens
 from tapeloom.llm.rows import parts, row_keys, staged, text_of
 
 KEY_BITS = 20
+# Rows and bytes of text that are tokenised at a time: the more, the fewer words are looked up again.
+SLICE = (10_000, 8 << 20)
 
 
 @dataclass(frozen=True)
@@ -125,10 +127,10 @@ def pieces(docs: DataFrame, cfg: Packing, id_col: str, text_col: str) -> DataFra
         encoder = tokens.encoder(cfg.tokenizer, cfg.chunks, cfg.memo_words)
         keys = row_keys()
         next(keys)
-        for batch in (p for b in batches for p in parts(b)):
+        for batch in (p for b in batches for p in parts(b, *SLICE)):
             rows, columns = [], [[], [], [], [], [], []]
             starts, lengths, sums, totals, full, ids = columns
-            for row, coded in enumerate(encoder.encode(batch.column("text").to_pylist())):
+            for row, coded in enumerate(encoder.column(batch.column("text"))):
                 coded += end
                 total = len(coded) // 4
                 for start, length in cuts(total, cfg.capacity, cfg.piece):

@@ -5,6 +5,9 @@ again. For texts of Latin characters the tokenizer's own cutting rule is restate
 over those characters, and each distinct word goes through the library's model once while it is in
 the memo. Any other text, and any that holds a special token, goes through the library whole. Both
 ways give the ids of one call over the text; the tests compare them.
+
+Where no word crosses a blank, a column of texts is split at blanks by Arrow and each distinct
+stretch of a column is cut into words once.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -62,6 +67,10 @@ class _Memo(dict):
             self[word] = found
         return found
 
+    def passing(self, word: str) -> bytes:
+        """Ids of a word that need not be kept."""
+        return self._old.get(word) or self._ids(word)
+
     def held(self) -> int:
         """Words in both generations."""
         return len(self) + len(self._old)
@@ -82,7 +91,7 @@ class Encoder:
         self._alphabet = byte_alphabet()
         self._bytes = [i.to_bytes(4, "little") for i in range(self._tokenizer.get_vocab_size())]
         self._words = re.compile(words).findall
-        self._lower = words == DROPS_BLANKS
+        self._drops_blanks = words == DROPS_BLANKS
         special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._special = re.compile("|".join(map(re.escape, special)) or r"(?!)").search
         self._memo = _Memo(self._word, memo)
@@ -94,18 +103,58 @@ class Encoder:
             shown = word.encode().decode("latin-1").translate(self._alphabet)
         return b"".join([self._bytes[t.id] for t in self._model.tokenize(shown)])
 
+    def _foreign(self, text: str) -> bool:
+        """Whether a text goes through the library whole."""
+        return bool(OTHER.search(text) or self._special(text))
+
+    def _whole(self, text: str) -> bytes:
+        ids = self._tokenizer.encode(text, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
+
     def one(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if OTHER.search(text) or self._special(text):
-            ids = self._tokenizer.encode(text, add_special_tokens=False).ids
-            return np.array(ids, "<u4").tobytes()
-        words = self._words(text.lower() if self._lower else text)
+        if self._foreign(text):
+            return self._whole(text)
+        words = self._words(text.lower() if self._drops_blanks else text)
         return b"".join(map(self._memo.__getitem__, words))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         return [self.one(t) for t in texts]
 
+    def column(self, texts: pa.Array) -> list[bytes]:
+        """The ids of ``encode`` for an Arrow column; each distinct stretch is looked up once.
+
+        Of words that stand alone, those that occur once in the column are not kept.
+        """
+        spelled = texts.to_pylist()
+        if not self._drops_blanks:
+            return self.encode(spelled)
+        foreign = [bool(t) and self._foreign(t) for t in spelled]
+        plain = pc.if_else(pa.array(foreign, pa.bool_()), "", texts.fill_null(""))
+        split = pc.ascii_split_whitespace(plain)  # texts that are not foreign have no other blanks
+        stretches = split.flatten().dictionary_encode()
+        distinct = stretches.dictionary.to_numpy(zero_copy_only=False)
+        distinct = "\n".join(distinct).lower().split("\n") if len(distinct) else []
+        counts = np.bincount(stretches.indices.to_numpy(), minlength=len(distinct)).tolist()
+        memo, words, ids = self._memo, self._words, []
+        for stretch, count in zip(distinct, counts, strict=True):
+            if not stretch.isalpha():
+                ids.append(b"".join(map(memo.__getitem__, words(stretch))))
+            elif count > 1:
+                ids.append(memo[stretch])
+            else:
+                ids.append(memo.get(stretch) or memo.passing(stretch))
+        found = pa.array(ids, pa.large_binary()).take(stretches.indices)
+        _, offsets, data = found.buffers()
+        last = np.cumsum(pc.list_value_length(split).to_numpy())
+        bounds = np.frombuffer(offsets, np.int64)[np.r_[0, last]]  # of texts: their stretches adjoin
+        buffers = [None, pa.py_buffer(bounds), data]
+        coded = pa.Array.from_buffers(pa.large_binary(), len(spelled), buffers).to_pylist()
+        return [
+            self._whole(t) if whole else c for t, whole, c in zip(spelled, foreign, coded, strict=True)
+        ]
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str, words: str, memo: int) -> Encoder:

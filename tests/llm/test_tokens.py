@@ -216,3 +216,33 @@ def test_differencing_ranks_slots_anew_only_where_two_partitions_meet(monkeypatc
     rng = random.Random(5)
     packing.differencing([rng.randint(1, 512) for _ in range(2000)], 96)
     assert len(calls) < 1500, len(calls)
+
+
+def test_a_column_gives_the_ids_of_whole_texts():
+    rng = random.Random(6)
+    texts = odd_texts() + [None, "", " ", "It's 'sold', don't''s  A1!!", "\ta\x0b\x0cb\r\n c "]
+    alphabet = " \n\t\x0c\r'sétDß日aB1!,.́ \xa0\x1c\x85"
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 40))) for _ in range(400)]
+    texts += ["".join(rng.choice(" '\nstaBé1,!") for _ in range(60)) for _ in range(400)]
+    encoder = tokens.Encoder(WORDS, tokens.DROPS_BLANKS, memo=100)
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array([None, *texts], kind).slice(1)
+        got = [np.frombuffer(ids, "<u4").tolist() for ids in encoder.column(column)]
+        assert got == [ids_of(WORDS, t, 1)[:-1].tolist() for t in texts]
+        for few in ([], [""], [None, " "], ["日"]):
+            want = [ids_of(WORDS, t, 1)[:-1].tobytes() for t in few]
+            assert encoder.column(pa.array(few, kind)) == want
+    assert encoder._memo.held() <= 200
+    other = tokens.Encoder(BYTES, tokens.LEADING_BLANKS)
+    assert other.column(pa.array(texts)) == other.encode(texts)
+
+
+def test_a_column_looks_up_each_distinct_stretch_once(monkeypatch):
+    """Work grows with the distinct stretches of a slice, not with its words."""
+    encoder = tokens.Encoder(WORDS, tokens.DROPS_BLANKS)
+    cut, kept = [], encoder._words
+    monkeypatch.setattr(encoder, "_words", lambda text: cut.append(len(text)) or kept(text))
+    texts = ["Once more, it's the same text. Once more!"] * 300
+    got = encoder.column(pa.array(texts))
+    assert got == [ids_of(WORDS, texts[0], 1)[:-1].tobytes()] * 300
+    assert sum(cut) < len(texts[0]), sum(cut)

@@ -25,7 +25,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 # Latin characters on which all Unicode versions agree about case, kind and normal form. Left out:
 # rarer blanks and controls, numerals that are no decimal digits, and the dotted capital I.
 OTHER = re.compile(r"[^\t-\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]")
-LOWER = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-ɏ"
+LOWER = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-ʯⱥⱦ"  # some capitals up to ɏ have their small letter beyond it
 LETTER = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 SHORT = r"'s|'t|'re|'ve|'m|'ll|'d"
 

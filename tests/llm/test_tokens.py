@@ -224,11 +224,12 @@ def test_a_column_gives_the_ids_of_whole_texts():
     alphabet = " \n\t\x0c\r'sétDß日aB1!,.́ \xa0\x1c\x85"
     texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 40))) for _ in range(400)]
     texts += ["".join(rng.choice(" '\nstaBé1,!") for _ in range(60)) for _ in range(400)]
-    encoder = tokens.Encoder(WORDS, tokens.DROPS_BLANKS, memo=100)
+    encoder, plain = tokens.Encoder(WORDS, tokens.DROPS_BLANKS, memo=100), Tokenizer.from_file(WORDS)
+    wanted = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
     for kind in (pa.string(), pa.large_string()):
         column = pa.array([None, *texts], kind).slice(1)
         got = [np.frombuffer(ids, "<u4").tolist() for ids in encoder.column(column)]
-        assert got == [ids_of(WORDS, t, 1)[:-1].tolist() for t in texts]
+        assert got == wanted
         for few in ([], [""], [None, " "], ["日"]):
             want = [ids_of(WORDS, t, 1)[:-1].tobytes() for t in few]
             assert encoder.column(pa.array(few, kind)) == want
@@ -246,3 +247,14 @@ def test_a_column_looks_up_each_distinct_stretch_once(monkeypatch):
     got = encoder.column(pa.array(texts))
     assert got == [ids_of(WORDS, texts[0], 1)[:-1].tobytes()] * 300
     assert sum(cut) < len(texts[0]), sum(cut)
+
+
+@pytest.mark.parametrize("path, chunks", [(WORDS, tokens.DROPS_BLANKS), (BYTES, tokens.LEADING_BLANKS)])
+def test_every_plain_character_is_cut_as_by_the_library(path, chunks):
+    encoder, plain = tokens.Encoder(path, chunks), Tokenizer.from_file(path)
+    characters = [c for c in map(chr, range(0x300)) if not tokens.OTHER.search(c)]
+    for form in ("{}", "a{}b", "a{}b, 'S{}x", "{}{}1{}2", ", {} ,{}", "{}'s{} '{}"):
+        texts = [form.replace("{}", c) for c in characters]
+        want = [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
+        for got in (encoder.encode(texts), encoder.column(pa.array(texts))):
+            assert not [t for t, a, b in zip(texts, got, want, strict=True) if a != b]

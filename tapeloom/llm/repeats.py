@@ -18,7 +18,8 @@ are refined until their members share ``length`` bytes; only members that still
    from some offset on and the bytes behind it up to another. A part's bucket is this longer common part:
    its parent's bucket and those of the suffixes at the earlier and later offsets. Parts alone in their
    bucket are dropped, the others are split further, until each is a single string.
-   The least document of its bucket keeps its first place; all others are repeated.
+   A part whose members are also equal in all bytes of its strings is judged whole, as in step 3:
+   the least document of its bucket keeps its first place; all others are repeated.
 
 Buckets are fingerprints, two polynomials of 64 bits each: a q-gram has the first, a stretch the second
 within its q-gram's bucket, parts and single strings have both. A bucket is never gathered: it is
@@ -42,6 +43,7 @@ from __future__ import annotations
 import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +59,9 @@ from tapeloom.session import drop_staged, staged_mark
 
 _U = np.uint64
 BASES = (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25)
-_HIGH = _U(0xFFFFFFFF00000000)
+_HIGH, _LOW = _U(0xFFFFFFFF00000000), _U(0xFFFFFFFF)
+# Strings whose anchors are found in one go.
+_PIECE = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -79,14 +83,23 @@ class Sums:
     """Fingerprints of any stretch of some bytes, from one running sum for each polynomial."""
 
     _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    _codes: dict[int, np.ndarray] = {}
 
     def __init__(self, raw: np.ndarray, number: int):
-        self._number = number
         self.up, self.down = self._powers(number, len(raw) + 1)
+        self.sums = np.zeros(len(raw) + 1, _U)
+        # Bytes as an index of any other kind would be checked and copied first.
+        codes = self._code(number).take(raw.astype(np.intp, copy=False), mode="wrap")
         with np.errstate(over="ignore"):
-            code = mix((np.arange(256, dtype=_U) + _U(1 + (number << 32))) * _U(0x9E3779B97F4A7C15))
-            self.sums = np.zeros(len(raw) + 1, _U)
-            np.cumsum(code[raw] * self.up[: len(raw)], out=self.sums[1:])
+            np.multiply(codes, self.up[: len(raw)], out=codes)
+            np.cumsum(codes, out=self.sums[1:])
+
+    @classmethod
+    def _code(cls, number: int) -> np.ndarray:
+        if number not in cls._codes:
+            with np.errstate(over="ignore"):
+                cls._codes[number] = mix((np.arange(256, dtype=_U) + _U(1 + (number << 32))) * _U(0x9E3779B97F4A7C15))
+        return cls._codes[number]
 
     @classmethod
     def _powers(cls, number: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,60 +119,90 @@ class Sums:
             return mix((self.sums[end] - self.sums[start]) * self.down[start])
 
     def grams(self, q: int) -> np.ndarray:
-        """Of all stretches of ``q`` bytes."""
-        n = len(self.sums) - q
+        """Of all stretches of ``q`` bytes, not yet mixed."""
+        out = self.sums[q:] - self.sums[:-q]
         with np.errstate(over="ignore"):
-            return mix((self.sums[q:] - self.sums[:n]) * self.down[:n])
+            return np.multiply(out, self.down[: len(out)], out=out)
 
 
-def anchors(grams: np.ndarray, window: int) -> np.ndarray:
-    """For each run of ``window`` q-grams, the place of the one of least hash, of equal ones the first.
+def least_grams(grams: np.ndarray, window: int) -> np.ndarray:
+    """For each run of ``window`` q-grams, hash and place of the one of least hash, of equal ones the first.
 
-    Hash and place share a number; least numbers from block starts forwards and from block ends
-    backwards give the least of every run.
+    Both share a number, the place in its lower half. Least numbers of runs that double in length
+    give the least of every run.
     """
-    count = len(grams) - window + 1
-    value = (grams & _HIGH) | np.arange(len(grams), dtype=_U)
-    rows = -(-len(value) // window)
-    padded = np.full(rows * window, np.iinfo(np.uint64).max, _U)
-    padded[: len(value)] = value
-    grid = padded.reshape(rows, window)
-    onward = np.minimum.accumulate(grid, axis=1).ravel()
-    back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(back[:count], onward[window - 1 : window - 1 + count])
-    return (least & _U(0xFFFFFFFF)).astype(np.int64)
+    value = grams & _HIGH
+    value |= np.arange(len(grams), dtype=_U)
+    spare = np.empty_like(value)
+    length = 1
+    while length < window:
+        step = min(length, window - length)
+        out = spare[: len(value) - step]
+        np.minimum(value[:-step], value[step:], out=out)
+        value, spare = out, value
+        length += step
+    return value
 
 
 def stretches(raw: np.ndarray, cfg: Repeats, bounds: np.ndarray):
     """Of texts side by side: (text, bucket, fingerprint, start, strings, anchor) of each stretch.
 
     ``bounds`` are the texts' ends from 0 on. ``strings`` is the number of strings, and ``anchor`` the
-    anchor's offset in the stretch.
+    anchor's offset in the stretch. The bytes are taken piece by piece, so that the numbers of a
+    piece stay in the processor's cache; a piece yields the stretches that start in it, whole.
     """
     size, q = cfg.length, cfg.gram
-    if len(raw) < size:
-        return tuple(np.empty(0, np.int64) for _ in range(6))
-    sums = Sums(raw, 0)
-    grams = sums.grams(q)
-    at = anchors(grams, size - q + 1)
-    # Strings that do not leave their text.
-    whole = np.zeros(len(at), bool)
-    for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        whole[low : max(low, high - size + 1)] = True
-    place = np.flatnonzero(whole)
-    if not len(place):
-        return tuple(np.empty(0, np.int64) for _ in range(6))
-    own = at[place]
-    new = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (place[1:] != place[:-1] + 1)])
-    start, stop = place[new], place[np.r_[new[1:] - 1, len(place) - 1]]
-    anchor = own[new]
-    other = Sums(raw, 1)
-    count = stop - start + 1
+    window = size - q + 1
+    places = len(raw) - size + 1
+    lows = bounds[:-1]
+    # Strings do not leave their text.
+    stops = np.maximum(lows, bounds[1:] - size + 1)
+    found = [tuple(np.empty(0, np.int64) for _ in range(6))]
+    for first in range(0, places, _PIECE):
+        # One place before tells whether the first string has a new anchor; no stretch has more
+        # strings than ``window``.
+        base, last = max(0, first - 1), min(places, first + _PIECE + window)
+        piece = raw[base : last + size - 1].astype(np.intp)
+        sums = Sums(piece, 0)
+        at = least_grams(sums.grams(q), window)
+        new = np.ones(len(at), bool)
+        np.not_equal(at[1:], at[:-1], out=new[1:])
+        low, high = np.searchsorted(lows, (base, last))
+        new[lows[low:high] - base] = True
+        start = np.flatnonzero(new) + base
+        text = np.searchsorted(bounds, start, "right") - 1
+        stop = np.minimum(np.r_[start[1:], last], stops[text])
+        own = np.flatnonzero((stop > start) & (start >= first) & (start < first + _PIECE))
+        text, start, stop = text[own], start[own], stop[own]
+        count = stop - start
+        begin = start - base
+        anchor = (at[begin] & _LOW).astype(np.int64)
+        with np.errstate(over="ignore"):
+            shape = mix(((anchor - begin) << 32 | count).astype(_U))
+        key = Sums(piece, 1).of(begin, begin + count + (size - 1)) ^ shape
+        bucket = sums.of(anchor, anchor + q)
+        found.append((text, bucket.view(np.int64), key.view(np.int64), start - bounds[text], count, anchor - begin))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _again(text: np.ndarray, bucket: np.ndarray, key: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether a stretch stands earlier in its text, by rows."""
+    again = np.zeros(len(text), bool)
     with np.errstate(over="ignore"):
-        shape = mix(((anchor - start) << 32 | count).astype(_U))
-        key = other.of(start, stop + size) ^ shape
-    text = np.searchsorted(bounds, start, "right") - 1
-    return text, grams[anchor].view(np.int64), key.view(np.int64), start - bounds[text], count, anchor - start
+        tag = mix(bucket.view(_U) + text.astype(_U) * _U(BASES[1])) ^ key.view(_U)
+    held = np.sort(tag)
+    held = held[1:][held[1:] == held[:-1]]
+    if not len(held):
+        return again
+    # Only rows of a tag that occurs twice can be equal, and few rows have one.
+    near = np.searchsorted(held, tag)
+    rows = np.flatnonzero(held[np.minimum(near, len(held) - 1)] == tag)
+    order = rows[np.lexsort((start[rows], key[rows], bucket[rows], text[rows]))]
+    same = np.ones(len(order) - 1, bool)
+    for column in (text, bucket, key):
+        same &= column[order[1:]] == column[order[:-1]]
+    again[order[1:][same]] = True
+    return again
 
 
 def _blocks(data: bytes, cfg: Repeats) -> Iterator[tuple[int, np.ndarray]]:
@@ -199,8 +242,9 @@ def _merged(text: np.ndarray, start: np.ndarray, end: np.ndarray):
 def _sampled(rows: DataFrame, cfg: Repeats) -> DataFrame:
     """``bucket, stretch, doc, digest, place`` of every stretch, each once a document.
 
-    Its further places in the document go, as the first starts earlier: rows without a bucket hold
-    the start (``place``) and the end (``stretch``) of such ranges.
+    Its further places in the document go, as the first starts earlier: rows of a negative ``place``
+    hold the start of such a range in it, as ``-1 - start``, and the end in ``stretch``. They are in no
+    bucket, but have one by which they are dealt, so that texts are read once for both.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,22 +261,20 @@ def _sampled(rows: DataFrame, cfg: Repeats) -> DataFrame:
                 text, bucket, key, start, count, anchor = stretches(raw, cfg, bounds)
             if not len(text):
                 continue
-            order = np.lexsort((start, key, bucket, text))
-            again = np.ones(len(order) - 1, bool)
-            for column in (text, bucket, key):
-                again &= column[order[1:]] == column[order[:-1]]
-            once = np.delete(order, np.flatnonzero(again) + 1)
-            later = np.sort(order[1:][again])
+            again = _again(text, bucket, key, start)
+            once, later = np.flatnonzero(~again), np.flatnonzero(again)
             owner, low, high = _merged(text[later], start[later], start[later] + count[later] + cfg.length - 1)
             for row, columns in (
-                (owner, (None, high, low)),
+                (owner, (mix(high).view(np.int64), high, -1 - low)),
                 (text[once], (bucket[once], key[once], _place(start, count, anchor)[once])),
             ):
                 taken = pa.array(row + first)
+                if not len(row):
+                    continue
                 bucket_of, key_of, place = columns
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.nulls(len(row), pa.int64()) if bucket_of is None else pa.array(bucket_of),
+                        pa.array(bucket_of),
                         pa.array(key_of),
                         batch.column("doc").take(taken),
                         batch.column("digest").take(taken),
@@ -278,18 +320,18 @@ def _range(cfg: Repeats) -> list[Column]:
 
 def _whole(sampled: DataFrame, cfg: Repeats) -> tuple[DataFrame, DataFrame]:
     """Ranges that go with whole stretches, and the stretches still open: steps 2 and 3."""
-    own = sampled.where(F.col("bucket").isNull())
-    own = own.select("doc", "digest", F.col("place").alias("start"), F.col("stretch").alias("end"))
-    sent = sampled.where(F.col("bucket").isNotNull())
-    buckets = sent.groupBy("bucket").agg(
+    buckets = sampled.where("place >= 0").groupBy("bucket").agg(
         F.count("*").alias("n"),
         F.min("doc").alias("least"),
         F.min("stretch").alias("one"),
         F.max("stretch").alias("other"),
     )
     shared = buckets.where("n > 1").select("bucket", "least", (F.col("one") != F.col("other")).alias("mixed"))
-    known = sent.join(shared, "bucket").where(F.col("mixed") | (F.col("doc") > F.col("least")))
+    known = sampled.join(shared, "bucket", "left").where("place < 0 OR mixed OR doc > least")
     known = _kept(known, "shared-buckets")
+    own = known.where("place < 0")
+    own = own.select("doc", "digest", (-1 - F.col("place")).alias("start"), F.col("stretch").alias("end"))
+    known = known.where("place >= 0")
     equal = known.where(~F.col("mixed")).select(*_range(cfg))
     mixed = known.where("mixed").drop("least", "mixed")
     least = mixed.groupBy("bucket", "stretch").agg(F.min("doc").alias("least"))
@@ -321,31 +363,45 @@ def _snippets(docs: DataFrame, open_: DataFrame, cfg: Repeats) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
         for batch in batches:
+            rows, held_places, cuts, size = [], [], [], 0
             for row in range(batch.num_rows):
                 text = press.decompress(batch.column("packed")[row].as_py())
                 places = batch.column("places")[row].values.to_numpy()
                 start, end = places >> 16, (places >> 16) + (places >> 8 & 255) + cfg.length
-                cut = [text[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-                one = pa.array(np.full(len(cut), row))
+                cuts += [text[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+                rows.append(np.full(len(places), row))
+                held_places.append(places)
+                size += int((end - start).sum())
+                if size < cfg.block and row + 1 < batch.num_rows:
+                    continue
+                one = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc").take(one),
                         batch.column("digest").take(one),
-                        pa.array(places),
-                        pa.array(cut, pa.binary()),
+                        pa.array(np.concatenate(held_places)),
+                        pa.array(cuts, pa.binary()),
                     ],
                     names=["doc", "digest", "place", "bytes"],
                 )
+                rows, held_places, cuts, size = [], [], [], 0
 
     return held.mapInArrow(task, "doc long, digest long, place long, bytes binary")
 
 
+def _clipped(place: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest number of bytes before the anchor, of a part's strings in the stretch itself."""
+    anchor = place & 255
+    return np.maximum(low, anchor - (place >> 8 & 255)), np.minimum(high, anchor)
+
+
 def _parts(snippets: DataFrame, split: int, cfg: Repeats) -> DataFrame:
-    """``a, b`` (bucket), ``doc, digest, place, part`` of each part of the ranges left in ``ranges``.
+    """``a, b`` (bucket), ``whole``, ``doc, digest, place, part`` of each part of the ranges left in ``ranges``.
 
     A string is told by how many of its bytes stand before the anchor, l = 0..length - q. A range
     is l's [low, high]; what its strings share is from ``low`` bytes before the anchor to
-    length - q - ``high`` bytes behind its q-gram. ``ranges`` lists low << 8 | high.
+    length - q - ``high`` bytes behind its q-gram. ``ranges`` lists low << 8 | high. ``whole`` is the
+    fingerprint of all bytes of the part's strings that the stretch holds, and of which these are.
     """
     rest = cfg.length - cfg.gram
 
@@ -355,7 +411,7 @@ def _parts(snippets: DataFrame, split: int, cfg: Repeats) -> DataFrame:
                 continue
             texts = batch.column("bytes").cast(pa.large_binary())
             ends = np.cumsum(np.concatenate([[0], pc.binary_length(texts).to_numpy()]))
-            raw = np.frombuffer(b"".join(texts.to_pylist()), np.uint8)
+            raw = np.frombuffer(b"".join(texts.to_pylist()), np.uint8).astype(np.intp)
             lists = batch.column("ranges")
             ranges = lists.flatten().to_numpy()
             row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy())
@@ -364,7 +420,7 @@ def _parts(snippets: DataFrame, split: int, cfg: Repeats) -> DataFrame:
             low, high = ranges >> 8, ranges & 255
             width = -(-(high - low + 1) // split)
             pieces = []
-            for k in range(split):
+            for k in range(min(split, int((high - low).max(initial=0)) + 1)):
                 a = low + k * width
                 b = np.minimum(high, a + width - 1)
                 # Strings of the stretch itself: l from anchor down to anchor - count + 1.
@@ -375,58 +431,70 @@ def _parts(snippets: DataFrame, split: int, cfg: Repeats) -> DataFrame:
             middle = ends[row] + (place & 255)
             # A range that reaches beyond the stretch shares less than the stretch holds on that side.
             begin, end = middle - a, middle + cfg.gram + rest - b
-            keys = [Sums(raw, number).of(begin, end) for number in (0, 1)]
+            sums = [Sums(raw, number) for number in (0, 1)]
+            keys = [one.of(begin, end) for one in sums]
             part = a << 8 | b
             keys[0] ^= mix(part.astype(_U))
+            first, last = _clipped(place, a, b)
+            whole = sums[1].of(middle - last, middle + cfg.length - first) ^ mix((first << 8 | last).astype(_U))
             taken = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(keys[0].view(np.int64)),
                     pa.array(keys[1].view(np.int64)),
+                    pa.array(whole.view(np.int64)),
                     batch.column("doc").take(taken),
                     batch.column("digest").take(taken),
                     pa.array(place),
                     pa.array(part.astype(np.int32)),
                 ],
-                names=["a", "b", "doc", "digest", "place", "part"],
+                names=["a", "b", "whole", "doc", "digest", "place", "part"],
             )
 
-    return snippets.mapInArrow(task, "a long, b long, doc long, digest long, place long, part int")
+    return snippets.mapInArrow(task, "a long, b long, whole long, doc long, digest long, place long, part int")
 
 
 def _refined(snippets: DataFrame, cfg: Repeats) -> DataFrame:
     """Ranges that go of the open stretches: step 4."""
-    rest = cfg.length - cfg.gram
+    spark, rest = snippets.sparkSession, cfg.length - cfg.gram
     ranges = F.array(F.lit(rest).cast("int"))  # one range, [0, rest]
     open_ = snippets.withColumn("ranges", ranges)
-    mark = staged_mark()
-    for split in cfg.steps:
+    anchor = F.col("place").bitwiseAND(F.lit(255))
+    # Strings by the bytes before their anchor, as in _clipped.
+    first = F.greatest(F.shiftright("part", 8).cast("long"), anchor + 1 - _strings())
+    last = F.least(F.col("part").bitwiseAND(F.lit(255)).cast("long"), anchor)
+    settled = []
+    # Strings share all bytes that they have, so the last parts, of one string, are all equal.
+    for split in (*cfg.steps, rest + 1):
+        mark = staged_mark()
         found = _kept(_parts(open_, split, cfg), "parts")
-        company = found.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        kept = found.join(company, ["a", "b"], "left_semi")
-        kept = kept.groupBy("doc", "digest", "place").agg(F.collect_list("part").alias("ranges"))
+        until = staged_mark()
+        company = found.groupBy("a", "b").agg(
+            F.count("*").alias("n"),
+            F.min("doc").alias("least"),
+            F.min("whole").alias("one"),
+            F.max("whole").alias("other"),
+        )
+        company = company.where("n > 1").select("a", "b", "least", (F.col("one") != F.col("other")).alias("mixed"))
+        own = ~F.col("mixed") & (F.col("doc") == F.col("least"))
+        # Of parts in later documents nothing but the place is needed on.
+        bucket = [F.when(own, F.col(c)).alias(c) for c in "ab"]
+        judged = found.join(company, ["a", "b"])
+        judged = judged.select("doc", "digest", "place", "part", "mixed", own.alias("own"), *bucket)
+        judged = _kept(judged, "shared-parts")
+        drop_staged(spark, mark, until)
+        middle = _start() + anchor
+        place = [(middle - last).alias("start"), (middle - first + cfg.length).alias("end")]
+        settled.append(judged.where(~F.col("mixed")).select("own", "a", "b", "doc", "digest", *place))
+        kept = judged.where("mixed").groupBy("doc", "digest", "place").agg(F.collect_set("part").alias("ranges"))
         open_ = snippets.join(kept, ["doc", "digest", "place"])
-    single = _parts(open_, rest + 1, cfg)
-    before = F.shiftright("part", 8).cast("long")
-    start = F.shiftright("place", 16) + F.col("place").bitwiseAND(F.lit(255)) - before
-    until = staged_mark()
-    single = _kept(single.select("a", "b", "doc", "digest", start.alias("start")), "strings")
-    drop_staged(snippets.sparkSession, mark, until)
-    least = single.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("doc").alias("least"))
-    shared = single.join(least.where("n > 1").drop("n"), ["a", "b"])
-    until = staged_mark()
-    # Of strings in later documents nothing but the place is needed on.
-    own = F.col("doc") == F.col("least")
-    judged = shared.select("doc", "digest", "start", own.alias("own"), *[F.when(own, F.col(c)).alias(c) for c in "ab"])
-    judged = _kept(judged, "shared-strings")
-    drop_staged(snippets.sparkSession, mark, until)
+    judged = reduce(DataFrame.unionByName, settled)
     # In the least document itself all places but the first go.
     own = judged.where("own")
-    first = own.groupBy("a", "b", "digest").agg(F.count("*").alias("n"), F.min("start").alias("first"))
-    again = own.join(first.where("n > 1"), ["a", "b", "digest"]).where(F.col("start") > F.col("first"))
-    gone = judged.where("NOT own").select("doc", "digest", "start")
-    gone = gone.unionByName(again.select("doc", "digest", "start"))
-    return gone.withColumn("end", F.col("start") + cfg.length)
+    once = own.groupBy("a", "b", "digest").agg(F.count("*").alias("n"), F.min("start").alias("first"))
+    again = own.join(once.where("n > 1"), ["a", "b", "digest"]).where(F.col("start") > F.col("first"))
+    gone = judged.where("NOT own").select("doc", "digest", "start", "end")
+    return gone.unionByName(again.select("doc", "digest", "start", "end"))
 
 
 def cut(text: bytes, runs: list[tuple[int, int]]) -> bytes:

@@ -316,3 +316,58 @@ def test_unknown_models_and_no_rows_are_errors_for_all(spark):
         N.fit_all({"ae": cfg, "other": cfg}, vectors(spark), 3)
     with pytest.raises(ValueError):
         N.fit_all({"ae": cfg}, vectors(spark).limit(0), 3)
+
+
+def test_tanh_keeps_its_digits():
+    size = 10.0 ** np.random.default_rng(5).uniform(-300, 2, 20_000)
+    odd = [0.0, -0.0, np.inf, -np.inf, np.nan, 19.9, 20.1, 800.0, -800.0]
+    for u in (size, -size, np.array(odd)):
+        with np.errstate(all="ignore"):
+            found, exact = N._tanh(u.copy()), np.tanh(u)
+        known = ~np.isnan(u)
+        assert (np.isnan(found) == np.isnan(u)).all() and (np.signbit(found) == np.signbit(exact))[known].all()
+        assert (np.abs(found - exact) <= 4 * np.spacing(np.abs(exact)))[known].all()
+
+
+def steps_of(model, x, labels, keys, cfg, epochs):
+    N.train_epochs(model, x, labels, keys, np.arange(len(x)), len(x), cfg, 0, epochs, N._alone)
+    return model
+
+
+@pytest.mark.parametrize("kind", ["ae", "semi", "cvae"])
+def test_steps_write_to_the_same_arrays(monkeypatch, kind):
+    x, labels, keys = sample(n=40)
+    cfg, targets, steps = N.Training(h1=4, h2=3, latent=2, batch=16), set(), []
+    apply, model = N._apply, N.fresh(kind, 5, N.Training(h1=4, h2=3, latent=2), 3)
+    monkeypatch.setattr(N, "_apply", lambda m, flat, *a: steps.append(0) or targets.add(flat.ctypes.data) or apply(m, flat, *a))
+    steps_of(model, x, labels, keys, cfg, 4)
+    assert len(steps) == 12 and len(targets) == 1
+
+
+def test_weights_are_compared_with_the_bound_only_within_reach(monkeypatch):
+    x, labels, keys = sample(n=40)
+    apply, clip, calls = N._apply, np.clip, []
+    for rate, weight, often in ((0.001, 0.0, False), (0.5, 3.5, True)):
+        cfg = N.Training(h1=4, h2=3, latent=2, batch=8, learning_rate=rate)
+        own, plain = N.Autoencoder.fresh(5, cfg, 3), N.Autoencoder.fresh(5, cfg, 3)
+        for model in (own, plain):
+            model.encoder[0].weight[:] += weight
+            model.head[0].weight[:] += 9.0
+        calls.clear()
+        with monkeypatch.context() as m:
+            m.setattr(np, "clip", lambda *a, **k: calls.append(a[1] == -N.WEIGHT_BOUND) or clip(*a, **k))
+            steps_of(own, 9 * x, labels, keys, cfg, 30)
+        assert sum(calls) > 12 if often else sum(calls) == 6  # 150 steps, 6 weights with a bound
+        with monkeypatch.context() as m:
+            m.setattr(N, "_apply", lambda model, flat, cfg, *a: apply(model, flat, cfg))
+            steps_of(plain, 9 * x, labels, keys, cfg, 30)
+        assert (N._flat(own) == N._flat(plain)).all()
+
+
+def test_noise_of_an_epoch_is_drawn_once(monkeypatch):
+    x, labels, keys = sample(n=40)
+    cfg, draws = N.Training(h1=4, h2=3, latent=2, batch=8), []
+    noise = N._row_noise
+    monkeypatch.setattr(N, "_row_noise", lambda keys, *a: draws.append(len(keys)) or noise(keys, *a))
+    steps_of(N.ConditionalVae.fresh(5, cfg, 3), x, labels, keys, cfg, 3)
+    assert draws == [40, 40, 40]

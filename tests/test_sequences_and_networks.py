@@ -371,3 +371,16 @@ def test_noise_of_an_epoch_is_drawn_once(monkeypatch):
     monkeypatch.setattr(N, "_row_noise", lambda keys, *a: draws.append(len(keys)) or noise(keys, *a))
     steps_of(N.ConditionalVae.fresh(5, cfg, 3), x, labels, keys, cfg, 3)
     assert draws == [40, 40, 40]
+
+
+def test_the_raw_grid_is_read_once_for_steps_and_once_for_labels(spark):
+    rows = [(f"m{i}", f"label {i % 2}", "slug", "q", 0.1 * s, s, s * 60, 0) for i in range(6) for s in range(8)]
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    seq = E.prepare_sequences(raw(spark, rows).mapInArrow(seen, RAW), E.EmbeddingSettings())
+    assert read.value == 2 * len(rows) and seq.n_classes == 2 and seq.rows.count() == seq.labels.count() == 6
